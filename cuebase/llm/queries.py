@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cuebase.llm.common import table
+from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
+from cuebase.llm.shards import shard_by_bytes
+from cuebase.llm.substring_dedup import substring_dedup
+from cuebase.llm.tiff import store_texts, tiff_digests
 from cuebase.llm.url_filter import filter_urls
 
 #: The rules that op7_url_filters applies.
@@ -20,18 +25,47 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(table(spark, sf_dir, "documents"), least=400)
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_digests(store_texts(table(spark, sf_dir, "documents")), "doc_id").drop("pages")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = poisson_mix(docs, temperature_weights(docs, power=0.5), seed=1)
+    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "shuffle_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_media_columns": op4_media_columns,
+    "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
@@ -47,4 +81,18 @@ ORACLES: dict[str, str] = {
         SELECT u.page_id, u.host, u.path, m.r_host || m.r_path AS rule, coalesce(m.action, 'allow') AS verdict
         FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1
     """,
+    "op10_source_mixing": r"""
+        WITH RECURSIVE s AS (SELECT source, sum(coalesce(strlen(text), 0))::BIGINT AS bytes FROM documents GROUP BY source),
+        w AS (SELECT source, bytes, sqrt(bytes::DOUBLE) AS weight FROM s),
+        r AS (SELECT source, CASE WHEN bytes > 0 THEN (SELECT sum(bytes) FROM w)::DOUBLE * weight / (SELECT sum(weight) FROM w) / bytes ELSE 0.0 END AS rate FROM w),
+        p(source, rate, k, p, c) AS (
+          SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+          UNION ALL
+          SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM p WHERE k < ceil(rate + 12.0 * sqrt(rate)) + 30),
+        d AS (SELECT doc_id, source, ('0x' || substr(md5('1|1|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+        n AS (SELECT d.doc_id, d.source, any_value(p.rate) AS rate, count(*) FILTER (WHERE p.c <= d.u)::INT AS copies
+              FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.doc_id, d.source)
+        SELECT doc_id, source, round(rate, 6) AS rate, copies, copy::INT AS copy, md5('1 order|' || copy || '|' || doc_id) AS shuffle_key
+        FROM n, unnest(range(1, copies + 1)) x(copy)
+    """,
 }
