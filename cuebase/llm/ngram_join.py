@@ -260,7 +260,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = final.unionByName(joined.join(roots, "node", "left_anti").select("node", "root"))
 
     placed = members.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = placed.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_name")).alias("rep"))
+    best = materialise(placed.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_name")).alias("rep")), "best")
     return placed.join(best, "root", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuebase.llm import language, toxicity
 from cuebase.llm.common import table
+from cuebase.llm.decontaminate import find_leaks
+from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
 from cuebase.llm.shards import shard_by_bytes
@@ -40,10 +43,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "pages"), ratio=0.5, least_pages=5)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(store_texts(table(spark, sf_dir, "documents")), "doc_id").drop("pages")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 16)
 
@@ -53,6 +64,25 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def id_remainder(m: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % m
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(id_remainder(5) != 0).select("lang", "text", F.xxhash64("doc_id").alias("pick"))
+    found = language.identify(docs, labelled)
+    return found.select("doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_langs")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(id_remainder(3) != 1)
+    weights, bias = toxicity.learn(toxicity.labelled_texts(docs, labels))
+    scored = toxicity.score_toxicity(docs, weights, bias)
+    return scored.select("doc_id", F.coalesce(id_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = poisson_mix(docs, temperature_weights(docs, power=0.5), seed=1)
@@ -62,13 +92,31 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_line_dedup": op3_line_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH t AS (
+          SELECT page_id,
+                 translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script *>|<style\b.*?</style *>|<head\b.*?</head *>|<!--.*?-->', chr(10), 'g'),
+                   '(?i)</?(?:a|abbr|b|big|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|tt|u)(?:[ \t\n\r\f][^>]*)?>', '', 'g') AS body
+          FROM pages),
+        l AS (SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(body, '[ \t\r\f]*(?:<[^>]*>|\n)[ \t\r\f]*'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
+        h AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
+        e AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
+        b AS (SELECT e.host, list(line) AS often FROM e JOIN h USING (host) WHERE pages >= 5 AND n > 0.5 * pages GROUP BY e.host),
+        k AS (SELECT l.page_id, l.host, l.lines, list_filter(l.lines, lambda x: b.often IS NULL OR NOT list_contains(b.often, x)) AS stay FROM l LEFT JOIN b USING (host))
+        SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed, array_to_string(stay, chr(10)) AS kept FROM k
+    """,
     "op7_url_filters": r"""
         WITH u AS (
           SELECT page_id,
