@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebase.llm.common import broadcast_if, materialise
 from cuebase.llm.textbatch import U64, sequence_hashes, slices, span_hashes, text_buffer
 
 #: Most items that one index holds (their texts are sent to every task); a larger benchmark is taken in slices of that many.
@@ -38,6 +39,8 @@ BLOCK = 8
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 LEAST_STRIDE = 32
+#: Most leaking texts named in a broadcast; beyond, the texts are shuffled.
+NAMED_MOST = 1_000_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ANSWER = re.compile(r"(?is)^(.*?)(?:\banswer\s*:|\?)\s*(\S.*)$")
@@ -194,3 +197,10 @@ def find_leaks(
         found = own.mapInArrow(search(index, threshold, question_least, answer_least), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no benchmark item."""
+    own = docs.withColumn("x_own", F.xxhash64(text_col))
+    leaks = materialise(find_leaks(own, benchmark, "x_own", text_col).select(F.col("x_own").alias("x_leak")).distinct(), "leaks")
+    return own.join(broadcast_if(leaks, leaks.count(), NAMED_MOST), F.col("x_own") == F.col("x_leak"), "left_anti").select(docs.columns)

@@ -31,14 +31,14 @@ HOSTS_MOST = 100_000
 def lines_of(html: Column) -> Column:
     """The non-blank lines of a page's visible text."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n"), INLINE, "")
-    return F.filter(F.transform(F.split(text, BREAK), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def dedup_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.5, least_pages: int = 5) -> DataFrame:
     """One row per page: id, host, n_lines, n_removed, kept (the text left, one line each)."""
     own = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines"))
     totals = own.groupBy("host").agg(F.count("*").alias("pages"))
-    held = own.select("host", F.explode(F.array_distinct(F.transform("lines", F.xxhash64))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    held = own.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     often = held.where("n > 1").join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     often = materialise(often.groupBy("host").agg(F.collect_list("line").alias("often")), "boilerplate")
     marked = own.join(broadcast_if(often, often.count(), HOSTS_MOST), "host", "left")

@@ -270,3 +270,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("n") > 0, F.col("rep.id")).otherwise(F.col("id")).alias("rep_id"),
         F.when(F.col("n") > 0, F.col("rep.text_name")).otherwise(F.col("text_name")).alias("rep_text"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without all but one document of each group; repeated rows stay once.
+
+    Only the rows to drop (and those that repeat) are joined to the texts.
+    """
+    groups = ngram_jaccard_join(docs, id_col, text_col, width, percent)
+    keep = F.col(id_col).eqNullSafe(F.col("rep_id")) & F.col("text_name").eqNullSafe(F.col("rep_text"))
+    rows = groups.groupBy(F.col(id_col).alias("x_id"), F.col("text_name").alias("x_name")).agg(F.max(keep).alias("x_keep"), F.count("*").alias("x_n"))
+    rows = materialise(rows.where("not x_keep or x_n > 1"), "drop")
+    own = docs.withColumn("x_own", F.xxhash64(text_col))
+    marked = own.join(broadcast_if(rows, rows.count(), NAMED_MOST), F.col(id_col).cast("long").eqNullSafe(F.col("x_id")) & (F.col("x_own") == F.col("x_name")), "left")
+    once = marked.where("x_keep and x_n > 1").dropDuplicates([id_col, "x_own"])
+    return marked.where("x_keep is null").unionByName(once).select(docs.columns)

@@ -126,3 +126,23 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if n > train_rows:
         one = one.where(F.pmod("pick", F.lit(1 << 20)) < F.lit(int(train_rows / n * (1 << 20))))
     return docs.join(F.broadcast(one), F.col(id_col) == F.col("label_id")).select(F.col(text_col).alias("text"), "label", "pick")
+
+
+def keep_clean(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    index = np.flatnonzero(weights)
+    own, held = weights[index], {}
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        if "table" not in held:
+            held["table"] = np.zeros(DIM)
+            held["table"][index] = own
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", 1 << 20):
+            feature, owner = features(*text_buffer(part.column(0)))
+            total = np.bincount(owner, weights=held["table"][feature], minlength=len(part)) + bias if len(owner) else np.full(len(part), bias)
+            out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return pa.array(np.concatenate(out) if out else np.empty(0))
+
+    return docs.where(score(F.col(text_col)) < threshold)
