@@ -162,6 +162,7 @@ def _again(least: int, width: int):
     return run
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ROW = "bucket long, reach long, key binary, cell long, weight int"
 
 
@@ -176,38 +177,39 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return repeated, further
 
 
-def _cut(least: int):
-    """Merge the spans of a text, and take them out."""
+def _merge(least: int):
+    """The maximal spans of each text's cells."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_buffer(part.column(1))
-                kept, spans = [], []
-                for i, cells in enumerate(part.column(2)):
-                    raw = data[offsets[i] : offsets[i + 1]]
-                    merged: list[list[int]] = []
-                    if cells.is_valid:
-                        c = np.asarray(cells.values)
-                        start, end = (c >> 20) - (c >> 10 & 1023), (c >> 20) - (c & 1023) + least
-                        order = np.argsort(start, kind="stable")
-                        start, end = start[order], np.maximum.accumulate(end[order])
-                        first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
-                        merged = [[int(x), int(y)] for x, y in zip(start[first], end[np.r_[first[1:] - 1, len(end) - 1]], strict=True)]
-                    stay, last = [], 0
-                    for x, y in merged:
-                        stay.append(raw[last:x])
-                        last = y
-                    stay.append(raw[last:])
-                    kept.append(b"".join(x.tobytes() for x in stay))
-                    spans.append([{"start": x, "end": y} for x, y in merged])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=["id", "n_bytes", "spans", "kept"],
-                )
+            spans = []
+            for cells in batch.column(1):
+                c = np.asarray(cells.values)
+                start, end = (c >> 20) - (c >> 10 & 1023), (c >> 20) - (c & 1023) + least
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate(end[order])
+                first = np.flatnonzero(np.r_[True, start[1:] > end[:-1]])
+                spans.append([{"start": x, "end": y} for x, y in zip(start[first].tolist(), end[np.r_[first[1:] - 1, len(end) - 1]].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], names=["key", "spans"])
 
     return run
 
 
+def _cut(batches):
+    """Take the spans out of each text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            data, offsets = text_buffer(part.column(1))
+            kept, spans = [], [x or [] for x in part.column(2).to_pylist()]
+            for i, own in enumerate(spans):
+                raw, stay, last = data[offsets[i] : offsets[i + 1]], [], 0
+                for x in own:
+                    stay.append(raw[last : x["start"]])
+                    last = x["end"]
+                stay.append(raw[last:])
+                kept.append(b"".join(x.tobytes() for x in stay))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
     """One row per document: id, n_bytes, spans array<struct<start, end>>, kept binary."""
     assert 2 * Q <= least <= 1000
@@ -231,8 +233,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
-    spans = materialise(spans.groupBy("key").agg(F.collect_set("cell").alias("cells")), "spans")
-    size = spans.agg(F.sum(F.size("cells") + 3)).first()[0] or 0
-    return texts.join(broadcast_if(spans, size, SENT_MOST), "key", "left").select("id", "text", "cells").mapInArrow(
-        _cut(least), f"id {dict(docs.dtypes)[id_col]}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    merged = spans.groupBy("key").agg(F.collect_set("cell").alias("cells")).mapInArrow(_merge(least), "key binary, spans array<struct<start:long,end:long>>")
+    merged = materialise(merged, "spans")
+    size = merged.agg(F.sum(2 * F.size("spans") + 3)).first()[0] or 0
+    return texts.join(broadcast_if(merged, size, SENT_MOST), "key", "left").select("id", "text", "spans").mapInArrow(
+        _cut, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     ).withColumnRenamed("id", id_col)
