@@ -93,3 +93,12 @@ def byte_at(hex_text: Column, at: Column | int) -> Column:
     """The byte at a 0-based position of a hex text."""
     at = F.lit(at) if isinstance(at, int) else at
     return F.conv(F.substring(hex_text, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time as written, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
+
+
+def seconds(ts: Column) -> Column:
+    return F.floor(micros(ts) / 1000000).cast("bigint")

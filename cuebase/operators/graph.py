@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir (a local one where it is unset), and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or a local one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/reach-{uuid.uuid4().hex}"
+    return folder
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that plans end in files."""
+    path = f"{shared_folder(df.sparkSession)}/reach-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000, hops: int = 4) -> DataFrame:

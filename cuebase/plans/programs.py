@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuebase.functions.scalar import seconds
 from cuebase.operators import catalog, programs
 from cuebase.registry import query
 
@@ -156,7 +157,7 @@ def _(v):
   e AS (SELECT t.*, least(coalesce(lead(start) OVER (PARTITION BY device ORDER BY start, event_id) - 1, horizon), horizon) AS stop FROM t, h)
   SELECT device, event_id, frame FROM e, unnest(range(start + every, stop + 1, every)) x(frame)""")
 def _(v):
-    hour = F.expr("unix_timestamp(ts) div 3600")
+    hour = F.floor(seconds(F.col("ts")) / 3600).cast("bigint")
     timers = v.events.where("event_type = 'click'").select(F.col("user_id").alias("device"), "event_id", hour.alias("start"), (F.lit(24) * (1 + F.col("event_id") % 5)).alias("every"))
     horizon = v.events.agg(F.max(hour)).first()[0] or 0
     return programs.periodic_events(timers, horizon)

@@ -12,7 +12,7 @@ from cuebase.plans.bindings import Views, with_views
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: Modules that register queries.
-_MODULES = ["listing", "programs", "spectra", "signals", "layouts", "checks"]
+_MODULES = ["listing", "programs", "spectra", "signals", "layouts", "checks", "ports"]
 
 
 def query(name: str, oracle: str | None = None):
