@@ -222,7 +222,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not further.isEmpty():
         keys = materialise(further.select("key").distinct(), "keys")
         own = materialise(long_ones.join(broadcast_if(keys, keys.count(), SENT_MOST // 2), "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
-        for width in NARROWER:
+        for width in [w for w in NARROWER if w < least - Q + 1]:
             cells = further.groupBy("key").agg(F.collect_list(F.struct("cell", "weight")).alias("cells"))
             joined = own.join(broadcast_if(cells, further.count(), SENT_MOST), "key")
             rows = materialise(joined.select("key", "text", "cells").mapInArrow(_again(least, width), _ROW), "refined")

@@ -4,8 +4,8 @@ Reads both byte orders, classic and 64-bit files; PackBits, LZW, deflate and
 uncompressed strips or tiles; chunky and planar samples of 8, 16, 32 or 64 bits;
 horizontal differencing (predictor 2) and the floating-point predictor (3).
 
-Defined cases: a null file gives no page; an empty, cut or unknown file gives one row with
-page null and its error; a directory that repeats ends the walk; equal files give equal rows;
+Defined cases: a null file gives no page; an empty, cut or unknown file gives, after the pages before the
+damage, one row with page null and its error; a directory that repeats ends the walk; equal files give equal rows;
 an empty table gives an empty result; other columns are ignored.
 """
 

@@ -48,25 +48,25 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights over DIM + 1 coordinates; the last is the bias, which has no penalty."""
-    z, n = np.zeros(DIM + 1), np.zeros(DIM + 1)
-    weight = np.where(labels > 0, max(1.0, (labels == 0).sum() / max(1, (labels > 0).sum())) ** POWER, 1.0)
+    """Weights over DIM coordinates, and the bias: the log odds of the labels, so that a text without known words scores low."""
+    z, n = np.zeros(DIM), np.zeros(DIM)
+    toxic, clean = float((labels > 0).sum()), float((labels == 0).sum())
+    rare = max(1.0, clean / max(1.0, toxic)) ** POWER
+    weight = np.where(labels > 0, rare, 1.0)
+    bias = min(float(np.log((toxic + 1) / (clean + 1))), 0.0) if toxic and clean else 0.0
 
     def at(i):
         zi = z[i]
-        l1 = np.where(i == DIM, 0.0, L1)
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     for _ in range(epochs):
-        for x, y, c in zip(rows, labels, weight, strict=True):
-            i = np.append(x, DIM)
+        for i, y, c in zip(rows, labels, weight, strict=True):
             w = at(i)
-            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * c
+            g = (1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y) * c
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
-    w = at(np.arange(DIM + 1))
-    return w[:DIM], float(w[DIM])
+    return at(np.arange(DIM)), bias
 
 
 def _train(key, pdf: pd.DataFrame) -> pd.DataFrame:
