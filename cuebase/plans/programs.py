@@ -152,8 +152,8 @@ def _(v):
 
 
 @query("e28_periodic_events", """
-  WITH t AS (SELECT user_id AS device, event_id, epoch(ts)::BIGINT // 3600 AS start, 24 * (1 + event_id % 5) AS every FROM events WHERE event_type = 'click'),
-  h AS (SELECT max(epoch(ts)::BIGINT // 3600) AS horizon FROM events),
+  WITH t AS (SELECT user_id AS device, event_id, epoch_us(ts) // 3600000000 AS start, 24 * (1 + event_id % 5) AS every FROM events WHERE event_type = 'click'),
+  h AS (SELECT max(epoch_us(ts) // 3600000000) AS horizon FROM events),
   e AS (SELECT t.*, least(coalesce(lead(start) OVER (PARTITION BY device ORDER BY start, event_id) - 1, horizon), horizon) AS stop FROM t, h)
   SELECT device, event_id, frame FROM e, unnest(range(start + every, stop + 1, every)) x(frame)""")
 def _(v):
