@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuebase.sources.shared import materialise, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["broadcast_if", "connected_components", "materialise", "shared_folder", "table"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
 
-
-def materialise(df: DataFrame, kind: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends in files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:

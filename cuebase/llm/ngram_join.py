@@ -16,9 +16,9 @@ An inverted list is not expanded into pairs.  Each member is first compared
 with the member in which the shingle comes earliest (the most central one);
 then components are drawn, and only pairs of one list that lie in different
 components and pass the size and position bounds are compared.  Shingle order is
-rarest first: the most frequent ones (a bounded table, counted over all
-documents) go last.  Any common order gives the same result; that bound only
-sets how fast the join runs.
+rarest first: the most frequent ones go last.  That table is bounded; its counts cover
+all documents and leave out only shingles met once in a task's batch.  Any
+common order gives the same result, so it only sets how fast the join runs.
 
 Defined cases: null or blank text has the empty set, n_shingles 0, no links and
 its own id as component; fewer than five words make one shingle; repeated rows

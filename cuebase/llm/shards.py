@@ -98,7 +98,7 @@ def balance(groups: DataFrame, shards: int, block: int = BLOCK) -> DataFrame:
         n = blocks
 
 
-def numbered(rows: DataFrame, by: str, spread: list[str], ties: list[str], n: int) -> DataFrame:
+def numbered(rows: DataFrame, by: str, spread: list[str], ties: list[str], n: int, values: int) -> DataFrame:
     """Add slot: a gapless number from 0 within each value of `by`, without one task per value."""
     buckets = 16 + n // NUMBERED
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
@@ -107,7 +107,7 @@ def numbered(rows: DataFrame, by: str, spread: list[str], ties: list[str], n: in
     base = counts.select(by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy(by, "bucket").orderBy(*spread, *ties)
     rows = rows.withColumn("place", F.row_number().over(inside).cast("long"))
-    return rows.join(broadcast_if(base, 16 * buckets, SENT_MOST), [by, "bucket"]).withColumn("slot", F.col("base") + F.col("place") - 1).drop("bucket", "base", "place")
+    return rows.join(broadcast_if(base, values * buckets, SENT_MOST), [by, "bucket"]).withColumn("slot", F.col("base") + F.col("place") - 1).drop("bucket", "base", "place")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,5 +117,5 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     facts = materialise(facts, "rows")
     placed = balance(facts.groupBy("item").agg(F.sum("size").alias("weight")), shards)
     rows = facts.join(placed, "item")
-    out = numbered(rows, "shard", ["id", "item"], ["size", "text_crc32"], facts.count())
+    out = numbered(rows, "shard", ["id", "item"], ["size", "text_crc32"], facts.count(), shards)
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

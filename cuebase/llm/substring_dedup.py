@@ -153,11 +153,13 @@ def _again(least: int, width: int):
                 at, most, lo, owner, weight = (np.repeat(x, count) for x in (at, most, lo, owner, weight))
                 most, lo = np.minimum(most, step * width + width - 1), np.maximum(lo, step * width)
                 base = offsets[owner]
-                for a in range(0, len(at), 200_000):
-                    b = slice(a, a + 200_000)
-                    if a == 0:
-                        grams = gram_names(data)
-                    yield _rows(part.column(0), owner[b], base[b], grams, (at + base)[b], most[b], lo[b], width, least, weight[b])
+                for lo_byte in range(0, max(len(data), 1), CHUNK):  # more than one round for a text longer than a chunk only
+                    left = max(0, lo_byte - 1024)
+                    inside = np.flatnonzero((at + base >= lo_byte) & (at + base < lo_byte + CHUNK))
+                    grams = gram_names(data[left : lo_byte + CHUNK + least]) if len(inside) else None
+                    for a in range(0, len(inside), 200_000):
+                        b = inside[a : a + 200_000]
+                        yield _rows(part.column(0), owner[b], base[b] - left, grams, (at + base)[b] - left, most[b], lo[b], width, least, weight[b])
 
     return run
 

@@ -118,3 +118,25 @@ def test_lines(spark):
 
 def test_lines_equal_sql(same):
     same(queries.QUERIES["op3_line_dedup"], queries.ORACLES["op3_line_dedup"])
+
+
+def test_long_texts_are_cut_in_chunks(docs, rows, monkeypatch):
+    """Texts longer than a chunk give the same spans."""
+    from cuebase.llm import substring_dedup as M
+
+    want = sorted((str(r.doc_id), tuple((s.start, s.end) for s in r.spans)) for r in substring_dedup(docs).collect())
+    first, again = M._first, M._again
+    monkeypatch.setattr(M, "_first", lambda least: small(first(least)))
+    monkeypatch.setattr(M, "_again", lambda least, width: small(again(least, width)))
+    got = sorted((str(r.doc_id), tuple((s.start, s.end) for s in r.spans)) for r in substring_dedup(docs).collect())
+    assert got == want
+
+
+def small(run):
+    def with_chunks(batches):
+        from cuebase.llm import substring_dedup as M
+
+        M.CHUNK = 2000
+        yield from run(batches)
+
+    return with_chunks
