@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that plans end in files."""
-    path = f"{shared_folder(df.sparkSession)}/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from cuebase.sources.shared import materialise
 
 
 def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000, hops: int = 4) -> DataFrame:
@@ -30,15 +13,15 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 1000, hops: int
 
     A frontier loop: each round follows the newest nodes a few hops and is written out, so plans stay short and cycles end.
     """
-    edges = _written(edges.where("src is not null and dst is not null").distinct())
-    seen = _written(roots.where("node is not null").distinct())
+    edges = materialise(edges.where("src is not null and dst is not null").distinct())
+    seen = materialise(roots.where("node is not null").distinct())
     newest = seen
     for _ in range(rounds):
         step, found = newest, None
         for _ in range(hops):
             step = edges.join(step.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
             found = step if found is None else found.unionByName(step)
-        newest = _written(found.distinct().join(seen, "node", "left_anti"))
+        newest = materialise(found.distinct().join(seen, "node", "left_anti"))
         if newest.isEmpty():
             return seen
         seen = seen.unionByName(newest)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuebase.functions.scalar import micros, seconds
-from cuebase.operators.graph import shared_folder
+from cuebase.sources.shared import shared_folder
 
 #: Words that start a four-byte command, dead words, version queries.
 MASTER, CHANNELS, CONTROLS = 0x55AA, (0x55AB, 0x55B2), (0x55BA, 0x55C1)
