@@ -43,6 +43,8 @@ from cuebase.llm.textbatch import U64, mix64, sequence_hashes, signed, slices, s
 FREQUENT = 1 << 17
 #: Largest size that may count as light.
 LIGHT_MOST = 16
+#: Places of the subsets of light sets, by the set's role in the pair of sizes.
+SMALLER, LARGER = -2, -1
 #: Most texts to be compared that are named in a broadcast; beyond, the texts are shuffled.
 NAMED_MOST = 1_000_000
 
@@ -133,7 +135,11 @@ def _facts(width: int):
 
 
 def _list_rows(width: int, percent: int, light: int, frequent):
-    """(shingle or subset, node, n, place) of each set; place -1 marks a subset of a light set."""
+    """(shingle or subset, node, n, place) of each set; places below 0 mark a subset of a light set.
+
+    A subset is emitted for a pair of sizes.  It proves a link to a set of the smaller size only: two sets
+    of the larger size would need to share more.
+    """
     def run(batches):
         known, rank = frequent.value
         for batch in batches:
@@ -145,8 +151,9 @@ def _list_rows(width: int, percent: int, light: int, frequent):
                         continue
                     name = set_name(s)
                     if n <= light:
-                        keys = np.array([hash_subset(n, m, c) for m in partner_sizes(n, percent) if m <= light for c in combinations(s.tolist(), overlap_needed(n, m, percent))], dtype=U64)
-                        out.append((keys, name, n, np.full(len(keys), -1)))
+                        for m in (m for m in partner_sizes(n, percent) if m <= light):
+                            keys = np.array([hash_subset(n, m, c) for c in combinations(s.tolist(), overlap_needed(n, m, percent))], dtype=U64)
+                            out.append((keys, name, n, np.full(len(keys), SMALLER if n <= m else LARGER)))
                     if n > light or 100 * n >= percent * (light + 1):
                         if len(known):
                             at = np.searchsorted(known, s)
@@ -231,7 +238,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
         return F.least(n - place, m - other) >= need
 
-    star = shared.where("node <> head").where((F.col("place") < 0) | may_link(F.col("n"), F.col("place"), F.col("head_n"), F.col("head_place")))
+    proven = (F.col("place") < 0) & (F.col("head_place") == SMALLER)
+    star = shared.where("node <> head").where(proven | (F.col("place") >= 0) & may_link(F.col("n"), F.col("place"), F.col("head_n"), F.col("head_place")))
     star = materialise(star.groupBy(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).agg(F.min("place").alias("place")), "star")
     names = materialise(members.where("n > 0").groupBy("node").agg(F.min("text_name").alias("text_name")), "names")
 

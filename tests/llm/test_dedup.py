@@ -140,3 +140,16 @@ def small(run):
         yield from run(batches)
 
     return with_chunks
+
+
+@pytest.mark.parametrize("light", [0, 7, 16])
+def test_small_sets(spark, light, monkeypatch):
+    """Many small overlapping sets: subsets prove links between the sizes that they stand for, and no others."""
+    import random
+
+    rnd = random.Random(light)
+    rows = [(k, " ".join(rnd.choice("ab") for _ in range(rnd.randint(3, 24)))) for k in range(250)]
+    monkeypatch.setattr(ngram_join, "boundary", lambda *a, **k: light)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_jaccard_join(df).collect())
+    assert got == sorted(groups(rows))
