@@ -39,7 +39,7 @@ from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, signed, slices, text_b
 
 Q = 32
 #: Bytes of text that are hashed at once; the low bits of a packed hash hold a position below 2**21.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 POSITION_BITS = 21
 #: Window starts of one anchor that are judged together, round by round.
 NARROWER = (48, 8, 1)
