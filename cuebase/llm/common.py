@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from cuebase.sources.shared import materialise, shared_folder
 
-__all__ = ["broadcast_if", "connected_components", "materialise", "shared_folder", "table"]
+__all__ = ["bounded_batches", "broadcast_if", "connected_components", "materialise", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows that Spark hands to Python at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batches to BATCH_ROWS rows of text, which bounds the memory of both sides of a Python step."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only if the counted rows stay within the stated bound; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import broadcast_if, materialise
+from cuebase.llm.common import bounded_batches, broadcast_if, materialise
 from cuebase.llm.textbatch import U64, sequence_hashes, slices, span_hashes, text_buffer
 
 #: Most items that one index holds (their texts are sent to every task); a larger benchmark is taken in slices of that many.
@@ -185,7 +185,7 @@ def find_leaks(
     oversized = benchmark.where(F.octet_length("text") > ITEM_BYTES)
     if not oversized.isEmpty():
         raise ValueError(f"an item has over {ITEM_BYTES} bytes; cut it into several")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(docs.dtypes)[id_col]}, item_id long, score double, question_overlap double, answer_overlap double"
     n = items.count()
     parts = max(1, -(-n // INDEX_MOST))

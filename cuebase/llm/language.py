@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebase.llm.common import bounded_batches
 from cuebase.llm.textbatch import LOWER, U64, mix64, slices, text_buffer
 
 #: About so many labelled rows are learned from, taken by hash of the id.
@@ -144,5 +145,5 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     if n > train_rows:
         usable = usable.where(F.pmod("pick", F.lit(1 << 20)) < F.lit(int(train_rows / n * (1 << 20))))
     langs, table = learn(usable.select("lang", "text"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_predict(langs, table), f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, n_langs int").withColumnRenamed("id", id_col)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import broadcast_if, connected_components, materialise
+from cuebase.llm.common import bounded_batches, broadcast_if, connected_components, materialise
 from cuebase.llm.textbatch import U64, mix64, sequence_hashes, signed, slices, span_hashes, text_buffer, words
 
 #: Most shingles that the order knows as frequent (16 bytes each, sent to every task).
@@ -125,7 +125,7 @@ def _facts(width: int):
                 )
                 held += [s for s in sets if len(s)]
                 amount += sum(map(len, sets))
-                if amount > 4_000_000:
+                if amount > 2_000_000:
                     yield frequent()
                     held, amount = [], 0
         if held:
@@ -204,7 +204,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (nulls last), then of its least text_name.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_name"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_name"))
     facts = materialise(texts.mapInArrow(_facts(width), "id long, node long, n long, text_name long, shingle long"), "sets")
     members = facts.where("shingle is null").drop("shingle")
     often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))

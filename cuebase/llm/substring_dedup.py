@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import broadcast_if, materialise
+from cuebase.llm.common import bounded_batches, broadcast_if, materialise
 from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, signed, slices, text_buffer
 
 Q = 32
@@ -215,7 +215,7 @@ def _cut(batches):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
     """One row per document: id, n_bytes, spans array<struct<start, end>>, kept binary."""
     assert 2 * Q <= least <= 1000
-    texts = docs.select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    texts = bounded_batches(docs).select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     long_ones = texts.where(F.octet_length("text") >= least).select("key", "text")
     rows = materialise(long_ones.mapInArrow(_first(least), _ROW), "anchors")
     repeated, further = _settle(rows)

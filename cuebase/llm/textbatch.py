@@ -8,12 +8,14 @@ alike.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -75,6 +77,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds most_bytes of text at most, or one row."""
     lengths = np.diff(text_buffer(batch.column(batch.schema.get_field_index(column)))[1])
@@ -86,6 +95,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
         held += n
     if start < len(lengths):
         yield batch.slice(start)
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebase.llm.common import bounded_batches
 from cuebase.llm.textbatch import slices, text_buffer
 
 #: Fixed values of the TIFF 6.0 format: field sizes by type, tags, compression codes.
@@ -296,7 +297,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 files = [text_file(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], names=["id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:

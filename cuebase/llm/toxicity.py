@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuebase.llm.common import bounded_batches
 from cuebase.llm.decontaminate import plain_words
-from cuebase.llm.textbatch import U64, mix64, slices, text_buffer
+from cuebase.llm.textbatch import U64, give_back, mix64, slices, text_buffer
 
 #: About so many labelled rows are learned from, taken by hash of the id, in so many tasks.
 TRAIN_ROWS, SHARDS, EPOCHS = 24_000, 1, 4
@@ -77,6 +78,8 @@ def _train(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rows.append(features(raw, np.array([0, len(raw)]))[0].astype(np.int32))
     w, bias = ftrl(rows, pdf["label"].to_numpy())
     at = np.flatnonzero(w)
+    del rows
+    give_back()
     return pd.DataFrame({"feature": np.append(at, DIM), "weight": np.append(w[at], bias), "shard": key[0]})
 
 
@@ -114,7 +117,7 @@ def _score(index: np.ndarray, weights: np.ndarray, bias: float):
 def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per document: id, score."""
     index = np.flatnonzero(weights)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_score(index, weights[index], bias), f"id {dict(docs.dtypes)[id_col]}, score double").withColumnRenamed("id", id_col)
 
 
@@ -145,4 +148,4 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, bias: float, threshold: flo
             out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
         return pa.array(np.concatenate(out) if out else np.empty(0))
 
-    return docs.where(score(F.col(text_col)) < threshold)
+    return bounded_batches(docs).where(score(F.col(text_col)) < threshold)
