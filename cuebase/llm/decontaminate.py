@@ -2,7 +2,9 @@
 
 The inverted index is over the benchmark items.  Every passage of every document is a
 query: a window of 2 * S words that moves by S, with S at least the longest
-item's length, so a copy of an item lies whole in some window.  A score is the
+item's length, so a copy of an item lies whole in some window.  Items of over ITEM_BYTES
+bytes have indexes of their own, one for each doubling of the length, with an S of their own,
+so a long item neither widens the windows of the short ones nor is cut.  A score is the
 BM25 sum of the item's words that the passage holds, over the item's score for
 itself, so one threshold serves all items.
 
@@ -14,7 +16,8 @@ it can be missed.  NumPy does this for a batch of passages at once.
 Passages above the threshold are verified: the share of the question's word trigrams
 (in order) and of the answer's words that the passage holds.
 
-Defined cases: null or blank texts and items match nothing; equal items are reported one by one;
+Defined cases: null or blank texts and items match nothing; an item without an id is an item
+like others and is reported with a null item_id; equal items are reported one by one;
 repeated documents are reported each; an empty benchmark or table gives an empty result; other
 columns are ignored.  Items without a marked answer take their last quarter of words as answer.
 """
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 from cuebase.llm.common import bounded_batches, broadcast_if, materialise
 from cuebase.llm.textbatch import U64, sequence_hashes, slices, span_hashes, text_buffer
 
-#: Most items that one index holds (their texts are sent to every task); a larger benchmark is taken in slices of that many.
-INDEX_MOST = 2_000
-#: Longest text of an item, in bytes, for which the bound above holds.
+#: Most items, and bytes of their texts, that one pass sends to every task (one item at least); a larger benchmark is taken in slices of that size.
+INDEX_MOST, PASS_BYTES = 2_000, 40_000_000
+#: Longest text, in bytes, of a short item; short items share one stride.
 ITEM_BYTES = 20_000
+#: Most (window, word, block) or (window, block) cells worked on at a time.
+CELLS_MOST = 1 << 21
 BLOCK = 8
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -66,37 +71,70 @@ def hashed(text: str) -> np.ndarray:
     return plain_words(raw, np.array([0, len(raw)]))[0]
 
 
+def expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    before = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(start - before, count)
+
+
 class Index:
-    """Postings of the items as a dense impact table by block, and the parts to verify."""
+    """Sparse postings of the items, ordered by word and block, and the parts to verify.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in items if t and len(hashed(t))]
-        self.ids = [i for i, _ in items]
-        bags = [hashed(t) for _, t in items]
+    Entry e of `entry_*` is one word in one block: its largest impact, and its run of `post_*`.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        items = [(i, t, bag) for i, t in items if t and len(bag := hashed(t))]
+        bags = [x[2] for x in items]
         self.vocabulary = np.unique(np.concatenate(bags)) if bags else np.empty(0, dtype=U64)
         n, size = len(items), len(self.vocabulary)
-        tf = np.zeros((size, n), dtype=np.float32)
-        for j, bag in enumerate(bags):
-            np.add.at(tf[:, j], np.searchsorted(self.vocabulary, bag), 1)
-        length = tf.sum(axis=0)
-        df = (tf > 0).sum(axis=1)
+        length = np.array([len(x) for x in bags], dtype=np.float64)
+        item = np.repeat(np.arange(n), length.astype(np.int64))
+        term = np.searchsorted(self.vocabulary, np.concatenate(bags)) if n else np.empty(0, dtype=np.int64)
+        pair, tf = np.unique(item * max(size, 1) + term, return_counts=True)
+        item, term = pair // max(size, 1), pair % max(size, 1)
+        df = np.bincount(term, minlength=size)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(length.mean(), 1) if n else 1))
-        impact /= np.maximum(impact.sum(axis=0), 1e-9)
-        blocks = -(-n // BLOCK)
+        mean = max(length.mean(), 1) if n else 1
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
+        impact /= np.maximum(np.bincount(item, impact, minlength=n), 1e-9)[item]
         # similar items share a block: order by their heaviest word, which keeps the bounds tight
-        order = np.argsort(impact.argmax(axis=0), kind="stable") if n else np.empty(0, dtype=int)
-        self.ids = [self.ids[j] for j in order]
-        items = [items[j] for j in order]
-        self.impact = np.zeros((size, blocks * BLOCK), dtype=np.float32)
-        self.impact[:, :n] = impact[:, order]
-        self.bound = self.impact.reshape(size, blocks, BLOCK).max(axis=2) if n else self.impact
+        heavy = np.lexsort((-impact, item))
+        heavy = term[heavy[np.r_[True, item[1:] != item[:-1]]]] if n else term
+        order = np.argsort(heavy, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        self.ids = [items[j][0] for j in order]
+        self.blocks = -(-n // BLOCK)
+        by = np.lexsort((place[item], term))
+        term, self.post_item, self.post_impact = term[by], place[item[by]], impact[by].astype(np.float32)
+        entry = term * max(self.blocks, 1) + self.post_item // BLOCK
+        self.entry_start = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if n else entry
+        self.entry_count = np.diff(np.r_[self.entry_start, len(entry)])
+        self.entry_block = self.post_item[self.entry_start] // BLOCK
+        self.entry_bound = np.maximum.reduceat(self.post_impact, self.entry_start) if n else self.post_impact
+        self.first = np.searchsorted(term[self.entry_start], np.arange(size + 1))
         self.maybe = np.zeros(1 << 20, dtype=bool)  # a cheap first look at a word's low bits
         self.maybe[self.vocabulary & U64((1 << 20) - 1)] = True
         self.stride = max([LEAST_STRIDE, *map(len, bags)])
-        parts = [self._parts(t) for _, t in items]
+        parts = [self._parts(items[j][1]) for j in order]
         self.parts, self.widths = [p[:2] for p in parts], [p[2] for p in parts]
 
+    @property
+    def impact(self) -> np.ndarray:
+        """The postings as a dense words x items table, for small indexes only."""
+        out = np.zeros((len(self.vocabulary), self.blocks * BLOCK), dtype=np.float32)
+        word = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first))
+        out[np.repeat(word, self.entry_count), self.post_item] = self.post_impact
+        return out
+
+    @property
+    def bound(self) -> np.ndarray:
+        """The bounds as a dense words x blocks table, for small indexes only."""
+        out = np.zeros((len(self.vocabulary), self.blocks), dtype=np.float32)
+        out[np.repeat(np.arange(len(self.vocabulary)), np.diff(self.first)), self.entry_block] = self.entry_bound
+        return out
+
     @staticmethod
     def _parts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Trigrams of the question (shorter runs if it is shorter), distinct words of the answer, words in a run."""
@@ -110,15 +148,13 @@ class Index:
         return np.unique(sequence_hashes(question, width)), np.unique(answer), width
 
 
-def search(index: Index, threshold: float, question_least: float, answer_least: float):
+def search(indexes: list[Index], threshold: float, question_least: float, answer_least: float):
     """(id, text) batches to (id, item_id, score, question_overlap, answer_overlap), the best passage of each pair."""
-    s, size = index.stride, max(1, len(index.vocabulary))
 
-    def windows(data, offsets):
-        codes, text = plain_words(data, offsets)
+    def windows(index, codes, text, n):
+        s, size, blocks = index.stride, max(1, len(index.vocabulary)), index.blocks
         if not len(codes) or not index.ids:
             return []
-        n = len(offsets) - 1
         first = np.searchsorted(text, np.arange(n + 1))
         count = np.diff(first)
         # segment numbers run through all texts; a text ends its own
@@ -140,33 +176,45 @@ def search(index: Index, threshold: float, question_least: float, answer_least:
         cut = np.flatnonzero(np.r_[True, window[1:] != window[:-1]]) if len(keys) else keys
         if not len(cut):
             return []
-        bound = np.add.reduceat(index.bound[term], cut, axis=0)
         ends = np.r_[cut[1:], len(window)]
+        reads = np.r_[0, np.cumsum(np.diff(index.first)[term])]
         found = {}
-        for block in np.flatnonzero((bound >= threshold - 1e-4).any(axis=0)).tolist():
-            w = np.flatnonzero(bound[:, block] >= threshold - 1e-4)
-            lengths = ends[w] - cut[w]
-            offset = np.cumsum(lengths) - lengths
-            inside = np.arange(lengths.sum()) - np.repeat(offset - cut[w], lengths)
-            score = np.add.reduceat(index.impact[term[inside], block * BLOCK : block * BLOCK + BLOCK], offset, axis=0)
-            for i, j in zip(*np.nonzero(score >= threshold - 1e-6), strict=True):
-                item, at = block * BLOCK + int(j), window[cut[w[i]]]
-                if item >= len(index.ids):
-                    continue
-                t = int(np.searchsorted(base, at, side="right") - 1)
-                lo = first[t] + (at - base[t]) * s
-                own = codes[lo : min(lo + 2 * s, first[t + 1])]
+        lo = 0
+        while lo < len(cut):
+            # as many windows at a time as keep the work arrays small, one at least
+            hi = min(int(np.searchsorted(reads[ends], reads[cut[lo]] + CELLS_MOST, side="right")), lo + max(1, CELLS_MOST // blocks))
+            hi = max(hi, lo + 1)
+            at = slice(cut[lo], ends[hi - 1])
+            rank = np.repeat(np.arange(hi - lo), ends[lo:hi] - cut[lo:hi])
+            reach = index.first[term[at] + 1] - index.first[term[at]]
+            entry = expand(index.first[term[at]], reach)
+            cell = np.repeat(rank, reach) * blocks + index.entry_block[entry]
+            good = np.bincount(cell, index.entry_bound[entry], minlength=(hi - lo) * blocks) >= threshold - 1e-4
+            inside = good[cell]
+            pairs = np.flatnonzero(good)
+            cell, entry = np.searchsorted(pairs, cell[inside]), entry[inside]
+            posts = expand(index.entry_start[entry], index.entry_count[entry])
+            score = np.bincount(np.repeat(cell, index.entry_count[entry]) * BLOCK + index.post_item[posts] % BLOCK, index.post_impact[posts], minlength=len(pairs) * BLOCK)
+            for i in np.flatnonzero(score >= threshold - 1e-6).tolist():
+                w, block = divmod(int(pairs[i // BLOCK]), blocks)
+                item, top = block * BLOCK + i % BLOCK, window[cut[lo + w]]
+                t = int(np.searchsorted(base, top, side="right") - 1)
+                begin = first[t] + (top - base[t]) * s
+                own = codes[begin : min(begin + 2 * s, first[t + 1])]
                 question, answer = index.parts[item]
                 q = float(np.isin(question, sequence_hashes(own, index.widths[item])).mean()) if len(question) else 1.0
                 a = float(np.isin(answer, own).mean()) if len(answer) else 1.0
                 if q >= question_least and a >= answer_least:
-                    found[t, item] = max(found.get((t, item), (0.0, 0.0, 0.0)), (round(float(score[i, j]), 6), q, a))
+                    found[t, item] = max(found.get((t, item), (0.0, 0.0, 0.0)), (round(float(score[i]), 6), q, a))
+            lo = hi
         return [(t, index.ids[item], *x) for (t, item), x in sorted(found.items())]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = windows(*text_buffer(part.column(1)))
+                data, offsets = text_buffer(part.column(1))
+                codes, text = plain_words(data, offsets)
+                rows = [r for index in indexes for r in windows(index, codes, text, len(offsets) - 1)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array([r[0] for r in rows]))] + [pa.array([r[k] for r in rows], pa.int64() if k == 1 else pa.float64()) for k in range(1, 5)],
@@ -176,25 +224,38 @@ def search(index: Index, threshold: float, question_least: float, answer_least:
     return run
 
 
+def passes(sliced: DataFrame) -> list[list[tuple[int, int]]]:
+    """The (kind, slice) groups of items, put together as far as one pass over the documents may hold."""
+    out, n, size = [], 0, 0
+    for r in sliced.groupBy("kind", "slice").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).orderBy("kind", "slice").collect():
+        if not out or n + r.n > INDEX_MOST or size + r.bytes > PASS_BYTES:
+            out.append([])
+            n, size = 0, 0
+        out[-1].append((r.kind, r.slice))
+        n, size = n + r.n, size + r.bytes
+    return out
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, question_least: float = 0.5, answer_least: float = 0.5
 ) -> DataFrame:
     """One row per (document, item) leak: id, item_id, score, question_overlap, answer_overlap."""
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text").where(F.octet_length("text") <= ITEM_BYTES)
-    oversized = benchmark.where(F.octet_length("text") > ITEM_BYTES)
-    if not oversized.isEmpty():
-        raise ValueError(f"an item has over {ITEM_BYTES} bytes; cut it into several")
+    # short items are one kind; each doubling of the length beyond is another, with an index and a stride of its own
+    size = F.octet_length("text")
+    kind = F.when(size <= ITEM_BYTES, 0).otherwise(F.ceil(F.log2(size / F.lit(ITEM_BYTES)))).cast("int")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", size.cast("long").alias("bytes"), kind.alias("kind"))
     own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(docs.dtypes)[id_col]}, item_id long, score double, question_overlap double, answer_overlap double"
-    n = items.count()
-    parts = max(1, -(-n // INDEX_MOST))
+    # slices by a hash of the text are close to even; each is a bounded set that every task gets
+    parts = {r.kind: max(1, -(-r.n // INDEX_MOST), -(-r.bytes // PASS_BYTES)) for r in items.groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()}
+    of = F.lit(1)
+    for k, m in parts.items():
+        of = F.when(F.col("kind") == k, m).otherwise(of)
+    sliced = items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), of))
     out = None
-    for k in range(parts):
-        # slices by a hash of the text are close to even; each is a bounded set that every task gets
-        rows = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()]
-        index = Index(rows)
-        found = own.mapInArrow(search(index, threshold, question_least, answer_least), schema)
+    for group in passes(sliced) or [[]]:
+        indexes = [Index([(r.item_id, r.text) for r in sliced.where((F.col("kind") == k) & (F.col("slice") == j)).orderBy("item_id", "text").collect()]) for k, j in group]
+        found = own.mapInArrow(search(indexes, threshold, question_least, answer_least), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 

@@ -102,3 +102,15 @@ def test_bounds_are_bounds():
     for k in range(index.bound.shape[1]):
         part = index.impact[:, k * 8 : k * 8 + 8]
         assert (index.bound[:, k : k + 1] >= part).all()
+
+
+def test_leaks_of_long_items_and_null_ids(spark):
+    """An item of any length and one without an id are found; the long one leaves the short ones' windows alone."""
+    long = " ".join(f"term{k}x{k * k % 9973}" for k in range(30_000))
+    null_item = "omicron pi rho sigma tau upsilon phi chi psi omega digamma stigma"
+    filler = " ".join(f"w{k}" for k in range(400))
+    bench = spark.createDataFrame([(1, ITEMS[3][1]), (2, long), (None, null_item), (3, "w " * 15_000 + "end")], "item_id long, text string")
+    texts = [(1, f"{filler} {long} {filler}"), (2, f"{filler} {null_item}"), (3, f"{ITEMS[3][1]} {filler}"), (4, filler), (5, long[: len(long) // 4]), (6, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()} == {(1, 2), (2, None), (3, 1)}
+    assert sorted(r.doc_id for r in drop_leaks(df, bench).collect()) == [4, 5, 6]
