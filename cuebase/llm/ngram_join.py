@@ -41,6 +41,8 @@ from cuebase.llm.textbatch import U64, mix64, sequence_hashes, signed, slices, s
 
 #: Most shingles that the order knows as frequent (16 bytes each, sent to every task).
 FREQUENT = 1 << 17
+#: Most ranges of counts that are told apart at once when the frequent shingles are chosen.
+RANGES = 4096
 #: Largest size that may count as light.
 LIGHT_MOST = 16
 #: Places of the subsets of light sets, by the set's role in the pair of sizes.
@@ -173,6 +175,33 @@ def _list_rows(width: int, percent: int, light: int, frequent):
     return run
 
 
+def most_frequent(often: DataFrame, most: int) -> DataFrame:
+    """(shingle, n): the `most` rows of greatest n, 4 at least; of equal n those of least shingle.
+
+    Counting narrows down the n at which the table is full, in so many ranges at a time that the driver holds; the rows
+    of that n are cut by their hash first, so the last sort gets little more than it gives.
+    """
+    often = often.where("n >= 4")
+    low, high, taken = 4, (often.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while low < high and most > 0:
+        width = -(-(high - low) // RANGES)
+        ranges = often.where((F.col("n") >= low) & (F.col("n") < high)).groupBy(F.expr(f"(n - {low}) div {width}").alias("r")).agg(F.count("*").alias("k"))
+        for r in ranges.orderBy(F.desc("r")).collect():
+            if taken + r.k > most:
+                break
+            taken += r.k
+        else:
+            return often
+        low, high = low + r.r * width, min(low + (r.r + 1) * width, high)
+        if width == 1:
+            room = most - taken
+            share = min(1.0, (room + 6 * room**0.5 + 100) / r.k)
+            upto = min(2**63 - 1, int(2**64 * share) - 2**63)
+            cut = often.where((F.col("n") > low) | (F.col("n") == low) & (F.col("shingle") <= F.lit(upto)))
+            return cut.orderBy(F.desc("n"), "shingle").limit(most)
+    return often.limit(0)
+
+
 def hash_subset(n: int, m: int, subset: tuple[int, ...]) -> int:
     h = min(n, m) * 64 + max(n, m)
     for x in subset:
@@ -209,17 +238,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = facts.where("shingle is null").drop("shingle")
     often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = materialise(often, "often")
-    # the least count that at most FREQUENT shingles reach
-    counts = often.groupBy("n").agg(F.count("*").alias("k"))
-    steps = counts.select(F.least("n", F.lit(4096)).alias("n"), "k").groupBy("n").agg(F.sum("k").alias("k")).orderBy(F.desc("n")).collect()
-    total, least, mass, lists = 0, None, 0, 0
-    for r in steps:
-        mass, lists = mass + r.n * r.k, lists + r.k
-        if total + r.k <= FREQUENT and r.n >= 4:
-            total, least = total + r.k, r.n
-    rows = often.where(F.col("n") >= least).collect() if least else []
-    rows.sort(key=lambda r: (r.n, r.shingle))
-    known = np.array([r.shingle for r in rows], dtype=np.int64).view(U64)
+    steps = often.agg(F.sum(F.least("n", F.lit(4096))).alias("mass"), F.count("*").alias("lists")).first()
+    mass, lists = steps.mass or 0, steps.lists
+    rows = most_frequent(often, FREQUENT).toArrow()
+    by_rank = np.lexsort((rows["shingle"].to_numpy(), rows["n"].to_numpy()))
+    known = rows["shingle"].to_numpy()[by_rank].view(U64)
     by_name = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[by_name], by_name))
     sizes = {r.n: r.k for r in members.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").agg(F.count("*").alias("k")).collect()}

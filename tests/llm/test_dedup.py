@@ -153,3 +153,26 @@ def test_small_sets(spark, light, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_jaccard_join(df).collect())
     assert got == sorted(groups(rows))
+
+
+@pytest.mark.parametrize("ranges", [1 << 12, 2])
+def test_frequent_shingles_stay_within_their_bound(spark, monkeypatch, ranges):
+    """A commoner step that does not fit is cut to the bound; a rarer one that would fit does not bring it back whole."""
+    seen, lists = [], ngram_join._list_rows
+    monkeypatch.setattr(ngram_join, "FREQUENT", 5)
+    monkeypatch.setattr(ngram_join, "RANGES", ranges, raising=False)
+    monkeypatch.setattr(ngram_join, "_list_rows", lambda width, percent, light, frequent: seen.append(frequent.value[0]) or lists(width, percent, light, frequent))
+    often, rare = " ".join(f"a{k}" for k in range(14)), " ".join(f"b{k}" for k in range(6))
+    rows = [(k, often if k < 6 else rare) for k in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_jaccard_join(df).collect())
+    assert got == sorted(groups(rows)) and [len(x) for x in seen] == [5]
+    data = np.frombuffer(often.encode(), dtype=np.uint8)
+    assert set(seen[0].tolist()) == set(np.sort(ngram_join.shingle_sets(data, np.array([0, len(data)]), 5)[0].view(np.int64))[:5].view(np.uint64).tolist())
+
+
+@pytest.mark.parametrize("most", [0, 1, 700, 5000])
+def test_most_frequent(spark, most):
+    df = spark.range(3000).selectExpr("xxhash64(id) AS shingle", "CASE WHEN id < 9 THEN 5000000 + id WHEN id < 600 THEN 100 + id % 20 ELSE id % 9 END AS n")
+    rows = sorted((-r.n, r.shingle) for r in df.collect() if r.n >= 4)
+    assert sorted((-r.n, r.shingle) for r in ngram_join.most_frequent(df, most).collect()) == rows[:most]
