@@ -227,9 +227,13 @@ def overlay(base: DataFrame, patch: DataFrame, key: str, value: str) -> DataFram
 
 def search_path(files: DataFrame, prefixes: DataFrame, existing: DataFrame) -> DataFrame:
     """files (file_id, name), prefixes (priority, prefix), existing (path): the first path that exists, else the name."""
-    tried = files.join(F.broadcast(prefixes)).withColumn("path", F.concat("prefix", "name"))
-    hit = tried.join(existing.select("path").distinct(), "path").groupBy("file_id").agg(F.min_by("path", "priority").alias("found"))
-    return files.join(hit, "file_id", "left").select("file_id", F.coalesce("found", "name").alias("path"), F.col("found").isNotNull().alias("exists"))
+    own = prefixes.where("prefix is not null").groupBy("prefix").agg(F.min("priority").alias("priority"))
+    # an existing path is cut behind each length that a prefix has, so that prefixes and names meet by equality
+    lengths = own.agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    cut = existing.where("path is not null").select("path").distinct().crossJoin(lengths).select("path", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
+    parts = cut.select("path", F.expr("substring(path, 1, n)").alias("prefix"), F.expr("substring(path, n + 1)").alias("name"))
+    hit = parts.join(own, "prefix").groupBy("name").agg(F.min_by("path", "priority").alias("found"))
+    return files.join(hit, "name", "left").select("file_id", F.coalesce("found", "name").alias("path"), F.col("found").isNotNull().alias("exists"))
 
 
 def prefix_lookup(keys: DataFrame, registry: DataFrame) -> DataFrame:

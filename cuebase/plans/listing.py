@@ -204,10 +204,8 @@ def _(v):
 def _(v):
     files = v.pages.select(F.col("page_id").alias("file_id"), F.regexp_extract("url", "[^/]*$", 0).alias("name"))
     heads = v.pages.where("page_id % 25 = 0").select(F.regexp_extract("url", "^.*/", 0).alias("prefix")).distinct()
-    from pyspark.sql import Window
-
-    prefixes = heads.withColumn("priority", F.row_number().over(Window.orderBy("prefix")))
-    return catalog.search_path(files, prefixes, v.pages.select(F.col("url").alias("path")))
+    # the order of prefixes is their own: no need to number them
+    return catalog.search_path(files, heads.withColumn("priority", F.col("prefix")), v.pages.select(F.col("url").alias("path")))
 
 
 @query("c20_prefix_lookup", """

@@ -133,3 +133,17 @@ def test_program_rows_in_sql(spark):
     archives.register_program_rows(spark)
     got = spark.sql("SELECT p.opcode, p.operands FROM VALUES (X'0001010102030405000100') t(d), LATERAL program_rows(t.d) p").collect()
     assert [(r.opcode, r.operands) for r in got] == [(1, "0102030405"), (0, "")]
+
+
+def test_search_path_meets_by_equality(spark, capsys):
+    """Prefixes need not be folders, names may hold folders; files and prefixes are not multiplied."""
+    files = spark.createDataFrame([(1, "a.txt"), (2, "sub/b.txt"), (3, "gone"), (4, None), (5, "a.txt")], "file_id int, name string")
+    prefixes = spark.createDataFrame([(3, ""), (1, "x/"), (2, "x/pre-"), (4, None)], "priority int, prefix string")
+    existing = spark.createDataFrame([("x/pre-a.txt",), ("a.txt",), ("x/sub/b.txt",), ("sub/b.txt",), (None,)], "path string")
+    found = catalog.search_path(files, prefixes, existing)
+    assert rows(found, "file_id", "path", "exists") == [(1, "x/pre-a.txt", True), (2, "x/sub/b.txt", True), (3, "gone", False), (4, None, False), (5, "x/pre-a.txt", True)]
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[-1]
+    # the one product left is with a single row, the lengths of the prefixes
+    assert plan.count("NestedLoopJoin") + plan.count("CartesianProduct") == 1 and "collect_set" in plan
+    assert catalog.search_path(files, prefixes.limit(0), existing).where("exists").count() == 0
