@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuebase.registry import query
 from cuebase.sources import archives
+from cuebase.sources.shared import materialise, shared_folder
 from cuebase.streaming import commands as J
 
 HOURS = 3600.0
@@ -113,7 +116,12 @@ def _(v):
 
 @query("a1_list_images")
 def _(v):
-    return archives.list_files(v.spark, f"{v.folder}/documents.parquet")
+    folder = f"{shared_folder(v.spark)}/archives-{uuid.uuid4().hex}"
+    written = materialise(archives.write_sets(v.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("data")), folder), "sets")
+    if written.isEmpty():
+        return v.spark.createDataFrame([], "set string, file_no int, name string, size long, sha256 string")
+    images = archives.load_images(v.spark, folder)
+    return images.select(F.regexp_extract("set_id", "[^/]*$", 0).alias("set"), "file_no", "name", "size", F.sha2("content", 256).alias("sha256"))
 
 
 @query("a5_explode_programs")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import os
 import struct
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -26,17 +29,53 @@ def load_images(spark: SparkSession, path: str) -> DataFrame:
     """(set_id, file_no, name, size, content) of every member of the ZIP archives under a path; folders are skipped."""
     def members(batches):
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     files = [i for i in z.infolist() if not i.is_dir()]
-                    rows += [(path, k, i.filename, i.file_size, z.read(i)) for k, i in enumerate(files)]
-            yield pd.DataFrame(rows, columns=["set_id", "file_no", "name", "size", "content"])
+                    rows = [(path, k, i.filename, i.file_size, z.read(i)) for k, i in enumerate(files)]
+                yield pd.DataFrame(rows, columns=["set_id", "file_no", "name", "size", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(members, "set_id string, file_no int, name string, size long, content binary")
 
 
+def write_sets(rows: DataFrame, path: str, most_files: int = 500, most_bytes: int = 4_000_000) -> DataFrame:
+    """rows (id, data), to ZIP archives of bounded groups in a folder that all executors share; one row (set, files) per archive.
+
+    Each task cuts its own rows into groups, so no row is shuffled; null data is an empty file.
+    """
+    folder = path.removeprefix("file://")
+
+    def put(name, files):
+        os.makedirs(folder, exist_ok=True)
+        # a retried task writes the same name with the same members
+        part = f"{folder}/.{name}.{os.getpid()}"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            for k, (i, data) in enumerate(files):
+                z.writestr(zipfile.ZipInfo(f"{k:04d}_{'none' if i is None else i}.rom"), data, zipfile.ZIP_DEFLATED, 1)
+        os.replace(part, f"{folder}/{name}")
+        return name, len(files)
+
+    def run(batches):
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            done = []
+            for i, data in zip(batch.column(0), batch.column(1), strict=True):
+                data = data.as_py() or b""
+                if held and (len(held) >= most_files or size + len(data) > most_bytes):
+                    done.append(put(f"set_{task:06d}_{n:06d}.zip", held))
+                    n, held, size = n + 1, [], 0
+                held.append((i.as_py(), data))
+                size += len(data)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], names=["set", "files"])
+        if held:
+            x = put(f"set_{task:06d}_{n:06d}.zip", held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0]]), pa.array([x[1]], pa.int64())], names=["set", "files"])
+
+    return rows.select("id", F.col("data").cast("binary").alias("data")).mapInArrow(run, "set string, files long")
+
+
 def program_rows(data: bytes) -> list[tuple[int, int, int, int, str]]:
     """(seq, offset, wait, opcode, operands) up to the end of the program; the low four bits of a code count."""
     out, at = [], 0
@@ -110,8 +149,6 @@ class ExtractWriter(DataSourceWriter):
         return struct.pack(">4sHHH22xI", MAGIC, version, CHANNELS, RATE, size)
 
     def write(self, rows) -> WriterCommitMessage:
-        import os
-
         os.makedirs(self.path, exist_ok=True)
         for r in rows:
             # a retried task writes the same name with the same bytes

@@ -147,3 +147,21 @@ def test_search_path_meets_by_equality(spark, capsys):
     # the one product left is with a single row, the lengths of the prefixes
     assert plan.count("NestedLoopJoin") + plan.count("CartesianProduct") == 1 and "collect_set" in plan
     assert catalog.search_path(files, prefixes.limit(0), existing).where("exists").count() == 0
+
+
+def test_list_images_reads_every_document(spark, data):
+    """One row per document as a member file, with the size and digest of its text."""
+    from cuebase import registry
+
+    v = Views(spark, data)
+    got = registry.queries()["a1_list_images"](spark, data).select(F.regexp_extract("name", "_(.*)[.]rom$", 1).alias("id"), "size", "sha256")
+    want = v.documents.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    assert rows(got, "id", "size", "sha256") == rows(want, "id", "size", "sha256")
+
+
+def test_write_sets_in_bounded_groups(spark, tmp_path):
+    df = spark.createDataFrame([(k, "x" * 10) for k in range(7)] + [(None, None), (8, "y" * 100)], "id long, data string").coalesce(1)
+    done = archives.write_sets(df, f"file://{tmp_path}/sets", most_files=3, most_bytes=50).collect()
+    assert sorted(r.files for r in done) == [1, 2, 3, 3]
+    images = archives.load_images(spark, f"{tmp_path}/sets").collect()
+    assert len({r.set_id for r in images}) == 4 and sorted(r.size for r in images) == [0] + [10] * 7 + [100]
