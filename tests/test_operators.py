@@ -165,3 +165,12 @@ def test_write_sets_in_bounded_groups(spark, tmp_path):
     assert sorted(r.files for r in done) == [1, 2, 3, 3]
     images = archives.load_images(spark, f"{tmp_path}/sets").collect()
     assert len({r.set_id for r in images}) == 4 and sorted(r.size for r in images) == [0] + [10] * 7 + [100]
+
+
+def test_builds_stay_bounded(spark):
+    """More parts make more builds, not larger ones, and none runs out of room."""
+    from cuebase import registry
+
+    packed = registry.queries()["h5_pack_best_fit"](spark, "/root/testdata/sf0.1")
+    sizes = packed.groupBy("build").agg(F.count("*").alias("n"), F.count("problem").alias("left")).agg(F.max("n").alias("n"), F.sum("left").alias("left"), F.sum("n").alias("all")).first()
+    assert sizes.n < 100 and sizes.left == 0 and sizes["all"] == spark.read.parquet("/root/testdata/sf0.1/part.parquet").count()
