@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuebase.sources.shared import materialise, shared_folder
+from cuebase.sources.shared import materialise, release, shared_folder
 
-__all__ = ["bounded_batches", "broadcast_if", "connected_components", "materialise", "shared_folder", "table"]
+__all__ = ["bounded_batches", "broadcast_if", "connected_components", "materialise", "release", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        stars = materialise(small, "stars")
+        before, stars = stars, materialise(small, "stars")
+        release(before)
         now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import bounded_batches, broadcast_if, connected_components, materialise
+from cuebase.llm.common import bounded_batches, broadcast_if, connected_components, materialise, release
 from cuebase.llm.textbatch import U64, mix64, sequence_hashes, signed, slices, span_hashes, text_buffer, words
 
 #: Most shingles that the order knows as frequent (16 bytes each, sent to every task).
@@ -110,15 +110,16 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int, most: int
 def _facts(width: int):
     """(doc, set name, size, text name) of each document, and (shingle, count) of those met twice in one task."""
     def run(batches):
-        held, amount = [], 0
+        held, amount, kind = [], 0, pa.int64()
 
         def frequent():
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c > 1], c[c > 1]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, c.astype(np.int64), none, signed(u)], names=["id", "node", "n", "text_name", "shingle"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), kind), none, c.astype(np.int64), none, signed(u)], names=["id", "node", "n", "text_name", "shingle"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for part in slices(batch, "text"):
                 sets = shingle_sets(*text_buffer(part.column(1)), width)
                 yield pa.RecordBatch.from_arrays(
@@ -233,8 +234,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (nulls last), then of its least text_name.
     """
     spark = docs.sparkSession
-    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_name"))
-    facts = materialise(texts.mapInArrow(_facts(width), "id long, node long, n long, text_name long, shingle long"), "sets")
+    texts = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_name"))
+    facts = materialise(texts.mapInArrow(_facts(width), f"id {dict(docs.dtypes)[id_col]}, node long, n long, text_name long, shingle long"), "sets")
     members = facts.where("shingle is null").drop("shingle")
     often = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = materialise(often, "often")
@@ -243,6 +244,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = most_frequent(often, FREQUENT).toArrow()
     by_rank = np.lexsort((rows["shingle"].to_numpy(), rows["n"].to_numpy()))
     known = rows["shingle"].to_numpy()[by_rank].view(U64)
+    release(often)
     by_name = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[by_name], by_name))
     sizes = {r.n: r.k for r in members.where(F.col("n").between(1, LIGHT_MOST)).groupBy("n").agg(F.count("*").alias("k")).collect()}
@@ -255,7 +257,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where("lo <> hi")
         .select("shingle", F.col("head.place").alias("head_place"), F.col("head.n").alias("head_n"), F.col("head.node").alias("head"))
     )
+    heads = materialise(heads, "heads")
     shared = materialise(lists.join(heads, "shingle").distinct(), "lists")
+    release(heads)
 
     def may_link(n, place, m, other):
         need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
@@ -266,26 +270,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = materialise(star.groupBy(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).agg(F.min("place").alias("place")), "star")
     names = materialise(members.where("n > 0").groupBy("node").agg(F.min("text_name").alias("text_name")), "names")
 
+    used = []
+
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node"), "wanted")
-        wanted = broadcast_if(wanted, wanted.count(), NAMED_MOST)
-        own = texts.select("text_name", "text").join(wanted, "text_name").groupBy("node").agg(F.first("text").alias("text"))
+        named = broadcast_if(wanted, wanted.count(), NAMED_MOST)
+        own = texts.select("text_name", "text").join(named, "text_name").groupBy("node").agg(F.first("text").alias("text"))
         own = materialise(own, "texts")
+        used.extend([wanted, own])
         left = own.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         right = own.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_checked(width, percent), "a long, b long")
 
     first = materialise(linked(star.where("place >= 0")).unionByName(star.where("place < 0").select("a", "b")), "links")
+    release(*used)
     roots = materialise(connected_components(first), "roots")
+    release(first)
     # lists whose members still lie in several components
     rooted = shared.where("place >= 0").join(roots, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     rooted = materialise(rooted.join(mixed, "shingle", "left_semi"), "mixed")
+    release(shared)
     x, y = rooted.alias("x"), rooted.alias("y")
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = linked(materialise(rest, "rest"))
+    rest = materialise(rest, "rest")
+    release(rooted, star)
+    used = [rest]
+    more = linked(rest)
     links = materialise(more.join(roots, F.col("a") == F.col("node"), "left").select(F.coalesce("root", "a").alias("a"), "b").join(roots, F.col("b") == F.col("node"), "left").select("a", F.coalesce("root", "b").alias("b")), "links")
+    release(*used)
     joined = connected_components(links)
     final = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     final = final.unionByName(joined.join(roots, "node", "left_anti").select("node", "root"))
@@ -306,13 +320,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, without all but one document of each group; repeated rows stay once.
 
-    Only the rows to drop (and those that repeat) are joined to the texts.
+    Only the rows to drop (and those that repeat) are joined to the texts.  A row travels whole beside the join's
+    own columns, so docs may have columns of any name.
     """
     groups = ngram_jaccard_join(docs, id_col, text_col, width, percent)
     keep = F.col(id_col).eqNullSafe(F.col("rep_id")) & F.col("text_name").eqNullSafe(F.col("rep_text"))
     rows = groups.groupBy(F.col(id_col).alias("x_id"), F.col("text_name").alias("x_name")).agg(F.max(keep).alias("x_keep"), F.count("*").alias("x_n"))
     rows = materialise(rows.where("not x_keep or x_n > 1"), "drop")
-    own = docs.withColumn("x_own", F.xxhash64(text_col))
-    marked = own.join(broadcast_if(rows, rows.count(), NAMED_MOST), F.col(id_col).cast("long").eqNullSafe(F.col("x_id")) & (F.col("x_own") == F.col("x_name")), "left")
-    once = marked.where("x_keep and x_n > 1").dropDuplicates([id_col, "x_own"])
-    return marked.where("x_keep is null").unionByName(once).select(docs.columns)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("name"))
+    marked = own.join(broadcast_if(rows, rows.count(), NAMED_MOST), F.col("id").eqNullSafe(F.col("x_id")) & (F.col("name") == F.col("x_name")), "left")
+    once = marked.where("x_keep and x_n > 1").dropDuplicates(["id", "name"])
+    return marked.where("x_keep is null").select("row").unionByName(once.select("row")).select("row.*")

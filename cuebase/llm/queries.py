@@ -14,7 +14,7 @@ from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
 from cuebase.llm.shards import shard_by_bytes
-from cuebase.llm.substring_dedup import substring_dedup
+from cuebase.llm.substring_dedup import repeated_passages, substring_dedup
 from cuebase.llm.tiff import store_texts, tiff_digests
 from cuebase.llm.url_filter import filter_urls
 
@@ -29,14 +29,18 @@ URL_RULES = [
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup(table(spark, sf_dir, "documents"), least=400)
-    return cut.select(
+    docs = table(spark, sf_dir, "documents")
+    digest = substring_dedup(docs, least=400).select(
+        "key",
         "doc_id",
         "n_bytes",
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+    # texts are not shuffled for the last column: only digests are joined
+    found = digest.join(repeated_passages(docs, least=51), "key", "left")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "pages"), ratio=0.1, least_pages=20, least_seen=5)
+    return dedup_lines(table(spark, sf_dir, "pages"), ratio=0.1, least_seen=5)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +117,7 @@ ORACLES: dict[str, str] = {
         l AS (SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(body, '[ \t\r\f]*(?:<[^>]*>|\n)[ \t\r\f]*'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
         h AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
         e AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
-        b AS (SELECT e.host, list(line) AS often FROM e JOIN h USING (host) WHERE pages >= 20 AND n >= 5 AND n > 0.1 * pages GROUP BY e.host),
+        b AS (SELECT e.host, list(line) AS often FROM e JOIN h USING (host) WHERE n >= 5 AND n > 0.1 * pages GROUP BY e.host),
         k AS (SELECT l.page_id, l.host, l.lines, list_filter(l.lines, lambda x: b.often IS NULL OR NOT list_contains(b.often, x)) AS stay FROM l LEFT JOIN b USING (host))
         SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed, array_to_string(stay, chr(10)) AS kept FROM k
     """,

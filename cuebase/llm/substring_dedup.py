@@ -25,6 +25,9 @@ Defined cases: null text counts as empty bytes; texts shorter than `least` stay
 whole; repeated rows and equal texts lose everything from `least` bytes on; an empty
 table gives an empty result; other columns are ignored.  Spans are half-open byte
 ranges, maximal and in order.
+
+repeated_passages() looks for shorter passages, counted in words: it samples runs of words in the
+same way (the smallest-hash run of each window of words) and counts those that a different text has too.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import bounded_batches, broadcast_if, materialise
-from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, signed, slices, text_buffer
+from cuebase.llm.common import bounded_batches, broadcast_if, materialise, release
+from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, sequence_hashes, signed, slices, span_hashes, text_buffer, words
 
 Q = 32
 #: Bytes of text that are hashed at once; the low bits of a packed hash hold a position below 2**21.
 CHUNK = 1_000_000
 POSITION_BITS = 21
+#: Words in a run that repeated_passages samples.
+RUN = 24
 #: Window starts of one anchor that are judged together, round by round.
 NARROWER = (48, 8, 1)
 #: Most cells or spans (8 bytes each) that are sent to every task; more are shuffled together with the texts.
@@ -74,9 +79,9 @@ def window_names(grams: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np
     return mix64(h)
 
 
-def anchors(grams: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(grams: np.ndarray, offsets: np.ndarray, least: int, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first start, last start): the runs of window starts that share an anchor, positions in the buffer."""
-    wide = least - Q + 1
+    wide = least - q + 1
     lengths = np.diff(offsets)
     count = np.maximum(lengths - least + 1, 0)
     if not count.sum():
@@ -209,18 +214,57 @@ def _cut(batches):
                     last = x["end"]
                 stay.append(raw[last:])
                 kept.append(b"".join(x.tobytes() for x in stay))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(np.diff(offsets)), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], names=["id", "key", "n_bytes", "spans", "kept"])
+
+
+def text_key(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key")
+
+
+def _runs(least: int):
+    """(run, key) of the sampled runs of each text, distinct within a piece of it."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK):
+                data, offsets = text_buffer(part.column(1))
+                start, end, text = words(data, offsets)
+                grams = sequence_hashes(span_hashes(data, start, end, lower=False), RUN)
+                cuts = np.searchsorted(text, np.arange(len(part) + 1))
+                # as many words at a time as an anchor's position can count; a piece overlaps the next by a window
+                step = (1 << POSITION_BITS) - least
+                for lo in range(0, max(len(start) - least + 1, 0), step):
+                    own = np.clip(cuts, lo, min(lo + step + least - 1, len(start))) - lo
+                    at = anchors(grams[lo : lo + step + least - RUN], own, least, RUN)[0]
+                    if len(at):
+                        number = np.searchsorted(own, at, side="right") - 1
+                        yield pa.RecordBatch.from_arrays([signed(grams[lo + at]), part.column(0).take(pa.array(number))], names=["run", "key"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", least: int = 51) -> DataFrame:
+    """(key, n_passages) of the texts that share a passage with a different text: sampled runs of RUN words that both hold.
+
+    Of every passage of `least` words a run is sampled, so none is missed; runs of RUN words in shorter
+    passages may be met as well.  Equal texts are one text.
+    """
+    runs = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text")).mapInArrow(_runs(least), "run long, key binary")
+    runs = materialise(runs, "runs")
+    shared = runs.groupBy("run").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("run")
+    out = materialise(runs.join(shared, "run").groupBy("key").agg(F.count_distinct("run").alias("n_passages")), "passages")
+    release(runs)
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400) -> DataFrame:
-    """One row per document: id, n_bytes, spans array<struct<start, end>>, kept binary."""
+    """One row per document: id, key (names the text), n_bytes, spans array<struct<start, end>>, kept binary."""
     assert 2 * Q <= least <= 1000
-    texts = bounded_batches(docs).select(F.unhex(F.md5(text_col)).alias("key"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    texts = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     long_ones = texts.where(F.octet_length("text") >= least).select("key", "text")
     rows = materialise(long_ones.mapInArrow(_first(least), _ROW), "anchors")
     repeated, further = _settle(rows)
     further = materialise(further, "cells")
-    found = [repeated]
+    found, used = [repeated], [rows, further]
     if not further.isEmpty():
         keys = materialise(further.select("key").distinct(), "keys")
         own = materialise(long_ones.join(broadcast_if(keys, keys.count(), SENT_MOST // 2), "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
@@ -230,14 +274,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = materialise(joined.select("key", "text", "cells").mapInArrow(_again(least, width), _ROW), "refined")
             repeated, further = _settle(rows)
             found.append(repeated)
+            used.append(rows)
             if width > 1:
                 further = materialise(further, "cells")
+                used.append(further)
+        used.extend([keys, own])
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
     merged = spans.groupBy("key").agg(F.collect_set("cell").alias("cells")).mapInArrow(_merge(least), "key binary, spans array<struct<start:long,end:long>>")
     merged = materialise(merged, "spans")
+    release(*used)
     size = merged.agg(F.sum(2 * F.size("spans") + 3)).first()[0] or 0
-    return texts.join(broadcast_if(merged, size, SENT_MOST), "key", "left").select("id", "text", "spans").mapInArrow(
-        _cut, f"id {dict(docs.dtypes)[id_col]}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    return texts.join(broadcast_if(merged, size, SENT_MOST), "key", "left").select("id", "text", "spans", "key").mapInArrow(
+        _cut, f"id {dict(docs.dtypes)[id_col]}, key binary, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     ).withColumnRenamed("id", id_col)

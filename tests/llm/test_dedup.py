@@ -10,7 +10,7 @@ import pytest
 from cuebase.llm import ngram_join, queries
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.ngram_join import keep_one, ngram_jaccard_join
-from cuebase.llm.substring_dedup import anchors, gram_names, substring_dedup
+from cuebase.llm.substring_dedup import anchors, gram_names, repeated_passages, substring_dedup
 
 
 def removed(texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:
@@ -100,6 +100,16 @@ def test_keep_one(docs, rows):
     assert keep_one(docs).columns == docs.columns
 
 
+def test_ids_of_any_type_and_clashing_names(spark):
+    rows = [("b", "one two three four five six", "1"), ("a", "ONE two three four five six", "2"), ("c", "other words", None), ("a", "ONE two three four five six", "2")]
+    df = spark.createDataFrame([(*r, *"tuvw") for r in rows], "doc_id string, text string, x_own string, x_id string, x_name string, x_keep string, x_n string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard_join(df).collect())
+    assert got == [("a", "a"), ("a", "a"), ("b", "a"), ("c", "c")]
+    kept = keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.x_own, r.x_n) for r in kept.collect()) == [("a", "2", "w"), ("c", None, "w")]
+
+
 def test_boundary_follows_cost():
     assert ngram_join.boundary({}, 2.0, 80) == 0
     few, many = ngram_join.boundary({6: 10, 12: 10}, 1.0, 80), ngram_join.boundary({6: 10, 12: 10}, 500.0, 80)
@@ -116,6 +126,31 @@ def test_lines(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_at_the_ratio_and_on_long_pages(spark):
+    """A line on exactly the ratio of the pages stays, one page more and it goes; a page of a megabyte is cut whole."""
+    long_one = "".join(f"<p>part {k}</p>" for k in range(60_000))
+    rows = [(k, "http://a.org/", "<p>tie</p>" * (k < 5) + "<p>over</p>" * (k < 6) + (long_one if k == 9 else "")) for k in range(10)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: (r.n_lines, r.n_removed, r.kept) for r in dedup_lines(df, ratio=0.5).collect()}
+    assert all(got[k] == (2, 1, "tie") for k in range(5)) and got[5] == (1, 1, "") and got[8] == (0, 0, "")
+    assert got[9] == (60_000, 0, "\n".join(f"part {k}" for k in range(60_000)))
+
+
+def test_repeated_passages(spark):
+    """Every passage of 51 words that different texts share is met; copies alone, and texts of their own, are not."""
+    import random
+
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, copy = text(51), text(300)
+    rows = [f"{text(rnd.randint(0, 90))} {passage} {text(rnd.randint(0, 90))}" for _ in range(30)] + [copy] * 3 + [text(200) for _ in range(20)] + [None, "", "one"]
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(rows)], "doc_id int, text string, key string, run string")
+    got = {r.key.hex() for r in repeated_passages(df).collect()}
+    names = [r.k.lower() for r in df.selectExpr("md5(text) AS k").where("k is not null").collect()]
+    assert got == set(names[:30])
+    assert repeated_passages(df.limit(0)).count() == 0
+
+
 def test_lines_equal_sql(same):
     same(queries.QUERIES["op3_line_dedup"], queries.ORACLES["op3_line_dedup"])
 
