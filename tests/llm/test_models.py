@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuebase.llm import language, queries, toxicity
-from cuebase.llm.decontaminate import Index, drop_leaks, find_leaks
+from cuebase.llm.decontaminate import drop_leaks, find_leaks
 
 
 def test_language_held_out(spark, data, duck):
@@ -66,8 +70,8 @@ def test_toxicity_without_labels(spark, docs):
     assert not weights.any() and bias == 0.0
 
 
-def test_toxicity_contract(spark):
-    folder = "/root/testdata/sf0.01"
+def test_toxicity_contract(spark, data):
+    folder = data
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     got = queries.op9_toxicity(spark, folder).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in got)
@@ -97,11 +101,59 @@ def test_leaks_on_table(spark, data, duck):
     assert truth <= got and len(got - truth) <= 0.1 * len(got) + 1
 
 
-def test_bounds_are_bounds():
-    index = Index([(k, f"word{k} other{k % 5} common text here {k * 7}") for k in range(50)])
-    for k in range(index.bound.shape[1]):
-        part = index.impact[:, k * 8 : k * 8 + 8]
-        assert (index.bound[:, k : k + 1] >= part).all()
+def plain_leaks(texts: list, items: list, stride: int, threshold: float) -> dict:
+    """BM25 of every item for every window, in plain Python: the best score of each pair that passes the checks."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\xff]+", t.lower().encode().decode("latin-1")) if t else []
+    bags = {i: w for i, t in items if (w := words(t))}
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    df = Counter(w for b in bags.values() for w in set(b))
+
+    def impacts(bag):
+        tf = Counter(bag)
+        raw = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(bag) / mean)) for w, c in tf.items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    impact, out = {i: impacts(b) for i, b in bags.items()}, {}
+    for d, t in texts:
+        w = words(t)
+        for at in range(0, len(w), stride):
+            own = w[at : at + 2 * stride]
+            have = set(own)
+            for i, weights in impact.items():
+                score = sum(x for word, x in weights.items() if word in have)
+                if score >= threshold:
+                    bag = bags[i]
+                    cut = len(bag) - max(1, len(bag) // 4)
+                    k = min(3, max(1, cut))
+                    runs = {tuple(bag[a : a + k]) for a in range(cut - k + 1)}
+                    held = {tuple(own[a : a + k]) for a in range(len(own) - k + 1)}
+                    if len(runs & held) >= 0.5 * len(runs) and len(set(bag[cut:]) & have) >= 0.5 * len(set(bag[cut:])):
+                        out[d, i] = max(out.get((d, i), 0), score)
+    return out
+
+
+@pytest.mark.parametrize("pass_bytes", [20_000_000, 300])
+def test_leaks_equal_plain_bm25(spark, monkeypatch, pass_bytes):
+    """All pairs and scores of a plain BM25 over all passages and items, in one index and in many."""
+    from cuebase.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+    rnd = random.Random(4)
+    vocabulary = [f"mot{k}é" for k in range(60)] + [f"rare{k}" for k in range(400)]
+    some = lambda n: " ".join(rnd.choices(vocabulary, [9] * 60 + [1] * 400, k=n))
+    items = [(k, some(rnd.randint(4, 30))) for k in range(60)] + [(60, None), (61, "?!"), (62, "mot1é mot1é mot2é")]
+    texts = [(k, some(rnd.randint(0, 300))) for k in range(60)]
+    for k in range(60):  # copies: whole, upper-cased, cut, with words changed
+        w = items[k][1].split()
+        part = [" ".join(w), " ".join(w).upper(), " ".join(w[: len(w) * 2 // 3]), " ".join(x if rnd.random() < 0.8 else "other" for x in w)][k % 4]
+        texts.append((100 + k, f"{some(rnd.randint(0, 80))} {part} {some(rnd.randint(0, 80))}"))
+    texts += [(200, None), (201, ""), (202, " ".join(t for _, t in items if t))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in find_leaks(df, bench).collect()}
+    want = plain_leaks(texts, items, 32, 0.5)
+    assert set(got) == set(want) and len(want) > 60
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
 def test_leaks_of_long_items_and_null_ids(spark):
