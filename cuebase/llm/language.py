@@ -4,7 +4,12 @@ Each language has a byte-trigram distribution, learned from labelled documents.
 document's words are draws from a mixture of languages: expectation-maximisation
 estimates the proportions from the words' likelihoods, and the set of languages is
 chosen by penalised likelihood (half the log of the word count for each further
-language).  The prediction is the language of largest proportion in that set.
+language).  Sets of every size are judged, each made of the languages of largest proportion; a size is
+left out only where its penalty alone already costs more than the best set so far (a likelihood is 1 at most).
+The prediction is the language of largest proportion in that set.
+
+A text of any length is cut at word borders into pieces of PIECE bytes for its trigrams; what remains of it is
+one row of word likelihoods for each word.
 
 Counting runs over partitions and is summed by Spark; only the table of counts
 (languages x 65,536) reaches the driver.
@@ -27,7 +32,9 @@ from cuebase.llm.textbatch import LOWER, U64, mix64, slices, text_buffer
 #: About so many labelled rows are learned from, taken by hash of the id.
 TRAIN_ROWS = 30_000
 BUCKETS = 1 << 16
-ROUNDS, FEWER_ROUNDS, SET_MOST = 8, 6, 4
+ROUNDS, FEWER_ROUNDS = 8, 6
+#: Bytes of one text whose trigrams are looked up at once.
+PIECE = 1 << 20
 SMOOTH = 0.5
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -58,13 +65,14 @@ def _counts(batches):
             data, offsets = text_buffer(part.column(1))
             if not len(data):
                 continue
-            bucket, first, text = grams(data, offsets)
-            per_text = np.repeat(text, np.diff(np.r_[first, len(bucket)]))
             langs = np.array(part.column(0).to_pylist(), dtype=object)
-            for lang in set(langs):
-                rows = np.flatnonzero(langs == lang)
-                held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                held[lang] += np.bincount(bucket[np.isin(per_text, rows)], minlength=BUCKETS)
+            for lo in range(0, len(data), PIECE):  # more than one for a single long text only
+                bucket, first, text = grams(data[lo : lo + PIECE], np.clip(offsets - lo, 0, min(PIECE, len(data) - lo)))
+                per_text = np.repeat(text, np.diff(np.r_[first, len(bucket)]))
+                for lang in set(langs):
+                    rows = np.flatnonzero(langs == lang)
+                    held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                    held[lang] += np.bincount(bucket[np.isin(per_text, rows)], minlength=BUCKETS)
     for lang, c in held.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
@@ -91,28 +99,57 @@ def _mix(like: np.ndarray, cut: np.ndarray, owner: np.ndarray, words: np.ndarray
     return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), cut, dtype=np.float64)
 
 
+def word_likelihoods(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(likelihood of each word in each language, 1 in its best one; text of each word), a piece of the texts at a time."""
+    likes, texts, lo = [], [], 0
+    while lo < len(data):
+        hi = min(lo + PIECE, len(data))
+        if hi < len(data):  # back to the last byte that is no letter; a word longer than a piece is cut
+            gap = np.flatnonzero(~_LETTER[data[lo:hi]])
+            hi = lo + int(gap[-1]) + 1 if len(gap) else hi
+        own = np.unique(np.clip(offsets, lo, hi)) - lo
+        bucket, first, text = grams(data[lo:hi], own)
+        if len(first):
+            ll = np.add.reduceat(table[bucket], first, axis=0)
+            likes.append(np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -60.0)))
+            texts.append(np.searchsorted(offsets, own[text] + lo, side="right") - 1)
+        lo = hi
+    if not likes:
+        return np.empty((0, table.shape[1]), dtype=np.float32), np.empty(0, dtype=np.int64)
+    return np.concatenate(likes), np.concatenate(texts)
+
+
 def infer(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, proportions in the chosen set, number of languages) of the texts with words."""
-    bucket, first, text = grams(data, offsets)
-    ll = np.add.reduceat(table[bucket], first, axis=0)
-    like = np.exp(np.maximum(ll - ll.max(axis=1, keepdims=True), -60.0))
+    like, text = word_likelihoods(table, data, offsets)
+    if not len(text):
+        return text, like, text
     cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    number_of = text[cut]
     words = np.diff(np.r_[cut, len(text)]).astype(np.float32)
     owner = np.repeat(np.arange(len(cut)), words.astype(np.int64))
     k = table.shape[1]
     share, _ = _mix(like, cut, owner, words, np.ones((len(cut), k), dtype=np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    best, gain = None, None
-    for m in range(1, min(k, SET_MOST) + 1):
-        # later sets are tried for those texts only whose next language has a part worth its price
-        s, fit = _mix(like, cut, owner, words, (rank < m).astype(np.float32), FEWER_ROUNDS if m > 1 else 1)
-        fit = fit - 0.5 * (m - 1) * np.log(words + 1)
-        if best is None:
-            best, gain, number = s, fit, np.ones(len(cut), dtype=np.int32)
-        else:
-            better = fit > gain
-            best[better], gain[better], number[better] = s[better], fit[better], m
-    return text[cut], best, number
+    best, gain = _mix(like, cut, owner, words, (rank < 1).astype(np.float32), 1)
+    number = np.ones(len(cut), dtype=np.int32)
+    price = 0.5 * np.log(words.astype(np.float64) + 1)
+    open_ = np.arange(len(cut))
+    for m in range(2, k + 1):
+        stay = -(m - 1) * price[open_] > gain[open_]
+        if not stay.any():
+            break
+        if not stay.all():
+            inside = stay[owner]
+            open_, like = open_[stay], like[inside]
+            owner = (np.cumsum(stay) - 1)[owner[inside]]
+            cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        s, fit = _mix(like, cut, owner, words[open_], (rank[open_] < m).astype(np.float32), FEWER_ROUNDS)
+        fit = fit - (m - 1) * price[open_]
+        better = fit > gain[open_]
+        at = open_[better]
+        best[at], gain[at], number[at] = s[better], fit[better], m
+    return number_of, best, number
 
 
 def _predict(langs: list[str], table: np.ndarray):

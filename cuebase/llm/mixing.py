@@ -13,7 +13,7 @@ underflows.
 Defined cases: a null source is a source of its own; null text has no bytes; a source
 without bytes, weight or target row gets the rate 0; repeated rows with one id draw one count each,
 the same; a null id is replaced by the text's digest; an empty table gives an empty result; other
-columns are kept, and may not be called rate, copies, copy or shuffle_key.
+columns are kept, whatever their names; poisson_mix() refuses columns that are called as those it adds.
 """
 
 from __future__ import annotations
@@ -64,22 +64,31 @@ def rates(docs: DataFrame, weights: DataFrame, source_col: str = "source", text_
     return both.select("source", F.when((F.col("bytes") > 0) & (F.col("weight") > 0), rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, budget: float | None = None) -> DataFrame:
-    """The columns of docs, repeated, with rate, copies, copy (from 1) and shuffle_key, in the order of shuffle_key."""
+def poisson_copies(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, budget: float | None = None) -> DataFrame:
+    """row (a struct of the columns of docs), repeated, with rate, copies, copy (from 1) and shuffle_key, in the order of shuffle_key."""
     table = rates(docs, weights, source_col, text_col, budget)
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_MOST)), F.lit(1)).cast("int")
     table = table.withColumn("parts", parts).withColumn("steps", _steps(F.col("rate") / F.col("parts")))
     table = materialise(table.withColumnRenamed("source", "mix_source"), "rates")
     table = broadcast_if(table, table.count(), SOURCES_MOST)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = docs.join(table, F.col(source_col).eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    own = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("own_source"), name.alias("name"))
+    joined = own.join(table, F.col("own_source").eqNullSafe(F.col("mix_source")))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda a, i: a + F.size(F.filter("steps", lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), name))),
+        lambda a, i: a + F.size(F.filter("steps", lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), F.col("name")))),
     )
     # the count is drawn once for each row, before the copies are made
-    drawn = joined.withColumn("copies", count).drop("steps", "parts").where("copies > 0")
+    drawn = joined.select("row", "name", "rate", count.alias("copies")).where("copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("copy").cast("string"), name))
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "copy")
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("copy").cast("string"), F.col("name")))
+    return copies.select("row", "rate", "copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key", "copy")
+
+
+def poisson_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, budget: float | None = None) -> DataFrame:
+    """The columns of docs, repeated, with rate, copies, copy (from 1) and shuffle_key, in the order of shuffle_key."""
+    added = ["rate", "copies", "copy", "shuffle_key"]
+    if clash := set(added) & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns of the names that are added: {sorted(clash)}; poisson_copies() keeps rows apart")
+    return poisson_copies(docs, weights, id_col, source_col, text_col, seed, budget).select("row.*", *added)

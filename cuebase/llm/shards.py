@@ -110,6 +110,21 @@ def numbered(rows: DataFrame, by: str, spread: list[str], ties: list[str], n: in
     return rows.join(broadcast_if(base, values * buckets, SENT_MOST), [by, "bucket"]).withColumn("slot", F.col("base") + F.col("place") - 1).drop("bucket", "base", "place")
 
 
+def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns of docs) with size, text_crc32, law, shard, slot, grown_shard (null under this law).
+
+    Rows that share id and text are numbered by their other columns' hash.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    facts = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("item"))
+    groups = materialise(facts.groupBy("item").agg(F.sum("size").alias("weight"), F.count("*").alias("rows")), "groups")
+    placed = balance(groups, shards)
+    rows = facts.join(broadcast_if(placed, groups.count(), SENT_MOST), "item").withColumn("tie", F.xxhash64("row"))
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    out = numbered(rows, "shard", ["id", "item"], ["size", "text_crc32", "tie"], total, shards)
+    return out.select("row", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -123,12 +123,14 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, bias: float, id_col: st
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, label, pick): a bounded sample of the labelled documents, at about train_rows."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg((F.max(label_col) > 0).cast("double").alias("label"))
+    own = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
+    one = own.where("label_id is not null and label is not null").groupBy("label_id").agg((F.max("label") > 0).cast("double").alias("label"))
     one = one.withColumn("pick", F.xxhash64("label_id"))
     n = one.count()
     if n > train_rows:
         one = one.where(F.pmod("pick", F.lit(1 << 20)) < F.lit(int(train_rows / n * (1 << 20))))
-    return docs.join(F.broadcast(one), F.col(id_col) == F.col("label_id")).select(F.col(text_col).alias("text"), "label", "pick")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(one), F.col("doc_id") == F.col("label_id")).select("text", "label", "pick")
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
