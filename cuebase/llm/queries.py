@@ -52,7 +52,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff_digests(store_texts(table(spark, sf_dir, "documents")), "doc_id").drop("pages")
+    return tiff_digests(store_texts(table(spark, sf_dir, "documents")), "doc_id").drop("pages", "error")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

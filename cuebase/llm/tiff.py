@@ -1,11 +1,11 @@
 """TIFF media columns: walk image directories, decode strips and tiles, undo predictors, one row per page.
 
 Reads both byte orders, classic and 64-bit files; PackBits, LZW, deflate and
-uncompressed strips or tiles; chunky and planar samples of 8, 16, 32 or 64 bits;
-horizontal differencing (predictor 2) and the floating-point predictor (3).
+uncompressed strips or tiles; chunky and planar samples of 1, 2, 4, 8, 16, 32 or 64 bits, those
+of less than a byte as a byte each; horizontal differencing (predictor 2) and the floating-point predictor (3).
 
 Defined cases: a null file gives no page; an empty, cut or unknown file gives, after the pages before the
-damage, one row with page null and its error; a directory that repeats ends the walk; equal files give equal rows;
+damage, one row with page null and its error (in tiff_digests(): one row with null figures and the error); a directory that repeats ends the walk; equal files give equal rows;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,6 +35,9 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Width in pixels of a stored text (192 bytes a row), rows a strip and rows a page.
 TEXT_WIDTH, STRIP_ROWS, PAGE_ROWS = 64, 256, 4096
 
+#: What reading a damaged file can raise.
+DAMAGE = (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError)
+
 
 @dataclass
 class Page:
@@ -172,6 +175,14 @@ def _raw(data: bytes, compression: int, most: int) -> bytes:
 
 def _block(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
     """Samples of one strip or tile, little-endian, with the predictor undone."""
+    if bits < 8:
+        line = -(-width * samples * bits // 8)
+        if len(raw) < rows * line:
+            raise ValueError("strip or tile is cut")
+        if predictor != 1:
+            raise ValueError(f"predictor {predictor} needs whole bytes")
+        one = np.unpackbits(np.frombuffer(raw, dtype=np.uint8, count=rows * line).reshape(rows, line), axis=1)[:, : width * samples * bits]
+        return (one.reshape(rows, width, samples, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
     size = bits // 8
     if len(raw) < rows * width * samples * size:
         raise ValueError("strip or tile is cut")
@@ -218,7 +229,7 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     one = lambda tag, other: tags.get(tag, (other,))[0]
     width, height, samples, compression, predictor = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     bits = set(tags.get(BITS, (1,)))
-    if len(bits) > 1 or not bits <= {8, 16, 32, 64}:
+    if len(bits) > 1 or not bits <= {1, 2, 4, 8, 16, 32, 64}:
         raise ValueError(f"samples of {sorted(bits)} bits are not known")
     bits = bits.pop()
     apart = one(PLANAR, 1) == 2
@@ -228,14 +239,14 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     else:
         wide, high, places = width, min(one(ROWS, height), height), tags[STRIPS]
         lengths = tags.get(STRIP_BYTES, (len(data),))
-    out = np.empty((height, width, samples), dtype=f"<u{bits // 8}")
+    out = np.empty((height, width, samples), dtype=f"<u{max(1, bits // 8)}")
     across, down = -(-width // wide), -(-height // high)
     for plane in range(planes):
         for k in range(across * down):
             y, x = k // across * high, k % across * wide
             rows = high if TILES in tags else min(high, height - y)
             i = plane * across * down + k
-            raw = _raw(data[places[i] : places[i] + lengths[i]], compression, rows * wide * deep * bits // 8)
+            raw = _raw(data[places[i] : places[i] + lengths[i]], compression, rows * -(-wide * deep * bits // 8))
             block = _block(raw, rows, wide, deep, bits, predictor, order)
             out[y : y + rows, x : x + wide, plane : plane + deep] = block[: height - y, : width - x]
     return Page(width, height, samples, bits, compression, predictor, out.tobytes())
@@ -317,7 +328,7 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
                         for k, p in enumerate(read_pages(part.column(1)[i].as_py())):
                             rows.append((k, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, None))
                             owner.append(i)
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
+                    except DAMAGE as e:
                         rows.append((None,) * 8 + (f"{type(e).__name__}: {e}"[:200],))
                         owner.append(i)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64()))] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", *names])
@@ -326,9 +337,9 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataF
 
 
 def tiff_digests(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row per file: id, pages, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    schema = "pages int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """One row per file: id, pages, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error."""
+    schema = "pages int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def digest(media: bytes):
@@ -340,12 +351,18 @@ def tiff_digests(files: DataFrame, id_col: str, media_col: str = "media") -> Dat
             shape.append(f"{p.width}x{p.height}")
         mean = int(hist @ np.arange(256)) * 1000 // max(size, 1)
         feature = f"{shape[0]}+{pages - 1} mean={mean} used={int((hist > 0).sum())} mode={int(hist.argmax())} hist={'-'.join(map(str, hist.reshape(8, 32).sum(axis=1).tolist()))}"
-        return pages, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+        return pages, size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, None
+
+    def tried(media: bytes):
+        try:
+            return digest(media)
+        except DAMAGE as e:
+            return (None,) * 7 + (f"{type(e).__name__}: {e}"[:200],)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "media"):
-                rows = [digest(m.as_py()) for m in part.column(1)]
+                rows = [tried(m.as_py()) for m in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["id", "n_bytes", *names])
 
     own = files.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), "n_bytes")

@@ -42,6 +42,71 @@ def test_big_endian_16_bits():
         assert page.bits == 16 and page.pixels == a.astype("<u2").tobytes()
 
 
+def foreign(tags: dict, blocks: list[bytes], order: str = "<", big: bool = False) -> bytes:
+    """A file laid out by the format's own rules, apart from the library's writer: directory first, then fields, then data."""
+    word, entry, head = ("Q", 20, 16) if big else ("I", 12, 8)
+    size = struct.calcsize(word)
+    tags = dict(tags) | {273: (16 if big else 4, [0] * len(blocks)), 279: (16 if big else 4, [len(b) for b in blocks])}
+    fields_at = head + (8 if big else 2) + entry * len(tags) + size
+    code = {3: "H", 4: "I", 16: "Q"}
+    spare = sum(len(v) * struct.calcsize(code[k]) for k, v in tags.values())
+    at = fields_at + spare
+    for b in blocks:
+        tags[273][1][[len(x) for x in blocks].index(len(b)) if len(blocks) == 1 else blocks.index(b)] = at
+        at += len(b)
+    entries, extra = b"", b""
+    for t in sorted(tags):
+        k, v = tags[t]
+        raw = struct.pack(f"{order}{len(v)}{code[k]}", *v)
+        if len(raw) > size:
+            entries += struct.pack(f"{order}HH{word}{word}", t, k, len(v), fields_at + len(extra))
+            extra += raw
+        else:
+            entries += struct.pack(f"{order}HH{word}", t, k, len(v)) + raw.ljust(size, b"\0")
+    start = {"<": b"II", ">": b"MM"}[order] + (struct.pack(f"{order}HHHQ", 43, 8, 0, 16) if big else struct.pack(f"{order}HI", 42, 8))
+    count = struct.pack(order + ("Q" if big else "H"), len(tags))
+    return start + count + entries + bytes(size) + extra.ljust(spare, b"\0") + b"".join(blocks)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+def test_foreign_files(order, big):
+    rng = np.random.default_rng(11)
+    # bilevel in PackBits: rows end on whole bytes
+    bits = rng.integers(0, 2, (5, 19), dtype=np.uint8)
+    lines = [np.packbits(r).tobytes() for r in bits]
+    packed = b"".join(bytes([len(x) - 1]) + x for x in lines)
+    (page,) = tiff.read_pages(foreign({256: (3, [19]), 257: (3, [5]), 259: (3, [32773]), 278: (3, [5])}, [packed], order, big))
+    assert page.bits == 1 and page.pixels == bits.tobytes()
+    # four bits a sample
+    nibbles = rng.integers(0, 16, (3, 7), dtype=np.uint8)
+    padded = np.concatenate([nibbles, np.zeros((3, 1), np.uint8)], axis=1)
+    raw = (padded[:, ::2] << 4 | padded[:, 1::2]).tobytes()
+    (page,) = tiff.read_pages(foreign({256: (3, [7]), 257: (3, [3]), 258: (3, [4]), 278: (3, [3])}, [raw], order, big))
+    assert page.pixels == nibbles.tobytes()
+    # planes apart, old deflate, predictor 2 within each plane
+    rgb = rng.integers(0, 256, (4, 6, 3), dtype=np.uint8)
+    planes = [zlib.compress(np.concatenate([rgb[:, :1, k], np.diff(rgb[:, :, k], axis=1)], axis=1).tobytes()) for k in range(3)]
+    tags = {256: (3, [6]), 257: (3, [4]), 258: (3, [8, 8, 8]), 259: (3, [32946]), 277: (3, [3]), 278: (3, [4]), 284: (3, [2]), 317: (3, [2])}
+    (page,) = tiff.read_pages(foreign(tags, planes, order, big))
+    assert page.pixels == rgb.tobytes()
+    # floats with predictor 3: bytes of a row by significance, the highest first, then differences
+    values = rng.normal(size=(3, 5)).astype("<f4")
+    shuffled = values.view(np.uint8).reshape(3, 5, 4)[:, :, ::-1].transpose(0, 2, 1).reshape(3, 20)
+    stored = zlib.compress(np.concatenate([shuffled[:, :1], np.diff(shuffled, axis=1)], axis=1).tobytes())
+    tags = {256: (3, [5]), 257: (3, [3]), 258: (3, [32]), 259: (3, [8]), 278: (3, [3]), 317: (3, [3]), 339: (3, [3])}
+    (page,) = tiff.read_pages(foreign(tags, [stored], order, big))
+    assert np.array_equal(np.frombuffer(page.pixels, dtype="<f4").reshape(3, 5), values)
+
+
+def test_digests_of_broken_files(spark):
+    good = tiff.text_file(b"some text")
+    df = spark.createDataFrame([(1, 9, bytearray(good)), (2, 9, bytearray(good[:40])), (3, 0, bytearray()), (4, 0, None)], "doc_id int, n_bytes long, media binary")
+    got = {r.doc_id: r for r in tiff.tiff_digests(df, "doc_id").collect()}
+    assert set(got) == {1, 2, 3} and got[1].error is None and got[1].payload_bytes == 192
+    assert got[2].error and got[2].payload_bytes is None and got[3].error
+
+
 def test_pages_and_broken_files(spark):
     good = tiff.write_file([np.zeros((2, 3, 1), np.uint8)] * 2, tiff.LZW)
     loop = bytearray(good)
