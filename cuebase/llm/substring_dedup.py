@@ -251,8 +251,9 @@ def repeated_passages(docs: DataFrame, text_col: str = "text", least: int = 51)
     runs = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text")).mapInArrow(_runs(least), "run long, key binary")
     runs = materialise(runs, "runs")
     shared = runs.groupBy("run").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("run")
-    out = materialise(runs.join(shared, "run").groupBy("key").agg(F.count_distinct("run").alias("n_passages")), "passages")
-    release(runs)
+    shared = materialise(shared, "shared")
+    out = materialise(runs.join(broadcast_if(shared, shared.count(), SENT_MOST), "run").groupBy("key").agg(F.count_distinct("run").alias("n_passages")), "passages")
+    release(runs, shared)
     return out
 
 
