@@ -35,16 +35,16 @@ def compression_stats(stream: DataFrame) -> DataFrame:
 
 
 def format_code(stream: DataFrame) -> DataFrame:
-    """Format name: major alone for the 1993 versions, else major.minor from the header bits."""
-    kind, minor = (F.col("addr") % 3).cast("int"), F.shiftright(F.col("n_bytes"), 3).bitwiseAND(3).cast("int")
-    text = F.when(kind == 0, F.lit("1")).otherwise(F.concat(kind.cast("string"), F.lit("."), minor.cast("string")))
+    """stream (addr, kind, minor): format name, major alone for the first kind, else major.minor from the header bits."""
+    text = F.when(F.col("kind") == 0, F.lit("1")).otherwise(F.concat(F.col("kind").cast("string"), F.lit("."), F.col("minor").cast("string")))
     return stream.select("addr", text.alias("format"))
 
 
 def format_compatible(stream: DataFrame, version: int) -> DataFrame:
-    own, kind = (1993 + F.col("addr") % 3).cast("int"), F.shiftright(F.col("n_bytes"), 3).bitwiseAND(3)
-    same = (own == version) | ((own == 1993) & F.lit(version == 1993) & (kind == 0))
-    return stream.select("addr", own.alias("version"), F.when(same, "copy").otherwise("encode").alias("action"))
+    """stream (addr, version, minor): streams of the wanted version are copied, others encoded anew."""
+    own = F.col("version")
+    same = (own == version) | ((own == 1993) & F.lit(version == 1993) & (F.col("minor") == 0))
+    return stream.select("addr", "version", F.when(same, "copy").otherwise("encode").alias("action"))
 
 
 def mnemonic(instr: DataFrame, track: DataFrame) -> DataFrame:
@@ -137,16 +137,16 @@ def table_sizes(instr: DataFrame, track: DataFrame) -> DataFrame:
     return links.join(variable_range(instr, track), "var_id").groupBy("table_id").agg((F.max("max_value") + 1).cast("int").alias("n"))
 
 
-def table_entries(tables: DataFrame, track: DataFrame) -> DataFrame:
-    """Entries of the referenced tables: position p of table t names track 97 t + p."""
-    return tables.select("table_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos")).select("table_id", "pos", (F.col("table_id") * 97 + F.col("pos")).cast("bigint").alias("track_no"))
+def table_entries(tables: DataFrame, contents: DataFrame) -> DataFrame:
+    """tables (table_id, n), contents (table_id, pos, track_no): the first n entries of each table."""
+    return contents.join(tables, "table_id").where(F.col("pos") < F.col("n")).select("table_id", "pos", "track_no")
 
 
-def indirect_tables(instr: DataFrame, track: DataFrame) -> DataFrame:
+def indirect_tables(instr: DataFrame, track: DataFrame, contents: DataFrame) -> DataFrame:
     """Each populated table with its ordered tracks and its variables."""
     links = valid_tracks(track).where("type = 3").select("table_id", "var_id")
     sizes = table_sizes(instr, track)
-    entries = table_entries(sizes, track).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_no"))).alias("e"))
+    entries = table_entries(sizes, contents).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("pos", "track_no"))).alias("e"))
     names = links.groupBy("table_id").agg(F.array_sort(F.collect_set("var_id")).alias("v"))
     return entries.join(names, "table_id").select(
         "table_id",
@@ -155,20 +155,19 @@ def indirect_tables(instr: DataFrame, track: DataFrame) -> DataFrame:
     )
 
 
-def check_table_bounds(instr: DataFrame, track: DataFrame, limit: int = 40) -> DataFrame:
-    """Stores whose value lies at or beyond the length (limit, by table parity) of a table read through that variable."""
+def check_table_bounds(instr: DataFrame, track: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes (table_id, n): stores whose value lies at or beyond the length of a table read through that variable, or that reach no table."""
     links = valid_tracks(track).where("type = 3").select("table_id", "var_id").distinct()
     stores = instr.where(F.col("opcode") == STORE).select("track_no", "seq", F.col("var_id").bitwiseAND(255).cast("int").alias("var_id"), "level")
-    sizes = links.select("table_id").distinct().where("table_id % 5 <> 0").select("table_id", (F.lit(limit) - F.col("table_id") % 7).cast("int").alias("n"))
     joined = stores.join(links, "var_id").join(sizes, "table_id", "left")
     return joined.where(F.col("n").isNull() | (F.col("level") >= F.col("n"))).select("track_no", "seq", "var_id", "level", "table_id", F.when(F.col("n").isNull(), "no table").otherwise("out of range").alias("problem"))
 
 
-def resolve_indirect(instr: DataFrame, track: DataFrame) -> DataFrame:
+def resolve_indirect(instr: DataFrame, track: DataFrame, contents: DataFrame) -> DataFrame:
     """The track that each deferred indirect link reaches at its variable's largest value."""
     links = valid_tracks(track).where("type = 3")
     reach = links.join(variable_range(instr, track), "var_id").withColumnRenamed("max_value", "pos").withColumnRenamed("track_no", "from_track")
-    entries = table_entries(table_sizes(instr, track), track)
+    entries = table_entries(table_sizes(instr, track), contents)
     return reach.join(entries, ["table_id", "pos"]).select("from_track", "table_id", "pos", "track_no")
 
 
@@ -201,7 +200,8 @@ def dense_index(numbers: DataFrame, of: str) -> DataFrame:
     """Every number from 0 to the largest, with present marked; the range is Spark's, not the driver's."""
     top = numbers.agg(F.coalesce(F.max(of), F.lit(-1)).alias("top"))
     chunk = 65536
-    blocks = top.select("top", F.explode(F.expr(f"sequence(0L, greatest(top, 0L) div {chunk})")).alias("block"))
+    # the blocks are dealt out before they are filled, so that no task makes the whole range
+    blocks = top.select("top", F.explode(F.expr(f"sequence(0L, greatest(top, 0L) div {chunk})")).alias("block")).repartition("block")
     all_ = blocks.where("top >= 0").select(F.explode(F.expr(f"sequence(block * {chunk}, least(top, block * {chunk} + {chunk - 1}))")).alias(of))
     return all_.join(numbers.select(of).distinct().withColumn("present", F.lit(True)), of, "left").select(of, F.coalesce("present", F.lit(False)).alias("present"))
 
@@ -253,7 +253,7 @@ def prefix_lookup(keys: DataFrame, registry: DataFrame) -> DataFrame:
 def title_of(ids: DataFrame, rules: DataFrame) -> DataFrame:
     """First title (by priority) of each id, else [Unknown]."""
     first = rules.groupBy("id").agg(F.min_by("title", "priority").alias("title"))
-    return ids.join(F.broadcast(first), "id", "left").select("id", F.coalesce("title", F.lit("[Unknown]")).alias("title"))
+    return ids.join(first, "id", "left").select("id", F.coalesce("title", F.lit("[Unknown]")).alias("title"))
 
 
 def classify_title(texts: DataFrame, rules: list[tuple[int, str, str]]) -> DataFrame:
@@ -274,11 +274,11 @@ def extract_manifest(instr: DataFrame, stream: DataFrame, prefix: str = "set") -
     return rows.select("addr", name.alias("file"), F.when(F.col("n_bytes").isNull(), "missing").when(F.col("n_frames") == 0, "empty").otherwise("ok").alias("state"), (F.coalesce("n_bytes", F.lit(0)) + 36).cast("bigint").alias("size"))
 
 
-def edges_union(instr: DataFrame, track: DataFrame) -> DataFrame:
+def edges_union(instr: DataFrame, track: DataFrame, contents: DataFrame) -> DataFrame:
     """Track to track references: queued, triggered through a deferred link, and indirect."""
     queue = instr.where(F.col("opcode") == QUEUE).select(F.col("track_no").alias("src"), F.col("addr").alias("dst"), F.lit("queue").alias("kind"))
     deferred = valid_tracks(track).where("type = 2").select(F.col("track_no").alias("src"), (F.col("var_id") * 256 + F.col("table_id")).cast("bigint").alias("dst"), F.lit("deferred").alias("kind"))
-    indirect = resolve_indirect(instr, track).select(F.col("from_track").alias("src"), F.col("track_no").alias("dst"), F.lit("indirect").alias("kind"))
+    indirect = resolve_indirect(instr, track, contents).select(F.col("from_track").alias("src"), F.col("track_no").alias("dst"), F.lit("indirect").alias("kind"))
     return queue.unionByName(deferred).unionByName(indirect)
 
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +18,34 @@ from cuebase.functions.scalar import byte_at
 
 def parts_of(h: Column, digits: int) -> Column:
     """A hex text cut into parts of so many digits, in one pass over it; the last may be shorter."""
-    return F.split(h, rf"(?<=\G.{{{digits}}})")
+    return F.regexp_extract_all(h, F.lit(f"(.{{1,{digits}}})"), 1)
 
 
-def byte_sums(h: Column) -> Column:
-    """(even, odd): sums of the bytes at even and odd offsets, without exploding them."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("even"), zero.alias("odd"), F.lit(False).alias("second"))
+def _sums(batches):
+    """(doc_id, even, odd) of (doc_id, data): one pass over a batch's bytes."""
+    for batch in batches:
+        data = batch.column(1)
+        if data.null_count:
+            data = data.fill_null(b"")
+        _, offsets, raw = data.buffers()
+        at = np.frombuffer(offsets, dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]].astype(np.int64) if at[-1] > at[0] else np.empty(0, dtype=np.int64)
+        at -= at[0]
+        whole = np.r_[0, np.cumsum(raw)]
+        raw[1::2] = 0
+        even = np.r_[0, np.cumsum(raw)]
+        all_, first = whole[at[1:]] - whole[at[:-1]], even[at[1:]] - even[at[:-1]]
+        first = np.where(at[:-1] % 2 == 0, first, all_ - first)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), pa.array(all_ - first)], names=["doc_id", "even", "odd"])
 
-    def step(a, part):
-        x = F.coalesce(F.conv(part, 16, 10).cast("bigint"), F.lit(0))
-        return F.struct((a["even"] + F.when(a["second"], 0).otherwise(x)).alias("even"), (a["odd"] + F.when(a["second"], x).otherwise(0)).alias("odd"), (~a["second"]).alias("second"))
 
-    return F.aggregate(parts_of(h, 2), start, step)
+def byte_sums(blob: DataFrame) -> DataFrame:
+    """(doc_id, even, odd): sums of the bytes at even and odd offsets."""
+    return blob.select("doc_id", F.unhex("h").alias("data")).mapInArrow(_sums, f"doc_id {dict(blob.dtypes)['doc_id']}, even long, odd long")
 
 
 def byte_checksum(blob: DataFrame) -> DataFrame:
-    s = blob.select("doc_id", byte_sums(F.col("h")).alias("s"))
-    return s.select("doc_id", (F.col("s.even") % 256 * 256 + F.col("s.odd") % 256).alias("checksum"))
+    return byte_sums(blob).select("doc_id", (F.col("even") % 256 * 256 + F.col("odd") % 256).alias("checksum"))
 
 
 def balance_bytes(blob: DataFrame) -> DataFrame:
@@ -73,11 +85,12 @@ def valid_signature(blob: DataFrame, head: str) -> DataFrame:
     return blob.select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("signature"))
 
 
-def locate_catalog(blob: DataFrame, candidates: list[int]) -> DataFrame:
-    """First candidate offset whose 16-bit size, in words, is even and whose next byte is a space."""
-    ok = lambda c: (byte_at(F.col("h"), c) * 256 + byte_at(F.col("h"), c + 1)) % 2 == 0
-    found = F.coalesce(*[F.when(ok(c) & (byte_at(F.col("h"), c + 2) == 32), F.lit(c)) for c in candidates])
-    return blob.select("doc_id", found.alias("catalog"))
+def locate_catalog(images: DataFrame, candidates: list[int], unit: int = 4096) -> DataFrame:
+    """First candidate offset at which an image's own catalog entry stands: its size in units, chip 0 and checksum 0 (two bytes each)."""
+    h, size = F.col("h"), F.length("h") / 2
+    word = lambda c: byte_at(h, c) * 256 + byte_at(h, c + 1)
+    own = lambda c: (size >= c + 6) & (word(c) * unit == size) & (byte_at(h, c + 2) == 0) & (word(c + 4) == 0)
+    return images.select("doc_id", F.coalesce(*[F.when(own(c), F.lit(c)) for c in candidates]).alias("catalog"))
 
 
 def channel_count(captured: DataFrame) -> DataFrame:
@@ -86,15 +99,33 @@ def channel_count(captured: DataFrame) -> DataFrame:
     return captured.select("doc_id", "n", "m", F.when(fits, F.col("n")).otherwise(0).cast("int").alias("channels"))
 
 
-def infer_version(blob: DataFrame) -> DataFrame:
-    """Version by the first pattern that occurs, in order; 1.00 where none does."""
-    h = F.col("h")
-    rule = F.when(h.contains("C3A4"), "1995").when(h.contains("C3B1"), "1994").when(h.contains("C3A9") & (F.length("h") % 4 == 0), "1993b").when(h.contains("C3A9"), "1993a").otherwise("1.00")
-    return blob.select("doc_id", rule.alias("version"))
+#: Where code is searched (from, bytes), and the patterns that tell the versions apart.
+CODE_95 = (0x2C00, 0x600, "4vvvvE0F16F893300E18***F4wwwwE0F16080F16F893300E18***F")
+CODE_93, CODE_93A = (0x1400, 0x600, "3800263C10050C00C0"), (0x2800, 0x400, "47FFF247C946")
+
+
+def code_search(h: Column, rule: tuple[int, int, str], align: int) -> tuple[Column, Column]:
+    """(found, first captured number) of a pattern in a stretch of an image."""
+    start, size, pattern = rule
+    regex, names = compile_pattern(pattern)
+    lead = f"^(?:[0-9A-F]{{{2 * align}}})*?" + regex
+    part = F.substring(h, 2 * start + 1, 2 * size)
+    value = F.conv(F.regexp_extract(part, lead, 1), 16, 10).cast("bigint") if names else F.lit(None).cast("bigint")
+    return part.rlike(lead), value
+
 
+def infer_version(images: DataFrame, newest: int = 0x6000, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align: int = 4) -> DataFrame:
+    """images (doc_id, h, catalog): hardware by the catalog's place, software by code patterns, and the version number that 1995 code names."""
+    h, at = F.col("h"), F.col("catalog")
+    named, value = code_search(h, code_95, align)
+    old, early = code_search(h, code_93, align)[0], code_search(h, code_93a, align)[0]
+    new = at == newest
+    software = F.when(at.isNull(), None).when(new, "1995").when(~old, "1994").when(early, "1993a").otherwise("1993b")
+    return images.select("doc_id", F.when(at.isNull(), None).when(new, 1995).otherwise(1993).alias("hardware"), software.alias("version"), F.when(new & named, value).alias("nominal"))
 
-def version_census(blob: DataFrame) -> DataFrame:
-    return infer_version(blob).groupBy("version").agg(F.count("*").alias("n"))
+
+def version_census(versions: DataFrame) -> DataFrame:
+    return versions.groupBy("version").agg(F.count("*").alias("n"))
 
 
 def verify_images(catalog: DataFrame, images: DataFrame) -> DataFrame:
@@ -108,6 +139,17 @@ def verify_images(catalog: DataFrame, images: DataFrame) -> DataFrame:
     return facts.select("set_id", "entries", "images", F.when((F.col("entries") == F.col("images")) & (F.col("good") == F.col("entries")), 1).otherwise(F.col("first_bad") + 2).cast("bigint").alias("code"))
 
 
+def first_failure(catalog: DataFrame, images: DataFrame) -> DataFrame:
+    """catalog and images (set_id, entry_no, size, checksum): the first bad entry of each set that has one, and what is wrong with it."""
+    rows = catalog.alias("c").join(images.alias("i"), ["set_id", "entry_no"], "full_outer")
+    problem = (
+        F.when(F.col("i.size").isNull(), "missing").when(F.col("c.size").isNull(), "not in the catalog")
+        .when(F.col("c.size") != F.col("i.size"), "size").when(~F.col("c.checksum").eqNullSafe(F.col("i.checksum")), "checksum")
+    )
+    bad = rows.select("set_id", "entry_no", problem.alias("problem")).where("problem is not null")
+    return bad.groupBy("set_id").agg(F.min("entry_no").alias("entry_no"), F.min_by("problem", "entry_no").alias("problem"), F.count("*").alias("bad"))
+
+
 def pick_primary(images: DataFrame, head: str, digit: str = "2") -> DataFrame:
     """images (set_id, file_no, name, head): first file that starts with head and has the digit in its name; sets without are errors."""
     fits = (F.substring("head", 1, len(head)) == head) & F.col("name").contains(digit)
@@ -131,9 +173,9 @@ def scan_container_headers(blob: DataFrame, magic: str, least: int, most: int) -
 
 
 def read_track_index(blob: DataFrame, stride: int = 3) -> DataFrame:
-    """Big-endian numbers of `stride` bytes; slots whose first byte is FF (or any from C4 on in these texts) are empty."""
+    """Big-endian numbers of `stride` bytes; slots whose first byte is FF are empty."""
     rows = blob.select("doc_id", F.posexplode(parts_of(F.col("h"), 2 * stride)).alias("slot", "part")).where(F.length("part") == 2 * stride)
-    return rows.where("part < 'C4'").select("doc_id", "slot", F.conv("part", 16, 10).cast("bigint").alias("addr"))
+    return rows.where("not startswith(part, 'FF')").select("doc_id", "slot", F.conv("part", 16, 10).cast("bigint").alias("addr"))
 
 
 def collapse_fill(blob: DataFrame, word: str, least: int = 4) -> DataFrame:

@@ -134,25 +134,30 @@ def track_time(instr: DataFrame) -> DataFrame:
 
 
 def timeline(instr: DataFrame, horizon: int = 2000) -> DataFrame:
-    """Events at absolute frames with the loops played out, up to a horizon; a program is one row of steps."""
+    """Events at absolute frames with the loops played out, up to a horizon; a program is one row of steps.
+
+    An endless loop that took no time never reaches another frame: its program ends after that pass.
+    """
     def play(track: int, steps: list) -> list[tuple]:
         out, stack, now, i = [], [], 0, 0
         while i < len(steps):
             step = steps[i]
             now += step["wait"]
-            if now > horizon or len(out) > 100_000:
+            if now > horizon:
                 break
             out.append((track, now, step["seq"], step["opcode"]))
             if step["opcode"] == END:
                 break
             if step["opcode"] == LOOP:
-                stack.append([i, step["repeat_n"]])
+                stack.append([i, step["repeat_n"], now])
             elif step["opcode"] == LOOP_END and stack:
-                start, left = stack[-1]
+                start, left, since = stack[-1]
                 if left == 1:
                     stack.pop()
+                elif left == 0 and now == since:
+                    break
                 else:
-                    stack[-1][1] = max(left - 1, 0)
+                    stack[-1][1:] = max(left - 1, 0), now
                     i = start
             i += 1
         return out
@@ -177,8 +182,8 @@ def asof_deferred(events: DataFrame) -> DataFrame:
 
 
 def controller_changes(instr: DataFrame) -> DataFrame:
-    """Play steps whose stream channel was last played from another channel of the same program."""
-    plays = instr.where(F.col("opcode") == PLAY).withColumn("stream_channel", (F.col("var_id") % 2).cast("int"))
+    """instr with stream_channel: play steps whose stream channel was last played from another channel of the same program."""
+    plays = instr.where(F.col("opcode") == PLAY)
     rows = plays.withColumn("was", F.lag("channel").over(steps("stream_channel")))
     return rows.where(F.col("was").isNotNull() & (F.col("was") != F.col("channel"))).select("track_no", "seq", "stream_channel", "was", F.col("channel").alias("now"))
 

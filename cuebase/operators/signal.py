@@ -110,7 +110,7 @@ def peak(sample: DataFrame) -> DataFrame:
 def quality_gate(measured: DataFrame, cases: DataFrame) -> DataFrame:
     """measured (series, n, peak, figure) against cases (series, want_n, want_peak, least): verdict of each, worst figure of each group."""
     ok = (F.abs(F.col("n") - F.col("want_n")) <= 4) & (F.abs(F.col("peak") - F.col("want_peak")) <= b(0.01)) & (F.col("figure") >= F.col("least"))
-    return measured.join(F.broadcast(cases), "series").select("series", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure")
+    return measured.join(cases, "series").select("series", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure")
 
 
 def cut_frames(sample: DataFrame, size: int = 256, hop: int = 240) -> DataFrame:

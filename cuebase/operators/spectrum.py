@@ -167,19 +167,29 @@ def snr(spec: DataFrame, k: int = 10, gap: float = 10.0) -> DataFrame:
 
 
 def smooth_troughs(spec: DataFrame, decay: float = 0.999) -> DataFrame:
-    """Between peaks, no bin lies below the decayed level of the larger neighbouring peak; one array per spectrum."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"].cast("double"))
-    rows = spec.groupBy("stream", "frame_no").agg(ordered.alias("a"))
+    """Between adjacent peaks, from the smaller one on, a bin below the one before it takes that one's decayed level.
+
+    Bins before the first and after the last peak stay; of equal peaks the later counts as the smaller.  A spectrum is one
+    array: it is run through once in each direction, and each bin takes the run that starts at its gap's smaller peak.
+    """
+    w = Window.partitionBy("frame_no").orderBy("k")
+    rows = spec.withColumns({"was": F.lag("x").over(w), "next": F.lead("x").over(w)})
+    peak = F.coalesce((F.col("was") < F.col("x")) & (F.col("x") >= F.col("next")), F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), peak.alias("peak"))))
+    rows = rows.groupBy("stream", "frame_no").agg(ordered.alias("a"))
+    nothing = F.lit(None).cast("double")
 
     def run(a):
-        start = F.struct(b(0.0).alias("v"), F.array().cast("array<double>").alias("out"))
+        start = F.struct(nothing.alias("v"), nothing.alias("top"), F.array().cast("array<struct<v:double,top:double>>").alias("out"))
 
-        def step(s, x):
-            v = F.greatest(x, s["v"] * decay)
-            return F.struct(v.alias("v"), F.concat(s["out"], F.array(v)).alias("out"))
+        def step(s, e):
+            v = F.when(~e["peak"] & (e["x"] < s["v"]), s["v"] * decay).otherwise(e["x"])
+            top = F.when(e["peak"], e["x"]).otherwise(s["top"])
+            return F.struct(v.alias("v"), top.alias("top"), F.concat(s["out"], F.array(F.struct(v.alias("v"), top.alias("top")))).alias("out"))
 
         return F.aggregate(a, start, step, lambda s: s["out"])
 
-    forward, backward = run(F.col("a")), F.reverse(run(F.reverse(F.col("a"))))
-    both = rows.select("stream", "frame_no", F.zip_with(forward, backward, lambda x, y: F.least(x, y)).alias("s"))
-    return both.select("stream", "frame_no", F.posexplode("s").alias("k", "x")).withColumn("x", F.round("x", 6))
+    both = rows.select("stream", "frame_no", F.explode(F.arrays_zip("a", run(F.col("a")).alias("up"), F.reverse(run(F.reverse("a"))).alias("down"))).alias("e"))
+    e, up, down = F.col("e.a"), F.col("e.up"), F.col("e.down")
+    level = F.when(e["peak"] | up["top"].isNull() | down["top"].isNull(), e["x"]).when(down["top"] > up["top"], up["v"]).otherwise(down["v"])
+    return both.select("stream", "frame_no", e["k"].alias("k"), F.round(level, 6).alias("x"))

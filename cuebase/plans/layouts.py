@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuebase.operators import graph
+from cuebase.operators import catalog, graph
 from cuebase.operators import layout as L
+from cuebase.plans.listing import RANGE, contents
 from cuebase.registry import query
 
 BYTE = "('0x' || substr(h, {0}, 2))::INT"
 SUMS = """sums AS (SELECT doc_id, coalesce(sum(x) FILTER (WHERE i % 2 = 0), 0)::BIGINT AS even, coalesce(sum(x) FILTER (WHERE i % 2 = 1), 0)::BIGINT AS odd
   FROM (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, ('0x' || unnest(regexp_extract_all(h, '..')))::INT AS x FROM blob) GROUP BY doc_id),
   ck AS (SELECT doc_id, even % 256 * 256 + odd % 256 AS checksum FROM sums)"""
-VERSION = """ver AS (SELECT doc_id, CASE WHEN contains(h, 'C3A4') THEN '1995' WHEN contains(h, 'C3B1') THEN '1994' WHEN contains(h, 'C3A9') AND length(h) % 4 = 0 THEN '1993b'
-  WHEN contains(h, 'C3A9') THEN '1993a' ELSE '1.00' END AS version FROM blob)"""
+#: A blob as an image: its own catalog entry (its bytes as size, zeros) is put at one of three places, or at none.
+PLACES = (16, 24, 48)
+CODE_95, CODE_93, CODE_93A = (0, 200, "746865gg"), (20, 300, "6E64"), (10, 120, "6572")
+IMAGE = """image AS (SELECT doc_id, CASE WHEN length(h) >= 108 AND length(h) < 131072 AND doc_id % 4 < 3 THEN
+    substr(h, 1, put) || lpad(hex(length(h) // 2), 4, '0') || '00000000' || substr(h, put + 13) ELSE h END AS h
+    FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 32 WHEN 1 THEN 48 ELSE 96 END AS put FROM blob))"""
+FOUND = """cat AS (SELECT doc_id, h, CASE """ + " ".join(
+    f"WHEN length(h) >= {2 * c + 12} AND ('0x' || substr(h, {2 * c + 1}, 4))::INT = length(h) // 2 AND substr(h, {2 * c + 5}, 2) = '00' AND substr(h, {2 * c + 9}, 4) = '0000' THEN {c}" for c in PLACES
+) + """ END AS catalog FROM image)"""
+
+
+def within(rule: tuple[int, int, str], pattern: str) -> str:
+    return f"regexp_matches(substr(h, {2 * rule[0] + 1}, {2 * rule[1]}), '^(?:[0-9A-F]{{4}})*?{pattern}')"
+
+
+VERSION = f"""{IMAGE}, {FOUND}, ver AS (SELECT doc_id, CASE WHEN catalog IS NULL THEN NULL WHEN catalog = 48 THEN 1995 ELSE 1993 END AS hardware,
+  CASE WHEN catalog IS NULL THEN NULL WHEN catalog = 48 THEN '1995' WHEN NOT {within(CODE_93, '6E64')} THEN '1994' WHEN {within(CODE_93A, '6572')} THEN '1993a' ELSE '1993b' END AS version,
+  CASE WHEN catalog = 48 AND {within(CODE_95, '746865[0-9A-F]{2}')} THEN ('0x' || regexp_extract(substr(h, 1, 400), '^(?:[0-9A-F]{{4}})*?746865([0-9A-F]{{2}})', 1))::BIGINT END AS nominal FROM cat)"""
+
+
+def image(v):
+    """The IMAGE view."""
+    h, at = F.col("h"), F.when(F.col("doc_id") % 4 == 0, 32).when(F.col("doc_id") % 4 == 1, 48).otherwise(96)
+    entry = F.concat(F.lpad(F.hex((F.length(h) / 2).cast("bigint")), 4, "0"), F.lit("00000000"))
+    put = F.concat(F.substring(h, F.lit(1), at), entry, F.substring(h, at + 13, F.length(h)))
+    fits = (F.length(h) >= 108) & (F.length(h) < 131072) & (F.col("doc_id") % 4 < 3)
+    return v.blob.select("doc_id", F.when(fits, put).otherwise(h).alias("h"))
+
+
+def versions(v):
+    found = image(v).join(L.locate_catalog(image(v), list(PLACES), unit=1), "doc_id")
+    return L.infer_version(found, newest=48, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align=2)
 
 
 @query("d2_byte_checksum", f"WITH {SUMS} SELECT doc_id, checksum FROM ck")
@@ -50,18 +82,17 @@ def _(v):
 
 @query("b12_infer_version", f"WITH {VERSION} SELECT * FROM ver")
 def _(v):
-    return L.infer_version(v.blob)
+    return versions(v)
 
 
 @query("d27_version_census", f"WITH {VERSION} SELECT version, count(*) AS n FROM ver GROUP BY version")
 def _(v):
-    return L.version_census(v.blob)
+    return L.version_census(versions(v))
 
 
-@query("b14_locate_catalog", "SELECT doc_id, CASE " + " ".join(
-    f"WHEN length(h) >= {2 * c + 6} AND (('0x' || substr(h, {2 * c + 1}, 2))::INT * 256 + ('0x' || substr(h, {2 * c + 3}, 2))::INT) % 2 = 0 AND substr(h, {2 * c + 5}, 2) = '20' THEN {c}" for c in (4, 16, 40)) + " END AS catalog FROM (SELECT doc_id, rpad(h, 200, '0') AS h FROM blob WHERE h IS NOT NULL)")
+@query("b14_locate_catalog", f"WITH {IMAGE}, {FOUND} SELECT doc_id, catalog FROM cat")
 def _(v):
-    return L.locate_catalog(v.blob.select("doc_id", F.when(F.length("h") >= 200, F.col("h")).otherwise(F.rpad("h", 200, "0")).alias("h")).where("h is not null"), [4, 16, 40])
+    return L.locate_catalog(image(v), list(PLACES), unit=1)
 
 
 @query("b19_parse_params", """
@@ -85,25 +116,35 @@ def _(v):
     return L.render_name(v.pages.select(F.col("page_id").alias("id"), F.col("url").alias("name")), "2026-01-01", 20)
 
 
-@query("c4_verify_images", """
-  WITH c AS (SELECT p_brand AS set_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS entry_no, p_partkey, p_size AS size, p_partkey * 7 % 65536 AS checksum FROM part WHERE p_size > 40),
-  i AS (SELECT set_id, entry_no, size, CASE WHEN p_partkey % 53 = 0 THEN checksum + 1 ELSE checksum END AS checksum FROM c WHERE p_partkey % 71 <> 0),
-  j AS (SELECT coalesce(c.set_id, i.set_id) AS set_id, coalesce(c.entry_no, i.entry_no) AS entry_no, c.size AS cs, i.size AS isz, c.size IS NOT DISTINCT FROM i.size AND c.checksum IS NOT DISTINCT FROM i.checksum AS good FROM c FULL JOIN i ON c.set_id = i.set_id AND c.entry_no = i.entry_no),
-  f AS (SELECT set_id, count(cs) AS entries, count(isz) AS images, count(*) FILTER (WHERE good) AS good, min(entry_no) FILTER (WHERE NOT good) AS first_bad FROM j GROUP BY set_id)
-  SELECT set_id, entries, images, CASE WHEN entries = images AND good = entries THEN 1 ELSE first_bad + 2 END::BIGINT AS code FROM f""")
-@query("f3_first_failure", """
-  WITH c AS (SELECT p_brand AS set_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS entry_no, p_partkey, p_size AS size, p_partkey * 7 % 65536 AS checksum FROM part WHERE p_size > 40),
-  i AS (SELECT set_id, entry_no, size, CASE WHEN p_partkey % 53 = 0 THEN checksum + 1 ELSE checksum END AS checksum FROM c WHERE p_partkey % 71 <> 0),
-  j AS (SELECT coalesce(c.set_id, i.set_id) AS set_id, coalesce(c.entry_no, i.entry_no) AS entry_no, c.size AS cs, i.size AS isz, c.size IS NOT DISTINCT FROM i.size AND c.checksum IS NOT DISTINCT FROM i.checksum AS good FROM c FULL JOIN i ON c.set_id = i.set_id AND c.entry_no = i.entry_no),
-  f AS (SELECT set_id, count(cs) AS entries, count(isz) AS images, count(*) FILTER (WHERE good) AS good, min(entry_no) FILTER (WHERE NOT good) AS first_bad FROM j GROUP BY set_id)
+SETS = """
+  WITH c AS (SELECT p_brand || '/' || p_partkey // 1000 AS set_id, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) - 1 AS entry_no, p_partkey, p_size AS size, p_partkey * 7 % 65536 AS checksum FROM part),
+  i AS (SELECT set_id, entry_no + CASE WHEN p_partkey % 331 = 0 THEN 10000 ELSE 0 END AS entry_no, size + CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 0 END AS size, checksum + CASE WHEN p_partkey % 53 = 0 THEN 1 ELSE 0 END AS checksum FROM c),
+  j AS (SELECT coalesce(c.set_id, i.set_id) AS set_id, coalesce(c.entry_no, i.entry_no) AS entry_no, c.size AS cs, i.size AS isz, c.checksum AS cc, i.checksum AS ic FROM c FULL JOIN i ON c.set_id = i.set_id AND c.entry_no = i.entry_no)"""
+
+
+def sets(v):
+    """Each brand's parts of a range of keys as a set of images and its catalog; some images differ, and some stand elsewhere."""
+    key, set_id = F.col("p_partkey"), F.concat_ws("/", "p_brand", F.expr("p_partkey div 1000"))
+    no = (F.row_number().over(Window.partitionBy("set_id").orderBy("p_partkey")) - 1).cast("bigint")
+    c = v.part.withColumn("set_id", set_id).select("set_id", no.alias("entry_no"), "p_partkey", F.col("p_size").alias("size"), (key * 7 % 65536).alias("checksum"))
+    shift = lambda m, n: F.when(key % m == 0, n).otherwise(0)
+    i = c.select("set_id", (F.col("entry_no") + shift(331, 10000)).alias("entry_no"), (F.col("size") + shift(97, 1)).alias("size"), (F.col("checksum") + shift(53, 1)).alias("checksum"))
+    return c.drop("p_partkey"), i
+
+
+@query("c4_verify_images", SETS + """,
+  f AS (SELECT set_id, count(cs) AS entries, count(isz) AS images, count(*) FILTER (WHERE cs IS NOT DISTINCT FROM isz AND cc IS NOT DISTINCT FROM ic) AS good,
+    min(entry_no) FILTER (WHERE NOT (cs IS NOT DISTINCT FROM isz AND cc IS NOT DISTINCT FROM ic)) AS first_bad FROM j GROUP BY set_id)
   SELECT set_id, entries, images, CASE WHEN entries = images AND good = entries THEN 1 ELSE first_bad + 2 END::BIGINT AS code FROM f""")
 def _(v):
-    from pyspark.sql import Window
+    return L.verify_images(*sets(v))
+
 
-    no = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("bigint")
-    c = v.part.where("p_size > 40").select(F.col("p_brand").alias("set_id"), no.alias("entry_no"), "p_partkey", F.col("p_size").alias("size"), (F.col("p_partkey") * 7 % 65536).alias("checksum"))
-    i = c.where("p_partkey % 71 <> 0").withColumn("checksum", F.when(F.col("p_partkey") % 53 == 0, F.col("checksum") + 1).otherwise(F.col("checksum")))
-    return L.verify_images(c.drop("p_partkey"), i.drop("p_partkey"))
+@query("f3_first_failure", SETS + """,
+  b AS (SELECT set_id, entry_no, CASE WHEN isz IS NULL THEN 'missing' WHEN cs IS NULL THEN 'not in the catalog' WHEN cs <> isz THEN 'size' WHEN cc IS DISTINCT FROM ic THEN 'checksum' END AS problem FROM j)
+  SELECT set_id, min(entry_no) AS entry_no, min_by(problem, entry_no) AS problem, count(*) AS bad FROM b WHERE problem IS NOT NULL GROUP BY set_id""")
+def _(v):
+    return L.first_failure(*sets(v))
 
 
 @query("a2_pick_primary", """
@@ -132,7 +173,7 @@ def _(v):
 
 @query("a6_read_track_index", """
   WITH s AS (SELECT doc_id, unnest(range(0, length(h) // 6))::INT AS slot, unnest(regexp_extract_all(h, '.{6}')) AS part FROM blob)
-  SELECT doc_id, slot, ('0x' || part)::BIGINT AS addr FROM s WHERE part < 'C4'""")
+  SELECT doc_id, slot, ('0x' || part)::BIGINT AS addr FROM s WHERE NOT starts_with(part, 'FF')""")
 def _(v):
     return L.read_track_index(v.blob)
 
@@ -147,7 +188,7 @@ def _(v):
 
 
 @query("e24_allocate_ids", """
-  WITH n AS (SELECT c_nationkey AS owner, c_custkey AS item, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 100 END AS id FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0),
+  WITH n AS (SELECT c_nationkey AS owner, c_custkey AS item, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey % 100 END AS id FROM customer),
   t AS (SELECT DISTINCT owner, id FROM n WHERE id IS NOT NULL),
   a AS (SELECT owner, item, row_number() OVER (PARTITION BY owner ORDER BY item) AS k FROM n WHERE id IS NULL),
   f AS (SELECT o.owner, x.id, row_number() OVER (PARTITION BY o.owner ORDER BY x.id) AS k FROM (SELECT DISTINCT owner FROM n) o, range(0, 256) x(id) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.owner = o.owner AND t.id = x.id)),
@@ -155,7 +196,7 @@ def _(v):
   SELECT owner, item, id, CASE WHEN id IS NULL THEN 'error' WHEN id >= 80 THEN 'warning' END AS problem FROM r""")
 def _(v):
     k = F.col("c_custkey")
-    named = v.customer.where("c_custkey % 3 = 0 or c_custkey % 2 = 0").select(F.col("c_nationkey").alias("owner"), k.alias("item"), F.when(k % 3 == 0, k % 100).alias("id"))
+    named = v.customer.select(F.col("c_nationkey").alias("owner"), k.alias("item"), F.when(F.col("c_mktsegment") == "BUILDING", k % 100).alias("id"))
     return L.allocate_ids(named)
 
 
@@ -211,12 +252,28 @@ def _(v):
     return L.bridged_gaps(v.instr.select(F.col("track_no").alias("series"), F.col("seq").alias("pos"), (F.col("opcode") % 3 != 0).alias("hit")), 2)
 
 
-@query("h1_reference_edges", "SELECT src, dst, CASE WHEN src = dst THEN 'self' ELSE 'other' END AS kind, count(*) AS n FROM edge GROUP BY ALL")
+REFS = f"""{RANGE}, ref AS (SELECT track_no AS src, addr AS dst, 'queue' AS kind FROM instr WHERE opcode = 3
+  UNION ALL SELECT track_no, (var_id * 256 + table_id)::BIGINT, 'deferred' FROM links WHERE type = 2 UNION ALL SELECT from_track, track_no, 'indirect' FROM ri)"""
+
+
+@query("h1_reference_edges", f"WITH {REFS} SELECT src, dst, kind, count(*) AS n FROM ref GROUP BY ALL")
 def _(v):
-    return v.edge.groupBy("src", "dst", F.when(F.col("src") == F.col("dst"), "self").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+    return catalog.edges_union(v.instr, v.track, contents(v)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
+@query("h1_reached_tracks", f"""
+  WITH RECURSIVE {REFS}, r(node) AS (SELECT DISTINCT src FROM ref WHERE src NOT IN (SELECT dst FROM ref) UNION SELECT dst FROM r JOIN ref ON src = node) SELECT node FROM r""")
+def _(v):
+    edges = catalog.edges_union(v.instr, v.track, contents(v)).select("src", "dst")
+    return graph.reachable(edges, roots(edges)).select("node")
+
+
+def roots(edges):
+    """Sources that no edge points to."""
+    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
 @query("h2_reachable", """
-  WITH RECURSIVE r(node) AS (SELECT DISTINCT src FROM edge WHERE src < 20 UNION SELECT dst FROM r JOIN edge ON src = node) SELECT node FROM r""")
+  WITH RECURSIVE r(node) AS (SELECT DISTINCT src FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT dst FROM r JOIN edge ON src = node) SELECT node FROM r""")
 def _(v):
-    return graph.reachable(v.edge, v.edge.where("src < 20").select(F.col("src").alias("node"))).select("node")
+    return graph.reachable(v.edge, roots(v.edge)).select("node")

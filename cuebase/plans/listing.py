@@ -36,6 +36,17 @@ MNEMONIC = """(SELECT i.track_no, i.seq, i.opcode, i.channel, i.wait,
   FROM (SELECT i.*, CASE WHEN i.channel IS NOT DISTINCT FROM t.channel THEN '' ELSE 'channel ' || i.channel || ', ' END AS tag FROM instr i LEFT JOIN track t ON t.track_no = i.track_no) i)"""
 
 
+def kinds(v):
+    """Streams with the kind and minor number of their format."""
+    return v.stream.withColumns({"kind": (F.col("addr") % 3).cast("int"), "minor": F.shiftright(F.col("n_bytes"), 3).bitwiseAND(3).cast("int")})
+
+
+def contents(v):
+    """The tables that tracks refer to: as many entries as a variable has values, position p of table t names track 97 t + p."""
+    used = catalog.valid_tracks(v.track).where("type = 3").select("table_id").distinct()
+    return used.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(255)))).select("table_id", "pos", (F.col("table_id") * 97 + F.col("pos")).cast("bigint").alias("track_no"))
+
+
 @query("d1_stream_list", f"""
   WITH p AS (SELECT DISTINCT addr FROM instr WHERE opcode = 1)
   SELECT p.addr, ((p.addr >> 21) & 7)::INT AS chip, p.addr & 2097151 AS "offset", n_frames, n_bytes, {STATS} FROM p JOIN stream s ON s.addr = p.addr""")
@@ -99,7 +110,7 @@ def _(v):
 
 @query("b9_format_code", "SELECT addr, CASE WHEN addr % 3 = 0 THEN '1' ELSE (addr % 3)::INT || '.' || ((n_bytes >> 3) & 3)::INT END AS format FROM stream")
 def _(v):
-    return catalog.format_code(v.stream)
+    return catalog.format_code(kinds(v))
 
 
 @query("b10_classify_title", """
@@ -130,7 +141,7 @@ def _(v):
 @query("b24_format_compatible", """
   SELECT addr, (1993 + addr % 3)::INT AS version, CASE WHEN 1993 + addr % 3 = 1993 THEN 'copy' ELSE 'encode' END AS action FROM stream""")
 def _(v):
-    return catalog.format_compatible(v.stream, 1993)
+    return catalog.format_compatible(kinds(v).withColumn("version", (1993 + F.col("kind")).cast("int")), 1993)
 
 
 @query("b25_mmss", """
@@ -149,12 +160,14 @@ def _(v):
 
 
 @query("c2_resolve_symbols", """
-  WITH d AS (SELECT upper(n_name) AS u, min(n_nationkey) AS def_id FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1),
-  r AS (SELECT c_custkey AS ref_id, lower(n_name) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  WITH d AS (SELECT upper(n_name) AS u, min(n_nationkey) AS def_id FROM nation GROUP BY 1),
+  r AS (SELECT c_custkey AS ref_id, CASE WHEN c_acctbal < 0 THEN n_name || ' owes' ELSE lower(n_name) END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
   SELECT ref_id, def_id, CASE WHEN def_id IS NULL THEN 'unresolved' END AS problem FROM r LEFT JOIN d ON upper(r.name) = d.u""")
 def _(v):
-    refs = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("ref_id"), F.lower("n_name").alias("name"))
-    defs = v.nation.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("def_id"), F.col("n_name").alias("name"))
+    refs = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("ref_id"), F.when(F.col("c_acctbal") < 0, F.concat("n_name", F.lit(" owes"))).otherwise(F.lower("n_name")).alias("name")
+    )
+    defs = v.nation.select(F.col("n_nationkey").alias("def_id"), F.col("n_name").alias("name"))
     return catalog.resolve_symbols(refs, defs)
 
 
@@ -175,35 +188,36 @@ def _(v):
   SELECT track_no, seq, s.var_id, level, l.table_id, CASE WHEN n IS NULL THEN 'no table' ELSE 'out of range' END AS problem
   FROM s JOIN l ON l.var_id = s.var_id LEFT JOIN z ON z.table_id = l.table_id WHERE n IS NULL OR level >= n""")
 def _(v):
-    return catalog.check_table_bounds(v.instr, v.track)
+    sizes = catalog.valid_tracks(v.track).where("type = 3 and table_id % 5 <> 0").select("table_id", (F.lit(40) - F.col("table_id") % 7).cast("int").alias("n")).distinct()
+    return catalog.check_table_bounds(v.instr, v.track, sizes)
 
 
 @query("c6_resolve_indirect", f"WITH {RANGE} SELECT from_track, table_id, pos, track_no FROM ri")
 def _(v):
-    return catalog.resolve_indirect(v.instr, v.track)
+    return catalog.resolve_indirect(v.instr, v.track, contents(v))
 
 
 @query("c18_overlay", """
-  WITH p AS (SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0
-             UNION ALL SELECT o_orderkey + 1000000000, o_totalprice FROM orders WHERE o_orderkey % 50 = 0),
+  WITH p AS (SELECT l_orderkey AS o_orderkey, l_extendedprice AS price FROM lineitem
+             UNION ALL SELECT o_orderkey + 1000000000, o_totalprice FROM orders),
   g AS (SELECT o_orderkey, count(*) AS n, min(price) AS price FROM p GROUP BY 1)
   SELECT coalesce(o.o_orderkey, g.o_orderkey) AS o_orderkey, CASE WHEN n IS NULL OR n > 1 THEN o.o_totalprice WHEN o.o_orderkey IS NOT NULL THEN g.price END AS price,
     CASE WHEN n > 1 THEN 'patched twice' WHEN o.o_orderkey IS NULL THEN 'no target' WHEN n IS NOT NULL THEN 'patched' ELSE 'kept' END AS state
   FROM orders o FULL JOIN g ON g.o_orderkey = o.o_orderkey""")
 def _(v):
-    patch = v.lineitem.where("l_linenumber = 1 and l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"))
-    patch = patch.unionByName(v.orders.where("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), F.col("o_totalprice").alias("price")))
+    patch = v.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"))
+    patch = patch.unionByName(v.orders.select((F.col("o_orderkey") + 1000000000).alias("o_orderkey"), F.col("o_totalprice").alias("price")))
     return catalog.overlay(v.orders.select("o_orderkey", F.col("o_totalprice").alias("price")), patch, "o_orderkey", "price")
 
 
 @query("c19_search_path", """
   WITH f AS (SELECT page_id AS file_id, regexp_extract(url, '[^/]*$') AS name FROM pages), x AS (SELECT DISTINCT url AS path FROM pages),
-  p(priority, prefix) AS (SELECT row_number() OVER (ORDER BY prefix), prefix FROM (SELECT DISTINCT regexp_extract(url, '^.*/') AS prefix FROM pages WHERE page_id % 25 = 0)),
+  p(priority, prefix) AS (SELECT row_number() OVER (ORDER BY prefix), prefix FROM (SELECT DISTINCT regexp_extract(url, '^.*/') AS prefix FROM pages WHERE url IS NOT NULL)),
   h AS (SELECT file_id, min_by(prefix || name, priority) AS found FROM f, p JOIN x ON x.path = prefix || name GROUP BY file_id)
   SELECT f.file_id, coalesce(found, name) AS path, found IS NOT NULL AS "exists" FROM f LEFT JOIN h ON h.file_id = f.file_id""")
 def _(v):
     files = v.pages.select(F.col("page_id").alias("file_id"), F.regexp_extract("url", "[^/]*$", 0).alias("name"))
-    heads = v.pages.where("page_id % 25 = 0").select(F.regexp_extract("url", "^.*/", 0).alias("prefix")).distinct()
+    heads = v.pages.where("url is not null").select(F.regexp_extract("url", "^.*/", 0).alias("prefix")).distinct()
     # the order of prefixes is their own: no need to number them
     return catalog.search_path(files, heads.withColumn("priority", F.col("prefix")), v.pages.select(F.col("url").alias("path")))
 
@@ -243,7 +257,7 @@ def _(v):
   n AS (SELECT table_id, string_agg(var_id::VARCHAR, ',' ORDER BY var_id) AS variables FROM (SELECT DISTINCT table_id, var_id FROM links WHERE type = 3) GROUP BY 1)
   SELECT e.table_id, tracks, variables FROM e JOIN n ON n.table_id = e.table_id""")
 def _(v):
-    return catalog.indirect_tables(v.instr, v.track)
+    return catalog.indirect_tables(v.instr, v.track, contents(v))
 
 
 @query("d7_program_text", f"""
@@ -312,7 +326,7 @@ def _(v):
   UNION ALL SELECT track_no, (var_id * 256 + table_id)::BIGINT, 'deferred' FROM links WHERE type = 2
   UNION ALL SELECT from_track, track_no, 'indirect' FROM ri""")
 def _(v):
-    return catalog.edges_union(v.instr, v.track)
+    return catalog.edges_union(v.instr, v.track, contents(v))
 
 
 @query("g2_pass_through", """
@@ -334,10 +348,10 @@ def _(v):
 
 
 @query("a9_write_catalog", """
-  WITH i AS (SELECT p_brand AS set_id, (p_partkey % 6)::INT AS slot, max(p_size * 10000) AS size, max(p_partkey * 7 % 65536) AS checksum FROM part WHERE p_partkey % 4 = 1 GROUP BY 1, 2),
+  WITH i AS (SELECT p_brand AS set_id, (p_partkey % 6)::INT AS slot, max(p_size * 10000) AS size, max(p_partkey * 7 % 65536) AS checksum FROM part GROUP BY 1, 2),
   s AS (SELECT DISTINCT set_id FROM i)
   SELECT s.set_id, k::INT AS slot, coalesce(size // 4096, 0)::BIGINT AS size_4k, CASE WHEN size IS NULL THEN 0 ELSE k * 256 END::INT AS chip_code, coalesce(checksum, 0)::BIGINT AS checksum
   FROM s, range(0, 8) x(k) LEFT JOIN i ON i.set_id = s.set_id AND i.slot = k""")
 def _(v):
-    images = v.part.where("p_partkey % 4 = 1").select(F.col("p_brand").alias("set_id"), (F.col("p_partkey") % 6).cast("int").alias("slot"), (F.col("p_size") * 10000).alias("size"), (F.col("p_partkey") * 7 % 65536).alias("checksum"))
+    images = v.part.select(F.col("p_brand").alias("set_id"), (F.col("p_partkey") % 6).cast("int").alias("slot"), (F.col("p_size") * 10000).alias("size"), (F.col("p_partkey") * 7 % 65536).alias("checksum"))
     return catalog.write_catalog(images)

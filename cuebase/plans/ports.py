@@ -145,6 +145,16 @@ def _(v):
     return v.stream.selectExpr("addr", "chip_of(addr * 4099) AS chip", "offset_of(addr * 4099) AS off", "address_of(addr % 6 + 2, addr * 37 & 2097151) AS address", "frames_of(n_frames) AS frames")
 
 
+@query("k1_level_functions", """
+  WITH RECURSIVE v AS (SELECT track_no, seq, level * 5 AS vol, level * 97 AS total, 255 - level AS own FROM instr),
+  r AS (SELECT DISTINCT vol, 0 AS k, 16383::BIGINT AS x, 32152::BIGINT AS y FROM v UNION ALL SELECT vol, k + 1, CASE WHEN (vol >> k) & 1 = 0 THEN (x * y) >> 15 ELSE x END, (y * y) >> 15 FROM r WHERE k < 8),
+  q AS (SELECT DISTINCT total, own, 0 AS k, own::BIGINT << 7 AS x, 31892::BIGINT AS y FROM v UNION ALL SELECT total, own, k + 1, CASE WHEN ((((total >> 6) & 1023) + 128) >> k) & 1 = 0 THEN (x * y) >> 15 ELSE x END, (y * y) >> 15 FROM q WHERE k < 8)
+  SELECT track_no, seq, CASE WHEN v.vol = 0 THEN 0 ELSE r.x * 2 END AS gain, q.x * 2 AS attenuation FROM v JOIN r ON r.vol = v.vol AND r.k = 8 JOIN q ON q.total = v.total AND q.own = v.own AND q.k = 8""")
+def _(v):
+    archives.register_functions(v.spark)
+    return v.instr.selectExpr("track_no", "seq", "gain_of(level * 5) AS gain", "attenuation_of(level * 97, 255 - level) AS attenuation")
+
+
 @query("k2_program_rows")
 def _(v):
     archives.register_program_rows(v.spark)

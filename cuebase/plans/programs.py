@@ -125,7 +125,7 @@ def _(v):
   WITH p AS (SELECT *, (var_id % 2)::INT AS stream_channel, lag(channel) OVER (PARTITION BY track_no, var_id % 2 {ORDER}) AS was FROM instr WHERE opcode = 1)
   SELECT track_no, seq, stream_channel, was, channel AS now FROM p WHERE was IS NOT NULL AND was <> channel""")
 def _(v):
-    return programs.controller_changes(v.instr)
+    return programs.controller_changes(v.instr.withColumn("stream_channel", (F.col("var_id") % 2).cast("int")))
 
 
 @query("d21_channel_mix", """

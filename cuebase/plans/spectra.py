@@ -148,6 +148,13 @@ def _(v):
     return X.snr(X.spectra(v.frame))
 
 
-@query("e15_smooth_troughs")
+@query("e15_smooth_troughs", f"""
+  WITH RECURSIVE {SPEC}, p AS (SELECT stream, frame_no, k, x::DOUBLE AS x, coalesce(was < x AND x >= next, false) AS peak FROM nb),
+  m AS (SELECT *, max(CASE WHEN peak THEN k END) OVER (PARTITION BY frame_no ORDER BY k) AS low, min(CASE WHEN peak THEN k END) OVER (PARTITION BY frame_no ORDER BY k DESC) AS high FROM p),
+  u(frame_no, k, v) AS (SELECT frame_no, k, x FROM p WHERE k = 0 UNION ALL SELECT p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < u.v THEN u.v * 0.999::DOUBLE ELSE p.x END FROM u JOIN p ON p.frame_no = u.frame_no AND p.k = u.k + 1),
+  d(frame_no, k, v) AS (SELECT frame_no, k, x FROM p WHERE k = 63 UNION ALL SELECT p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < d.v THEN d.v * 0.999::DOUBLE ELSE p.x END FROM d JOIN p ON p.frame_no = d.frame_no AND p.k = d.k - 1)
+  SELECT m.stream, m.frame_no, m.k, round(CASE WHEN m.peak OR low IS NULL OR high IS NULL THEN m.x WHEN h.x > l.x THEN u.v ELSE d.v END, 6) AS x
+  FROM m JOIN u ON u.frame_no = m.frame_no AND u.k = m.k JOIN d ON d.frame_no = m.frame_no AND d.k = m.k
+    LEFT JOIN p l ON l.frame_no = m.frame_no AND l.k = m.low LEFT JOIN p h ON h.frame_no = m.frame_no AND h.k = m.high""")
 def _(v):
     return X.smooth_troughs(X.spectra(v.frame))

@@ -115,11 +115,18 @@ def register_program_rows(spark: SparkSession) -> None:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Address and time helpers as SQL functions, without Python."""
+    """Address, time and level helpers as SQL functions, without Python."""
+    # 1.15 product: the factor is squared bit by bit and multiplied in where the exponent's bit is clear
+    power = (
+        "aggregate(sequence(0, 7), named_struct('v', {start}, 'f', {factor}), (a, i) -> named_struct("
+        "'v', CASE WHEN shiftright({exponent}, i) & 1 = 0 THEN shiftright(a.v * a.f, 15) ELSE a.v END, 'f', shiftright(a.f * a.f, 15)), a -> a.v)"
+    )
     for text in (
         "chip_of(addr BIGINT) RETURNS INT RETURN CAST(shiftright(addr, 21) & 7 AS INT)",
         "offset_of(addr BIGINT) RETURNS BIGINT RETURN addr & 2097151",
         "address_of(chip BIGINT, off BIGINT) RETURNS BIGINT RETURN off | shiftleft(chip - 2, 21)",
+        f"gain_of(volume BIGINT) RETURNS BIGINT RETURN CASE WHEN volume = 0 THEN 0L ELSE 2L * {power.format(start='16383L', factor='32152L', exponent='volume')} END",
+        f"attenuation_of(total BIGINT, volume BIGINT) RETURNS BIGINT RETURN 2L * {power.format(start='shiftleft(volume, 7)', factor='31892L', exponent='(shiftright(total, 6) & 1023) + 128')}",
         "frames_of(ms DOUBLE) RETURNS BIGINT RETURN CAST(floor(ms / CAST(7.68 AS DOUBLE) + 0.5) AS BIGINT)",
     ):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
