@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cuebase.operators.catalog import END, LOOP, LOOP_END, PLAY
 
-#: Default channel level, longest wait of one step, limit of a level.
-DEFAULT_LEVEL, LONGEST_WAIT, LEVEL_LIMIT = 100, 65534, 8191
+#: Default channel level, longest wait of one step, limit of a level, the wait that never ends.
+DEFAULT_LEVEL, LONGEST_WAIT, LEVEL_LIMIT, ENDLESS_WAIT = 100, 65534, 8191, 65535
 
 
 def steps(*extra: str):
@@ -111,26 +111,43 @@ def unroll_stop_all(instr: DataFrame, channels: int = 8) -> DataFrame:
     return rows.where("target <> channel").select("track_no", "seq", "channel", "target")
 
 
-def track_time(instr: DataFrame) -> DataFrame:
-    """Duration of each program: waits times the counts of the loops around them; an endless loop counts once and ends the program."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "opcode", "wait", "repeat_n")))
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), empty.alias("stack"), F.lit(1).cast("bigint").alias("times"), F.lit(False).alias("done"))
+def track_time(instr: DataFrame, stream: DataFrame | None = None) -> DataFrame:
+    """Duration of each program, and whether it goes on for ever: waits times the counts of the loops around them.
+
+    An endless loop counts once and ends the program.  So does an endless wait; it lasts as long as the endlessly repeated
+    stream (addr, n_frames) that its own loop level played last, if any.
+    """
+    zero, op = F.lit(0).cast("bigint"), F.col("opcode")
+    rows = instr.withColumn("held", zero)
+    if stream is not None:
+        rows = instr.join(stream.select("addr", F.col("n_frames").cast("bigint").alias("own")), "addr", "left")
+        rows = rows.withColumn("held", F.when((op == PLAY) & (F.col("repeat_n") == 0), F.coalesce("own", zero)).otherwise(zero))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "opcode", "wait", "repeat_n", "held")))
+    start = F.struct(
+        zero.alias("total"), F.array().cast("array<bigint>").alias("stack"), F.lit(1).cast("bigint").alias("times"), F.lit(False).alias("done"),
+        F.lit(False).alias("endless"), F.array(zero).alias("held"),
+    )
 
     def step(a, s):
         top = F.element_at(a["stack"], -1)
         closes = (s["opcode"] == LOOP_END) & (F.size(a["stack"]) > 0)
-        opens = s["opcode"] == LOOP
+        opens, waits = s["opcode"] == LOOP, s["wait"] == ENDLESS_WAIT
         count = F.greatest(s["repeat_n"], F.lit(1)).cast("bigint")
+        last = F.element_at(a["held"], -1)
+        up = F.slice(a["held"], F.lit(1), F.size(a["held"]) - 1)
+        ended = closes & (F.when(closes, top) == 0)
         moved = F.struct(
-            (a["total"] + s["wait"] * a["times"]).alias("total"),
-            F.when(opens, F.concat(a["stack"], F.array(s["repeat_n"].cast("bigint")))).when(closes, F.slice(a["stack"], F.lit(1), F.size(a["stack"]) - 1)).otherwise(a["stack"]).alias("stack"),
+            (a["total"] + F.when(waits, last).otherwise(s["wait"]) * a["times"]).alias("total"),
+            F.when(opens & ~waits, F.concat(a["stack"], F.array(s["repeat_n"].cast("bigint")))).when(closes & ~waits, F.slice(a["stack"], F.lit(1), F.size(a["stack"]) - 1)).otherwise(a["stack"]).alias("stack"),
             F.when(opens, a["times"] * count).when(closes, (a["times"] / F.greatest(F.when(closes, top), F.lit(1))).cast("bigint")).otherwise(a["times"]).alias("times"),
-            ((closes & (F.when(closes, top) == 0)) | (s["opcode"] == END)).alias("done"),
+            (waits | ended | (s["opcode"] == END)).alias("done"),
+            (waits | ended).alias("endless"),
+            F.when(opens, F.concat(a["held"], F.array(zero))).when(closes, up).when(s["opcode"] == PLAY, F.concat(up, F.array(s["held"]))).otherwise(a["held"]).alias("held"),
         )
         return F.when(a["done"], a).otherwise(moved)
 
-    return instr.groupBy("track_no").agg(F.aggregate(ordered, start, step, lambda a: a["total"]).alias("frames"))
+    out = F.aggregate(ordered, start, step, lambda a: F.struct(a["total"].alias("frames"), (a["endless"] | F.array_contains(a["stack"], F.lit(0).cast("bigint"))).alias("looping")))
+    return rows.groupBy("track_no").agg(out.alias("t")).select("track_no", "t.frames", "t.looping")
 
 
 def timeline(instr: DataFrame, horizon: int = 2000) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +82,15 @@ def bandlimited_resample(sample: DataFrame, p: int, q: int, half_width: int = 4,
     return rows.groupBy("series", F.col("k").alias("idx")).agg(F.round(F.sum(weight * F.col("pcm")), 4).alias("x"))
 
 
-def timewarp_resample(sample: DataFrame, schedule: list[tuple[int, int]]) -> DataFrame:
-    """schedule (from idx, ratio in thousandths), by place: the latest entry applies; output positions are running sums of ratios."""
-    ratio = F.lit(schedule[0][1])
-    for at, r in schedule[1:]:
-        ratio = F.when(F.col("idx") >= at, r).otherwise(ratio)
+def timewarp_resample(sample: DataFrame, schedule: DataFrame) -> DataFrame:
+    """schedule (series, from_idx, ratio in thousandths): the latest entry at or before a sample applies, 1000 before the first; output positions are running sums of ratios.
+
+    Entries and samples of a series are one ordered run, so the latest entry is found without a range join.
+    """
+    entry = schedule.groupBy("series", F.col("from_idx").alias("idx")).agg(F.max("ratio").alias("ratio")).select("series", "idx", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("pcm"), F.col("ratio").cast("bigint").alias("ratio"))
+    both = sample.select("series", "idx", F.lit(1).alias("kind"), F.col("pcm").cast("int").alias("pcm"), F.lit(None).cast("bigint").alias("ratio")).unionByName(entry)
+    latest = F.last("ratio", ignorenulls=True).over(Window.partitionBy("series").orderBy("idx", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    sample, ratio = both.withColumn("ratio", F.coalesce(latest, F.lit(1000))).where("kind = 1"), F.col("ratio")
     w = in_series()
     rows = sample.select("series", "idx", "pcm", ratio.cast("bigint").alias("ratio"), F.coalesce(F.lead("pcm").over(w), F.col("pcm")).alias("next"))
     rows = rows.withColumn("start", F.coalesce(F.sum("ratio").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -108,9 +112,11 @@ def peak(sample: DataFrame) -> DataFrame:
 
 
 def quality_gate(measured: DataFrame, cases: DataFrame) -> DataFrame:
-    """measured (series, n, peak, figure) against cases (series, want_n, want_peak, least): verdict of each, worst figure of each group."""
+    """measured (series, n, peak, figure) against cases (series, want_n, want_peak, least): verdict of each, beside the worst figure of its verdict's group."""
     ok = (F.abs(F.col("n") - F.col("want_n")) <= 4) & (F.abs(F.col("peak") - F.col("want_peak")) <= b(0.01)) & (F.col("figure") >= F.col("least"))
-    return measured.join(cases, "series").select("series", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure")
+    judged = measured.join(cases, "series").select("series", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure")
+    worst = judged.groupBy("verdict").agg(F.min("figure").alias("worst"))
+    return judged.join(F.broadcast(worst), "verdict").select("series", "verdict", "figure", "worst")
 
 
 def cut_frames(sample: DataFrame, size: int = 256, hop: int = 240) -> DataFrame:
@@ -153,14 +159,27 @@ def spectrum(frames: DataFrame, size: int = 16) -> DataFrame:
     return rows.groupBy("series", "frame_no", "k").agg(F.sum(F.col("pcm").cast("bigint") * F.col("c")).alias("re"), F.sum(F.col("pcm").cast("bigint") * F.col("s")).alias("im"))
 
 
-def spectrum_fast(frames: DataFrame) -> DataFrame:
-    """The same sums by FFT, on one array per frame."""
-    @F.pandas_udf("array<double>")
-    def power(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: np.abs(np.fft.rfft(np.asarray(x, dtype=float))).round(6))
+def _rfft(batches):
+    """Frames of a batch that are equally long are transformed as one table."""
+    for batch in batches:
+        values = batch.column(2)
+        length, flat = values.value_lengths().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False)
+        start, out = np.r_[0, np.cumsum(length)], [None] * len(batch)
+        for n in np.unique(length).tolist():
+            rows = np.flatnonzero(length == n)
+            power = np.abs(np.fft.rfft(flat[start[rows][:, None] + np.arange(n)].astype(float), axis=1)) if n else np.empty((len(rows), 0))
+            for i, p in zip(rows.tolist(), power, strict=True):
+                out[i] = p
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["series", "frame_no", "p"])
 
+
+def spectrum_fast(frames: DataFrame) -> DataFrame:
+    """Magnitude of each frequency of each frame, by one FFT over the frames of a batch."""
+    kinds = dict(frames.dtypes)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "pcm"))), lambda s: s["pcm"])
-    return frames.groupBy("series", "frame_no").agg(ordered.alias("a")).select("series", "frame_no", power("a").alias("magnitude"))
+    held = frames.groupBy("series", "frame_no").agg(ordered.alias("a"))
+    rows = held.mapInArrow(_rfft, f"series {kinds['series']}, frame_no {kinds['frame_no']}, p array<double>")
+    return rows.select("series", "frame_no", F.posexplode("p").alias("k", "x")).select("series", "frame_no", "k", F.round("x", 3).alias("magnitude"))
 
 
 def sine_series(params: DataFrame, length: int) -> DataFrame:

@@ -12,6 +12,12 @@ from cuebase.sources.shared import materialise, shared_folder
 from cuebase.streaming import commands as J
 
 HOURS = 3600.0
+
+
+def _value(x):
+    return F.floor(x * 64)
+
+
 WORDS = """wd AS (SELECT * FROM (SELECT device, event_id, lag(byte) OVER (PARTITION BY device ORDER BY ts, event_id) AS before, byte FROM port) WHERE before IS NOT NULL)"""
 CLASS = """CASE WHEN {0} = 21930 THEN 'master volume' WHEN {0} BETWEEN 21931 AND 21938 THEN 'channel volume' WHEN {0} BETWEEN 21946 AND 21953 THEN 'control'
   WHEN {0} IN (21954, 21955) THEN 'version query' WHEN {0} BETWEEN 21939 AND 21945 OR {0} >= 32768 THEN 'discarded' ELSE 'track' END"""
@@ -49,16 +55,55 @@ def _(v):
     return J.reply_rules(J.words(v.port), rules)
 
 
-@query("j5_boot_window", """
+BOOT = """
   WITH b AS (SELECT user_id AS device, ts, event_id, CASE event_type WHEN 'signup' THEN 0 ELSE 1 END AS kind FROM events),
   r AS (SELECT r.device, r.event_id AS reset_id, r.ts, (SELECT min(struct_pack(ts := x.ts, event_id := x.event_id)) FROM b x WHERE x.kind = 1 AND x.device = r.device AND x.ts >= r.ts) AS f FROM b r WHERE r.kind = 0)
-  SELECT device, reset_id, f.event_id AS byte_id FROM r WHERE f IS NOT NULL AND epoch_us(f.ts) - epoch_us(ts) <= 21600000000""")
+  SELECT device, reset_id, f.event_id AS byte_id FROM r WHERE f IS NOT NULL AND epoch_us(f.ts) - epoch_us(ts) <= 21600000000"""
+
+
+@query("j5_boot_window", BOOT)
 def _(v):
     reset = F.col("event_type") == "signup"
     rows = v.events.select(F.col("user_id").alias("device"), "ts", "event_id", "event_type")
     return J.boot_window(rows.where(~reset), rows.where(reset), 6 * HOURS)
 
 
+@query("j5_boot_window_stream", BOOT)
+def _(v):
+    rows = port_stream(v).select("device", "ts", "event_id", F.when(F.col("event_type") == "signup", "reset").otherwise("byte").alias("kind"))
+    return J.run_available(J.boot_stream(rows, 6 * HOURS))
+
+
+CLOSED = "(SELECT max(epoch_us(ts)) - 3600000000 FROM events)"
+
+
+def timed(v):
+    """The events as a stream of samples with a watermark of an hour: windows that end before it are final."""
+    rows = port_stream(v).select("device", "event_id", F.col("ts").cast("timestamp").alias("ts"), _value(F.col("value")).cast("int").alias("pcm"))
+    return rows.withWatermark("ts", "1 hour")
+
+
+@query("j6_sessions_stream", f"""
+  WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts, event_id)) < 21600000000 THEN 0 ELSE 1 END AS new FROM port),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts, event_id) AS session FROM g)
+  SELECT device, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n, min(event_id) AS first_id FROM s GROUP BY device, session HAVING epoch_us(max(ts)) + 21600000000 <= {CLOSED}""")
+def _(v):
+    return J.run_available(J.sessions(timed(v), "6 hours"))
+
+
+@query("j7_frame_windows_stream", f"""
+  SELECT epoch_us(ts) // 86400000000 * 86400 AS start, count(*) AS n, sum(pcm)::BIGINT AS total FROM sample GROUP BY 1 HAVING (start + 86400) * 1000000 <= {CLOSED}""")
+def _(v):
+    return J.run_available(J.windows(timed(v), "1 day"))
+
+
+@query("j8_overlap_windows_stream", f"""
+  SELECT (epoch_us(ts) // 21600000000 - k) * 21600 AS start, count(*) AS n, sum(pcm)::BIGINT AS total FROM sample, range(0, 2) t(k)
+  WHERE epoch_us(ts) < ((epoch_us(ts) // 21600000000 - k) * 21600 + 28800) * 1000000 GROUP BY 1 HAVING (start + 28800) * 1000000 <= {CLOSED}""")
+def _(v):
+    return J.run_available(J.windows(timed(v), "8 hours", "6 hours"))
+
+
 @query("j6_sessions", """
   WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts, event_id)) < 21600000000 THEN 0 ELSE 1 END AS new FROM port),
   s AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts, event_id) AS session FROM g)
@@ -79,21 +124,20 @@ def _(v):
     return J.windows(v.sample, "8 hours", "6 hours")
 
 
-def _value(e):
-    return F.floor(F.col("value") * 64)
-
-
 @query("j9_live_compare", "SELECT event_id AS key, floor(value * 64)::BIGINT AS a, floor(value * 64)::BIGINT + 1 AS b FROM events WHERE event_id % 97 < 5")
 def _(v):
     left, right = port_stream(v), port_stream(v)
-    changed = _value(right) + F.when(F.col("event_id") % 97 < 5, 1).otherwise(0)
-    return J.run_available(J.live_compare(left.select(F.col("event_id").alias("key"), "ts", _value(left).alias("value")), right.select(F.col("event_id").alias("key"), "ts", changed.alias("value")), "30 days"))
+    changed = _value(F.col("value")) + F.when(F.col("event_id") % 97 < 5, 1).otherwise(0)
+    return J.run_available(J.live_compare(left.select(F.col("event_id").alias("key"), "ts", _value(F.col("value")).alias("value")), right.select(F.col("event_id").alias("key"), "ts", changed.alias("value")), "30 days"))
 
 
-@query("j10_live_runs")
+@query("j10_live_runs", """
+  WITH d AS (SELECT user_id AS series, event_id AS idx, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events WHERE event_id % 97 < 5),
+  r AS (SELECT series, min(idx) AS first, count(*) AS n FROM d GROUP BY series, island), m(length) AS (SELECT unnest([10, 50, 100]) UNION ALL SELECT k * 1000 FROM range(1, 1000) t(k))
+  SELECT series, 'run' AS kind, first, n FROM r UNION ALL SELECT series, 'alert', first, length FROM r JOIN m ON length <= n""")
 def _(v):
     rows = port_stream(v).select(F.col("device").alias("series"), F.col("event_id").alias("idx"), (F.col("event_id") % 97 < 5).alias("differs"))
-    return J.run_available(J.live_runs(rows))
+    return J.settled_runs(J.run_available(J.live_runs(rows)))
 
 
 @query("j11_recent_ring", """
@@ -124,6 +168,16 @@ def _(v):
     return images.select(F.regexp_extract("set_id", "[^/]*$", 0).alias("set"), "file_no", "name", "size", F.sha2("content", 256).alias("sha256"))
 
 
+@query("a7_write_extracts", "SELECT doc_id || '.raw' AS name, (coalesce(octet_length(encode(text)), 0) + 36)::BIGINT AS size, sha256(coalesce(text, '')) AS payload_sha256 FROM documents")
+def _(v):
+    """One file for each text under the shared folder, read back."""
+    folder = f"{shared_folder(v.spark)}/extracts-{uuid.uuid4().hex}"
+    texts = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    archives.write_extracts(v.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".raw")).alias("name"), F.lit(0x94).alias("version"), texts.alias("payload")), folder)
+    files = v.spark.read.format("binaryFile").load(folder)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2(F.expr("substring(content, 37)"), 256).alias("payload_sha256"))
+
+
 @query("a5_explode_programs")
 def _(v):
     return archives.explode_programs(v.documents, "doc_id", "text")

@@ -93,18 +93,22 @@ def _(v):
 
 
 @query("h3_track_time", """
-  WITH RECURSIVE r AS (
-    SELECT track_no, seq AS pos, 0::BIGINT AS total, []::BIGINT[] AS stack, 1::BIGINT AS times, false AS done FROM instr WHERE seq = 0
+  WITH RECURSIVE s AS (SELECT track_no, seq, opcode, repeat_n, CASE WHEN wait = 50 THEN 65535 ELSE wait END AS wait, CASE WHEN opcode = 1 AND repeat_n = 0 THEN coalesce(n_frames, 0) ELSE 0 END::BIGINT AS held
+      FROM instr LEFT JOIN stream USING (addr)),
+  r AS (
+    SELECT track_no, seq AS pos, 0::BIGINT AS total, []::BIGINT[] AS stack, 1::BIGINT AS times, false AS done, false AS endless, [0::BIGINT] AS held FROM s WHERE seq = 0
     UNION ALL
     SELECT r.track_no, r.pos + 1,
-      CASE WHEN r.done THEN r.total ELSE r.total + i.wait * r.times END,
-      CASE WHEN i.opcode = 14 THEN list_append(r.stack, i.repeat_n::BIGINT) WHEN i.opcode = 15 AND len(r.stack) > 0 THEN r.stack[1:len(r.stack) - 1] ELSE r.stack END,
+      CASE WHEN r.done THEN r.total ELSE r.total + CASE WHEN i.wait = 65535 THEN r.held[-1] ELSE i.wait END * r.times END,
+      CASE WHEN r.done OR i.wait = 65535 THEN r.stack WHEN i.opcode = 14 THEN list_append(r.stack, i.repeat_n::BIGINT) WHEN i.opcode = 15 AND len(r.stack) > 0 THEN r.stack[1:len(r.stack) - 1] ELSE r.stack END,
       CASE WHEN i.opcode = 14 THEN r.times * greatest(i.repeat_n, 1) WHEN i.opcode = 15 AND len(r.stack) > 0 THEN r.times // greatest(r.stack[-1], 1) ELSE r.times END,
-      r.done OR i.opcode = 0 OR (i.opcode = 15 AND len(r.stack) > 0 AND r.stack[-1] = 0)
-    FROM r JOIN instr i ON i.track_no = r.track_no AND i.seq = r.pos)
-  SELECT track_no, max_by(total, pos) AS frames FROM r GROUP BY track_no""")
+      r.done OR i.wait = 65535 OR i.opcode = 0 OR (i.opcode = 15 AND len(r.stack) > 0 AND r.stack[-1] = 0),
+      r.endless OR (NOT r.done AND (i.wait = 65535 OR (i.opcode = 15 AND len(r.stack) > 0 AND r.stack[-1] = 0))),
+      CASE WHEN i.opcode = 14 THEN list_append(r.held, 0::BIGINT) WHEN i.opcode = 15 AND len(r.stack) > 0 THEN r.held[1:len(r.held) - 1] WHEN i.opcode = 1 THEN list_append(r.held[1:len(r.held) - 1], i.held) ELSE r.held END
+    FROM r JOIN s i ON i.track_no = r.track_no AND i.seq = r.pos)
+  SELECT track_no, max_by(total, pos) AS frames, max_by(endless OR list_contains(stack, 0), pos) AS looping FROM r GROUP BY track_no""")
 def _(v):
-    return programs.track_time(v.instr)
+    return programs.track_time(v.instr.withColumn("wait", F.when(F.col("wait") == 50, programs.ENDLESS_WAIT).otherwise(F.col("wait"))), v.stream)
 
 
 @query("h4_timeline")

@@ -89,11 +89,12 @@ def _(v):
 
 
 @query("c22_timewarp_resample", """
-  WITH n AS (SELECT series, idx, pcm, coalesce(lead(pcm) OVER w, pcm) AS next, CASE WHEN idx >= 40 THEN 700 WHEN idx >= 20 THEN 1500 ELSE 1000 END AS ratio FROM sample WINDOW w AS (PARTITION BY series ORDER BY idx)),
+  WITH n AS (SELECT series, idx, pcm, coalesce(lead(pcm) OVER w, pcm) AS next, CASE WHEN idx >= 40 + series % 3 THEN 700 WHEN idx >= 20 THEN 1500 ELSE 1000 END AS ratio FROM sample WINDOW w AS (PARTITION BY series ORDER BY idx)),
   p AS (SELECT *, coalesce(sum(ratio) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)
   SELECT series, k AS idx, round(pcm + ((k * 1000 - start)::DOUBLE / ratio::DOUBLE) * (next - pcm), 6) AS x FROM p, unnest(range((start + 999) // 1000, (start + ratio + 999) // 1000)) x(k)""")
 def _(v):
-    return S.timewarp_resample(v.sample, [(0, 1000), (20, 1500), (40, 700)])
+    at = F.explode(F.expr("array(struct(0L AS from_idx, 1000 AS ratio), struct(20L AS from_idx, 1500 AS ratio), struct(40 + series % 3 AS from_idx, 700 AS ratio))"))
+    return S.timewarp_resample(v.sample, v.sample.select("series").distinct().withColumn("e", at).select("series", "e.from_idx", "e.ratio"))
 
 
 @query("d29_length_check", f"""
@@ -111,7 +112,8 @@ def _(v):
 @query("d28_quality_gate", """
   WITH m AS (SELECT series, count(*) AS n, max(abs(pcm))::DOUBLE / 32768.0::DOUBLE AS peak, round(avg(pcm::DOUBLE), 6) AS figure FROM sample GROUP BY series),
   c AS (SELECT series, 65 + series % 9 AS want_n, 0.97::DOUBLE AS want_peak, 3000.0::DOUBLE AS least FROM (SELECT DISTINCT series FROM sample))
-  SELECT series, CASE WHEN abs(n - want_n) <= 4 AND abs(peak - want_peak) <= 0.01::DOUBLE AND figure >= least THEN 'pass' ELSE 'fail' END AS verdict, figure FROM m JOIN c USING (series)""")
+  SELECT series, verdict, figure, min(figure) OVER (PARTITION BY verdict) AS worst
+  FROM (SELECT series, CASE WHEN abs(n - want_n) <= 4 AND abs(peak - want_peak) <= 0.01::DOUBLE AND figure >= least THEN 'pass' ELSE 'fail' END AS verdict, figure FROM m JOIN c USING (series))""")
 def _(v):
     measured = v.sample.groupBy("series").agg(F.count("*").alias("n"), (F.max(F.abs("pcm")).cast("double") / 32768.0).alias("peak"), F.round(F.avg(F.col("pcm").cast("double")), 6).alias("figure"))
     cases = v.sample.select("series").distinct().select("series", (65 + F.col("series") % 9).alias("want_n"), C.b(0.97).alias("want_peak"), C.b(3000.0).alias("least"))
@@ -143,7 +145,9 @@ def _(v):
     return S.spectrum(S.cut_frames(v.sample, SIZE, HOP), SIZE)
 
 
-@query("h6_spectrum_fast")
+@query("h6_spectrum_fast", f"""
+  WITH {CUT}, w AS (SELECT series, frame_no, k::INT AS k, sum(pcm * cos({2 * math.pi!r}::DOUBLE * k * pos / {SIZE})) AS re, sum(pcm * sin({2 * math.pi!r}::DOUBLE * k * pos / {SIZE})) AS im FROM cf, range(0, {SIZE // 2 + 1}) t(k) GROUP BY ALL)
+  SELECT series, frame_no, k, round(sqrt(re * re + im * im), 3) AS magnitude FROM w""")
 def _(v):
     return S.spectrum_fast(S.cut_frames(v.sample, SIZE, HOP))
 

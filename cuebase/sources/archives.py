@@ -45,6 +45,8 @@ def write_sets(rows: DataFrame, path: str, most_files: int = 500, most_bytes: in
     Each task cuts its own rows into groups, so no row is shuffled; null data is an empty file.
     """
     folder = path.removeprefix("file://")
+    if "://" in folder:
+        raise ValueError("archives are written as files: give a mounted folder that all executors share")
 
     def put(name, files):
         os.makedirs(folder, exist_ok=True)
@@ -167,6 +169,8 @@ class ExtractWriter(DataSourceWriter):
 
 
 def write_extracts(extracts: DataFrame, path: str, form: str = "raw") -> None:
-    """extracts (name, version, payload), to a folder that all executors share."""
+    """extracts (name, version, payload), to a folder that all executors share and have mounted."""
+    if "://" in path.removeprefix("file://"):
+        raise ValueError("extracts are written as files: give a mounted folder that all executors share")
     extracts.sparkSession.dataSource.register(ExtractSource)
     extracts.select("name", F.col("version").cast("int").alias("version"), F.col("payload").cast("binary").alias("payload")).write.format("extracts").mode("append").option("path", path).option("form", form).save()

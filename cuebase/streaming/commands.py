@@ -73,16 +73,24 @@ def frame_commands(port: DataFrame, timeout: float) -> DataFrame:
 
 
 def frame_commands_stream(port: DataFrame, timeout: float) -> DataFrame:
-    """The same for a streaming port; one small state per device."""
+    """The same for a streaming port; one small state per device, which goes when the watermark passes its quiet time: then framing starts afresh anyway."""
+    names = ["device", "event_id", "word", "value"]
+
     def step(key, batches, state: GroupState):
         rows = [r for pdf in batches for r in zip(pdf["ts"].astype("int64") / 10 ** (9 if pdf["ts"].dtype == "datetime64[ns]" else 6), pdf["event_id"], pdf["byte"], strict=True)]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
         rows.sort()
         now = tuple(state.get) if state.exists else (0, 0, 0, float("-inf"))
         now, found = frame_bytes(now, rows, timeout)
         state.update(tuple(now))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=["device", "event_id", "word", "value"]).astype({"value": "Int32"})
+        state.setTimeoutTimestamp(max(int((now[3] + timeout) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *x) for x in found], columns=names).astype({"value": "Int32"})
 
-    return port.groupBy("device").applyInPandasWithState(step, OUT, "held int, word int, first int, last double", "append", GroupStateTimeout.NoTimeout)
+    timed = port.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(timeout)} seconds")
+    return timed.groupBy("device").applyInPandasWithState(step, OUT, "held int, word int, first int, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def classify(word: Column) -> Column:
@@ -168,15 +176,18 @@ def write_replies(replies: DataFrame) -> DataFrame:
 
 
 def live_compare(a: DataFrame, b: DataFrame, length: str) -> DataFrame:
-    """Streams (key, ts, value): samples of both sides aligned by key within a watermark, those that differ."""
+    """Streams (key, ts, value): samples of both sides aligned by key, those that differ or that one side lacks when the watermark passes."""
     left = a.select("key", F.col("ts").cast("timestamp").alias("ts_a"), F.col("value").alias("a")).withWatermark("ts_a", length)
     right = b.select(F.col("key").alias("key_b"), F.col("ts").cast("timestamp").alias("ts_b"), F.col("value").alias("b")).withWatermark("ts_b", length)
-    joined = left.join(right, F.expr("key = key_b AND ts_a = ts_b"), "inner")
-    return joined.where("a <> b").select("key", "a", "b")
+    joined = left.join(right, F.expr("key = key_b AND ts_a = ts_b"), "full_outer")
+    return joined.where("not (a <=> b)").select(F.coalesce("key", "key_b").alias("key"), "a", "b")
 
 
 def live_runs(rows: DataFrame, alerts: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
-    """Stream (series, idx, differs): closed runs of differing positions, and alerts inside open ones."""
+    """Stream (series, idx, differs): closed runs of differing positions, alerts inside open ones, and the run still open after each batch.
+
+    settled_runs() turns what the stream has given so far into one row for each run.
+    """
     out = "series long, kind string, first long, n long"
 
     def step(key, batches, state: GroupState):
@@ -191,12 +202,48 @@ def live_runs(rows: DataFrame, alerts: tuple[int, ...] = (10, 50, 100)) -> DataF
                 first, n = (idx, 1) if differs else (-1, 0)
             if differs and (n in alerts or n % 1000 == 0):
                 found.append((key[0], "alert", first, n))
+        if first >= 0:
+            found.append((key[0], "open", first, n))
         state.update((int(first), int(n)))
         yield pd.DataFrame(found, columns=["series", "kind", "first", "n"])
 
     return rows.groupBy("series").applyInPandasWithState(step, out, "first long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def settled_runs(found: DataFrame) -> DataFrame:
+    """Every run once, at its greatest length so far, and the alerts."""
+    runs = found.where("kind <> 'alert'").groupBy("series", "first").agg(F.max("n").alias("n")).select("series", F.lit("run").alias("kind"), "first", "n")
+    return runs.unionByName(found.where("kind = 'alert'"))
+
+
+def boot_stream(rows: DataFrame, within: float) -> DataFrame:
+    """Stream (device, ts, event_id, kind reset or byte): the first byte within the window after each reset.
+
+    Resets wait in the device's state until a byte comes, or until the watermark passes their window.
+    """
+    out = "device long, reset_id long, byte_id long"
+
+    def step(key, batches, state: GroupState):
+        waiting = list(zip(*state.get, strict=True)) if state.exists and not state.hasTimedOut else []
+        found = []
+        unit = 1e6
+        for at, order, event in sorted((t.value / 1e3 if hasattr(t, "value") else t, k == "byte", e) for pdf in batches for t, k, e in zip(pdf["ts"], pdf["kind"], pdf["event_id"], strict=True)):
+            if order:
+                found += [(key[0], r, event) for r, since in waiting if at - since <= within * unit]
+                waiting = []
+            else:
+                waiting.append((int(event), float(at)))
+        if waiting:
+            state.update(([r for r, _ in waiting], [t for _, t in waiting]))
+            state.setTimeoutTimestamp(max(int((waiting[-1][1] + within * unit) / 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=["device", "reset_id", "byte_id"])
+
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(within)} seconds")
+    return timed.groupBy("device").applyInPandasWithState(step, out, "reset array<long>, since array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def recent_ring(rows: DataFrame, most: int = 16) -> DataFrame:
     """Stream (device, at, byte, differs): at each difference the latest `most` bytes since the one before."""
     out = "device long, diff_at long, at long, byte int, back int"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import struct
 import zipfile
@@ -20,6 +19,9 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+rows_of = rows
+
+
 def test_framing_stream_equals_batch(spark, data):
     v = Views(spark, data)
     batch = J.frame_commands(v.port, 6 * 3600.0)
@@ -42,8 +44,19 @@ def test_live_runs_equal_batch(spark, data):
     marked = v.events.where("event_id % 97 < 5").select(F.col("user_id").alias("series"), F.col("event_id").alias("idx"))
     batch = {(r.series, r["first"], r.n) for r in validate.diff_runs(marked).collect()}
     stream = J.read_port(spark, f"{data}/events.parquet").select(F.col("device").alias("series"), F.col("event_id").alias("idx"), (F.col("event_id") % 97 < 5).alias("differs"))
-    closed = {(r.series, r["first"], r.n) for r in J.run_available(J.live_runs(stream)).where("kind = 'run'").collect()}
-    assert closed <= batch and len(batch - closed) <= len({s for s, _, _ in batch})
+    live = J.run_available(J.live_runs(stream))
+    assert {(r.series, r["first"], r.n) for r in J.settled_runs(live).where("kind = 'run'").collect()} == batch
+
+
+def test_live_compare_keeps_one_sided_samples(spark, tmp_path):
+    """A sample of one side only is reported when the watermark has passed it, with a null for the other."""
+    rows = lambda *keys: [(k, 3600 * k, 10 * k) for k in keys]
+    for side, keys in (("a", (1, 2, 4, 200)), ("b", (1, 3, 4, 200))):
+        df = spark.createDataFrame(rows(*keys), "key long, at long, value long").select("key", F.timestamp_seconds("at").alias("ts"), F.when((F.col("key") == 4) & F.lit(side == "b"), 41).otherwise(F.col("value")).alias("value"))
+        df.write.parquet(str(tmp_path / side))
+    read = lambda side: spark.readStream.schema("key long, ts timestamp, value long").parquet(str(tmp_path / side))
+    got = J.run_available(J.live_compare(read("a"), read("b"), "1 hour")).fillna(-1)
+    assert rows_of(got, "key", "a", "b") == [(2, 20, -1), (3, -1, 30), (4, 40, 41)]
 
 
 def test_nesting_clamps_and_times(spark):
@@ -60,6 +73,41 @@ def test_timeline_plays_loops_out(spark):
     assert rows(programs.timeline(df, 100), "frame", "seq") == sorted([(0, 0), (10, 1), (10, 2), (20, 1), (20, 2), (25, 3)])
 
 
+def test_timeline_has_no_cap(spark):
+    """An endless loop is played to the horizon; one that takes no time ends after its first pass."""
+    ops = [(1, 0, 14, 0, 0), (1, 1, 13, 1, 1), (1, 2, 15, 0, 0), (2, 0, 14, 3, 0), (2, 1, 13, 0, 1), (2, 2, 15, 0, 0), (2, 3, 13, 9, 0)]
+    df = spark.createDataFrame(ops, "track_no long, seq long, opcode int, wait int, repeat_n int")
+    got = programs.timeline(df, 120_000).groupBy("track_no").agg(F.count("*").alias("n"), F.max("frame").alias("last"))
+    assert rows(got, "track_no", "n", "last") == [(1, 240_001, 120_000), (2, 3, 3)]
+
+
+def test_endless_waits_last_as_long_as_their_stream(spark):
+    ops = [(1, 0, 1, 5, 0, 7), (1, 1, 14, 2, 3, 0), (1, 2, 1, 1, 0, 8), (1, 3, 13, 65535, 0, 0), (1, 4, 13, 9, 0, 0), (2, 0, 1, 4, 0, 7), (2, 1, 14, 0, 2, 0), (2, 2, 15, 1, 0, 0), (2, 3, 13, 65535, 0, 0), (3, 0, 14, 2, 0, 0), (3, 1, 15, 3, 0, 0), (3, 2, 13, 50, 0, 0), (4, 0, 1, 4, 1, 7), (4, 1, 13, 65535, 0, 0)]
+    df = spark.createDataFrame(ops, "track_no long, seq long, opcode int, wait int, repeat_n int, addr long")
+    streams = spark.createDataFrame([(7, 100), (8, 20)], "addr long, n_frames int")
+    # 5 + 2 + 3 passes of 1 and stream 8; 4 + 2 passes of 1 + stream 7; an endless loop counts once; no endless stream: no time
+    assert rows(programs.track_time(df, streams), "track_no", "frames", "looping") == [(1, 70, True), (2, 106, True), (3, 5, True), (4, 4, True)]
+
+
+def test_images_are_told_apart(spark):
+    """Catalog by its own size, chip 0 and checksum 0; version by place and code; only FF slots are empty."""
+    def image(size, at, units, chip=0, check=0, code=()):
+        raw = bytearray(size)
+        raw[at : at + 6] = struct.pack(">HHH", units, chip, check)
+        for place, text in code:
+            raw[place : place + len(bytes.fromhex(text))] = bytes.fromhex(text)
+        return raw.hex().upper()
+
+    files = [(1, image(0x8000, 0x3000, 8)), (2, image(0x8000, 0x4000, 8, code=[(0x1408, "3800263C10050C00C0")])), (3, image(0x8000, 0x6000, 8)), (4, image(0x8000, 0x3000, 7)), (5, image(0x8000, 0x3000, 8, check=1)), (6, "00")]
+    files.append((7, image(0x8000, 0x4000, 8, code=[(0x1408, "3800263C10050C00C0"), (0x2804, "47FFF247C946")])))
+    df = spark.createDataFrame(files, "doc_id int, h string")
+    found = df.join(layout.locate_catalog(df, [0x3000, 0x4000, 0x6000]), "doc_id")
+    got = {r.doc_id: (r.hardware, r.version) for r in layout.infer_version(found).collect()}
+    assert got == {1: (1993, "1994"), 2: (1993, "1993b"), 3: (1995, "1995"), 4: (None, None), 5: (None, None), 6: (None, None), 7: (1993, "1993a")}
+    index = layout.read_track_index(spark.createDataFrame([(1, "C50000FF0000000010AB")], "doc_id int, h string"))
+    assert rows(index, "slot", "addr") == [(0, 0xC50000), (2, 16)]
+
+
 def test_pcm_round_trip(spark):
     df = spark.range(-32768, 32768).select(F.col("id").cast("int").alias("x"))
     assert df.where(S.float_to_pcm(S.pcm_to_float(F.col("x"))) != F.col("x")).count() == 0
@@ -100,7 +148,12 @@ def test_peaks_and_snr(spark):
     spec = spark.createDataFrame([(0, 0, k, x) for k, x in enumerate([0, 1000, 10, 100, 5, 1, 0])], "stream int, frame_no int, k int, x int")
     assert rows(spectrum.local_peaks(spec), "k") == [(1,), (3,)]
     assert abs(spectrum.snr(spec).first().snr - 20.0) < 1e-4
-    assert all(r.x >= 0 and not math.isnan(r.x) for r in spectrum.smooth_troughs(spec).collect())
+    smooth = lambda *x: [r.x for r in spectrum.smooth_troughs(spark.createDataFrame([(0, 0, k, v) for k, v in enumerate(x)], "stream int, frame_no int, k int, x int")).orderBy("k").collect()]
+    # only the gap between neighbouring peaks is filled, from the smaller one
+    assert smooth(0, 1000, 0, 10, 0, 1000, 0) == [0, 1000, 9.99, 10, 9.99, 1000, 0]
+    got = smooth(7, 3, 500, 1, 2, 400, 9, 8)
+    assert all(abs(a - b) < 1e-5 for a, b in zip(got, [7, 3, 500, 0.999**2 * 400, 0.999 * 400, 400, 9, 8], strict=True))
+    assert smooth(1, 2, 3) == [1, 2, 3]
 
 
 def test_overlay_and_symbols(spark):
