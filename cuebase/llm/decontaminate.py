@@ -125,6 +125,8 @@ class Index:
         self.entry_bound = np.maximum.reduceat(self.post_impact, self.entry_start) if own else self.post_impact
         self.first = np.searchsorted(self.entry_key, np.arange(size + 1) * self.blocks)
         self.top = np.maximum.reduceat(self.entry_bound, self.first[:-1]).astype(np.float64) if size else np.empty(0)
+        self.by_top = np.argsort(-self.top, kind="stable")  # words by their largest impact, and each word's place among them
+        self.rank = np.argsort(self.by_top)
         self.maybe = np.zeros(1 << 20, dtype=bool)  # a cheap first look at a word's low bits
         self.maybe[self.vocabulary & U64((1 << 20) - 1)] = True
         self.stride = max(LEAST_STRIDE, stride)
@@ -145,10 +147,8 @@ class Index:
 
 
 def scored(index: Index, window: np.ndarray, term: np.ndarray, threshold: float):
-    """(window, item, score) of the pairs that reach the threshold; distinct (window, term) pairs, ordered by window."""
+    """(window, item, score) of the pairs that reach the threshold; distinct (window, term) pairs, by window and then by falling impact."""
     top = index.top[term]
-    order = np.lexsort((-top, window))
-    window, term, top = window[order], term[order], top[order]
     cut = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
     end = np.r_[cut[1:], len(window)]
     sums = np.r_[0.0, np.cumsum(top)]
@@ -163,17 +163,18 @@ def scored(index: Index, window: np.ndarray, term: np.ndarray, threshold: float)
     lo = 0
     while lo < len(cut):
         # as many windows at a time as keep the work arrays small, one at least
-        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS_MOST, side="right")))
+        hi = min(int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS_MOST, side="right")), lo + CELLS_MOST // index.blocks)
+        hi = max(lo + 1, hi)
         at = expand(cut[lo:hi], pivot[lo:hi] - cut[lo:hi])
         reach = index.first[term[at] + 1] - index.first[term[at]]
         entry = expand(index.first[term[at]], reach)
-        rank = np.repeat(np.repeat(np.arange(lo, hi), pivot[lo:hi] - cut[lo:hi]), reach)
-        cells, of = np.unique(rank * index.blocks + index.entry_key[entry] % index.blocks, return_inverse=True)
-        bound = np.bincount(of, index.entry_bound[entry], minlength=len(cells))
-        keep = bound + light[cells // index.blocks] >= threshold - SLACK
-        new = np.cumsum(keep) - 1
-        entry, of = entry[keep[of]], new[of[keep[of]]]
-        cells, bound = cells[keep], bound[keep]
+        rank = np.repeat(np.repeat(np.arange(hi - lo), pivot[lo:hi] - cut[lo:hi]), reach)
+        of = rank * index.blocks + index.entry_key[entry] % index.blocks
+        bound = np.bincount(of, index.entry_bound[entry], minlength=(hi - lo) * index.blocks)
+        keep = (bound > 0) & (bound + np.repeat(light[lo:hi], index.blocks) >= threshold - SLACK)
+        cells, inside = np.flatnonzero(keep), keep[of]
+        entry, of, bound = entry[inside], (np.cumsum(keep) - 1)[of[inside]], bound[cells]
+        cells += lo * index.blocks
         by = np.argsort(of, kind="stable")
         entry, of = entry[by], of[by]
         later = (end - pivot)[cells // index.blocks]
@@ -214,7 +215,7 @@ def search(indexes, threshold: float, question_least: float, answer_least: float
         term[term == len(index.vocabulary)] = 0
         known = index.vocabulary[term] == codes[hit]
         hit, term = hit[known], term[known]
-        owner = text[hit]
+        owner, term = text[hit], index.rank[term]
         seg = base[owner] + (hit - first[owner]) // s
         # window w holds segments w and w + 1 of one text
         back = seg > base[owner]
@@ -224,7 +225,7 @@ def search(indexes, threshold: float, question_least: float, answer_least: float
         keys.sort()
         keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
         found = {}
-        for top, item, score in scored(index, keys // size, keys % size, threshold):
+        for top, item, score in scored(index, keys // size, index.by_top[keys % size], threshold):
             t = int(np.searchsorted(base, top, side="right") - 1)
             begin = first[t] + (top - base[t]) * s
             own = codes[begin : min(begin + 2 * s, first[t + 1])]
