@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Most rows that Spark hands to Python at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -215,8 +215,7 @@ def _checked(width: int, percent: int):
     """Keep the pairs (a, b) whose texts link."""
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.slice(lo, 64)
+            for part in slices(batch, "ta"):
                 left, right = (shingle_sets(*text_buffer(part.column(k)), width) for k in (2, 3))
                 ok = []
                 for x, y in zip(left, right, strict=True):
