@@ -4,7 +4,8 @@ Each source gets a mean repetition rate: its target share of the output bytes ov
 the bytes that it has.  A document's count is drawn by inverting the Poisson
 distribution with that mean at a uniform number that hashes seed and document;
 the document is exploded by its count, and the copies are put into one global
-pseudo-random order.  All steps are DataFrame functions.
+pseudo-random order: that of a digest, whose leading bits name the partition, so that counts
+are drawn in one pass.  All steps are DataFrame functions.
 
 The distribution is tabulated once for each source.  Rates above PART_MOST are
 drawn as a sum of independent parts (Poisson counts add), so that no probability
@@ -83,7 +84,11 @@ def poisson_copies(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id",
     drawn = joined.select("row", "name", "rate", count.alias("copies")).where("copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("copy").cast("string"), F.col("name")))
-    return copies.select("row", "rate", "copies", "copy", key.alias("shuffle_key")).orderBy("shuffle_key", "copy")
+    keyed = copies.select("row", "rate", "copies", "copy", key.alias("shuffle_key"))
+    # keys are digests, so equal ranges of their first 32 bits hold about equally many: no sample has to find the borders
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    return keyed.repartitionById(n, F.shiftright(first * n, 32).cast("int")).sortWithinPartitions("shuffle_key", "copy")
 
 
 def poisson_mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, budget: float | None = None) -> DataFrame:
