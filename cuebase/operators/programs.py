@@ -73,12 +73,17 @@ def unmatched_ends(instr: DataFrame) -> DataFrame:
 def schedule(times: DataFrame, width: int = 4096) -> DataFrame:
     """times (track_no, time): start frame of each track, after all before it plus a frame each.
 
-    The running sum has two levels, blocks of track numbers and the tracks of a block, so no task sees all rows.
+    The running sum has three levels: the tracks of a block, the blocks of a group, and the groups.  Only the last is
+    one task's, with a row for each width * width track numbers.
     """
+    def earlier(col, w):
+        return F.coalesce(F.sum(col).over(before(w)), F.lit(0))
+
     rows = times.withColumn("block", F.expr(f"track_no div {width}"))
-    blocks = rows.groupBy("block").agg(F.sum(F.col("time") + 1).alias("n"))
-    base = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.coalesce(F.sum(F.col("time") + 1).over(Window.partitionBy("block").orderBy("track_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("block").agg(F.sum(F.col("time") + 1).alias("n")).withColumn("group", F.expr(f"block div {width}"))
+    groups = blocks.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier("n", Window.orderBy("group")).alias("top"))
+    base = blocks.withColumn("base", earlier("n", Window.partitionBy("group").orderBy("block"))).join(groups, "group").select("block", (F.col("base") + F.col("top")).alias("base"))
+    inside = earlier(F.col("time") + 1, Window.partitionBy("block").orderBy("track_no"))
     return rows.withColumn("inside", inside).join(base, "block").select("track_no", "time", (F.col("base") + F.col("inside")).cast("bigint").alias("start"))
 
 

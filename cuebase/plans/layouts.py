@@ -227,13 +227,29 @@ def builds(v):
     return items(v).select(F.concat_ws("/", "image", F.expr(f"item div {BUILD_KEYS}")).alias("build"), "item", "size")
 
 
-@query("h5_pack_best_fit")
+PACKED = f"""
+  WITH RECURSIVE i AS ({ITEMS}),
+  o AS (SELECT image || '/' || item // {BUILD_KEYS} AS build, item, size FROM i), q AS (SELECT *, row_number() OVER (PARTITION BY build ORDER BY size DESC, item) AS k FROM o),
+  r AS (
+    SELECT build, 0::BIGINT AS k, 0::BIGINT AS item, 0::BIGINT AS size, NULL::INT AS image, []::BIGINT[] AS free FROM q WHERE k = 1
+    UNION ALL
+    SELECT build, k, item, size, CASE WHEN best IS NOT NULL THEN list_position(free, best) - 1 WHEN opens THEN len(free) END::INT,
+      CASE WHEN best IS NOT NULL THEN list_concat(list_append(free[1:list_position(free, best) - 1], best - size), free[list_position(free, best) + 1:len(free)])
+        WHEN opens THEN list_append(free, 150000 - size) ELSE free END
+    FROM (SELECT q.*, r.free, list_min([x FOR x IN r.free IF x >= q.size]) AS best, len(r.free) < 8 AND q.size <= 150000 AS opens FROM r JOIN q ON q.build = r.build AND q.k = r.k + 1)),
+  packed AS (SELECT build, item, size, image, CASE WHEN image IS NULL THEN 'no room' END AS problem FROM r WHERE k > 0)"""
+
+
+@query("h5_pack_best_fit", f"{PACKED} SELECT * FROM packed")
 def _(v):
     return L.pack_best_fit(builds(v), 150_000)
 
 
 @query("h5_pack_invariants", f"""
-  WITH i AS ({ITEMS}) SELECT image AS build, count(*) AS items, sum(size)::BIGINT AS bytes, true AS once, true AS fits FROM i GROUP BY image""")
+  {PACKED}, b AS (SELECT split_part(build, '/', 1) AS brand, * FROM packed),
+  f AS (SELECT brand, build, image, sum(size) AS n FROM b WHERE image IS NOT NULL GROUP BY ALL), m AS (SELECT brand, max(n) <= 150000 AS fits FROM f GROUP BY brand),
+  w AS (SELECT brand, count(*) AS items, sum(size)::BIGINT AS bytes, count(DISTINCT item) = count(*) AS once FROM b GROUP BY brand)
+  SELECT brand AS build, items, bytes, once, coalesce(fits, true) AS fits FROM w LEFT JOIN m USING (brand)""")
 def _(v):
     brand = F.substring_index("build", "/", 1).alias("build")
     packed = L.pack_best_fit(builds(v), 150_000)

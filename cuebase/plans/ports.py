@@ -27,12 +27,30 @@ def port_stream(v):
     return J.read_port(v.spark, f"{v.folder}/events.parquet")
 
 
-@query("j1_frame_commands")
+FRAMED = """
+  WITH RECURSIVE g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts, event_id)) < 21600000000 THEN 0 ELSE 1 END AS new FROM port),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts, event_id) AS session FROM g),
+  b AS (SELECT device, session, event_id, byte, row_number() OVER (PARTITION BY device, session ORDER BY ts, event_id) AS i FROM s),
+  r AS (
+    SELECT device, session, i, event_id, 1 AS held, byte * 256 AS word, 0 AS head, false AS whole, 0 AS value FROM b WHERE i = 1
+    UNION ALL
+    SELECT device, session, i, event_id,
+      CASE held WHEN 0 THEN 1 WHEN 1 THEN CASE WHEN longer THEN 2 ELSE 0 END WHEN 2 THEN 3 ELSE 0 END,
+      CASE held WHEN 0 THEN byte * 256 WHEN 1 THEN pair WHEN 2 THEN byte ELSE word END,
+      CASE WHEN held = 1 THEN pair ELSE head END,
+      CASE held WHEN 1 THEN NOT longer AND pair NOT BETWEEN 21939 AND 21945 AND pair < 32768 WHEN 3 THEN word = xor(byte, 255) ELSE false END,
+      CASE WHEN held = 3 THEN word END
+    FROM (SELECT b.*, r.held, r.word, r.head, r.word + b.byte AS pair, r.word + b.byte BETWEEN 21930 AND 21938 OR r.word + b.byte BETWEEN 21946 AND 21953 AS longer
+          FROM r JOIN b ON b.device = r.device AND b.session = r.session AND b.i = r.i + 1))
+  SELECT device, event_id, head AS word, value FROM r WHERE whole"""
+
+
+@query("j1_frame_commands", FRAMED)
 def _(v):
     return J.frame_commands(v.port, 6 * HOURS)
 
 
-@query("j1_frame_commands_stream")
+@query("j1_frame_commands_stream", FRAMED)
 def _(v):
     return J.run_available(J.frame_commands_stream(port_stream(v), 6 * HOURS))
 
@@ -178,7 +196,20 @@ def _(v):
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2(F.expr("substring(content, 37)"), 256).alias("payload_sha256"))
 
 
-@query("a5_explode_programs")
+PROGRAMS = """
+  WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id AS id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+  r AS (
+    SELECT k, id, -1 AS seq, 0 AS place, 0 AS next_at, 0 AS wait, 1 AS opcode, '' AS operands FROM d
+    UNION ALL
+    SELECT k, id, seq + 1, next_at, next_at + 3 + n, wait, opcode, substr(h, 2 * next_at + 7, 2 * n) FROM (
+      SELECT *, [0, 5, 1, 2, 1, 1, 2, 2, 2, 2, 4, 4, 4, 0, 1, 0][opcode + 1] AS n FROM (
+        SELECT r.k, r.id, r.seq, r.next_at, h, TRY_CAST('0x' || substr(h, 2 * r.next_at + 1, 4) AS INT) AS wait, TRY_CAST('0x' || substr(h, 2 * r.next_at + 5, 2) AS INT) & 15 AS opcode
+        FROM r JOIN d ON d.k = r.k WHERE r.wait <> 65535 AND r.opcode <> 0 AND 2 * (r.next_at + 3) <= length(h)))
+    WHERE 2 * (next_at + 3 + n) <= length(h))
+  SELECT id, seq, place AS "offset", wait, opcode, operands FROM r WHERE seq >= 0"""
+
+
+@query("a5_explode_programs", PROGRAMS)
 def _(v):
     return archives.explode_programs(v.documents, "doc_id", "text")
 
@@ -209,7 +240,7 @@ def _(v):
     return v.instr.selectExpr("track_no", "seq", "gain_of(level * 5) AS gain", "attenuation_of(level * 97, 255 - level) AS attenuation")
 
 
-@query("k2_program_rows")
+@query("k2_program_rows", PROGRAMS)
 def _(v):
     archives.register_program_rows(v.spark)
     return v.spark.sql("SELECT t.doc_id AS id, p.* FROM (SELECT doc_id, CAST(text AS BINARY) AS data FROM {d}) t, LATERAL program_rows(t.data) p", d=v.documents)

@@ -111,7 +111,20 @@ def _(v):
     return programs.track_time(v.instr.withColumn("wait", F.when(F.col("wait") == 50, programs.ENDLESS_WAIT).otherwise(F.col("wait"))), v.stream)
 
 
-@query("h4_timeline")
+@query("h4_timeline", """
+  WITH RECURSIVE p AS (SELECT track_no, seq, opcode, wait, repeat_n, row_number() OVER (PARTITION BY track_no ORDER BY seq) AS i FROM instr),
+  r AS (
+    SELECT track_no, i, wait::BIGINT AS now, seq, opcode, repeat_n, []::STRUCT(back BIGINT, times BIGINT, since BIGINT)[] AS stack FROM p WHERE i = 1 AND wait <= 2000
+    UNION ALL
+    SELECT p.track_no, p.i, s.now + p.wait, p.seq, p.opcode, p.repeat_n, s.stack FROM (
+      SELECT track_no, now,
+        CASE WHEN closes AND stack[-1].times <> 1 THEN stack[-1].back + 1 ELSE i + 1 END AS upcoming,
+        CASE WHEN opcode = 14 THEN list_append(stack, {'back': i, 'times': repeat_n::BIGINT, 'since': now}) WHEN closes AND stack[-1].times = 1 THEN stack[1:len(stack) - 1]
+          WHEN closes THEN list_append(stack[1:len(stack) - 1], {'back': stack[-1].back, 'times': greatest(stack[-1].times - 1, 0), 'since': now}) ELSE stack END AS stack
+      FROM (SELECT *, opcode = 15 AND len(stack) > 0 AS closes FROM r)
+      WHERE opcode <> 0 AND NOT (closes AND stack[-1].times = 0 AND stack[-1].since = now)) s
+    JOIN p ON p.track_no = s.track_no AND p.i = s.upcoming WHERE s.now + p.wait <= 2000)
+  SELECT track_no, now AS frame, seq, opcode FROM r""")
 def _(v):
     return programs.timeline(v.instr)
 

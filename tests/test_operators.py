@@ -8,6 +8,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from cuebase import registry
 from cuebase.functions import scalar as S
 from cuebase.operators import catalog, graph, layout, programs, signal, spectrum, validate
 from cuebase.plans.bindings import Views
@@ -227,3 +228,24 @@ def test_builds_stay_bounded(spark):
     packed = registry.queries()["h5_pack_best_fit"](spark, "/root/testdata/sf0.1")
     sizes = packed.groupBy("build").agg(F.count("*").alias("n"), F.count("problem").alias("left")).agg(F.max("n").alias("n"), F.sum("left").alias("left"), F.sum("n").alias("all")).first()
     assert sizes.n < 100 and sizes.left == 0 and sizes["all"] == spark.read.parquet("/root/testdata/sf0.1/part.parquet").count()
+
+
+def test_schedule_over_many_groups(spark):
+    times = [(t, t * 7 % 11) for t in range(-20, 150, 3)]
+    got = {r.track_no: r.start for r in programs.schedule(spark.createDataFrame(times, "track_no long, time long"), width=4).collect()}
+    now = 0
+    for t, time in times:
+        assert got.pop(t) == now
+        now += time + 1
+    assert not got
+
+
+def test_list_images_hold_every_document(spark, data):
+    """Archives are cut by partition, so names of sets are not fixed; their members are the documents."""
+    got = registry.queries()["a1_list_images"](spark, data).collect()
+    texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).collect()
+    assert sorted((r.name.split("_")[1], r.size, r.sha256) for r in got) == sorted((f"{r.doc_id}.rom", r.n, r.digest) for r in texts)
+    sets = {}
+    for r in got:
+        sets.setdefault(r.set, []).append(r.file_no)
+    assert all(sorted(x) == list(range(len(x))) for x in sets.values())
