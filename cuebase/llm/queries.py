@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuebase.llm import language, toxicity
 from cuebase.llm.common import table
 from cuebase.llm.decontaminate import find_leaks
+from cuebase.llm.exact_dedup import exact_copies
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
@@ -93,6 +94,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "shuffle_key")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,4 +153,10 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, round(rate, 6) AS rate, copies, copy::INT AS copy, md5('1 order|' || copy || '|' || doc_id) AS shuffle_key
         FROM n, unnest(range(1, copies + 1)) x(copy)
     """,
+    "op13_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
+        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
+        FROM t JOIN g USING (text)
+    """,
 }
