@@ -14,6 +14,7 @@ from cuebase.llm.exact_dedup import exact_copies
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
+from cuebase.llm.ranked_search import ranked_search
 from cuebase.llm.shards import shard_by_bytes
 from cuebase.llm.substring_dedup import repeated_passages, substring_dedup
 from cuebase.llm.tiff import store_texts, tiff_digests
@@ -94,6 +95,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "shuffle_key")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op12_ranked_search": op12_ranked_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -153,6 +159,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, round(rate, 6) AS rate, copies, copy::INT AS copy, md5('1 order|' || copy || '|' || doc_id) AS shuffle_key
         FROM n, unnest(range(1, copies + 1)) x(copy)
     """,
+    "op12_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+        l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+        s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM l),
+        d AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+        i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        q AS (SELECT item_id, term, count(*) AS qtf FROM i GROUP BY item_id, term),
+        w AS (SELECT item_id, term, qtf * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM q JOIN d USING (term), s),
+        m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM l, s),
+        x AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM w JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM x WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
     "op13_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
