@@ -11,6 +11,7 @@ from cuebase.llm import language, toxicity
 from cuebase.llm.common import table
 from cuebase.llm.decontaminate import find_leaks
 from cuebase.llm.exact_dedup import exact_copies
+from cuebase.llm.hard_negatives import mine_negatives
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
@@ -95,6 +96,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "shuffle_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return mine_negatives(vectors, F.col("id") % 100 == 0, positives=5, negatives=10, band=(30, 90), scale=256)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_source_mixing": op10_source_mixing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_ranked_search": op12_ranked_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
@@ -159,6 +167,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, source, round(rate, 6) AS rate, copies, copy::INT AS copy, md5('1 order|' || copy || '|' || doc_id) AS shuffle_key
         FROM n, unnest(range(1, copies + 1)) x(copy)
     """,
+    "op11_hard_negatives": r"""
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, list_inner_product(a.e, v.e)::BIGINT AS score FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
     "op12_ranked_search": r"""
         WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
         p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
