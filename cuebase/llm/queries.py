@@ -17,7 +17,7 @@ from cuebase.llm.mixing import poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import ngram_jaccard_join
 from cuebase.llm.ranked_search import ranked_search
 from cuebase.llm.shards import shard_by_bytes
-from cuebase.llm.substring_dedup import repeated_passages, substring_dedup
+from cuebase.llm.substring_dedup import shared_passages, substring_dedup
 from cuebase.llm.tiff import store_texts, tiff_digests
 from cuebase.llm.url_filter import filter_urls
 
@@ -42,8 +42,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
     )
     # texts are not shuffled for the last column: only digests are joined
-    found = digest.join(repeated_passages(docs, least=51), "key", "left")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
+    shared = shared_passages(docs, least=51).withColumn("shares_passage", F.lit(1))
+    return digest.join(shared, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shares_passage", F.lit(0)).alias("shares_passage"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

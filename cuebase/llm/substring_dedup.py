@@ -26,8 +26,9 @@ whole; repeated rows and equal texts lose everything from `least` bytes on; an e
 table gives an empty result; other columns are ignored.  Spans are half-open byte
 ranges, maximal and in order.
 
-repeated_passages() looks for shorter passages, counted in words: it samples runs of words in the
-same way (the smallest-hash run of each window of words) and counts those that a different text has too.
+shared_passages() looks for shorter passages, counted in words, in the same way: the anchor of each window of
+words is its smallest-hash run.  Texts that have an anchor with all its windows' words in common share a passage; the
+windows of the rest, as far as another text has their anchor, are compared one by one.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuebase.llm.common import bounded_batches, broadcast_if, materialise, release
-from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, sequence_hashes, signed, slices, span_hashes, text_buffer, words
+from cuebase.llm.textbatch import BYTE_CODES, U64, mix64, powers, sequence_hashes, signed, slices, span_hashes, text_buffer, words
 
 Q = 32
 #: Bytes of text that are hashed at once; the low bits of a packed hash hold a position below 2**21.
 CHUNK = 1_000_000
 POSITION_BITS = 21
-#: Words in a run that repeated_passages samples.
+#: Words in a run that is an anchor of shared_passages().
 RUN = 24
 #: Window starts of one anchor that are judged together, round by round.
 NARROWER = (48, 8, 1)
@@ -221,39 +222,76 @@ def text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key")
 
 
+def run_names(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit name of the words from start to end."""
+    with np.errstate(over="ignore"):
+        up, down = powers(len(codes) + 1)
+        sums = np.r_[U64(0), np.cumsum(codes * up[:-1], dtype=U64)]
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * _K)
+
+
+def _word_anchors(part: pa.RecordBatch, least: int):
+    """(words, anchor, first start, last start, text) of the windows of `least` words, in pieces of as many words as an anchor's position can count."""
+    data, offsets = text_buffer(part.column(1))
+    start, end, text = words(data, offsets)
+    codes = span_hashes(data, start, end, lower=False)
+    cuts = np.searchsorted(text, np.arange(len(part) + 1))
+    step = (1 << POSITION_BITS) - least
+    for lo in range(0, max(len(codes) - least + 1, 0), step):
+        own = np.clip(cuts, lo, min(lo + step + least - 1, len(codes))) - lo
+        piece = codes[lo : lo + step + least - 1]
+        grams = sequence_hashes(piece, RUN)
+        at, first, last = anchors(grams, own, least, RUN)
+        if len(at):
+            yield piece, grams[at], first, last, np.searchsorted(own, at, side="right") - 1
+
+
 def _runs(least: int):
-    """(run, key) of the sampled runs of each text, distinct within a piece of it."""
+    """(run, reach, key) of the anchors of each text: the anchor's words, and all words of its windows."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", CHUNK):
-                data, offsets = text_buffer(part.column(1))
-                start, end, text = words(data, offsets)
-                grams = sequence_hashes(span_hashes(data, start, end, lower=False), RUN)
-                cuts = np.searchsorted(text, np.arange(len(part) + 1))
-                # as many words at a time as an anchor's position can count; a piece overlaps the next by a window
-                step = (1 << POSITION_BITS) - least
-                for lo in range(0, max(len(start) - least + 1, 0), step):
-                    own = np.clip(cuts, lo, min(lo + step + least - 1, len(start))) - lo
-                    at = anchors(grams[lo : lo + step + least - RUN], own, least, RUN)[0]
-                    if len(at):
-                        number = np.searchsorted(own, at, side="right") - 1
-                        yield pa.RecordBatch.from_arrays([signed(grams[lo + at]), part.column(0).take(pa.array(number))], names=["run", "key"])
+                for codes, name, first, last, text in _word_anchors(part, least):
+                    yield pa.RecordBatch.from_arrays([signed(name), signed(run_names(codes, first, last + least)), part.column(0).take(pa.array(text))], names=["run", "reach", "key"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, text_col: str = "text", least: int = 51) -> DataFrame:
-    """(key, n_passages) of the texts that share a passage with a different text: sampled runs of RUN words that both hold.
+def _windows(least: int):
+    """(window, key) of the windows whose anchors are among the text's runs."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK):
+                asked = part.column(2).flatten().to_numpy(zero_copy_only=False).view(U64)
+                for codes, name, first, last, text in _word_anchors(part, least):
+                    of = np.flatnonzero(np.isin(name, asked))
+                    count = (last - first + 1)[of]
+                    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[of], count)
+                    yield pa.RecordBatch.from_arrays([signed(run_names(codes, start, start + least)), part.column(0).take(pa.array(np.repeat(text[of], count)))], names=["window", "key"])
+
+    return run
+
 
-    Of every passage of `least` words a run is sampled, so none is missed; runs of RUN words in shorter
-    passages may be met as well.  Equal texts are one text.
-    """
-    runs = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text")).mapInArrow(_runs(least), "run long, key binary")
-    runs = materialise(runs, "runs")
-    shared = runs.groupBy("run").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("run")
-    shared = materialise(shared, "shared")
-    out = materialise(runs.join(broadcast_if(shared, shared.count(), SENT_MOST), "run").groupBy("key").agg(F.count_distinct("run").alias("n_passages")), "passages")
-    release(runs, shared)
+def _of_several(rows: DataFrame, *names: str) -> DataFrame:
+    """The names that rows of different texts have."""
+    return rows.groupBy(*names).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(*names)
+
+
+def shared_passages(docs: DataFrame, text_col: str = "text", least: int = 51) -> DataFrame:
+    """(key) of the texts that share a passage of `least` words, case kept, with a different text; equal texts are one text."""
+    texts = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text"))
+    rows = materialise(texts.mapInArrow(_runs(least), "run long, reach long, key binary"), "runs")
+    whole = materialise(rows.join(_of_several(rows, "run", "reach"), ["run", "reach"]).select("key").distinct(), "settled")
+    # a text that is not settled yet shares a passage only in windows whose anchor another text has
+    met = rows.join(_of_several(rows, "run"), "run").select("run", "key")
+    asked = materialise(met.join(whole, "key", "left_anti").select("run").distinct(), "asked")
+    keys = materialise(rows.select("run", "key").distinct().join(broadcast_if(asked, asked.count(), SENT_MOST), "run").groupBy("key").agg(F.collect_list("run").alias("runs")), "keys")
+    size = keys.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
+    held = texts.join(broadcast_if(keys, size, SENT_MOST), "key").select("key", "text", "runs")
+    windows = materialise(held.mapInArrow(_windows(least), "window long, key binary").distinct(), "windows")
+    found = windows.join(_of_several(windows, "window"), "window").select("key")
+    out = materialise(whole.unionByName(found).distinct(), "passages")
+    release(rows, whole, asked, keys, windows)
     return out
 
 

@@ -17,7 +17,7 @@ from cuebase.llm.decontaminate import drop_leaks, find_leaks
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.mixing import poisson_copies, poisson_mix, temperature_weights
 from cuebase.llm.ngram_join import keep_one, ngram_jaccard_join
-from cuebase.llm.substring_dedup import repeated_passages, substring_dedup
+from cuebase.llm.substring_dedup import shared_passages, substring_dedup
 from cuebase.llm.tiff import store_texts, tiff_digests, tiff_pages
 from cuebase.llm.url_filter import filter_urls
 
@@ -198,7 +198,7 @@ def test_clashing_names_in_each_operator(spark, crowded, data):
     n = crowded.count()
     bench = spark.read.parquet(f"{data}/benchmark.parquet").select("*", F.lit(1).alias("kind"), F.lit(2).alias("slice"), F.lit(3).alias("word"))
     labels = spark.read.parquet(f"{data}/labels.parquet").select("*", F.lit("x").alias("label"), F.lit("y").alias("pick"), F.lit("z").alias("label_id"))
-    assert substring_dedup(crowded).count() == n and repeated_passages(crowded).count() >= 0
+    assert substring_dedup(crowded).count() == n and shared_passages(crowded).count() >= 0
     assert ngram_jaccard_join(crowded).count() == n and keep_one(crowded).columns == crowded.columns
     assert tiff_digests(store_texts(crowded), "doc_id").count() == n and tiff_pages(store_texts(crowded), "doc_id").count() >= n
     assert find_leaks(crowded, bench).count() >= 0 and drop_leaks(crowded, bench).columns == crowded.columns

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from cuebase.llm import ngram_join, queries
+from cuebase.llm import substring_dedup as substring_dedup_module
 from cuebase.llm.line_dedup import dedup_lines
 from cuebase.llm.ngram_join import keep_one, ngram_jaccard_join
-from cuebase.llm.substring_dedup import anchors, gram_names, repeated_passages, substring_dedup
+from cuebase.llm.substring_dedup import anchors, gram_names, shared_passages, substring_dedup
 
 
 def removed(texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:
@@ -136,19 +140,42 @@ def test_lines_at_the_ratio_and_on_long_pages(spark):
     assert got[9] == (60_000, 0, "\n".join(f"part {k}" for k in range(60_000)))
 
 
-def test_repeated_passages(spark):
-    """Every passage of 51 words that different texts share is met; copies alone, and texts of their own, are not."""
-    import random
+def with_shared_windows(texts: list[str | None], least: int) -> set[str]:
+    """Texts that have a run of `least` words with a different text in common, by comparing all runs."""
+    seen = defaultdict(set)
+    for t in {t for t in texts if t}:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        for k in range(len(w) - least + 1):
+            seen[tuple(w[k : k + least])].add(t)
+    return {t for own in seen.values() if len(own) > 1 for t in own}
+
 
+@pytest.mark.parametrize("sent", [3_000_000, 0])
+def test_shared_passages_are_exact(spark, sent, monkeypatch):
+    """Passages of 51 words and more, of 24 to 50, near copies, copies alone, a text that repeats itself; with tables sent to tasks and shuffled."""
+    monkeypatch.setattr(substring_dedup_module, "SENT_MOST", sent)
     rnd = random.Random(8)
     text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
-    passage, copy = text(51), text(300)
-    rows = [f"{text(rnd.randint(0, 90))} {passage} {text(rnd.randint(0, 90))}" for _ in range(30)] + [copy] * 3 + [text(200) for _ in range(20)] + [None, "", "one"]
-    df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(rows)], "doc_id int, text string, key string, run string")
-    got = {r.key.hex() for r in repeated_passages(df).collect()}
-    names = [r.k.lower() for r in df.selectExpr("md5(text) AS k").where("k is not null").collect()]
-    assert got == set(names[:30])
-    assert repeated_passages(df.limit(0)).count() == 0
+    around = lambda p: f"{text(rnd.randint(0, 90))} {p} {text(rnd.randint(0, 90))}"
+    texts = []
+    for words_, copies in [(51, 3), (52, 2), (60, 4), (110, 3), (50, 5), (40, 4), (25, 3), (24, 2)]:
+        passage = text(words_)
+        texts += [around(passage) for _ in range(copies)]
+    long = text(120).split()
+    texts += [around(" ".join(long[k : k + 70])) for k in (0, 10, 19, 20, 50)]  # windows in common by pairs only
+    near = text(200).split()
+    for k in range(6):
+        own = list(near)
+        own[rnd.randrange(200)], own[30 * k] = "changed", f"w{k}"
+        texts.append(" ".join(own))
+    own = text(51)
+    texts += [text(300)] * 3 + [f"{own} x {own}", None, "", "one", text(3000)] + [text(200) for _ in range(10)]
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id int, text string, key string, run string")
+    want = with_shared_windows(texts, 51)
+    assert 20 < len(want) < 40
+    got = sorted(r.key.hex() for r in shared_passages(df).collect())
+    assert got == sorted(hashlib.md5(t.encode()).hexdigest() for t in want)
+    assert shared_passages(df.limit(0)).count() == 0
 
 
 def test_lines_equal_sql(same):
