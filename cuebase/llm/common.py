@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuebase.sources.shared import materialise, release, shared_folder
 
-__all__ = ["bounded_batches", "broadcast_if", "connected_components", "materialise", "release", "shared_folder", "table"]
+__all__ = ["bounded_batches", "broadcast_if", "connected_components", "hash_sample", "materialise", "release", "sample_bound", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def sample_bound(most: int, n: int) -> int:
+    """Of hashes below 2 ** 62, those below this bound are about `most` of n; it is above 0 at every n."""
+    return max(1, (1 << 62) * most // max(n, most, 1))
+
+
+def hash_sample(rows: DataFrame, pick: str, n: int, most: int) -> DataFrame:
+    """About `most` of the n rows, chosen by the hash in column pick; all of them, if they are fewer."""
+    return rows.where(F.pmod(pick, F.lit(1 << 62)) < F.lit(sample_bound(most, n))) if n > most else rows
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only if the counted rows stay within the stated bound; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

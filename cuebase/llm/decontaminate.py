@@ -48,6 +48,8 @@ ITEM_BYTES = 20_000
 #: Most entries of posting lists, or lookups in them, worked on at a time.
 CELLS_MOST = 1 << 21
 BLOCK = 8
+#: Most blocks of an index whose lists are all read; with more, those after the pivot are only looked up.
+DIRECT_BLOCKS = 64
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 LEAST_STRIDE = 32
@@ -157,24 +159,29 @@ def scored(index: Index, window: np.ndarray, term: np.ndarray, threshold: float)
     heads = np.add.reduceat((rest >= threshold - SLACK).astype(np.int64), cut)
     live = heads > 0
     cut, end, pivot = cut[live], end[live], (cut + heads)[live]
+    if index.blocks <= DIRECT_BLOCKS:
+        pivot = end  # reading all lists costs less than looking some up
     light = sums[end] - sums[pivot]
     reads = np.r_[0, np.cumsum(index.first[term + 1] - index.first[term])]
     cost = np.cumsum(reads[pivot] - reads[cut])
     lo = 0
     while lo < len(cut):
         # as many windows at a time as keep the work arrays small, one at least
-        hi = min(int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS_MOST, side="right")), lo + CELLS_MOST // index.blocks)
-        hi = max(lo + 1, hi)
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS_MOST, side="right")))
         at = expand(cut[lo:hi], pivot[lo:hi] - cut[lo:hi])
         reach = index.first[term[at] + 1] - index.first[term[at]]
         entry = expand(index.first[term[at]], reach)
         rank = np.repeat(np.repeat(np.arange(hi - lo), pivot[lo:hi] - cut[lo:hi]), reach)
         of = rank * index.blocks + index.entry_key[entry] % index.blocks
-        bound = np.bincount(of, index.entry_bound[entry], minlength=(hi - lo) * index.blocks)
-        keep = (bound > 0) & (bound + np.repeat(light[lo:hi], index.blocks) >= threshold - SLACK)
-        cells, inside = np.flatnonzero(keep), keep[of]
-        entry, of, bound = entry[inside], (np.cumsum(keep) - 1)[of[inside]], bound[cells]
-        cells += lo * index.blocks
+        if (hi - lo) * index.blocks > 2 * len(of):
+            # only the (window, block) pairs that a list touches
+            pairs, of = np.unique(of, return_inverse=True)
+        else:
+            pairs = np.arange((hi - lo) * index.blocks)
+        bound = np.bincount(of, index.entry_bound[entry], minlength=len(pairs))
+        keep = (bound > 0) & (bound + light[lo + pairs // index.blocks] >= threshold - SLACK)
+        cells, inside = pairs[keep] + lo * index.blocks, keep[of]
+        entry, of, bound = entry[inside], (np.cumsum(keep) - 1)[of[inside]], bound[keep]
         by = np.argsort(of, kind="stable")
         entry, of = entry[by], of[by]
         later = (end - pivot)[cells // index.blocks]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import bounded_batches
+from cuebase.llm.common import bounded_batches, hash_sample
 from cuebase.llm.textbatch import LOWER, U64, mix64, slices, text_buffer
 
 #: About so many labelled rows are learned from, taken by hash of the id.
@@ -178,9 +178,7 @@ def _predict(langs: list[str], table: np.ndarray):
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: id, lang_pred, score, n_langs.  labelled: (lang, text, pick), pick a hash that chooses the sample."""
     usable = labelled.where("lang is not null and text is not null")
-    n = usable.count()
-    if n > train_rows:
-        usable = usable.where(F.pmod("pick", F.lit(1 << 20)) < F.lit(int(train_rows / n * (1 << 20))))
+    usable = hash_sample(usable, "pick", usable.count(), train_rows)
     langs, table = learn(usable.select("lang", "text"))
     own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_predict(langs, table), f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double, n_langs int").withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, BREAK), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def dedup_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.5, least_seen: int = 5) -> DataFrame:
+def dedup_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 0.5, least_seen: int = 2) -> DataFrame:
     """One row per page: id, host, n_lines, n_removed, kept (the text left, one line each)."""
     own = materialise(pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines")), "lines")
     totals = own.groupBy("host").agg(F.count("*").alias("pages"))

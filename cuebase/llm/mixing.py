@@ -19,6 +19,8 @@ columns are kept, whatever their names; poisson_mix() refuses columns that are c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from cuebase.llm.common import broadcast_if, materialise
 PART_MOST = 256.0
 #: Most sources whose tables are sent to every task; more are shuffled.
 SOURCES_MOST = 20_000
+#: Planned bytes of text in one partition of the output; below, there are spark.sql.shuffle.partitions of them.
+PARTITION_BYTES = 1 << 28
 
 
 def uniform(*parts: Column) -> Column:
@@ -55,14 +59,14 @@ def temperature_weights(docs: DataFrame, source_col: str = "source", text_col: s
 
 
 def rates(docs: DataFrame, weights: DataFrame, source_col: str = "source", text_col: str = "text", budget: float | None = None) -> DataFrame:
-    """(source, rate): target bytes over own bytes; budget: bytes of the output, those of the input by default."""
+    """(source, bytes, rate): target bytes over own bytes; budget: bytes of the output, those of the input by default."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     own = docs.groupBy(F.col(source_col).alias("s")).agg(F.sum(size).alias("bytes"))
     both = materialise(own.join(weights, F.col("s").eqNullSafe(F.col("source")), "left").select(F.col("s").alias("source"), "bytes", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")), "sources")
     all_ = both.agg(F.sum("weight").alias("weight"), F.sum("bytes").alias("bytes")).first()
     target = float(budget if budget is not None else all_.bytes or 0)
     rate = F.lit(target) * F.col("weight") / F.lit(float(all_.weight or 1.0)) / F.col("bytes")
-    return both.select("source", F.when((F.col("bytes") > 0) & (F.col("weight") > 0), rate).otherwise(F.lit(0.0)).alias("rate"))
+    return both.select("source", "bytes", F.when((F.col("bytes") > 0) & (F.col("weight") > 0), rate).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def poisson_copies(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 1, budget: float | None = None) -> DataFrame:
@@ -71,22 +75,21 @@ def poisson_copies(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id",
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(PART_MOST)), F.lit(1)).cast("int")
     table = table.withColumn("parts", parts).withColumn("steps", _steps(F.col("rate") / F.col("parts")))
     table = materialise(table.withColumnRenamed("source", "mix_source"), "rates")
+    planned = table.agg(F.sum(F.col("rate") * F.col("bytes"))).first()[0] or 0.0
     table = broadcast_if(table, table.count(), SOURCES_MOST)
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     own = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("own_source"), name.alias("name"))
     joined = own.join(table, F.col("own_source").eqNullSafe(F.col("mix_source")))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")),
-        F.lit(0),
-        lambda a, i: a + F.size(F.filter("steps", lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), F.col("name")))),
-    )
+    # one digest for each part, not for each step of the table
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(str(seed)), i.cast("string"), F.col("name")))
+    count = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter("steps", lambda c: c <= u)))
     # the count is drawn once for each row, before the copies are made
     drawn = joined.select("row", "name", "rate", count.alias("copies")).where("copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("copy").cast("string"), F.col("name")))
     keyed = copies.select("row", "rate", "copies", "copy", key.alias("shuffle_key"))
     # keys are digests, so equal ranges of their first 32 bits hold about equally many: no sample has to find the borders
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(planned / PARTITION_BYTES))
     first = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
     return keyed.repartitionById(n, F.shiftright(first * n, 32).cast("int")).sortWithinPartitions("shuffle_key", "copy")
 

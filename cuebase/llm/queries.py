@@ -51,7 +51,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "pages"), ratio=0.1, least_seen=5)
+    return dedup_lines(table(spark, sf_dir, "pages"), ratio=0.1, least_seen=2)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ ORACLES: dict[str, str] = {
         l AS (SELECT page_id, host, list_filter(list_transform(regexp_split_to_array(body, '[ \t\r\f]*(?:<[^>]*>|\n)[ \t\r\f]*'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
         h AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
         e AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM l) GROUP BY host, line),
-        b AS (SELECT e.host, list(line) AS often FROM e JOIN h USING (host) WHERE n >= 5 AND n > 0.1 * pages GROUP BY e.host),
+        b AS (SELECT e.host, list(line) AS often FROM e JOIN h USING (host) WHERE n >= 2 AND n > 0.1 * pages GROUP BY e.host),
         k AS (SELECT l.page_id, l.host, l.lines, list_filter(l.lines, lambda x: b.often IS NULL OR NOT list_contains(b.often, x)) AS stay FROM l LEFT JOIN b USING (host))
         SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_removed, array_to_string(stay, chr(10)) AS kept FROM k
     """,

@@ -36,7 +36,7 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TEXT_WIDTH, STRIP_ROWS, PAGE_ROWS = 64, 256, 4096
 
 #: What reading a damaged file can raise.
-DAMAGE = (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError)
+DAMAGE = (ValueError, KeyError, IndexError, ArithmeticError, struct.error, zlib.error, MemoryError)
 
 
 @dataclass
@@ -239,6 +239,8 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     else:
         wide, high, places = width, min(one(ROWS, height), height), tags[STRIPS]
         lengths = tags.get(STRIP_BYTES, (len(data),))
+    if min(wide, high, samples) < 1:
+        raise ValueError("strips, tiles and pixels have a size of 1 at least")
     out = np.empty((height, width, samples), dtype=f"<u{max(1, bits // 8)}")
     across, down = -(-width // wide), -(-height // high)
     for plane in range(planes):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuebase.llm.common import bounded_batches
+from cuebase.llm.common import bounded_batches, hash_sample
 from cuebase.llm.decontaminate import plain_words
 from cuebase.llm.textbatch import U64, give_back, mix64, slices, text_buffer
 
@@ -126,9 +126,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     own = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
     one = own.where("label_id is not null and label is not null").groupBy("label_id").agg((F.max("label") > 0).cast("double").alias("label"))
     one = one.withColumn("pick", F.xxhash64("label_id"))
-    n = one.count()
-    if n > train_rows:
-        one = one.where(F.pmod("pick", F.lit(1 << 20)) < F.lit(int(train_rows / n * (1 << 20))))
+    one = hash_sample(one, "pick", one.count(), train_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(one), F.col("doc_id") == F.col("label_id")).select("text", "label", "pick")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -217,6 +219,8 @@ def test_clashing_names_in_each_operator(spark, crowded, data):
 def test_pipeline_equals_plain_steps(spark, data):
     """Each stage's rows from plain sets and loops over what the stage before kept."""
     from tests.llm.test_dedup import groups
+    from tests.llm.test_mixing_and_shards import drawn
+    from tests.llm.test_models import plain_leaks
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     clean = corpus_pipeline.drop_toxic(spark, docs, data)
@@ -235,3 +239,36 @@ def test_pipeline_equals_plain_steps(spark, data):
         first[key] = min(d, first.get(key, d))
     single = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(stay, "doc_id long, text string"), data)
     assert sorted(r.doc_id for r in single.collect()) == sorted(first.values())
+    # benchmark leaks, by plain BM25 over all passages
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    stride = max(32, max(len(re.findall(r"[0-9a-z\x80-\xff]+", t.lower().encode().decode("latin-1"))) for _, t in bench))
+    left = single.collect()
+    leaking = {d for d, _ in plain_leaks([(r.doc_id, r.text) for r in left], bench, stride, 0.5)}
+    assert leaking
+    full = docs.where(F.col("doc_id").isin([r.doc_id for r in left]))
+    unleaked = corpus_pipeline.drop_contaminated(spark, full, data)
+    kept = {r.doc_id for r in left} - leaking
+    assert sorted(r.doc_id for r in unleaked.collect()) == sorted(kept)
+    # Poisson copies, drawn one by one
+    rows = [r for r in docs.collect() if r.doc_id in kept]
+    size = lambda t: len((t or "").encode())
+    total = Counter()
+    for r in rows:
+        total[r.source] += size(r.text)
+    root = {k: math.sqrt(n) for k, n in total.items()}
+    rate = {k: sum(total.values()) * root[k] / sum(root.values()) / n if n else 0.0 for k, n in total.items()}
+    want = Counter({r.doc_id: k for r in rows if (k := drawn(str(r.doc_id), rate[r.source]))})
+    mixed = corpus_pipeline.mix_sources(spark, docs.where(F.col("doc_id").isin(list(kept))), data)
+    copies = mixed.collect()
+    assert Counter(r.doc_id for r in copies) == want and mixed.columns == docs.columns
+    # shards, by plain differencing of the groups of equal texts
+    again = spark.createDataFrame(copies, docs.schema)
+    sharded = corpus_pipeline.put_into_shards(spark, again, data).collect()
+    weight = Counter()
+    for r in copies:
+        weight[r.text] += size(r.text) + 1
+    held = Counter()
+    for r in sharded:
+        held[r.shard] += r.size
+    assert sorted([*held.values(), *[0] * (16 - len(held))]) == sorted(plain_differencing(list(weight.values()), 16))
+    assert Counter(r.doc_id for r in sharded) == want

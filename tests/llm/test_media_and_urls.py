@@ -107,6 +107,16 @@ def test_digests_of_broken_files(spark):
     assert got[2].error and got[2].payload_bytes is None and got[3].error
 
 
+@pytest.mark.parametrize("zero", [{278: (3, [0])}, {322: (3, [0]), 323: (3, [16]), 324: (4, [8]), 325: (4, [1])}, {322: (3, [16]), 323: (3, [0]), 324: (4, [8]), 325: (4, [1])}, {277: (3, [0])}, {256: (3, [0])}])
+def test_zero_sizes_are_damage(spark, zero):
+    """Strips, tiles and pixels without a size are rows with an error; a page without pixels is a page."""
+    tags = {256: (3, [4]), 257: (3, [4]), 258: (3, [8]), 278: (3, [4])} | zero
+    df = spark.createDataFrame([(1, 0, bytearray(foreign(tags, [bytes(16)]))), (2, 0, bytearray(tiff.text_file(b"x")))], "doc_id int, n_bytes long, media binary")
+    for got in (tiff.tiff_digests(df, "doc_id"), tiff.tiff_pages(df, "doc_id")):
+        errors = {r.doc_id: r.error for r in got.collect()}
+        assert errors[1] and not errors[2]
+
+
 def test_pages_and_broken_files(spark):
     good = tiff.write_file([np.zeros((2, 3, 1), np.uint8)] * 2, tiff.LZW)
     loop = bytearray(good)

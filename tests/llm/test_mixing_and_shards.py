@@ -56,6 +56,18 @@ def test_large_rates(spark):
     assert poisson_mix(df.limit(0), weights).count() == 0
 
 
+def test_partitions_grow_with_the_bytes(spark, monkeypatch):
+    """The order is one over all partitions, however many the planned bytes ask for."""
+    from cuebase.llm import mixing
+
+    monkeypatch.setattr(mixing, "PARTITION_BYTES", 100)
+    df = spark.createDataFrame([(k, "ab" * 10, "a") for k in range(200)], "doc_id long, text string, source string")
+    mixed = poisson_mix(df, temperature_weights(df))
+    assert mixed.rdd.getNumPartitions() == 40
+    keys = [r.shuffle_key for r in mixed.collect()]
+    assert keys == sorted(keys) and 120 < len(keys) < 280
+
+
 def test_mixing_equals_sql(same):
     same(queries.QUERIES["op10_source_mixing"], queries.ORACLES["op10_source_mixing"])
 

@@ -156,6 +156,56 @@ def test_leaks_equal_plain_bm25(spark, monkeypatch, pass_bytes):
     assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
+def test_block_bounds_and_lookups_give_the_same(monkeypatch):
+    """Reading all lists, looking up those after the pivot, and plain sums over all items agree on 3,000 items."""
+    import numpy as np
+
+    from cuebase.llm import decontaminate
+    from cuebase.llm.decontaminate import Index, hashed, scored
+
+    rnd = random.Random(9)
+    words = [f"w{k}" for k in range(4000)]
+    some = lambda n: " ".join(rnd.choices(words, [1 / (k + 3) for k in range(4000)], k=n))
+    items = [(k, some(rnd.randint(5, 25))) for k in range(3000)]
+    bags = [hashed(t) for _, t in items]
+    name, df = np.unique(np.concatenate([np.unique(b) for b in bags]), return_counts=True)
+    index = Index(items, len(items), float(np.mean([len(b) for b in bags])), 32, name, df)
+    assert index.blocks > 300
+    window, term = [], []
+    for w in range(300):
+        held = np.unique(np.searchsorted(index.vocabulary, hashed(some(40) + " " + (items[w * 7][1] if w % 2 else ""))))
+        held = held[held < len(index.vocabulary)]
+        held = held[np.argsort(index.rank[held])]
+        window += [w] * len(held)
+        term += held.tolist()
+    window, term = np.array(window), np.array(term)
+    dense = np.zeros((300, len(index.ids)))
+    lists = {t: (index.post_item[a:b], index.post_impact[a:b]) for t in set(term.tolist()) for a, b in [(index.entry_start[index.first[t]], index.entry_start[index.first[t + 1] - 1] + index.entry_count[index.first[t + 1] - 1])]}
+    for w, t in zip(window.tolist(), term.tolist(), strict=True):
+        dense[w, lists[t][0]] += lists[t][1]
+    want = {(int(w), int(i)): round(float(dense[w, i]), 5) for w, i in zip(*np.nonzero(dense >= 0.5), strict=True)}
+    assert len(want) > 150
+    for direct, cells in [(0, 1 << 21), (10**9, 1 << 21), (0, 500), (10**9, 500)]:
+        monkeypatch.setattr(decontaminate, "DIRECT_BLOCKS", direct)
+        monkeypatch.setattr(decontaminate, "CELLS_MOST", cells)
+        got = {(w, i): s for w, i, s in scored(index, window, term, 0.5)}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_samples_do_not_become_empty(spark):
+    """The share of a bounded sample is above 0 however many rows there are, and close to what is asked."""
+    from cuebase.llm.common import hash_sample, sample_bound
+
+    for n in (10, 10**5, 4 * 10**10, 10**15, 10**30):
+        assert 0 < sample_bound(24_000, n) <= 1 << 62
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("pick"), F.lit("toxic words").alias("text"), F.lit(1.0).alias("label"))
+    assert abs(hash_sample(rows, "pick", 200_000, 20_000).count() - 20_000) < 800
+    assert hash_sample(rows, "pick", 200_000, 200_000).count() == 200_000
+    # as if there were 4e10 rows: a share of 6e-7 still takes some of 2e7
+    many = spark.range(20_000_000).select(F.xxhash64("id").alias("pick"))
+    assert 0 < hash_sample(many, "pick", 4 * 10**10, 24_000).count() < 60
+
+
 def test_leaks_of_long_items_and_null_ids(spark):
     """An item of any length and one without an id are found; the long one leaves the short ones' windows alone."""
     long = " ".join(f"term{k}x{k * k % 9973}" for k in range(30_000))
