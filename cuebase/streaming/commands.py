@@ -1,7 +1,7 @@
 """Command byte streams: framing, classes, replies, sessions, and live comparison, in batch and as Structured Streaming.
 
 The batch forms cut a device's log at quiet gaps, where the framing state starts afresh, so each piece
-is small; the streaming forms keep the same state between micro-batches.
+is small; the streaming forms take bytes in event-time order and keep the same state between micro-batches.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuebase.functions.scalar import micros, seconds
 from cuebase.sources.shared import shared_folder
+from cuebase.streaming.ordered import STORE, in_order, use_rocksdb
 
 #: Words that start a four-byte command, dead words, version queries.
 MASTER, CHANNELS, CONTROLS = 0x55AA, (0x55AB, 0x55B2), (0x55BA, 0x55C1)
@@ -72,25 +72,18 @@ def frame_commands(port: DataFrame, timeout: float) -> DataFrame:
     return pieces.select("device", "rows").mapInPandas(run, OUT)
 
 
-def frame_commands_stream(port: DataFrame, timeout: float) -> DataFrame:
-    """The same for a streaming port; one small state per device, which goes when the watermark passes its quiet time: then framing starts afresh anyway."""
-    names = ["device", "event_id", "word", "value"]
+def frame_commands_stream(port: DataFrame, timeout: float, delay: float | None = None) -> DataFrame:
+    """The same for a streaming port whose bytes come up to `delay` seconds late (the timeout, if not given).
 
-    def step(key, batches, state: GroupState):
-        rows = [r for pdf in batches for r in zip(pdf["ts"].astype("int64") / 10 ** (9 if pdf["ts"].dtype == "datetime64[ns]" else 6), pdf["event_id"], pdf["byte"], strict=True)]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=names)
-            return
-        rows.sort()
-        now = tuple(state.get) if state.exists else (0, 0, 0, float("-inf"))
-        now, found = frame_bytes(now, rows, timeout)
-        state.update(tuple(now))
-        state.setTimeoutTimestamp(max(int((now[3] + timeout) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=names).astype({"value": "Int32"})
+    One small state per device, which goes after its quiet time: then framing starts afresh anyway.
+    """
+
+    def step(key, state, at, event, byte):
+        held, word, first, last = state or (0, 0, 0, at)
+        (held, word, first, _), found = frame_bytes((held, word, first, last / 1e6), [(at / 1e6, event, byte)], timeout)
+        return (held, word, first, at), [(key[0], *x) for x in found]
 
-    timed = port.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(timeout)} seconds")
-    return timed.groupBy("device").applyInPandasWithState(step, OUT, "held int, word int, first int, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(port, "device", "event_id long, byte int", "held int, word int, first int, last long", OUT, step, timeout if delay is None else delay, timeout)
 
 
 def classify(word: Column) -> Column:
@@ -152,18 +145,21 @@ def read_port(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, also: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over what is there into Parquet in the shared folder, and read that."""
+    """Run a stream over what is there, batch by batch, into Parquet in the shared folder, and read that."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    if also is None:
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    else:
-        def both(df: DataFrame, epoch: int) -> None:
-            df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
-            also(df, epoch)
-
-        query = stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+
+    def both(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        also(df, epoch)
+
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    before = use_rocksdb(spark)
+    try:
+        query = (writer.format("parquet").option("path", f"{base}/out").outputMode("append") if also is None else writer.foreachBatch(both)).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/*" if also else f"{base}/out")
 
 
@@ -183,100 +179,64 @@ def live_compare(a: DataFrame, b: DataFrame, length: str) -> DataFrame:
     return joined.where("not (a <=> b)").select(F.coalesce("key", "key_b").alias("key"), "a", "b")
 
 
-def live_runs(rows: DataFrame, alerts: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
-    """Stream (series, idx, differs): closed runs of differing positions, alerts inside open ones, and the run still open after each batch.
+def live_runs(rows: DataFrame, delay: float, idle: float, alerts: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
+    """Stream (series, ts, idx, differs): each run of differing positions when it ends, and alerts inside runs as they grow.
 
-    settled_runs() turns what the stream has given so far into one row for each run.
+    A run ends with the next row that does not continue it, or when its series has been silent for `idle` seconds.
     """
-    out = "series long, kind string, first long, n long"
-
-    def step(key, batches, state: GroupState):
-        first, n = state.get if state.exists else (-1, 0)
-        found = []
-        for idx, differs in sorted((i, d) for pdf in batches for i, d in zip(pdf["idx"], pdf["differs"], strict=True)):
-            if differs and first >= 0 and idx == first + n:
-                n += 1
-            else:
-                if first >= 0:
-                    found.append((key[0], "run", first, n))
-                first, n = (idx, 1) if differs else (-1, 0)
-            if differs and (n in alerts or n % 1000 == 0):
-                found.append((key[0], "alert", first, n))
-        if first >= 0:
-            found.append((key[0], "open", first, n))
-        state.update((int(first), int(n)))
-        yield pd.DataFrame(found, columns=["series", "kind", "first", "n"])
-
-    return rows.groupBy("series").applyInPandasWithState(step, out, "first long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def settled_runs(found: DataFrame) -> DataFrame:
-    """Every run once, at its greatest length so far, and the alerts."""
-    runs = found.where("kind <> 'alert'").groupBy("series", "first").agg(F.max("n").alias("n")).select("series", F.lit("run").alias("kind"), "first", "n")
-    return runs.unionByName(found.where("kind = 'alert'"))
-
-
-def boot_stream(rows: DataFrame, within: float) -> DataFrame:
+
+    def end(key, state):
+        return [(key[0], "run", state[0], state[1])] if state and state[0] >= 0 else []
+
+    def step(key, state, at, idx, differs):
+        first, n = state or (-1, 0)
+        if differs and first >= 0 and idx == first + n:
+            found, n = [], n + 1
+        else:
+            found = end(key, (first, n))
+            first, n = (idx, 1) if differs else (-1, 0)
+        if differs and (n in alerts or n % 1000 == 0):
+            found.append((key[0], "alert", first, n))
+        return (first, n), found
+
+    return in_order(rows, "series", "idx long, differs boolean", "first long, n long", "series long, kind string, first long, n long", step, delay, idle, end)
+
+
+def boot_stream(rows: DataFrame, within: float, delay: float | None = None) -> DataFrame:
     """Stream (device, ts, event_id, kind reset or byte): the first byte within the window after each reset.
 
-    Resets wait in the device's state until a byte comes, or until the watermark passes their window.
+    Resets wait in the device's state until a byte comes, or until the watermark passes their window; at one time a reset comes before a byte.
     """
-    out = "device long, reset_id long, byte_id long"
-
-    def step(key, batches, state: GroupState):
-        waiting = list(zip(*state.get, strict=True)) if state.exists and not state.hasTimedOut else []
-        found = []
-        unit = 1e6
-        for at, order, event in sorted((t.value / 1e3 if hasattr(t, "value") else t, k == "byte", e) for pdf in batches for t, k, e in zip(pdf["ts"], pdf["kind"], pdf["event_id"], strict=True)):
-            if order:
-                found += [(key[0], r, event) for r, since in waiting if at - since <= within * unit]
-                waiting = []
-            else:
-                waiting.append((int(event), float(at)))
-        if waiting:
-            state.update(([r for r, _ in waiting], [t for _, t in waiting]))
-            state.setTimeoutTimestamp(max(int((waiting[-1][1] + within * unit) / 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(found, columns=["device", "reset_id", "byte_id"])
-
-    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(within)} seconds")
-    return timed.groupBy("device").applyInPandasWithState(step, out, "reset array<long>, since array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def recent_ring(rows: DataFrame, most: int = 16) -> DataFrame:
-    """Stream (device, at, byte, differs): at each difference the latest `most` bytes since the one before."""
-    out = "device long, diff_at long, at long, byte int, back int"
-
-    def step(key, batches, state: GroupState):
-        ring = list(zip(*state.get, strict=True)) if state.exists else []
-        found = []
-        for at, byte, differs in sorted(r for pdf in batches for r in zip(pdf["at"], pdf["byte"], pdf["differs"], strict=True)):
-            ring = [*ring, (int(at), int(byte))][-most:]
-            if differs:
-                found += [(key[0], at, a, b, k + 1) for k, (a, b) in enumerate(reversed(ring))]
-                ring = []
-        state.update(([a for a, _ in ring], [b for _, b in ring]))
-        yield pd.DataFrame(found, columns=["device", "diff_at", "at", "byte", "back"])
-
-    return rows.groupBy("device").applyInPandasWithState(step, out, "at array<long>, byte array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
-def pending_deferred(rows: DataFrame) -> DataFrame:
-    """Stream (channel, ts, event_id, kind): each trigger fires the pending load of its channel, once."""
-    out = "channel long, trigger_id long, load_id long"
-
-    def step(key, batches, state: GroupState):
-        pending = state.get[0] if state.exists else -1
-        found = []
-        for _, event, kind in sorted(r for pdf in batches for r in zip(pdf["ts"], pdf["event_id"], pdf["kind"], strict=True)):
-            if kind == "load":
-                pending = event
-            else:
-                if pending >= 0:
-                    found.append((key[0], event, pending))
-                pending = -1
-        state.update((int(pending),))
-        yield pd.DataFrame(found, columns=["channel", "trigger_id", "load_id"])
-
-    return rows.groupBy("channel").applyInPandasWithState(step, out, "pending long", "append", GroupStateTimeout.NoTimeout)
+
+    def step(key, state, at, order, event):
+        waiting, since = state or ([], [])
+        if not order:
+            return ([*waiting, event], [*since, at]), []
+        return ([], []), [(key[0], r, event) for r, t in zip(waiting, since, strict=True) if at - t <= within * 1e6]
+
+    ordered = rows.withColumn("place", F.when(F.col("kind") == "reset", 0).otherwise(1))
+    return in_order(ordered, "device", "place int, event_id long", "reset array<long>, since array<long>", "device long, reset_id long, byte_id long", step, within if delay is None else delay, within)
+
+
+def recent_ring(rows: DataFrame, delay: float, idle: float, most: int = 16) -> DataFrame:
+    """Stream (device, ts, event_id, byte, differs): at each difference the latest `most` bytes since the one before; a device silent for `idle` seconds starts anew."""
+
+    def step(key, state, at, event, byte, differs):
+        ids, held = state or ([], [])
+        ids, held = [*ids, event][-most:], [*held, byte][-most:]
+        if not differs:
+            return (ids, held), []
+        return ([], []), [(key[0], event, a, b, k + 1) for k, (a, b) in enumerate(zip(reversed(ids), reversed(held), strict=True))]
+
+    return in_order(rows, "device", "event_id long, byte int, differs boolean", "ids array<long>, bytes array<int>", "device long, diff_at long, at long, byte int, back int", step, delay, idle)
+
+
+def pending_deferred(rows: DataFrame, delay: float, idle: float) -> DataFrame:
+    """Stream (channel, ts, event_id, kind load or trigger): each trigger fires the pending load of its channel, once; a load is forgotten after `idle` silent seconds."""
+
+    def step(key, state, at, event, kind):
+        if kind == "load":
+            return (event,), []
+        return (-1,), [(key[0], event, state[0])] if state and state[0] >= 0 else []
+
+    return in_order(rows, "channel", "event_id long, kind string", "pending long", "channel long, trigger_id long, load_id long", step, delay, idle)
