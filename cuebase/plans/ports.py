@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cuebase.registry import query
-from cuebase.sources import archives
+from cuebase.sources import archives, timed_log
 from cuebase.sources.shared import materialise, shared_folder
 from cuebase.streaming import commands as J
 
@@ -27,6 +27,23 @@ def port_stream(v):
     return J.read_port(v.spark, f"{v.folder}/events.parquet")
 
 
+def logged(v):
+    """The port as a log of timed bytes, read as a stream in four micro-batches or so."""
+    folder = f"{shared_folder(v.spark)}/log-{uuid.uuid4().hex}"
+    timed_log.write_log(v.port, folder, 3)
+    size = sum(n for _, n in timed_log._Log({"path": folder}).files())
+    return timed_log.stream_log(v.spark, folder, most_bytes=max(timed_log.RECORD.itemsize, size // 4))
+
+
+def live(stream):
+    return J.run_available(stream, keep_on=True)
+
+
+def passed(seconds):
+    """Microseconds up to which a watermark that lags so many seconds has passed the events in the end."""
+    return f"(SELECT (max(epoch_us(ts)) // 1000 - {seconds * 1000}) * 1000 FROM events)"
+
+
 FRAMED = """
   WITH RECURSIVE g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY device ORDER BY ts, event_id)) < 21600000000 THEN 0 ELSE 1 END AS new FROM port),
   s AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts, event_id) AS session FROM g),
@@ -50,9 +67,9 @@ def _(v):
     return J.frame_commands(v.port, 6 * HOURS)
 
 
-@query("j1_frame_commands_stream", FRAMED)
+@query("j1_frame_commands_stream", FRAMED.replace("AS new FROM port)", f"AS new FROM port WHERE epoch_us(ts) <= {passed(3600)})"))
 def _(v):
-    return J.run_available(J.frame_commands_stream(port_stream(v), 6 * HOURS))
+    return live(J.frame_commands_stream(logged(v), 6 * HOURS, HOURS))
 
 
 @query("j2_classify_commands", f"WITH {WORDS} SELECT device, event_id, before * 256 + byte AS word, {CLASS.format('(before * 256 + byte)')} AS kind FROM wd")
@@ -86,10 +103,10 @@ def _(v):
     return J.boot_window(rows.where(~reset), rows.where(reset), 6 * HOURS)
 
 
-@query("j5_boot_window_stream", BOOT)
+@query("j5_boot_window_stream", BOOT.replace("AS kind FROM events)", f"AS kind FROM events WHERE epoch_us(ts) <= {passed(3600)})"))
 def _(v):
-    rows = port_stream(v).select("device", "ts", "event_id", F.when(F.col("event_type") == "signup", "reset").otherwise("byte").alias("kind"))
-    return J.run_available(J.boot_stream(rows, 6 * HOURS))
+    rows = logged(v).select("device", "ts", "event_id", F.when(F.col("byte") == 1, "reset").otherwise("byte").alias("kind"))
+    return live(J.boot_stream(rows, 6 * HOURS, HOURS))
 
 
 CLOSED = "(SELECT max(epoch_us(ts)) - 3600000000 FROM events)"
@@ -149,31 +166,36 @@ def _(v):
     return J.run_available(J.live_compare(left.select(F.col("event_id").alias("key"), "ts", _value(F.col("value")).alias("value")), right.select(F.col("event_id").alias("key"), "ts", changed.alias("value")), "30 days"))
 
 
-@query("j10_live_runs", """
-  WITH d AS (SELECT user_id AS series, event_id AS idx, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events WHERE event_id % 97 < 5),
-  r AS (SELECT series, min(idx) AS first, count(*) AS n FROM d GROUP BY series, island), m(length) AS (SELECT unnest([10, 50, 100]) UNION ALL SELECT k * 1000 FROM range(1, 1000) t(k))
-  SELECT series, 'run' AS kind, first, n FROM r UNION ALL SELECT series, 'alert', first, length FROM r JOIN m ON length <= n""")
+MONTH = 30 * 24 * HOURS
+
+
+@query("j10_live_runs", f"""
+  WITH e AS (SELECT * FROM events WHERE epoch_us(ts) <= {passed(3600)}),
+  d AS (SELECT user_id AS series, event_id AS idx, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e WHERE event_id % 97 < 5),
+  r AS (SELECT series, min(idx) AS first, count(*) AS n FROM d GROUP BY series, island), m(length) AS (SELECT unnest([1, 2, 10, 50, 100]) UNION ALL SELECT k * 1000 FROM range(1, 1000) t(k)),
+  l AS (SELECT user_id AS series, max(event_id) AS last FROM e GROUP BY user_id)
+  SELECT r.series, 'run' AS kind, first, n FROM r JOIN l ON l.series = r.series WHERE last >= first + n UNION ALL SELECT series, 'alert', first, length FROM r JOIN m ON length <= n""")
 def _(v):
-    rows = port_stream(v).select(F.col("device").alias("series"), F.col("event_id").alias("idx"), (F.col("event_id") % 97 < 5).alias("differs"))
-    return J.settled_runs(J.run_available(J.live_runs(rows)))
+    rows = logged(v).select(F.col("device").alias("series"), "ts", F.col("event_id").alias("idx"), (F.col("event_id") % 97 < 5).alias("differs"))
+    return live(J.live_runs(rows, HOURS, MONTH, alerts=(1, 2, 10, 50, 100)))
 
 
-@query("j11_recent_ring", """
-  WITH d AS (SELECT user_id AS device, event_id AS diff_at, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events WHERE event_id % 97 < 5),
-  c AS (SELECT d.device, diff_at, p.event_id AS pos, byte, row_number() OVER (PARTITION BY d.device, diff_at ORDER BY p.event_id DESC)::INT AS back FROM d JOIN port p ON p.device = d.device AND p.event_id <= diff_at AND (prev IS NULL OR p.event_id > prev))
+@query("j11_recent_ring", f"""
+  WITH q AS (SELECT * FROM port WHERE epoch_us(ts) <= {passed(3600)}),
+  d AS (SELECT device, event_id AS diff_at, lag(event_id) OVER (PARTITION BY device ORDER BY event_id) AS prev FROM q WHERE event_id % 97 < 5),
+  c AS (SELECT d.device, diff_at, p.event_id AS pos, byte, row_number() OVER (PARTITION BY d.device, diff_at ORDER BY p.event_id DESC)::INT AS back FROM d JOIN q p ON p.device = d.device AND p.event_id <= diff_at AND (prev IS NULL OR p.event_id > prev))
   SELECT device, diff_at, pos AS "at", byte, back FROM c WHERE back <= 16""")
 def _(v):
-    rows = port_stream(v).select("device", F.col("event_id").alias("at"), "byte", (F.col("event_id") % 97 < 5).alias("differs"))
-    return J.run_available(J.recent_ring(rows))
+    return live(J.recent_ring(logged(v).withColumn("differs", F.col("event_id") % 97 < 5), HOURS, MONTH))
 
 
-@query("j12_pending_deferred", """
-  WITH e AS (SELECT user_id AS channel, ts, event_id, CASE event_type WHEN 'view' THEN 'load' ELSE 'trigger' END AS kind FROM events WHERE event_type IN ('view', 'click')),
+@query("j12_pending_deferred", f"""
+  WITH e AS (SELECT user_id AS channel, ts, event_id, CASE event_type WHEN 'view' THEN 'load' ELSE 'trigger' END AS kind FROM events WHERE event_type IN ('view', 'click') AND epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events WHERE event_type IN ('view', 'click'))),
   w AS (SELECT *, lag(kind) OVER (PARTITION BY channel ORDER BY ts, event_id) AS was, lag(event_id) OVER (PARTITION BY channel ORDER BY ts, event_id) AS load_id FROM e)
   SELECT channel, event_id AS trigger_id, load_id FROM w WHERE kind = 'trigger' AND was = 'load'""")
 def _(v):
-    rows = port_stream(v).where("event_type in ('view', 'click')")
-    return J.run_available(J.pending_deferred(rows.select(F.col("device").alias("channel"), "ts", "event_id", F.when(F.col("event_type") == "view", "load").otherwise("trigger").alias("kind"))))
+    rows = logged(v).where("byte in (171, 85)").select(F.col("device").alias("channel"), "ts", "event_id", F.when(F.col("byte") == 171, "load").otherwise("trigger").alias("kind"))
+    return live(J.pending_deferred(rows, HOURS, MONTH))
 
 
 @query("a1_list_images")
@@ -216,7 +238,7 @@ def _(v):
 
 @query("a10_read_port", "SELECT device, event_id, byte FROM port")
 def _(v):
-    return J.run_available(port_stream(v).select("device", "event_id", "byte"))
+    return live(logged(v).select("device", "event_id", "byte"))
 
 
 @query("a11_write_replies", "SELECT byte AS reply, count(*) AS n FROM port GROUP BY byte")

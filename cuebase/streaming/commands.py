@@ -144,8 +144,11 @@ def read_port(spark: SparkSession, path: str) -> DataFrame:
     return events.select(F.col("user_id").alias("device"), "ts", "event_id", byte.alias("byte"), "event_type", "value")
 
 
-def run_available(stream: DataFrame, also: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over what is there, batch by batch, into Parquet in the shared folder, and read that."""
+def run_available(stream: DataFrame, also: Callable[[DataFrame, int], None] | None = None, keep_on: bool = False) -> DataFrame:
+    """Run a stream over what is there, batch by batch, into Parquet in the shared folder, and read that.
+
+    keep_on: for sources that bound their batches themselves and so cannot say at the start where to stop.
+    """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -153,11 +156,18 @@ def run_available(stream: DataFrame, also: Callable[[DataFrame, int], None] | No
         df.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
         also(df, epoch)
 
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state")
+    writer = writer.trigger(processingTime="0 seconds") if keep_on else writer.trigger(availableNow=True)
     before = use_rocksdb(spark)
     try:
         query = (writer.format("parquet").option("path", f"{base}/out").outputMode("append") if also is None else writer.foreachBatch(both)).start()
-        query.awaitTermination()
+        if keep_on:
+            try:
+                query.processAllAvailable()
+            finally:
+                query.stop()
+        else:
+            query.awaitTermination()
     finally:
         spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{base}/out/*" if also else f"{base}/out")

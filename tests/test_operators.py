@@ -23,14 +23,6 @@ def rows(df, *cols):
 rows_of = rows
 
 
-def test_framing_stream_equals_batch(spark, data):
-    v = Views(spark, data)
-    batch = J.frame_commands(v.port, 6 * 3600.0)
-    stream = J.run_available(J.frame_commands_stream(J.read_port(spark, f"{data}/events.parquet"), 6 * 3600.0))
-    key = lambda r: (r.device, r.event_id, r.word, r.value or 0)
-    assert sorted(batch.collect(), key=key) == sorted(stream.collect(), key=key)
-
-
 def test_framing_rules():
     start = (0, 0, 0, float("-inf"))
     feed = lambda *b: [(float(k), k, x) for k, x in enumerate(b)]
@@ -40,15 +32,6 @@ def test_framing_rules():
     assert J.frame_bytes(start, [(0, 0, 0x55), (20, 1, 0x00), (21, 2, 0x07)], 13)[1] == [(2, 7, None)]
 
 
-def test_live_runs_equal_batch(spark, data):
-    v = Views(spark, data)
-    marked = v.events.where("event_id % 97 < 5").select(F.col("user_id").alias("series"), F.col("event_id").alias("idx"))
-    batch = {(r.series, r["first"], r.n) for r in validate.diff_runs(marked).collect()}
-    stream = J.read_port(spark, f"{data}/events.parquet").select(F.col("device").alias("series"), F.col("event_id").alias("idx"), (F.col("event_id") % 97 < 5).alias("differs"))
-    live = J.run_available(J.live_runs(stream))
-    assert {(r.series, r["first"], r.n) for r in J.settled_runs(live).where("kind = 'run'").collect()} == batch
-
-
 def test_live_compare_keeps_one_sided_samples(spark, tmp_path):
     """A sample of one side only is reported when the watermark has passed it, with a null for the other."""
     rows = lambda *keys: [(k, 3600 * k, 10 * k) for k in keys]
