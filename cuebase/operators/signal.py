@@ -7,6 +7,7 @@ makes the outputs that fall to it, so resampling needs no join between inputs an
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ def _outputs(sample: DataFrame, p: int, q: int) -> DataFrame:
     """One row for each output k whose position k * q / p lies in [idx, idx + 1)."""
     first = F.expr(f"cast(ceil(idx * {p} / double({q})) as bigint)")
     last = F.expr(f"cast(ceil((idx + 1) * {p} / double({q})) as bigint) - 1")
-    rows = sample.withColumns({"first": first, "last": last}).where("first <= last")
+    rows = sample.withColumn("idx", F.col("idx").cast("bigint")).withColumns({"first": first, "last": last}).where("first <= last")
     return rows.withColumn("k", F.explode(F.sequence("first", "last"))).withColumn("frac", (F.col("k") * q - F.col("idx") * p).cast("double") / b(p))
 
 
@@ -37,10 +38,10 @@ def hold_resample(sample: DataFrame, p: int, q: int) -> DataFrame:
     return _outputs(sample.select("series", "idx", "pcm"), p, q).select("series", F.col("k").alias("idx"), "pcm")
 
 
-def linear_resample(sample: DataFrame, p: int, q: int) -> DataFrame:
+def linear_resample(sample: DataFrame, p: int, q: int, digits: int | None = 6) -> DataFrame:
     rows = sample.select("series", "idx", "pcm", F.coalesce(F.lead("pcm").over(in_series()), F.col("pcm")).alias("next"))
     x = F.col("pcm") + F.col("frac") * (F.col("next") - F.col("pcm"))
-    return _outputs(rows, p, q).select("series", F.col("k").alias("idx"), F.round(x, 6).alias("x"))
+    return _outputs(rows, p, q).select("series", F.col("k").alias("idx"), (x if digits is None else F.round(x, digits)).alias("x"))
 
 
 def cubic_resample(sample: DataFrame, p: int, q: int) -> DataFrame:
@@ -67,19 +68,44 @@ def kernel_table(half_width: int, steps: int) -> list[float]:
     return out
 
 
-def bandlimited_resample(sample: DataFrame, p: int, q: int, half_width: int = 4, steps: int = 8) -> DataFrame:
-    """Each input adds kernel(position - idx) * pcm to the outputs within the half width; the sums combine before the shuffle."""
-    table = F.lit(kernel_table(half_width, steps))
-    top = F.max("idx").over(Window.partitionBy("series"))
-    rows = sample.select("series", "idx", "pcm", top.alias("top"))
-    first = F.expr(f"greatest(0L, cast(ceil((idx - {half_width}) * {p} / double({q})) as bigint))")
-    last = F.expr(f"least(cast(floor((idx + {half_width}) * {p} / double({q})) as bigint), cast(floor(top * {p} / double({q})) as bigint))")
+def bandlimited_resample(sample: DataFrame, p: int, q: int, half_width: int = 4, steps: int = 8, kernel: Callable[[Column], Column] | None = None, digits: int | None = 4) -> DataFrame:
+    """Each input adds kernel(position - idx) * pcm to the outputs within the half width; the sums combine before the shuffle.
+
+    To a lower rate (p < q) the kernel is stretched by q / p and scaled by p / q, so that its cutoff is that of the output and the
+    gain stays 1.  kernel: a function of the distance (within the half width) in samples of the lower rate; by default a table of
+    `steps` entries a sample, read by interpolation.
+    """
+    low = max(p, q)  # distances are counted in steps of 1 / low of a sample of the lower rate
+    top = F.max(F.col("idx").cast("bigint")).over(Window.partitionBy("series"))
+    rows = sample.select("series", F.col("idx").cast("bigint").alias("idx"), "pcm", top.alias("top"))
+    reach = half_width * low
+    first = F.expr(f"greatest(0L, cast(ceil((idx * {p} - {reach}) / double({q})) as bigint))")
+    last = F.expr(f"least(cast(floor((idx * {p} + {reach}) / double({q})) as bigint), cast(floor(top * {p} / double({q})) as bigint))")
     rows = rows.withColumns({"first": first, "last": last}).where("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
-    at = F.abs(F.col("k") * q - F.col("idx") * p).cast("double") * b(steps) / b(p)
-    rows = rows.withColumn("at", at).withColumn("cell", F.floor("at").cast("int"))
-    low, high = F.element_at(table, F.col("cell") + 1), F.element_at(table, F.col("cell") + 2)
-    weight = low + (F.col("at") - F.col("cell")) * (high - low)
-    return rows.groupBy("series", F.col("k").alias("idx")).agg(F.round(F.sum(weight * F.col("pcm")), 4).alias("x"))
+    far = F.abs(F.col("k") * q - F.col("idx") * p).cast("double")
+    if kernel is None:
+        table = F.lit(kernel_table(half_width, steps))
+        rows = rows.withColumn("at", far * b(steps) / b(low)).withColumn("cell", F.floor("at").cast("int"))
+        lower, upper = F.element_at(table, F.col("cell") + 1), F.element_at(table, F.col("cell") + 2)
+        weight = lower + (F.col("at") - F.col("cell")) * (upper - lower)
+    else:
+        weight = kernel(far / b(low))
+    gain = b(min(p / q, 1.0))
+    total = F.sum(weight * F.col("pcm")) * gain
+    return rows.groupBy("series", F.col("k").alias("idx")).agg((total if digits is None else F.round(total, digits)).alias("x"))
+
+
+def cosine_kernel(half_width: int, terms: list[float]) -> Callable[[Column], Column]:
+    """A sinc under a sum of cosines (the window's coefficients, highest at distance 0), as an expression of the distance."""
+
+    def at(d: Column) -> Column:
+        turn = d * b(math.pi)
+        window = b(terms[0])
+        for k, a in enumerate(terms[1:], 1):
+            window = window + b(a) * F.cos(turn * b(k / half_width))
+        return F.when(d == 0, b(sum(terms))).otherwise(F.sin(turn) / turn * window) / b(sum(terms))
+
+    return at
 
 
 def timewarp_resample(sample: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -112,11 +138,11 @@ def peak(sample: DataFrame) -> DataFrame:
 
 
 def quality_gate(measured: DataFrame, cases: DataFrame) -> DataFrame:
-    """measured (series, n, peak, figure) against cases (series, want_n, want_peak, least): verdict of each, beside the worst figure of its verdict's group."""
+    """measured (converter, case, n, peak, figure) against cases (converter, case, want_n, want_peak, least): verdict of each, beside the converter's worst figure."""
     ok = (F.abs(F.col("n") - F.col("want_n")) <= 4) & (F.abs(F.col("peak") - F.col("want_peak")) <= b(0.01)) & (F.col("figure") >= F.col("least"))
-    judged = measured.join(cases, "series").select("series", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure")
-    worst = judged.groupBy("verdict").agg(F.min("figure").alias("worst"))
-    return judged.join(F.broadcast(worst), "verdict").select("series", "verdict", "figure", "worst")
+    worst = F.min("figure").over(Window.partitionBy("converter"))
+    judged = measured.join(cases, ["converter", "case"]).withColumn("worst", worst)
+    return judged.select("converter", "case", F.when(ok, "pass").otherwise("fail").alias("verdict"), "figure", "worst")
 
 
 def cut_frames(sample: DataFrame, size: int = 256, hop: int = 240) -> DataFrame:
@@ -173,30 +199,31 @@ def _rfft(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["series", "frame_no", "p"])
 
 
-def spectrum_fast(frames: DataFrame) -> DataFrame:
+def spectrum_fast(frames: DataFrame, digits: int | None = 3) -> DataFrame:
     """Magnitude of each frequency of each frame, by one FFT over the frames of a batch."""
     kinds = dict(frames.dtypes)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "pcm"))), lambda s: s["pcm"])
     held = frames.groupBy("series", "frame_no").agg(ordered.alias("a"))
     rows = held.mapInArrow(_rfft, f"series {kinds['series']}, frame_no {kinds['frame_no']}, p array<double>")
-    return rows.select("series", "frame_no", F.posexplode("p").alias("k", "x")).select("series", "frame_no", "k", F.round("x", 3).alias("magnitude"))
+    return rows.select("series", "frame_no", F.posexplode("p").alias("k", "x")).select("series", "frame_no", "k", (F.col("x") if digits is None else F.round("x", digits)).alias("magnitude"))
 
 
-def sine_series(params: DataFrame, length: int) -> DataFrame:
-    """params (series, freq, amplitude): Hann-windowed sums of sines, summed by series."""
+def sine_series(params: DataFrame, length: int, digits: int | None = 6) -> DataFrame:
+    """params (series, freq, amplitude, phase if there is one): Hann-windowed sums of sines, summed by series."""
     rows = params.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     hann = b(0.5) - b(0.5) * F.cos(F.col("idx").cast("double") * b(2 * math.pi / (length - 1)))
-    x = F.col("amplitude") * F.sin(F.col("idx").cast("double") * F.col("freq") * b(2 * math.pi))
-    return rows.groupBy("series", "idx").agg((F.round(F.sum(x * hann), 6) + b(0.0)).alias("x"))
+    turn = F.col("idx").cast("double") * F.col("freq") * b(2 * math.pi)
+    x = F.sum(F.col("amplitude") * F.sin(turn + F.col("phase") if "phase" in params.columns else turn) * hann)
+    return rows.groupBy("series", "idx").agg(x.alias("x") if digits is None else (F.round(x, digits) + b(0.0)).alias("x"))
 
 
 def downmix(frame: DataFrame) -> DataFrame:
-    """Mean of each pair of channels (even and odd bins)."""
-    return frame.groupBy("frame_no", F.expr("bin div 2").cast("int").alias("idx")).agg((F.sum("q").cast("double") / b(2.0)).alias("x"))
+    """Mean of each pair of channels (even and odd bins) of each frame of a stream."""
+    return frame.groupBy("stream", "frame_no", F.expr("bin div 2").cast("int").alias("idx")).agg((F.sum("q").cast("double") / b(2.0)).alias("x"))
 
 
 def upmix(mono: DataFrame, channels: int = 2) -> DataFrame:
-    return mono.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1)))).select("frame_no", "idx", "channel", "x")
+    return mono.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(channels - 1)))).select("stream", "frame_no", "idx", "channel", "x")
 
 
 def deinterleave(values: Column, channel: int, channels: int) -> Column:

@@ -5,7 +5,7 @@ Signal values are scaled integers, so sums do not depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuebase.functions.scalar import b, half_away
@@ -140,30 +140,52 @@ def spectra(frame: DataFrame) -> DataFrame:
     return frame.select("stream", "frame_no", F.col("bin").alias("k"), F.abs("q").alias("x"))
 
 
+def in_frame() -> WindowSpec:
+    return Window.partitionBy("stream", "frame_no")
+
+
+def is_peak(x: str) -> Column:
+    """Above the value before and not below the one after, in one spectrum."""
+    w = in_frame().orderBy("k")
+    return (F.lag(x).over(w) < F.col(x)) & (F.col(x) >= F.lead(x).over(w))
+
+
 def local_peaks(spec: DataFrame) -> DataFrame:
-    w = Window.partitionBy("frame_no").orderBy("k")
-    rows = spec.withColumns({"was": F.lag("x").over(w), "next": F.lead("x").over(w)})
-    return rows.where("was < x and x >= next").select("stream", "frame_no", "k", "x")
+    return spec.withColumn("peak", is_peak("x")).where("peak").select("stream", "frame_no", "k", "x")
 
 
 def log_spectrum(spec: DataFrame) -> DataFrame:
-    """Decibels below the frame's largest value; the first bin is 0, the floor is -200."""
-    top = F.max("x").over(Window.partitionBy("frame_no"))
+    """Decibels below the frame's largest value; the first bin (the mean) does not count and is at the floor of -200."""
+    top = F.max(F.when(F.col("k") > 0, F.col("x"))).over(in_frame())
     db = F.greatest(b(-200.0), b(20.0) * F.log10(F.col("x").cast("double") / F.col("top").cast("double")))
-    value = F.when(F.col("k") == 0, b(0.0)).when(F.col("x") == 0, b(-200.0)).otherwise(db)
+    value = F.when((F.col("k") == 0) | (F.col("x") == 0), b(-200.0)).otherwise(db)
     return spec.withColumn("top", top).select("stream", "frame_no", "k", F.round(value, 6).alias("db"))
 
 
+def ranked_peaks(peaks: DataFrame, k: int) -> DataFrame:
+    """peaks (stream, frame_no, k, db): the k highest of each spectrum, their rank, and how far they lie below the strongest."""
+    rank = F.row_number().over(in_frame().orderBy(F.desc("db"), "k"))
+    top = peaks.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.withColumn("below", F.max("db").over(in_frame()) - F.col("db"))
+
+
 def snr(spec: DataFrame, k: int = 10, gap: float = 10.0) -> DataFrame:
     """Among the k highest peaks the first that lies more than `gap` below the strongest gives the figure; none: -1."""
-    db = log_spectrum(spec)
-    peaks = local_peaks(spec).join(db, ["stream", "frame_no", "k"])
-    rank = F.row_number().over(Window.partitionBy("frame_no").orderBy(F.desc("db"), "k"))
-    top = peaks.withColumn("rank", rank).where(F.col("rank") <= k)
-    best = F.max("db").over(Window.partitionBy("frame_no"))
-    below = top.withColumn("below", best - F.col("db")).where(F.col("below") > gap)
-    figure = below.groupBy("frame_no").agg(F.min_by("below", "rank").alias("figure"))
-    return spec.select("frame_no").distinct().join(figure, "frame_no", "left").select("frame_no", F.round(F.coalesce("figure", b(-1.0)), 5).alias("snr"))
+    peaks = local_peaks(spec).join(log_spectrum(spec), ["stream", "frame_no", "k"])
+    figure = ranked_peaks(peaks, k).where(F.col("below") > gap).groupBy("stream", "frame_no").agg(F.min_by("below", "rank").alias("figure"))
+    every = spec.select("stream", "frame_no").distinct()
+    return every.join(figure, ["stream", "frame_no"], "left").select("stream", "frame_no", F.round(F.coalesce("figure", b(-1.0)), 5).alias("snr"))
+
+
+def snr_of_levels(levels: DataFrame, expected: DataFrame, k: int = 10, gap: float = 10.0) -> DataFrame:
+    """levels (stream, frame_no, k, x in decibels), expected (stream, peaks): how far down the first of the k highest peaks is that lies more than `gap`
+    below the strongest; that of the strongest if none does; -1 if there are fewer peaks than expected."""
+    peaks = ranked_peaks(local_peaks(levels).withColumnRenamed("x", "db"), k)
+    low = F.col("below") > gap
+    found = peaks.groupBy("stream", "frame_no").agg(F.count("*").alias("n"), F.min_by(F.when(low, -F.col("db")), F.when(low, F.col("rank"))).alias("figure"), F.max("db").alias("top"))
+    every = levels.select("stream", "frame_no").distinct().join(found, ["stream", "frame_no"], "left").join(F.broadcast(expected), "stream")
+    few = F.coalesce("n", F.lit(0)) < F.least("peaks", F.lit(k))
+    return every.select("stream", "frame_no", F.when(few, b(-1.0)).otherwise(F.coalesce("figure", "top")).alias("snr"))
 
 
 def smooth_troughs(spec: DataFrame, decay: float = 0.999) -> DataFrame:
@@ -172,11 +194,9 @@ def smooth_troughs(spec: DataFrame, decay: float = 0.999) -> DataFrame:
     Bins before the first and after the last peak stay; of equal peaks the later counts as the smaller.  A spectrum is one
     array: it is run through once in each direction, and each bin takes the run that starts at its gap's smaller peak.
     """
-    w = Window.partitionBy("frame_no").orderBy("k")
-    rows = spec.withColumns({"was": F.lag("x").over(w), "next": F.lead("x").over(w)})
-    peak = F.coalesce((F.col("was") < F.col("x")) & (F.col("x") >= F.col("next")), F.lit(False))
-    ordered = F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), peak.alias("peak"))))
-    rows = rows.groupBy("stream", "frame_no").agg(ordered.alias("a"))
+    peak = F.coalesce(is_peak("x"), F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), F.col("peak").alias("peak"))))
+    rows = spec.withColumn("peak", peak).groupBy("stream", "frame_no").agg(ordered.alias("a"))
     nothing = F.lit(None).cast("double")
 
     def run(a):

@@ -43,6 +43,14 @@ TEXTS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         """SELECT label AS stream, vec_id AS frame_no, CAST(i-1 AS INT) AS bin,
              CAST(floor(CAST(embedding[i] AS DOUBLE)*32768+0.5) AS INT) AS q FROM {embeddings}, range(1,65) r(i)""",
     ),
+    # the same with frames numbered within each stream, so that numbers repeat
+    "take": (
+        ("embeddings",),
+        """SELECT CAST(vec_id % 10 AS INT) AS stream, vec_id DIV 10 AS frame_no, bin, CAST(floor(CAST(x AS DOUBLE)*32768+0.5) AS INT) AS q
+             FROM {embeddings} LATERAL VIEW posexplode(embedding) AS bin, x""",
+        """SELECT CAST(vec_id % 10 AS INT) AS stream, vec_id // 10 AS frame_no, CAST(i-1 AS INT) AS bin,
+             CAST(floor(CAST(embedding[i] AS DOUBLE)*32768+0.5) AS INT) AS q FROM {embeddings}, range(1,65) r(i)""",
+    ),
     "blob": (
         ("documents",),
         "SELECT doc_id, hex(encode(text,'UTF-8')) AS h FROM {documents}",

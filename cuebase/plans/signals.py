@@ -33,25 +33,25 @@ def _(v):
     return v.port.select("event_id", ((F.col("byte") - 128) * 256).alias("pcm"))
 
 
-@query("b18_downmix", "SELECT frame_no, (bin // 2)::INT AS idx, sum(q)::DOUBLE / 2 AS x FROM frame GROUP BY ALL")
+@query("b18_downmix", "SELECT stream, frame_no, (bin // 2)::INT AS idx, sum(q)::DOUBLE / 2 AS x FROM take GROUP BY ALL")
 def _(v):
-    return S.downmix(v.frame)
+    return S.downmix(v.take)
 
 
-@query("b18_upmix", "SELECT frame_no, idx, c::INT AS channel, x FROM (SELECT frame_no, (bin // 2)::INT AS idx, sum(q)::DOUBLE / 2 AS x FROM frame GROUP BY ALL), range(0, 2) t(c)")
+@query("b18_upmix", "SELECT stream, frame_no, idx, c::INT AS channel, x FROM (SELECT stream, frame_no, (bin // 2)::INT AS idx, sum(q)::DOUBLE / 2 AS x FROM take GROUP BY ALL), range(0, 2) t(c)")
 def _(v):
-    return S.upmix(S.downmix(v.frame))
+    return S.upmix(S.downmix(v.take))
 
 
 @query("b18_interleave", """
-  WITH a AS (SELECT frame_no, list(q ORDER BY bin) AS v FROM frame GROUP BY frame_no)
-  SELECT frame_no, array_to_string(v, ',') AS again, array_to_string(list_filter(v, lambda x, i: i % 2 = 1), ',') AS first FROM a""")
+  WITH a AS (SELECT stream, frame_no, list(q ORDER BY bin) AS v FROM take GROUP BY stream, frame_no)
+  SELECT stream, frame_no, array_to_string(v, ',') AS again, array_to_string(list_filter(v, lambda x, i: i % 2 = 1), ',') AS first FROM a""")
 def _(v):
     values = F.transform(F.array_sort(F.collect_list(F.struct("bin", "q"))), lambda s: s["q"])
-    rows = v.frame.groupBy("frame_no").agg(values.alias("v"))
+    rows = v.take.groupBy("stream", "frame_no").agg(values.alias("v"))
     left, right = S.deinterleave(F.col("v"), 0, 2), S.deinterleave(F.col("v"), 1, 2)
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    return rows.select("frame_no", text(S.interleave(left, right)).alias("again"), text(left).alias("first"))
+    return rows.select("stream", "frame_no", text(S.interleave(left, right)).alias("again"), text(left).alias("first"))
 
 
 @query("b27_reverse_series", "SELECT series, max(idx) OVER (PARTITION BY series) - idx AS idx, pcm FROM sample")
@@ -78,16 +78,26 @@ def _(v):
     return S.cubic_resample(v.sample, 4, 3)
 
 
-@query("c11_bandlimited_resample", f"""
+def bandlimited(p, q, width=4):
+    low = max(p, q)
+    return f"""
   WITH s AS (SELECT series, idx, pcm, max(idx) OVER (PARTITION BY series) AS top FROM sample),
-  k AS (SELECT s.*, k, abs(k * 2 - idx * 3)::DOUBLE * 8.0::DOUBLE / 3.0::DOUBLE AS pos
-        FROM s, unnest(range(greatest(0, ceil((idx - 4) * 3 / 2::DOUBLE)::BIGINT), least(floor((idx + 4) * 3 / 2::DOUBLE)::BIGINT, floor(top * 3 / 2::DOUBLE)::BIGINT) + 1)) x(k)),
+  k AS (SELECT s.*, k, abs(k * {q} - idx * {p})::DOUBLE * 8.0::DOUBLE / {low}.0::DOUBLE AS pos
+        FROM s, unnest(range(greatest(0, ceil((idx * {p} - {width * low}) / {q}::DOUBLE)::BIGINT), least(floor((idx * {p} + {width * low}) / {q}::DOUBLE)::BIGINT, floor(top * {p} / {q}::DOUBLE)::BIGINT) + 1)) x(k)),
   t AS (SELECT *, floor(pos)::INT AS cell, {TABLE} AS tab FROM k)
-  SELECT series, k AS idx, round(sum((tab[cell + 1] + (pos - cell) * (tab[cell + 2] - tab[cell + 1])) * pcm), 4) AS x FROM t GROUP BY series, k""")
+  SELECT series, k AS idx, round(sum((tab[cell + 1] + (pos - cell) * (tab[cell + 2] - tab[cell + 1])) * pcm) * {min(p / q, 1.0)!r}::DOUBLE, 4) AS x FROM t GROUP BY series, k"""
+
+
+@query("c11_bandlimited_resample", bandlimited(3, 2))
 def _(v):
     return S.bandlimited_resample(v.sample, 3, 2)
 
 
+@query("c11_bandlimited_downsample", bandlimited(2, 5))
+def _(v):
+    return S.bandlimited_resample(v.sample, 2, 5)
+
+
 @query("c22_timewarp_resample", """
   WITH n AS (SELECT series, idx, pcm, coalesce(lead(pcm) OVER w, pcm) AS next, CASE WHEN idx >= 40 + series % 3 THEN 700 WHEN idx >= 20 THEN 1500 ELSE 1000 END AS ratio FROM sample WINDOW w AS (PARTITION BY series ORDER BY idx)),
   p AS (SELECT *, coalesce(sum(ratio) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM n)
@@ -109,14 +119,18 @@ def _(v):
     return S.peak(v.sample)
 
 
-@query("d28_quality_gate", """
-  WITH m AS (SELECT series, count(*) AS n, max(abs(pcm))::DOUBLE / 32768.0::DOUBLE AS peak, round(avg(pcm::DOUBLE), 6) AS figure FROM sample GROUP BY series),
-  c AS (SELECT series, 65 + series % 9 AS want_n, 0.97::DOUBLE AS want_peak, 3000.0::DOUBLE AS least FROM (SELECT DISTINCT series FROM sample))
-  SELECT series, verdict, figure, min(figure) OVER (PARTITION BY verdict) AS worst
-  FROM (SELECT series, CASE WHEN abs(n - want_n) <= 4 AND abs(peak - want_peak) <= 0.01::DOUBLE AND figure >= least THEN 'pass' ELSE 'fail' END AS verdict, figure FROM m JOIN c USING (series))""")
+@query("d28_quality_gate", f"""
+  WITH {OUT.format(p=3, q=2)},
+  o AS (SELECT 'hold' AS converter, series, pcm::DOUBLE AS x FROM ks UNION ALL SELECT 'linear', series, round(pcm + ((k * 2 - idx * 3)::DOUBLE / 3.0::DOUBLE) * (next - pcm), 6) FROM ks),
+  m AS (SELECT converter, series AS "case", count(*) AS n, max(abs(x)) / 32768.0::DOUBLE AS peak, round(avg(abs(x)), 4) AS figure FROM o GROUP BY ALL),
+  c AS (SELECT series AS "case", count(*) * 3 // 2 + series % 9 AS want_n, max(abs(pcm))::DOUBLE / 32768.0::DOUBLE AS want_peak, 3000.0::DOUBLE AS least FROM sample GROUP BY series)
+  SELECT converter, "case", CASE WHEN abs(n - want_n) <= 4 AND abs(peak - want_peak) <= 0.01::DOUBLE AND figure >= least THEN 'pass' ELSE 'fail' END AS verdict, figure, min(figure) OVER (PARTITION BY converter) AS worst
+  FROM m JOIN c USING ("case")""")
 def _(v):
-    measured = v.sample.groupBy("series").agg(F.count("*").alias("n"), (F.max(F.abs("pcm")).cast("double") / 32768.0).alias("peak"), F.round(F.avg(F.col("pcm").cast("double")), 6).alias("figure"))
-    cases = v.sample.select("series").distinct().select("series", (65 + F.col("series") % 9).alias("want_n"), C.b(0.97).alias("want_peak"), C.b(3000.0).alias("least"))
+    made = S.hold_resample(v.sample, 3, 2).select(F.lit("hold").alias("converter"), "series", F.col("pcm").cast("double").alias("x"))
+    made = made.unionByName(S.linear_resample(v.sample, 3, 2).select(F.lit("linear").alias("converter"), "series", "x"))
+    measured = made.groupBy("converter", F.col("series").alias("case")).agg(F.count("*").alias("n"), (F.max(F.abs("x")) / 32768.0).alias("peak"), F.round(F.avg(F.abs("x")), 4).alias("figure"))
+    cases = v.sample.groupBy(F.col("series").alias("case")).agg((F.expr("count(*) * 3 div 2") + F.col("case") % 9).alias("want_n"), (F.max(F.abs("pcm")).cast("double") / 32768.0).alias("want_peak"), C.b(3000.0).alias("least"))
     return S.quality_gate(measured, cases)
 
 

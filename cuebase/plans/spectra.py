@@ -31,9 +31,9 @@ VALUE = STATS + f""",
   bt AS (SELECT stream, sum(nbits)::BIGINT AS bits, (count(*) * 7)::BIGINT AS plain FROM cb GROUP BY stream),
   fm(format, header, plain_bits) AS (VALUES (0, 16, 0), (1, 1, 0), (2, 16, 1)),
   es AS (SELECT stream, format, (2 + header + ceil(CASE WHEN plain_bits = 1 THEN plain ELSE bits END / 8.0::DOUBLE))::BIGINT AS size FROM bt, fm)"""
-SPEC = """sp AS (SELECT stream, frame_no, bin AS k, abs(q) AS x FROM frame),
-  nb AS (SELECT *, lag(x) OVER (PARTITION BY frame_no ORDER BY k) AS was, lead(x) OVER (PARTITION BY frame_no ORDER BY k) AS next, max(x) OVER (PARTITION BY frame_no) AS top FROM sp),
-  lg AS (SELECT stream, frame_no, k, x, was, next, round(CASE WHEN k = 0 THEN 0.0 WHEN x = 0 THEN -200.0 ELSE greatest(-200.0::DOUBLE, 20.0::DOUBLE * log10(x::DOUBLE / top::DOUBLE)) END::DOUBLE, 6) AS db FROM nb)"""
+SPEC = """sp AS (SELECT stream, frame_no, bin AS k, abs(q) AS x FROM take),
+  nb AS (SELECT *, lag(x) OVER f AS was, lead(x) OVER f AS next, max(x) FILTER (WHERE k > 0) OVER (PARTITION BY stream, frame_no) AS top FROM sp WINDOW f AS (PARTITION BY stream, frame_no ORDER BY k)),
+  lg AS (SELECT stream, frame_no, k, x, was, next, round(CASE WHEN k = 0 OR x = 0 THEN -200.0 ELSE greatest(-200.0::DOUBLE, 20.0::DOUBLE * log10(x::DOUBLE / top::DOUBLE)) END::DOUBLE, 6) AS db FROM nb)"""
 
 
 def book(v):
@@ -131,30 +131,30 @@ def _(v):
 
 @query("e12_local_peaks", f"WITH {SPEC} SELECT stream, frame_no, k, x FROM nb WHERE was < x AND x >= next")
 def _(v):
-    return X.local_peaks(X.spectra(v.frame))
+    return X.local_peaks(X.spectra(v.take))
 
 
 @query("e14_log_spectrum", f"WITH {SPEC} SELECT stream, frame_no, k, db FROM lg")
 def _(v):
-    return X.log_spectrum(X.spectra(v.frame))
+    return X.log_spectrum(X.spectra(v.take))
 
 
 @query("e13_snr", f"""
-  WITH {SPEC}, p AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY db DESC, k) AS rank FROM lg WHERE was < x AND x >= next),
-  t AS (SELECT *, max(db) OVER (PARTITION BY frame_no) - db AS below FROM p WHERE rank <= 10),
-  f AS (SELECT frame_no, min_by(below, rank) AS figure FROM t WHERE below > 10 GROUP BY frame_no)
-  SELECT s.frame_no, round(coalesce(figure, -1.0::DOUBLE), 5) AS snr FROM (SELECT DISTINCT frame_no FROM sp) s LEFT JOIN f ON f.frame_no = s.frame_no""")
+  WITH {SPEC}, p AS (SELECT *, row_number() OVER (PARTITION BY stream, frame_no ORDER BY db DESC, k) AS rank FROM lg WHERE was < x AND x >= next),
+  t AS (SELECT *, max(db) OVER (PARTITION BY stream, frame_no) - db AS below FROM p WHERE rank <= 10),
+  f AS (SELECT stream, frame_no, min_by(below, rank) AS figure FROM t WHERE below > 10 GROUP BY stream, frame_no)
+  SELECT s.stream, s.frame_no, round(coalesce(figure, -1.0::DOUBLE), 5) AS snr FROM (SELECT DISTINCT stream, frame_no FROM sp) s LEFT JOIN f ON f.stream = s.stream AND f.frame_no = s.frame_no""")
 def _(v):
-    return X.snr(X.spectra(v.frame))
+    return X.snr(X.spectra(v.take))
 
 
 @query("e15_smooth_troughs", f"""
   WITH RECURSIVE {SPEC}, p AS (SELECT stream, frame_no, k, x::DOUBLE AS x, coalesce(was < x AND x >= next, false) AS peak FROM nb),
-  m AS (SELECT *, max(CASE WHEN peak THEN k END) OVER (PARTITION BY frame_no ORDER BY k) AS low, min(CASE WHEN peak THEN k END) OVER (PARTITION BY frame_no ORDER BY k DESC) AS high FROM p),
-  u(frame_no, k, v) AS (SELECT frame_no, k, x FROM p WHERE k = 0 UNION ALL SELECT p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < u.v THEN u.v * 0.999::DOUBLE ELSE p.x END FROM u JOIN p ON p.frame_no = u.frame_no AND p.k = u.k + 1),
-  d(frame_no, k, v) AS (SELECT frame_no, k, x FROM p WHERE k = 63 UNION ALL SELECT p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < d.v THEN d.v * 0.999::DOUBLE ELSE p.x END FROM d JOIN p ON p.frame_no = d.frame_no AND p.k = d.k - 1)
+  m AS (SELECT *, max(CASE WHEN peak THEN k END) OVER (PARTITION BY stream, frame_no ORDER BY k) AS low, min(CASE WHEN peak THEN k END) OVER (PARTITION BY stream, frame_no ORDER BY k DESC) AS high FROM p),
+  u(stream, frame_no, k, v) AS (SELECT stream, frame_no, k, x FROM p WHERE k = 0 UNION ALL SELECT p.stream, p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < u.v THEN u.v * 0.999::DOUBLE ELSE p.x END FROM u JOIN p ON p.stream = u.stream AND p.frame_no = u.frame_no AND p.k = u.k + 1),
+  d(stream, frame_no, k, v) AS (SELECT stream, frame_no, k, x FROM p WHERE k = 63 UNION ALL SELECT p.stream, p.frame_no, p.k, CASE WHEN NOT p.peak AND p.x < d.v THEN d.v * 0.999::DOUBLE ELSE p.x END FROM d JOIN p ON p.stream = d.stream AND p.frame_no = d.frame_no AND p.k = d.k - 1)
   SELECT m.stream, m.frame_no, m.k, round(CASE WHEN m.peak OR low IS NULL OR high IS NULL THEN m.x WHEN h.x > l.x THEN u.v ELSE d.v END, 6) AS x
-  FROM m JOIN u ON u.frame_no = m.frame_no AND u.k = m.k JOIN d ON d.frame_no = m.frame_no AND d.k = m.k
-    LEFT JOIN p l ON l.frame_no = m.frame_no AND l.k = m.low LEFT JOIN p h ON h.frame_no = m.frame_no AND h.k = m.high""")
+  FROM m JOIN u ON u.stream = m.stream AND u.frame_no = m.frame_no AND u.k = m.k JOIN d ON d.stream = m.stream AND d.frame_no = m.frame_no AND d.k = m.k
+    LEFT JOIN p l ON l.stream = m.stream AND l.frame_no = m.frame_no AND l.k = m.low LEFT JOIN p h ON h.stream = m.stream AND h.frame_no = m.frame_no AND h.k = m.high""")
 def _(v):
-    return X.smooth_troughs(X.spectra(v.frame))
+    return X.smooth_troughs(X.spectra(v.take))
