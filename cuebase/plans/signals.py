@@ -131,7 +131,7 @@ def _(v):
     made = made.unionByName(S.linear_resample(v.sample, 3, 2).select(F.lit("linear").alias("converter"), "series", "x"))
     measured = made.groupBy("converter", F.col("series").alias("case")).agg(F.count("*").alias("n"), (F.max(F.abs("x")) / 32768.0).alias("peak"), F.round(F.avg(F.abs("x")), 4).alias("figure"))
     cases = v.sample.groupBy(F.col("series").alias("case")).agg((F.expr("count(*) * 3 div 2") + F.col("case") % 9).alias("want_n"), (F.max(F.abs("pcm")).cast("double") / 32768.0).alias("want_peak"), C.b(3000.0).alias("least"))
-    return S.quality_gate(measured, cases)
+    return S.quality_gate(measured, cases.withColumn("converter", F.explode(F.array(F.lit("hold"), F.lit("linear")))))
 
 
 @query("e16_cut_frames", f"WITH {CUT} SELECT * FROM cf")

@@ -232,3 +232,44 @@ def test_list_images_hold_every_document(spark, data):
     for r in got:
         sets.setdefault(r.set, []).append(r.file_no)
     assert all(sorted(x) == list(range(len(x))) for x in sets.values())
+
+
+def tone_level(rows, freq: float) -> float:
+    """Amplitude of a frequency in samples, by projection."""
+    import numpy as np
+
+    x = np.array([r.x for r in rows])
+    return 2 * abs(np.mean(x * np.exp(-2j * np.pi * freq * np.arange(len(x)))))
+
+
+def test_kernel_is_stretched_to_the_lower_rate(spark):
+    """Down by 4: a tone above the new Nyquist rate goes, one below stays; up by 3/2: both stay."""
+    import math
+
+    for freq, down in ((0.4, 0.0), (0.04, 1.0)):
+        df = spark.createDataFrame([(1, k, int(round(10_000 * math.sin(2 * math.pi * freq * k)))) for k in range(800)], "series long, idx long, pcm int")
+        low = [r for r in signal.bandlimited_resample(df, 1, 4, half_width=12, steps=64).orderBy("idx").collect()][20:180]
+        assert abs(tone_level(low, freq * 4) / 10_000 - down) < 0.01
+        up = [r for r in signal.bandlimited_resample(df, 3, 2, half_width=12, steps=64).orderBy("idx").collect()][60:1140]
+        assert abs(tone_level(up, freq * 2 / 3) / 10_000 - 1) < 0.01
+
+
+def test_published_quality_of_converters(spark):
+    """The fastest band-limited converter and the hold reach every published figure and peak."""
+    from cuebase.operators import quality
+
+    got = quality.golden_figures(spark, ["hold", "sinc_fastest"], length=1 << 13).collect()
+    assert len(got) == 17 and {r.verdict for r in got} == {"pass"}
+    for name in ("hold", "sinc_fastest"):
+        own = [r for r in got if r.converter == name]
+        assert {r.worst for r in own} == {min(r.figure for r in own)}
+
+
+def test_spectra_of_streams_are_apart(spark):
+    """Equal frame numbers of two streams do not meet."""
+    a, c = [0, 5, 0, 9, 0], [100] * 5
+    spec = spark.createDataFrame([("a", 0, k, x) for k, x in enumerate(a)] + [("b", 0, k, x) for k, x in enumerate(c)], "stream string, frame_no int, k int, x int")
+    assert rows(spectrum.local_peaks(spec), "stream", "k") == [("a", 1), ("a", 3)]
+    assert {(r.stream, r.k): r.db for r in spectrum.log_spectrum(spec).collect()}["a", 3] == 0.0
+    assert {r.stream: r.snr for r in spectrum.snr(spec).collect()} == {"a": -1.0, "b": -1.0}
+    assert rows(signal.downmix(spec.withColumnsRenamed({"k": "bin", "x": "q"})), "stream", "idx", "x")[:2] == [("a", 0, 2.5), ("a", 1, 4.5)]
