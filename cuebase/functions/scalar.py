@@ -68,10 +68,11 @@ def volume_gain(volume: Column) -> Column:
     return F.when(volume == 0, F.lit(0).cast("bigint")).otherwise(_fixed_power(0x3FFF, 0x7D98, 8, volume) * 2)
 
 
-def mix_attenuation(total: Column, volume: Column) -> Column:
-    """1.15 attenuation of a channel's summed level, from its own volume 0..255."""
+def mix_attenuation(total: Column, volume: Column, oldest: bool = False) -> Column:
+    """1.15 attenuation of a channel's summed level, from its own volume 0..255; the oldest version starts from full scale."""
     exponent = F.shiftright(total.cast("bigint"), 6).bitwiseAND(0x3FF) + 0x80
-    return _fixed_power(F.shiftleft(volume.cast("bigint"), 7), 0x7C94, 8, exponent) * 2
+    start = F.lit(0x7FFF).cast("bigint") if oldest else F.shiftleft(volume.cast("bigint"), 7)
+    return _fixed_power(start, 0x7C94, 8, exponent) * 2
 
 
 def pcm_to_float(x: Column) -> Column:

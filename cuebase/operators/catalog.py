@@ -41,25 +41,30 @@ def format_code(stream: DataFrame) -> DataFrame:
 
 
 def format_compatible(stream: DataFrame, version: int) -> DataFrame:
-    """stream (addr, version, minor): streams of the wanted version are copied, others encoded anew."""
+    """stream (addr, version, major): streams of the wanted version are copied, others encoded anew; versions are numbers such as 0x9301, of which the high byte is the family.
+
+    Major type 0 is alike in both versions of the family 0x93.
+    """
     own = F.col("version")
-    same = (own == version) | ((own == 1993) & F.lit(version == 1993) & (F.col("minor") == 0))
+    same = (own == version) | ((F.shiftright(own, 8) == 0x93) & F.lit(version >> 8 == 0x93) & (F.col("major") == 0))
     return stream.select("addr", "version", F.when(same, "copy").otherwise("encode").alias("action"))
 
 
-def mnemonic(instr: DataFrame, track: DataFrame) -> DataFrame:
-    """Readable form of each step; the track's own channel is left out."""
+def mnemonic(instr: DataFrame, track: DataFrame, *also: str) -> DataFrame:
+    """Readable form of each step, with further columns of it; the track's own channel is left out.  In programs of version 1993a (a column version, if there is one) code 4 also sets a timer."""
     own = instr.join(track.select("track_no", F.col("channel").alias("own")), "track_no", "left")
     ch, a = F.col("channel"), hex_of(F.col("addr"), 6)
     tag = F.when(ch.eqNullSafe(F.col("own")), "").otherwise(F.concat(F.lit("channel "), ch.cast("string"), F.lit(", ")))
     repeat = F.when(F.col("repeat_n") == 0, ", repeat forever").when(F.col("repeat_n") == 1, "").otherwise(F.concat(F.lit(", repeat "), F.col("repeat_n").cast("string")))
     op, low = F.col("opcode"), F.col("level").bitwiseAND(255)
+    timed = (F.col("version") == "1993a") if "version" in instr.columns else F.lit(False)
     level = lambda first: F.concat(F.lit("SetMixingLevel("), tag, F.when(op % 3 == first, "level").when(op % 3 == (first + 1) % 3, "increase").otherwise("decrease"), F.lit(" "), F.col("level").cast("string"))
     text = (
         F.when(op == END, "End;")
         .when(op == PLAY, F.concat(F.lit("Play("), tag, F.lit("stream $"), a, repeat, F.lit(");")))
         .when(op == STOP, F.concat(F.lit("Stop(channel "), ch.cast("string"), F.lit(");")))
         .when(op == QUEUE, F.concat(F.lit("Queue(track $"), F.hex("addr"), F.lit(");")))
+        .when((op == WRITE) & timed, F.concat(F.lit("SetChannelTimer(byte $"), hex_of(low, 2), F.lit(", counter $"), hex_of(F.col("addr").bitwiseAND(65535), 4), F.lit(");")))
         .when(op == WRITE, F.concat(F.lit("WriteDataPort(byte $"), hex_of(low, 2), F.lit(");")))
         .when(op == TRIGGER, F.concat(F.lit("StartDeferred(channel "), ch.cast("string"), F.lit(");")))
         .when(op == STORE, F.concat(F.lit("SetVariable(var $"), hex_of(F.col("var_id"), 2), F.lit(", value $"), hex_of(low, 2), F.lit(");")))
@@ -70,7 +75,7 @@ def mnemonic(instr: DataFrame, track: DataFrame) -> DataFrame:
         .when(op == LOOP, F.concat(F.lit("Loop ("), F.col("repeat_n").cast("string"), F.lit(") {")))
         .otherwise("}")
     )
-    return own.select("track_no", "seq", "opcode", "channel", "wait", text.alias("text"))
+    return own.select("track_no", "seq", "opcode", "channel", "wait", text.alias("text"), *also)
 
 
 def hex_desc(instr: DataFrame) -> DataFrame:
@@ -187,9 +192,9 @@ def playback_summary(track: DataFrame, instr: DataFrame) -> DataFrame:
 
 def program_text(instr: DataFrame, track: DataFrame) -> DataFrame:
     """One text per track: its steps in order, indented by loop depth, waits in front."""
-    from cuebase.operators.programs import nesting
+    from cuebase.operators.programs import with_depth
 
-    lines = mnemonic(instr, track).join(nesting(instr).select("track_no", "seq", "depth"), ["track_no", "seq"])
+    lines = mnemonic(with_depth(instr), track, "depth")
     indent = F.expr("repeat('  ', cast(depth as int))")
     line = F.concat(indent, F.when(F.col("wait") > 0, F.concat(F.lit("Wait("), F.col("wait").cast("string"), F.lit(") "))).otherwise(""), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
@@ -274,6 +279,12 @@ def extract_manifest(instr: DataFrame, stream: DataFrame, prefix: str = "set") -
     return rows.select("addr", name.alias("file"), F.when(F.col("n_bytes").isNull(), "missing").when(F.col("n_frames") == 0, "empty").otherwise("ok").alias("state"), (F.coalesce("n_bytes", F.lit(0)) + 36).cast("bigint").alias("size"))
 
 
+def manifest_counts(manifest: DataFrame) -> DataFrame:
+    """How many extracts there are, how many are written whole, and how many are not."""
+    ok = F.col("state") != "missing"
+    return manifest.agg(F.count("*").alias("found"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"))
+
+
 def edges_union(instr: DataFrame, track: DataFrame, contents: DataFrame) -> DataFrame:
     """Track to track references: queued, triggered through a deferred link, and indirect."""
     queue = instr.where(F.col("opcode") == QUEUE).select(F.col("track_no").alias("src"), F.col("addr").alias("dst"), F.lit("queue").alias("kind"))

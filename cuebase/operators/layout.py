@@ -79,9 +79,9 @@ def pattern_find(blob: DataFrame, pattern: str, align: int = 4) -> DataFrame:
     return rows.select("doc_id", (F.length(prefix) / 2).cast("bigint").alias("offset"), *groups)
 
 
-def valid_signature(blob: DataFrame, head: str) -> DataFrame:
-    """The blob's first line as text where it starts with head and is printable ASCII of at most 119 characters, else empty."""
-    text = F.regexp_extract("h", f"^((?:{head})(?:[2-7][0-9A-E]|[2-6]F){{0,118}})0A", 1)
+def valid_signature(blob: DataFrame, head: str, end: str = "00") -> DataFrame:
+    """The blob's first bytes up to the end byte as text, where they start with head and are printable ASCII of at most 119 characters, else empty."""
+    text = F.regexp_extract("h", f"^((?:{head})(?:[2-7][0-9A-E]|[2-6]F){{0,118}}){end}", 1)
     return blob.select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("signature"))
 
 
@@ -150,26 +150,50 @@ def first_failure(catalog: DataFrame, images: DataFrame) -> DataFrame:
     return bad.groupBy("set_id").agg(F.min("entry_no").alias("entry_no"), F.min_by("problem", "entry_no").alias("problem"), F.count("*").alias("bad"))
 
 
-def pick_primary(images: DataFrame, head: str, digit: str = "2") -> DataFrame:
-    """images (set_id, file_no, name, head): first file that starts with head and has the digit in its name; sets without are errors."""
+def pick_primary(images: DataFrame, head: str, digit: str = "2", named: str | None = None) -> DataFrame:
+    """images (set_id, file_no, name, head): first file that starts with head and has the digit in its name, or that is called `named` (case ignored); sets without are errors."""
     fits = (F.substring("head", 1, len(head)) == head) & F.col("name").contains(digit)
+    if named is not None:
+        fits = F.coalesce(fits, F.lit(False)) | (F.lower("name") == named.lower())
     first = images.groupBy("set_id").agg(F.min(F.when(fits, F.col("file_no"))).alias("file_no"))
     return first.select("set_id", "file_no", F.when(F.col("file_no").isNull(), "no primary image").alias("problem"))
 
 
-def assign_slots(images: DataFrame, pattern: str, first: int = 3, last: int = 9) -> DataFrame:
-    """images (set_id, file_no, name): for each slot the first file that carries its digit and matches the pattern; a file takes its lowest slot."""
-    slots = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda s: F.contains(F.col("name"), s.cast("string")))
-    rows = images.where(F.col("name").rlike(pattern)).withColumn("slot", F.try_element_at(slots, F.lit(1)))
-    return rows.where("slot is not null").groupBy("set_id", "slot").agg(F.min_by("name", "file_no").alias("name"), F.min("file_no").alias("file_no"))
+#: What a file says of itself (its digit is the second group), and sets whose digit for a slot is another one.
+SIGNATURE = r"^[SU]([^\d]*)(\d).*?\s+\d\d/\d\d/\d\d$"
+EXCEPTIONS = [(r"(?i)^cc_\d.*", 7, 6)]
 
 
-def scan_container_headers(blob: DataFrame, magic: str, least: int, most: int) -> DataFrame:
-    """Files whose header has the magic and whose version byte is in range: version and data size."""
-    h = F.col("h")
-    version = byte_at(h, len(magic) // 2)
-    rows = blob.where(h.startswith(magic) & version.between(least, most))
-    return rows.select("doc_id", version.alias("version"), (F.length("h") / 2 - 36).cast("bigint").alias("data_size"))
+def assign_slots(images: DataFrame, exceptions: list[tuple[str, int, int]] = EXCEPTIONS, first: int = 3, last: int = 9) -> DataFrame:
+    """images (set_id, file_no, name, signature): for each slot the first file, not taken yet, that has its digit in the name and in the signature.
+
+    exceptions (pattern of the set, slot, digit): there this digit serves as well.  Slots are filled in their order, as one fold over
+    the files of a set, which are a short list; files of one number go by name.
+    """
+    digit = F.regexp_extract("signature", SIGNATURE, 2)
+    files = F.array_sort(F.collect_list(F.struct("file_no", "name", F.when(digit != "", digit.cast("int")).alias("digit"))))
+    sets = images.where("file_no is not null and name is not null").groupBy("set_id").agg(files.alias("files"))
+    other = F.lit(None).cast("int")
+
+    def fill(state, slot):
+        also = other
+        for pattern, at, of in exceptions:
+            also = F.when(F.col("set_id").rlike(pattern) & (slot == at), of).otherwise(also)
+        fits = F.filter("files", lambda f: F.contains(f["name"], slot.cast("string")) & ((f["digit"] == slot) | F.coalesce(f["digit"] == also, F.lit(False))) & ~F.exists(state, lambda t: (t["file_no"] == f["file_no"]) & (t["name"] == f["name"])))
+        pick = F.try_element_at(fits, F.lit(1))
+        return F.when(pick.isNull(), state).otherwise(F.concat(state, F.array(F.struct(slot.alias("slot"), pick["file_no"].alias("file_no"), pick["name"].alias("name")))))
+
+    empty = F.array().cast("array<struct<slot:int,file_no:bigint,name:string>>")
+    taken = F.aggregate(F.sequence(F.lit(first), F.lit(last)), empty, fill)
+    return sets.select("set_id", F.explode(taken).alias("t")).select("set_id", "t.slot", "t.file_no", "t.name")
+
+
+def scan_container_headers(blob: DataFrame, magic: str, versions: tuple[int, ...] = (0x93, 0x94), channels: int = 1, rate: int = 0x7A12) -> DataFrame:
+    """Files whose 36-byte header has the magic, one of the versions, and this many channels and samples a second: version and data size (the header's last number)."""
+    h, at = F.col("h"), len(magic) // 2
+    word = lambda k: byte_at(h, at + 2 * k) * 256 + byte_at(h, at + 2 * k + 1)
+    rows = blob.where(h.startswith(magic) & (F.length(h) >= 2 * 36) & word(0).isin(*versions) & (word(1) == channels) & (word(2) == rate))
+    return rows.select("doc_id", word(0).alias("version"), F.conv(F.substring(h, 2 * 32 + 1, 8), 16, 10).cast("bigint").alias("data_size"))
 
 
 def read_track_index(blob: DataFrame, stride: int = 3) -> DataFrame:
@@ -194,14 +218,29 @@ def render_name(names: DataFrame, date: str, most: int = 75) -> DataFrame:
 
 
 #: Legal ranges of the compression parameters.
-PARAM_RANGES = {"RATE": (48, 256), "CUT": (0, 100), "TYPE": (-1, 1), "SUBTYPE": (-1, 3), "PAGE": (1, 500)}
+PARAM_RANGES = {"TYPE": (-1, 1), "SUBTYPE": (-1, 3), "POWERCUT": (0, 100), "MINRANGE": (0, 65536), "MAXERROR": (0, 65536), "BITRATE": (48000, 256000)}
+WHOLE = ("TYPE", "SUBTYPE", "BITRATE")
+
+
+def parse_param_text(rows: DataFrame) -> DataFrame:
+    """rows (id, text `NAME=value, NAME=value`): one row per parameter, typed, with its problem; a part without = has no value, of a repeated name each counts."""
+    part = F.explode(F.filter(F.split("text", ","), lambda x: F.trim(x) != ""))
+    each = rows.select("id", part.alias("part")).select("id", F.trim(F.substring_index("part", "=", 1)).alias("key"), F.when(F.contains("part", F.lit("=")), F.trim(F.expr("substring(part, instr(part, '=') + 1)"))).alias("raw"))
+    return typed_params(each)
 
 
 def parse_params(rows: DataFrame) -> DataFrame:
     """rows (id, params map<string, string>): one row per parameter, typed, with its problem if it has one."""
-    ranges = F.broadcast(rows.sparkSession.createDataFrame([(k, a, z) for k, (a, z) in PARAM_RANGES.items()], "name string, low int, high int"))
-    each = rows.select("id", F.explode("params").alias("key", "raw")).select("id", F.upper("key").alias("name"), "raw")
-    value = F.when((F.col("raw") == "*") & F.col("name").isin("TYPE", "SUBTYPE"), F.lit(-1.0)).otherwise(F.expr("try_cast(raw as double)"))
+    return typed_params(rows.select("id", F.explode("params").alias("key", "raw")))
+
+
+def typed_params(each: DataFrame) -> DataFrame:
+    """each (id, key, raw): * stands for -1 where any type is allowed; whole numbers are cut."""
+    ranges = F.broadcast(each.sparkSession.createDataFrame([(k, a, z) for k, (a, z) in PARAM_RANGES.items()], "name string, low int, high int"))
+    each = each.select("id", F.upper("key").alias("name"), "raw")
+    number = F.expr("try_cast(raw as double)")
+    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("double")
+    value = F.when((F.col("raw") == "*") & F.col("name").isin("TYPE", "SUBTYPE"), F.lit(-1.0)).when(F.col("name").isin(*WHOLE), whole).otherwise(number)
     joined = each.join(ranges, "name", "left").withColumn("value", value)
     problem = F.when(F.col("low").isNull(), "unknown").when(F.col("value").isNull(), "not a number").when(~F.col("value").between(F.col("low"), F.col("high")), "out of range")
     return joined.select("id", "name", "value", problem.alias("problem"))

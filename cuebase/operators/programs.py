@@ -11,6 +11,8 @@ from cuebase.operators.catalog import END, LOOP, LOOP_END, PLAY
 
 #: Default channel level, longest wait of one step, limit of a level, the wait that never ends.
 DEFAULT_LEVEL, LONGEST_WAIT, LEVEL_LIMIT, ENDLESS_WAIT = 100, 65534, 8191, 65535
+#: Fixed value: the last code that exists.
+LAST_CODE = 0x12
 
 
 def steps(*extra: str):
@@ -45,14 +47,18 @@ def running_level(instr: DataFrame, strict: bool = False) -> DataFrame:
     return rows.where(op == PLAY).select("track_no", "seq", "channel", F.col("now").alias("level"))
 
 
-def nesting(instr: DataFrame) -> DataFrame:
-    """Loop depth at each step, and the step that opened the loop around it; ends without a loop change nothing."""
+def with_depth(instr: DataFrame) -> DataFrame:
+    """Add depth: how many loops are open at each step; ends without a loop change nothing."""
     delta = F.when(F.col("opcode") == LOOP, 1).when(F.col("opcode") == LOOP_END, -1).otherwise(0)
     w = steps()
-    rows = instr.select("track_no", "seq", "opcode", delta.alias("delta"))
-    rows = rows.withColumn("total", F.sum("delta").over(upto(w)))
+    rows = instr.withColumn("total", F.sum(delta).over(upto(w)))
     rows = rows.withColumn("after", F.col("total") - F.least(F.lit(0), F.min("total").over(upto(w))))
-    rows = rows.withColumn("depth", F.coalesce(F.lag("after").over(w), F.lit(0)).cast("int"))
+    return rows.withColumn("depth", F.coalesce(F.lag("after").over(w), F.lit(0)).cast("int")).drop("total", "after")
+
+
+def nesting(instr: DataFrame) -> DataFrame:
+    """Loop depth at each step, and the step that opened the loop around it; ends without a loop change nothing."""
+    rows = with_depth(instr.select("track_no", "seq", "opcode"))
     opened = rows.where(F.col("opcode") == LOOP).select("track_no", "seq", (F.col("depth") + 1).alias("key"), F.col("seq").alias("opener"))
     asked = rows.select("track_no", "seq", F.col("depth").alias("key"), F.lit(None).cast("bigint").alias("opener"), F.col("depth"), F.lit(True).alias("asks"))
     both = asked.unionByName(opened.withColumn("depth", F.lit(None).cast("int")).withColumn("asks", F.lit(False)))
@@ -61,8 +67,9 @@ def nesting(instr: DataFrame) -> DataFrame:
 
 
 def live_steps(instr: DataFrame) -> DataFrame:
-    """Steps up to the first end of the program."""
-    ended = F.coalesce(F.sum((F.col("opcode") == END).cast("int")).over(before(steps())), F.lit(0))
+    """Steps up to the first that ends the program, that one included: an end, an endless wait, or a code that does not exist."""
+    last = (F.col("opcode") == END) | (F.col("wait") == ENDLESS_WAIT) | ~F.col("opcode").between(0, LAST_CODE)
+    ended = F.coalesce(F.sum(last.cast("int")).over(before(steps())), F.lit(0))
     return instr.withColumn("ended", ended).where("ended = 0").select("track_no", "seq", "opcode")
 
 

@@ -57,10 +57,12 @@ def context_commands(diffs: DataFrame, commands: DataFrame, most: int = 16) -> D
     return rows.withColumn("back", rank.cast("int")).where(F.col("back") <= most).select("device", "diff_at", "at", "byte", "back")
 
 
-def validation_report(pcm2: DataFrame) -> DataFrame:
+def validation_report(pcm2: DataFrame, replies: DataFrame) -> DataFrame:
+    """pcm2 (frame_no, a, b); replies: frames whose replies differ, as compare_replies() gives them.  A reply that differs fails the set as a sample does."""
     bad = F.col("a") != F.col("b")
     facts = pcm2.agg(F.count("*").alias("samples"), F.count_if(bad).alias("bad_samples"), F.count_distinct(F.when(bad, F.col("frame_no"))).alias("bad_frames"))
-    return facts.withColumn("verdict", F.when(F.col("bad_samples") == 0, "pass").otherwise("fail"))
+    facts = facts.crossJoin(replies.agg(F.count("*").alias("bad_reply_frames")))  # one row each
+    return facts.withColumn("verdict", F.when((F.col("bad_samples") == 0) & (F.col("bad_reply_frames") == 0), "pass").otherwise("fail"))
 
 
 def suite_rollup(pcm2: DataFrame, allowed: int = 0) -> DataFrame:

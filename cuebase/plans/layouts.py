@@ -77,7 +77,7 @@ def _(v):
 @query("b11_valid_signature", """
   SELECT doc_id, decode(unhex(coalesce(regexp_extract(h, '^((?:54|41|49)(?:[2-7][0-9A-E]|[2-6]F){0,118})0A', 1), ''))) AS signature FROM blob""")
 def _(v):
-    return L.valid_signature(v.blob, "54|41|49")
+    return L.valid_signature(v.blob, "54|41|49", end="0A")
 
 
 @query("b12_infer_version", f"WITH {VERSION} SELECT * FROM ver")
@@ -96,19 +96,32 @@ def _(v):
 
 
 @query("b19_parse_params", """
-  WITH p AS (SELECT event_id AS id, unnest([upper(event_type), 'RATE', 'TYPE']) AS name, unnest([value::VARCHAR, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE (floor(value)::BIGINT)::VARCHAR END, CASE WHEN event_id % 3 = 0 THEN '*' ELSE (event_id % 4)::VARCHAR END]) AS raw FROM events),
-  r(name, low, high) AS (VALUES ('RATE', 48, 256), ('CUT', 0, 100), ('TYPE', -1, 1), ('SUBTYPE', -1, 3), ('PAGE', 1, 500)),
+  WITH p AS (SELECT event_id AS id, unnest([upper(event_type), 'POWERCUT', 'TYPE']) AS name, unnest([value::VARCHAR, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE (floor(value)::BIGINT)::VARCHAR END, CASE WHEN event_id % 3 = 0 THEN '*' ELSE (event_id % 4)::VARCHAR END]) AS raw FROM events),
+  r(name, low, high) AS (VALUES ('TYPE', -1, 1), ('SUBTYPE', -1, 3), ('POWERCUT', 0, 100), ('MINRANGE', 0, 65536), ('MAXERROR', 0, 65536), ('BITRATE', 48000, 256000)),
   t AS (SELECT id, p.name, low, high, CASE WHEN raw = '*' AND p.name IN ('TYPE', 'SUBTYPE') THEN -1.0 ELSE try_cast(raw AS DOUBLE) END AS value FROM p LEFT JOIN r ON r.name = p.name)
   SELECT id, name, value, CASE WHEN low IS NULL THEN 'unknown' WHEN value IS NULL THEN 'not a number' WHEN value NOT BETWEEN low AND high THEN 'out of range' END AS problem FROM t""")
 def _(v):
     params = F.create_map(
         F.col("event_type"), F.col("value").cast("string"),
-        F.lit("rate"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.floor("value").cast("string")),
+        F.lit("powercut"), F.when(F.col("event_id") % 5 == 0, "x").otherwise(F.floor("value").cast("string")),
         F.lit("type"), F.when(F.col("event_id") % 3 == 0, "*").otherwise((F.col("event_id") % 4).cast("string")),
     )
     return L.parse_params(v.events.select(F.col("event_id").alias("id"), params.alias("params")))
 
 
+@query("b19_parse_param_text", """
+  WITH p AS (SELECT event_id AS id, unnest(['TYPE', 'BITRATE', upper(event_type), 'SUBTYPE']) AS name, unnest([CASE WHEN event_id % 3 = 0 THEN '*' ELSE (event_id % 5 - 1.5)::VARCHAR END, (event_id * 37 % 300000)::VARCHAR, value::VARCHAR, CASE WHEN event_id % 7 > 0 THEN (event_id % 6)::VARCHAR END]) AS raw FROM events),
+  r(name, low, high) AS (VALUES ('TYPE', -1, 1), ('SUBTYPE', -1, 3), ('POWERCUT', 0, 100), ('MINRANGE', 0, 65536), ('MAXERROR', 0, 65536), ('BITRATE', 48000, 256000)),
+  t AS (SELECT id, p.name, low, high, CASE WHEN raw = '*' AND p.name IN ('TYPE', 'SUBTYPE') THEN -1.0 WHEN p.name IN ('TYPE', 'SUBTYPE', 'BITRATE') THEN trunc(try_cast(raw AS DOUBLE)) + 0.0::DOUBLE ELSE try_cast(raw AS DOUBLE) END AS value FROM p LEFT JOIN r ON r.name = p.name)
+  SELECT id, name, value, CASE WHEN low IS NULL THEN 'unknown' WHEN value IS NULL THEN 'not a number' WHEN value NOT BETWEEN low AND high THEN 'out of range' END AS problem FROM t""")
+def _(v):
+    k = F.col("event_id")
+    number = F.when(k % 3 == 0, "*").otherwise((k % 5 - 1.5).cast("string"))
+    last = F.when(k % 7 > 0, F.concat(F.lit("= "), (k % 6).cast("string"))).otherwise("")
+    text = F.concat(F.lit("type="), number, F.lit(", BitRate = "), (k * 37 % 300000).cast("string"), F.lit(","), F.col("event_type"), F.lit("="), F.col("value").cast("string"), F.lit(" , subtype "), last)
+    return L.parse_param_text(v.events.select(k.alias("id"), text.alias("text")))
+
+
 @query("b22_render_name", r"""
   WITH n AS (SELECT page_id, replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\.[^.]*$', '') || '-<date>.out', '<date>', '2026-01-01') AS t FROM pages)
   SELECT page_id AS id, substr(t, 1, 20) AS name, CASE WHEN length(t) > 20 THEN 'cut' END AS warning FROM n""")
@@ -149,26 +162,42 @@ def _(v):
 
 @query("a2_pick_primary", """
   WITH f AS (SELECT source AS set_id, doc_id AS file_no, doc_id::VARCHAR AS name, text FROM documents)
-  SELECT set_id, min(file_no) FILTER (WHERE starts_with(text, 'The') AND contains(name, '2')) AS file_no,
-    CASE WHEN min(file_no) FILTER (WHERE starts_with(text, 'The') AND contains(name, '2')) IS NULL THEN 'no primary image' END AS problem FROM f GROUP BY set_id""")
+  SELECT set_id, min(file_no) FILTER (WHERE starts_with(text, 'The') AND contains(name, '2') OR name = '7') AS file_no,
+    CASE WHEN min(file_no) FILTER (WHERE starts_with(text, 'The') AND contains(name, '2') OR name = '7') IS NULL THEN 'no primary image' END AS problem FROM f GROUP BY set_id""")
 def _(v):
     files = v.documents.select(F.col("source").alias("set_id"), F.col("doc_id").alias("file_no"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("head"))
-    return L.pick_primary(files, "The")
+    return L.pick_primary(files, "The", named="7")
 
 
 @query("a3_assign_slots", """
-  WITH f AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS set_id, page_id AS file_no, regexp_extract(url, '[^/]*/?$') AS name FROM pages),
-  s AS (SELECT *, (SELECT min(k) FROM range(3, 10) r(k) WHERE contains(name, k::VARCHAR)) AS slot FROM f WHERE regexp_matches(name, '^[0-9]'))
-  SELECT set_id, slot::INT AS slot, min_by(name, file_no) AS name, min(file_no) AS file_no FROM s WHERE slot IS NOT NULL GROUP BY ALL""")
+  WITH RECURSIVE f AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS set_id, page_id AS file_no, page_id // 3 || '.' || regexp_extract(url, '[^/]*/?$') AS name, CASE WHEN page_id % 11 > 0 THEN page_id % 10 END AS digit FROM pages),
+  r(set_id, slot, file_no, name, taken) AS (
+    SELECT DISTINCT set_id, 2, NULL::BIGINT, NULL::VARCHAR, []::BIGINT[] FROM f
+    UNION ALL
+    SELECT set_id, slot, pick.file_no, pick.name, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.file_no) END FROM (
+      SELECT r.set_id, r.slot + 1 AS slot, r.taken, min(struct_pack(file_no := f.file_no, name := f.name)) FILTER (WHERE contains(f.name, (r.slot + 1)::VARCHAR) AND NOT list_contains(r.taken, f.file_no) AND (digit = r.slot + 1 OR starts_with(r.set_id, 'a') AND r.slot = 6 AND digit = 6)) AS pick
+      FROM r JOIN f ON f.set_id = r.set_id WHERE r.slot < 9 GROUP BY r.set_id, r.slot, r.taken))
+  SELECT set_id, slot::INT AS slot, file_no, name FROM r WHERE file_no IS NOT NULL""")
 def _(v):
-    files = v.pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("set_id"), F.col("page_id").alias("file_no"), F.regexp_extract("url", "[^/]*/?$", 0).alias("name"))
-    return L.assign_slots(files, "^[0-9]")
+    """Pages as files of their host; every eleventh has no signature."""
+    k = F.col("page_id")
+    name = F.concat(F.expr("page_id div 3").cast("string"), F.lit("."), F.regexp_extract("url", "[^/]*/?$", 0))
+    signature = F.when(k % 11 > 0, F.concat(F.lit("S sound "), (k % 10).cast("string"), F.lit(" v1 07/12/94"))).otherwise("")
+    files = v.pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("set_id"), k.alias("file_no"), name.alias("name"), signature.alias("signature"))
+    return L.assign_slots(files, [("^a", 7, 6)])
+
+
+HEADED = """hd AS (SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN '44435361' || lpad(hex(146 + doc_id % 4), 4, '0') || CASE WHEN doc_id % 7 = 0 THEN '0002' ELSE '0001' END || CASE WHEN doc_id % 6 = 0 THEN '7A00' ELSE '7A12' END || repeat('0', 44) || lpad(hex(length(h) // 2), 8, '0') || h ELSE h END AS h FROM blob)"""
 
 
-@query("a4_scan_container_headers", """
-  SELECT doc_id, ('0x' || substr(h, 5, 2))::INT AS version, (length(h) // 2 - 36)::BIGINT AS data_size FROM blob WHERE starts_with(h, '5468') AND ('0x' || substr(h, 5, 2))::INT BETWEEN 97 AND 110""")
+@query("a4_scan_container_headers", f"""
+  WITH {HEADED} SELECT doc_id, ('0x' || substr(h, 9, 4))::INT AS version, ('0x' || substr(h, 65, 8))::BIGINT AS data_size FROM hd
+  WHERE starts_with(h, '44435361') AND ('0x' || substr(h, 9, 4))::INT IN (147, 148) AND substr(h, 13, 4) = '0001' AND substr(h, 17, 4) = '7A12'""")
 def _(v):
-    return L.scan_container_headers(v.blob, "5468", 97, 110)
+    """Texts behind headers of four versions, some with two channels or another rate, and some without one."""
+    k, h = F.col("doc_id"), F.col("h")
+    head = F.concat(F.lit("44435361"), F.lpad(F.hex(146 + k % 4), 4, "0"), F.when(k % 7 == 0, "0002").otherwise("0001"), F.when(k % 6 == 0, "7A00").otherwise("7A12"), F.lit("0" * 44), F.lpad(F.hex((F.length(h) / 2).cast("bigint")), 8, "0"))
+    return L.scan_container_headers(v.blob.select("doc_id", F.when(k % 5 < 4, F.concat(head, h)).otherwise(h).alias("h")), "44435361")
 
 
 @query("a6_read_track_index", """

@@ -27,13 +27,19 @@ MNEMONIC = """(SELECT i.track_no, i.seq, i.opcode, i.channel, i.wait,
    WHEN i.opcode = 1 THEN 'Play(' || tag || 'stream $' || lpad(hex(addr), 6, '0') || CASE repeat_n WHEN 0 THEN ', repeat forever' WHEN 1 THEN '' ELSE ', repeat ' || repeat_n END || ');'
    WHEN i.opcode = 2 THEN 'Stop(channel ' || i.channel || ');'
    WHEN i.opcode = 3 THEN 'Queue(track $' || hex(addr) || ');'
+   WHEN i.opcode = 4 AND version = '1993a' THEN 'SetChannelTimer(byte $' || lpad(hex(level & 255), 2, '0') || ', counter $' || lpad(hex(addr & 65535), 4, '0') || ');'
    WHEN i.opcode = 4 THEN 'WriteDataPort(byte $' || lpad(hex(level & 255), 2, '0') || ');'
    WHEN i.opcode = 5 THEN 'StartDeferred(channel ' || i.channel || ');'
    WHEN i.opcode = 6 THEN 'SetVariable(var $' || right(lpad(hex(var_id), 16, '0'), greatest(2, length(hex(var_id)))) || ', value $' || lpad(hex(level & 255), 2, '0') || ');'
    WHEN i.opcode BETWEEN 7 AND 12 THEN 'SetMixingLevel(' || tag || CASE i.opcode % 3 WHEN 1 THEN 'level' WHEN 2 THEN 'increase' ELSE 'decrease' END || ' ' || level || CASE WHEN i.opcode > 9 THEN ', steps ' || wait ELSE '' END || ');'
    WHEN i.opcode = 13 THEN 'NOP;'
    WHEN i.opcode = 14 AND repeat_n = 0 THEN 'Loop {' WHEN i.opcode = 14 THEN 'Loop (' || repeat_n || ') {' ELSE '}' END AS text
-  FROM (SELECT i.*, CASE WHEN i.channel IS NOT DISTINCT FROM t.channel THEN '' ELSE 'channel ' || i.channel || ', ' END AS tag FROM instr i LEFT JOIN track t ON t.track_no = i.track_no) i)"""
+  FROM (SELECT i.*, CASE WHEN i.track_no % 4 = 1 THEN '1993a' ELSE '1994' END AS version, CASE WHEN i.channel IS NOT DISTINCT FROM t.channel THEN '' ELSE 'channel ' || i.channel || ', ' END AS tag FROM instr i LEFT JOIN track t ON t.track_no = i.track_no) i)"""
+
+
+def versioned(v):
+    """Steps of programs of two versions."""
+    return v.instr.withColumn("version", F.when(F.col("track_no") % 4 == 1, "1993a").otherwise("1994"))
 
 
 def kinds(v):
@@ -67,7 +73,7 @@ def _(v):
 
 @query("b3_mnemonic", f"SELECT * FROM {MNEMONIC} m")
 def _(v):
-    return catalog.mnemonic(v.instr, v.track)
+    return catalog.mnemonic(versioned(v), v.track)
 
 
 @query("b4_hex_desc", """
@@ -138,10 +144,21 @@ def _(v):
     return v.instr.select("track_no", "seq", S.mix_attenuation(F.col("level") * 97, 255 - F.col("level")).alias("gain"))
 
 
+@query("b21_mix_attenuation_oldest", """
+  WITH RECURSIVE v AS (SELECT track_no, seq, (level * 97) AS total FROM instr),
+  r AS (SELECT DISTINCT total, 0 AS k, 32767::BIGINT AS x, 31892::BIGINT AS y FROM v
+        UNION ALL SELECT total, k + 1, CASE WHEN ((((total >> 6) & 1023) + 128) >> k) & 1 = 0 THEN (x * y) >> 15 ELSE x END, (y * y) >> 15 FROM r WHERE k < 8)
+  SELECT track_no, seq, r.x * 2 AS gain FROM v JOIN r ON r.total = v.total AND r.k = 8""")
+def _(v):
+    return v.instr.select("track_no", "seq", S.mix_attenuation(F.col("level") * 97, F.col("level"), oldest=True).alias("gain"))
+
+
 @query("b24_format_compatible", """
-  SELECT addr, (1993 + addr % 3)::INT AS version, CASE WHEN 1993 + addr % 3 = 1993 THEN 'copy' ELSE 'encode' END AS action FROM stream""")
+  WITH s AS (SELECT addr, [37633, 37634, 37888][1 + addr % 3]::INT AS version, addr // 3 % 2 AS major FROM stream)
+  SELECT addr, version, CASE WHEN version = 37633 OR version // 256 = 147 AND major = 0 THEN 'copy' ELSE 'encode' END AS action FROM s""")
 def _(v):
-    return catalog.format_compatible(kinds(v).withColumn("version", (1993 + F.col("kind")).cast("int")), 1993)
+    version = F.when(F.col("kind") == 0, 0x9301).when(F.col("kind") == 1, 0x9302).otherwise(0x9400)
+    return catalog.format_compatible(kinds(v).withColumns({"version": version, "major": F.expr("addr div 3 % 2")}), 0x9301)
 
 
 @query("b25_mmss", """
@@ -267,7 +284,7 @@ def _(v):
   SELECT m.track_no, string_agg(repeat('  ', depth) || CASE WHEN wait > 0 THEN 'Wait(' || wait || ') ' ELSE '' END || text, chr(10) ORDER BY m.seq) AS program
   FROM {MNEMONIC} m JOIN n2 ON n2.track_no = m.track_no AND n2.seq = m.seq GROUP BY m.track_no""")
 def _(v):
-    return catalog.program_text(v.instr, v.track)
+    return catalog.program_text(versioned(v), v.track)
 
 
 @query("d8_track_listing", """
@@ -347,6 +364,13 @@ def _(v):
     return catalog.extract_manifest(v.instr, v.stream)
 
 
+@query("a8_manifest_counts", """
+  WITH p AS (SELECT DISTINCT addr FROM instr WHERE opcode = 1)
+  SELECT count(*) AS found, count(n_bytes) AS ok, count(*) - count(n_bytes) AS errors FROM p LEFT JOIN stream s ON s.addr = p.addr""")
+def _(v):
+    return catalog.manifest_counts(catalog.extract_manifest(v.instr, v.stream))
+
+
 @query("a9_write_catalog", """
   WITH i AS (SELECT p_brand AS set_id, (p_partkey % 6)::INT AS slot, max(p_size * 10000) AS size, max(p_partkey * 7 % 65536) AS checksum FROM part GROUP BY 1, 2),
   s AS (SELECT DISTINCT set_id FROM i)

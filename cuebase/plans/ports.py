@@ -218,22 +218,30 @@ def _(v):
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("size"), F.sha2(F.expr("substring(content, 37)"), 256).alias("payload_sha256"))
 
 
+#: Bytes of texts taken as codes that exist, in three versions.
 PROGRAMS = """
-  WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id AS id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+  WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id AS id, doc_id % 3 AS v, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: lpad(hex(('0x' || x)::INT % 20), 2, '0')), '') AS h FROM documents WHERE text IS NOT NULL),
   r AS (
-    SELECT k, id, -1 AS seq, 0 AS place, 0 AS next_at, 0 AS wait, 1 AS opcode, '' AS operands FROM d
+    SELECT k, id, v, -1 AS seq, 0 AS place, 0 AS next_at, 0 AS wait, 1 AS opcode, '' AS operands FROM d
     UNION ALL
-    SELECT k, id, seq + 1, next_at, next_at + 3 + n, wait, opcode, substr(h, 2 * next_at + 7, 2 * n) FROM (
-      SELECT *, [0, 5, 1, 2, 1, 1, 2, 2, 2, 2, 4, 4, 4, 0, 1, 0][opcode + 1] AS n FROM (
-        SELECT r.k, r.id, r.seq, r.next_at, h, TRY_CAST('0x' || substr(h, 2 * r.next_at + 1, 4) AS INT) AS wait, TRY_CAST('0x' || substr(h, 2 * r.next_at + 5, 2) AS INT) & 15 AS opcode
-        FROM r JOIN d ON d.k = r.k WHERE r.wait <> 65535 AND r.opcode <> 0 AND 2 * (r.next_at + 3) <= length(h)))
+    SELECT k, id, v, seq + 1, next_at, next_at + 3 + n, wait, opcode, substr(h, 2 * next_at + 7, 2 * n) FROM (
+      SELECT *, CASE WHEN v < 2 AND opcode = 6 THEN 0 WHEN v = 0 AND opcode = 4 THEN 3 ELSE [0, 5, 1, 2, 1, 1, 2, 2, 2, 2, 4, 4, 4, 0, 1, 0, 2, 4, 4, 0][opcode + 1] END AS n FROM (
+        SELECT r.k, r.id, r.v, r.seq, r.next_at, h, TRY_CAST('0x' || substr(h, 2 * r.next_at + 1, 4) AS INT) AS wait, TRY_CAST('0x' || substr(h, 2 * r.next_at + 5, 2) AS INT) AS opcode
+        FROM r JOIN d ON d.k = r.k WHERE r.wait <> 65535 AND r.opcode BETWEEN 1 AND 18 AND 2 * (r.next_at + 3) <= length(h)))
     WHERE 2 * (next_at + 3 + n) <= length(h))
   SELECT id, seq, place AS "offset", wait, opcode, operands FROM r WHERE seq >= 0"""
 
 
+def programs(v):
+    """(id, data, version): the bytes of texts, each modulo 20, as programs of three versions."""
+    data = F.expr("unhex(array_join(transform(regexp_extract_all(hex(encode(text, 'UTF-8')), '(..)', 1), x -> lpad(hex(cast(conv(x, 16, 10) AS int) % 20), 2, '0')), ''))")
+    m = F.col("doc_id") % 3
+    return v.documents.where("text is not null").select(F.col("doc_id").alias("id"), data.alias("data"), F.when(m == 0, "1993a").when(m == 1, "1993b").otherwise("1995").alias("version"))
+
+
 @query("a5_explode_programs", PROGRAMS)
 def _(v):
-    return archives.explode_programs(v.documents, "doc_id", "text")
+    return archives.explode_programs(programs(v), "id", "data", "version")
 
 
 @query("a10_read_port", "SELECT device, event_id, byte FROM port")
@@ -265,4 +273,10 @@ def _(v):
 @query("k2_program_rows", PROGRAMS)
 def _(v):
     archives.register_program_rows(v.spark)
-    return v.spark.sql("SELECT t.doc_id AS id, p.* FROM (SELECT doc_id, CAST(text AS BINARY) AS data FROM {d}) t, LATERAL program_rows(t.data) p", d=v.documents)
+    return v.spark.sql("SELECT t.id, p.* FROM {d} t, LATERAL program_rows(t.data, t.version) p", d=programs(v))
+
+
+@query("k2_program_table", PROGRAMS)
+def _(v):
+    archives.register_program_rows(v.spark)
+    return v.spark.sql("SELECT * FROM program_table(TABLE(SELECT id, data, version FROM {d}))", d=programs(v))

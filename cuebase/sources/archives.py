@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-#: Operand bytes of each opcode, and the extract header (magic, version, channels, rate).
-OPERANDS = {0: 0, 1: 5, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 2, 10: 4, 11: 4, 12: 4, 13: 0, 14: 1, 15: 0}
+#: Operand bytes of each opcode, those of older versions that differ, and the extract header (magic, version, channels, rate).
+OPERANDS = {0: 0, 1: 5, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 2, 10: 4, 11: 4, 12: 4, 13: 0, 14: 1, 15: 0, 16: 2, 17: 4, 18: 4}
+OLDER = {"1993a": {4: 3, 6: 0}, "1993b": {6: 0}}
 MAGIC, CHANNELS, RATE = b"DCSa", 1, 0x7A12
 
 
@@ -78,42 +79,57 @@ def write_sets(rows: DataFrame, path: str, most_files: int = 500, most_bytes: in
     return rows.select("id", F.col("data").cast("binary").alias("data")).mapInArrow(run, "set string, files long")
 
 
-def program_rows(data: bytes) -> list[tuple[int, int, int, int, str]]:
-    """(seq, offset, wait, opcode, operands) up to the end of the program; the low four bits of a code count."""
-    out, at = [], 0
+def widths(version: str | None) -> dict[int, int]:
+    """Operand bytes of each opcode in a version; those without a table of their own have the latest one."""
+    return OPERANDS | OLDER.get(version or "", {})
+
+
+def program_rows(data: bytes, version: str | None = None) -> list[tuple[int, int, int, int, str]]:
+    """(seq, offset, wait, opcode, operands) up to the end of the program: an end, an endless wait, or a code that does not exist, that step included."""
+    known, out, at = widths(version), [], 0
     while at + 3 <= len(data):
-        (wait,), opcode = struct.unpack_from(">H", data, at), data[at + 2] & 15
-        n = OPERANDS[opcode]
+        (wait,), opcode = struct.unpack_from(">H", data, at), data[at + 2]
+        n = known.get(opcode, 0)
         if at + 3 + n > len(data):
             break
         out.append((len(out), at, wait, opcode, data[at + 3 : at + 3 + n].hex().upper()))
         at += 3 + n
-        if wait == 0xFFFF or opcode == 0:
+        if wait == 0xFFFF or opcode == 0 or opcode not in known:
             break
     return out
 
 
-def explode_programs(programs: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """One row per step of each program."""
+def explode_programs(programs: DataFrame, id_col: str, data_col: str, version_col: str | None = None) -> DataFrame:
+    """One row per step of each program, decoded by its version (1993a, 1993b, 1994, 1995; the latest without one)."""
     def run(batches):
         for pdf in batches:
-            rows = [(i, *r) for i, data in zip(pdf["id"], pdf["data"], strict=True) if data is not None for r in program_rows(bytes(data))]
+            rows = [(i, *r) for i, data, version in zip(pdf["id"], pdf["data"], pdf["version"], strict=True) if data is not None for r in program_rows(bytes(data), version)]
             yield pd.DataFrame(rows, columns=["id", "seq", "offset", "wait", "opcode", "operands"])
 
-    own = programs.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data"))
+    version = F.lit(None).cast("string") if version_col is None else F.col(version_col)
+    own = programs.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).cast("binary").alias("data"), version.alias("version"))
     return own.mapInPandas(run, "id long, seq int, offset int, wait int, opcode int, operands string")
 
 
 def register_program_rows(spark: SparkSession) -> None:
-    """SQL: SELECT * FROM t, LATERAL program_rows(t.data)."""
+    """SQL: SELECT * FROM t, LATERAL program_rows(t.data, t.version), and SELECT * FROM program_table(TABLE(SELECT id, data, version FROM t))."""
     from pyspark.sql.functions import udtf
 
+    steps = "seq int, offset int, wait int, opcode int, operands string"
+
     class Rows:
-        def eval(self, data: bytes):
+        def eval(self, data: bytes, version: str | None = None):
             if data is not None:
-                yield from program_rows(bytes(data))
+                yield from program_rows(bytes(data), version)
+
+    class Table:
+        def eval(self, row):
+            if row["data"] is not None:
+                for r in program_rows(bytes(row["data"]), row["version"]):
+                    yield row["id"], *r
 
-    spark.udtf.register("program_rows", udtf(Rows, returnType="seq int, offset int, wait int, opcode int, operands string"))
+    spark.udtf.register("program_rows", udtf(Rows, returnType=steps))
+    spark.udtf.register("program_table", udtf(Table, returnType=f"id long, {steps}"))
 
 
 def register_functions(spark: SparkSession) -> None:

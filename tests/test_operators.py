@@ -273,3 +273,41 @@ def test_spectra_of_streams_are_apart(spark):
     assert {(r.stream, r.k): r.db for r in spectrum.log_spectrum(spec).collect()}["a", 3] == 0.0
     assert {r.stream: r.snr for r in spectrum.snr(spec).collect()} == {"a": -1.0, "b": -1.0}
     assert rows(signal.downmix(spec.withColumnsRenamed({"k": "bin", "x": "q"})), "stream", "idx", "x")[:2] == [("a", 0, 2.5), ("a", 1, 4.5)]
+
+
+def test_programs_of_three_versions():
+    """One byte string is three listings: code 4 takes three bytes in the oldest version, code 6 none in both old ones."""
+    raw = bytes.fromhex("000104AA" "000206" "0100" "000007" "0203" "FFFF" "1011")
+    steps = {v: [(r[1], r[2], r[3], r[4]) for r in archives.program_rows(raw, v)] for v in ("1993a", "1993b", "1995")}
+    assert steps["1995"] == [(0, 1, 4, "AA"), (4, 2, 6, "0100"), (9, 0, 7, "0203"), (14, 0xFFFF, 0x10, "")][:3]
+    assert steps["1993b"] == [(0, 1, 4, "AA"), (4, 2, 6, ""), (7, 0x0100, 0, "")]
+    assert steps["1993a"] == [(0, 1, 4, "AA0002"), (6, 0x0601, 0, "")]
+    assert [r[3] for r in archives.program_rows(bytes.fromhex("000110010200011201020304000113000100"), "1994")] == [0x10, 0x12, 0x13]
+
+
+def test_slots_go_by_signature(spark):
+    files = [("a", 1, "s35", "S5 sound 01/02/93"), ("a", 2, "u3.rom", "U-3 snd 11/12/94"), ("a", 3, "x3", "S3 again 11/12/94"), ("a", 4, "y4", "no signature"), ("a", 5, "z6_5", "S5 more 01/02/93")]
+    files += [("cc_13", 1, "cc67", "S6 a 01/02/98"), ("cc_13", 2, "cc76", "S6 b 01/02/98"), ("other", 1, "cc7", "S6 b 01/02/98"), ("other", 2, None, "S3 01/02/98")]
+    df = spark.createDataFrame(files, "set_id string, file_no long, name string, signature string")
+    got = rows(layout.assign_slots(df), "set_id", "slot", "name")
+    assert got == [("a", 3, "u3.rom"), ("a", 5, "s35"), ("cc_13", 6, "cc67"), ("cc_13", 7, "cc76")]
+    assert layout.assign_slots(df.limit(0)).count() == 0
+
+
+def test_headers_are_checked(spark):
+    head = lambda version, channels, rate, size: (struct.pack(">4sHHH22xI", b"DCSa", version, channels, rate, size) + b"xy").hex().upper()
+    files = [(1, head(0x93, 1, 0x7A12, 2)), (2, head(0x95, 1, 0x7A12, 2)), (3, head(0x94, 2, 0x7A12, 2)), (4, head(0x94, 1, 0x7A13, 2)), (5, head(0x94, 1, 0x7A12, 70000)), (6, "44435361"), (7, None)]
+    got = layout.scan_container_headers(spark.createDataFrame(files, "doc_id int, h string"), b"DCSa".hex())
+    assert rows(got, "doc_id", "version", "data_size") == [(1, 0x93, 2), (5, 0x94, 70000)]
+
+
+def test_programs_end_at_endless_waits_and_unknown_codes(spark):
+    ops = [(1, 0, 13, 1), (1, 1, 13, 65535), (1, 2, 13, 1), (2, 0, 13, 1), (2, 1, 19, 1), (2, 2, 0, 1), (3, 0, 18, 1), (3, 1, 0, 1), (3, 2, 13, 1)]
+    df = spark.createDataFrame(ops, "track_no long, seq long, opcode int, wait int")
+    assert rows(programs.live_steps(df), "track_no", "seq") == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
+
+
+def test_primary_by_name(spark):
+    files = spark.createDataFrame([("a", 1, "main.rom", "xx"), ("a", 2, "u2.rom", "JU.."), ("b", 1, "u3", "JU"), ("c", 1, "MAIN.ROM", None)], "set_id string, file_no int, name string, head string")
+    got = layout.pick_primary(files, "JU", named="Main.rom")
+    assert rows(got.fillna(-1), "set_id", "file_no") == [("a", 1), ("b", -1), ("c", 1)]
