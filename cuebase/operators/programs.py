@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -162,42 +161,64 @@ def track_time(instr: DataFrame, stream: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("track_no").agg(out.alias("t")).select("track_no", "t.frames", "t.looping")
 
 
+def first_pass(steps: Column, horizon: int) -> Column:
+    """struct<at, loops> of a program's steps (array of seq, opcode, wait, repeat_n in order): the frame at which each step is first reached, and the closed loops.
+
+    A loop (opener, closer, n, time of a pass) is closed when its end is reached; a step belongs to it after its opener up to its closer.
+    Loops that are left before add nothing.  An end of the program or of an endless loop (n = 0) is the last step.  Times stop at
+    horizon + 1, so nested counts cannot overflow.
+    """
+    zero = F.lit(0).cast("bigint")
+    most = lambda x: F.least(x, F.lit(horizon + 1).cast("bigint"))
+    start = F.struct(
+        zero.alias("now"), F.lit(False).alias("done"), F.array().cast("array<struct<o:bigint,n:bigint,acc:bigint>>").alias("stack"),
+        F.array().cast("array<struct<seq:bigint,opcode:int,first:bigint>>").alias("at"), F.array().cast("array<struct<o:bigint,c:bigint,n:bigint,pass:bigint>>").alias("loops"),
+    )
+
+    def step(a, s):
+        now = most(a["now"] + s["wait"])
+        held = F.size(a["stack"])
+        up = F.slice(a["stack"], F.lit(1), F.greatest(held - 1, F.lit(0)))
+        top = F.try_element_at(a["stack"], F.lit(-1))
+        taken = most(top["acc"] + s["wait"])
+        closes = (s["opcode"] == LOOP_END) & (held > 0)
+        later = (F.greatest(top["n"], F.lit(1)) - 1) * taken  # the passes after the first
+        own = F.when(held > 0, F.concat(up, F.array(F.struct(top["o"].alias("o"), top["n"].alias("n"), taken.alias("acc"))))).otherwise(a["stack"])
+        outer = F.try_element_at(up, F.lit(-1))
+        popped = F.when(held > 1, F.concat(F.slice(up, F.lit(1), F.greatest(held - 2, F.lit(0))), F.array(F.struct(outer["o"].alias("o"), outer["n"].alias("n"), most(outer["acc"] + taken + later).alias("acc"))))).otherwise(up)
+        opened = F.concat(own, F.array(F.struct(s["seq"].cast("bigint").alias("o"), s["repeat_n"].cast("bigint").alias("n"), zero.alias("acc"))))
+        loop = F.struct(top["o"].alias("o"), s["seq"].cast("bigint").alias("c"), top["n"].alias("n"), taken.alias("pass"))
+        moved = F.struct(
+            F.when(closes, most(now + later)).otherwise(now).alias("now"),
+            ((s["opcode"] == END) | F.coalesce(closes & (top["n"] == 0), F.lit(False))).alias("done"),
+            F.when(closes, popped).when(s["opcode"] == LOOP, opened).otherwise(own).alias("stack"),
+            F.concat(a["at"], F.array(F.struct(s["seq"].cast("bigint").alias("seq"), s["opcode"].cast("int").alias("opcode"), now.alias("first")))).alias("at"),
+            F.when(closes, F.concat(a["loops"], F.array(loop))).otherwise(a["loops"]).alias("loops"),
+        )
+        return F.when(a["done"] | (a["now"] > horizon), a).otherwise(moved)
+
+    return F.aggregate(steps, start, step, lambda a: F.struct(a["at"].alias("at"), a["loops"].alias("loops")))
+
+
 def timeline(instr: DataFrame, horizon: int = 2000) -> DataFrame:
     """Events at absolute frames with the loops played out, up to a horizon; a program is one row of steps.
 
-    An endless loop that took no time never reaches another frame: its program ends after that pass.
+    Loop algebra: a step in loops with passes of T1, T2, ... frames is reached at first + k1 T1 + k2 T2 + ..., each k below
+    its loop's count; the numbers k come from sequences that end at the horizon.  An endless loop that takes no time
+    never reaches another frame: its program ends after that pass.
     """
-    def play(track: int, steps: list) -> list[tuple]:
-        out, stack, now, i = [], [], 0, 0
-        while i < len(steps):
-            step = steps[i]
-            now += step["wait"]
-            if now > horizon:
-                break
-            out.append((track, now, step["seq"], step["opcode"]))
-            if step["opcode"] == END:
-                break
-            if step["opcode"] == LOOP:
-                stack.append([i, step["repeat_n"], now])
-            elif step["opcode"] == LOOP_END and stack:
-                start, left, since = stack[-1]
-                if left == 1:
-                    stack.pop()
-                elif left == 0 and now == since:
-                    break
-                else:
-                    stack[-1][1:] = max(left - 1, 0), now
-                    i = start
-            i += 1
-        return out
-
-    def run(batches):
-        for pdf in batches:
-            rows = [r for track, steps in zip(pdf["track_no"], pdf["steps"], strict=True) for r in play(track, steps)]
-            yield pd.DataFrame(rows, columns=["track_no", "frame", "seq", "opcode"])
-
-    programs = instr.groupBy("track_no").agg(F.array_sort(F.collect_list(F.struct("seq", "opcode", "wait", "repeat_n"))).alias("steps"))
-    return programs.mapInPandas(run, "track_no long, frame long, seq long, opcode int")
+    steps_ = F.array_sort(F.collect_list(F.struct("seq", "opcode", "wait", "repeat_n")))
+    whole = instr.groupBy("track_no").agg(steps_.alias("steps")).select("track_no", first_pass(F.col("steps"), horizon).alias("p"))
+    rows = whole.select("track_no", F.explode("p.at").alias("s"), F.col("p.loops").alias("loops")).where(F.col("s.first") <= horizon)
+    around = F.array_sort(F.filter("loops", lambda x: (x["o"] < F.col("s.seq")) & (F.col("s.seq") <= x["c"])))
+
+    def play(times, loop):
+        fits = lambda t: F.expr(f"{horizon}L") - t
+        passes = lambda t: F.when(loop["pass"] == 0, F.greatest(loop["n"], F.lit(1)) - 1).when(loop["n"] == 0, F.floor(fits(t) / loop["pass"])).otherwise(F.least(loop["n"] - 1, F.floor(fits(t) / loop["pass"])))
+        return F.flatten(F.transform(times, lambda t: F.transform(F.sequence(F.lit(0).cast("bigint"), passes(t)), lambda k: t + k * loop["pass"])))
+
+    frames = F.aggregate(around, F.array(F.col("s.first")), play)
+    return rows.select("track_no", F.explode(frames).alias("frame"), F.col("s.seq").alias("seq"), F.col("s.opcode").alias("opcode"))
 
 
 def asof_deferred(events: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ def _value(x):
     return F.floor(x * 64)
 
 
-WORDS = """wd AS (SELECT * FROM (SELECT device, event_id, lag(byte) OVER (PARTITION BY device ORDER BY ts, event_id) AS before, byte FROM port) WHERE before IS NOT NULL)"""
 CLASS = """CASE WHEN {0} = 21930 THEN 'master volume' WHEN {0} BETWEEN 21931 AND 21938 THEN 'channel volume' WHEN {0} BETWEEN 21946 AND 21953 THEN 'control'
   WHEN {0} IN (21954, 21955) THEN 'version query' WHEN {0} BETWEEN 21939 AND 21945 OR {0} >= 32768 THEN 'discarded' ELSE 'track' END"""
 
@@ -72,22 +71,25 @@ def _(v):
     return live(J.frame_commands_stream(logged(v), 6 * HOURS, HOURS))
 
 
-@query("j2_classify_commands", f"WITH {WORDS} SELECT device, event_id, before * 256 + byte AS word, {CLASS.format('(before * 256 + byte)')} AS kind FROM wd")
+COMMANDS = FRAMED.replace("SELECT device, event_id, head AS word, value FROM r WHERE whole", "{0}")
+TAILS = COMMANDS.replace("0 AS value FROM b", "0 AS value, false AS tail, 0 AS fourth FROM b").replace("CASE WHEN held = 3 THEN word END\n", "CASE WHEN held = 3 THEN word END, held = 3, byte\n")
+
+
+@query("j2_classify_commands", COMMANDS.format(f"SELECT device, event_id, head AS word, {CLASS.format('head')} AS kind FROM r WHERE whole"))
 def _(v):
-    return J.words(v.port).select("device", "event_id", "word", J.classify(F.col("word")).alias("kind"))
+    return J.frame_commands(v.port, 6 * HOURS).select("device", "event_id", "word", J.classify(F.col("word")).alias("kind"))
 
 
-@query("j3_complement_check", f"WITH {WORDS} SELECT device, event_id, before, byte FROM wd WHERE before = xor(byte, 255)")
+@query("j3_complement_check", TAILS.format("SELECT device, event_id, head AS word, value AS third, fourth, value = xor(fourth, 255) AS ok FROM r WHERE tail"))
 def _(v):
-    return J.complement_check(J.words(v.port))
+    return J.complement_check(v.port, 6 * HOURS)
 
 
-@query("j4_reply_rules", f"""
-  WITH {WORDS} SELECT device, event_id, before * 256 + byte AS word, CASE before * 256 + byte WHEN 21954 THEN 1 WHEN 21955 THEN 5 WHEN 341 THEN 17 END AS reply,
-    CASE WHEN before * 256 + byte IN (21954, 21955, 341) THEN 'reply' ELSE 'queue' END AS action FROM wd""")
+@query("j4_reply_rules", COMMANDS.format("""SELECT device, event_id, head AS word, CASE head WHEN 21954 THEN 1 WHEN 21955 THEN 5 WHEN 341 THEN 17 END AS reply,
+    CASE WHEN head IN (21954, 21955, 341) THEN 'reply' ELSE 'queue' END AS action FROM r WHERE whole"""))
 def _(v):
     rules = v.spark.createDataFrame([(21954, 1), (21955, 5), (341, 17)], "word int, reply int")
-    return J.reply_rules(J.words(v.port), rules)
+    return J.reply_rules(J.frame_commands(v.port, 6 * HOURS), rules)
 
 
 BOOT = """
@@ -169,6 +171,18 @@ def _(v):
 MONTH = 30 * 24 * HOURS
 
 
+@query("j9_live_counts", f"""
+  WITH x AS (SELECT epoch_us(ts) // 86400000000 * 86400 AS start, event_id // 10 AS frame_no, event_id % 97 < 5 OR event_id % 211 = 0 AS bad FROM events)
+  SELECT start, count(*) AS samples, (count(*) FILTER (WHERE bad))::BIGINT AS bad_samples, count(DISTINCT frame_no) FILTER (WHERE bad) AS bad_frames FROM x
+  GROUP BY start HAVING (start + 86400) * 1000000 <= {passed(3600)}""")
+def _(v):
+    """One side lacks some samples, others differ."""
+    rows = lambda s, value: s.select(F.col("event_id").alias("key"), "ts", F.expr("event_id div 10").alias("frame_no"), value.alias("value"))
+    left, right = port_stream(v), port_stream(v)
+    changed = _value(F.col("value")) + F.when(F.col("event_id") % 97 < 5, 1).otherwise(0)
+    return J.run_available(J.live_counts(rows(left, _value(F.col("value"))), rows(right.where("event_id % 211 <> 0"), changed), "1 day", "1 hour"))
+
+
 @query("j10_live_runs", f"""
   WITH e AS (SELECT * FROM events WHERE epoch_us(ts) <= {passed(3600)}),
   d AS (SELECT user_id AS series, event_id AS idx, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM e WHERE event_id % 97 < 5),

@@ -23,8 +23,11 @@ DEAD, VERSION_HIGH, VERSION_LOW = (0x55B3, 0x55B9), 0x55C2, 0x55C3
 OUT = "device long, event_id long, word int, value int"
 
 
-def frame_bytes(state: tuple[int, int, int, float], rows: list[tuple[float, int, int]], timeout: float) -> tuple[tuple[int, int, int, float], list[tuple[int, int, int | None]]]:
-    """Take (seconds, event id, byte) rows in order: the new state and the commands (event id, word, value)."""
+def frame_bytes(state: tuple[int, int, int, float], rows: list[tuple[float, int, int]], timeout: float, judged: bool = False) -> tuple[tuple[int, int, int, float], list[tuple]]:
+    """Take (seconds, event id, byte) rows in order: the new state and the commands (event id, word, value).
+
+    judged: instead the ends of all four-byte commands, whole or not: (event id, word, third byte, fourth byte).
+    """
     held, word, first, last = state
     out: list[tuple[int, int, int | None]] = []
     for at, event, byte in rows:
@@ -38,12 +41,14 @@ def frame_bytes(state: tuple[int, int, int, float], rows: list[tuple[float, int,
             held = 0
             if MASTER <= word <= CHANNELS[1] or CONTROLS[0] <= word <= CONTROLS[1]:
                 first, held = word, 2
-            elif not DEAD[0] <= word <= DEAD[1] and (word in (VERSION_HIGH, VERSION_LOW) or word < 0x8000):
+            elif not judged and not DEAD[0] <= word <= DEAD[1] and (word in (VERSION_HIGH, VERSION_LOW) or word < 0x8000):
                 out.append((event, word, None))
         elif held == 2:
             word, held = byte, 3
         else:
-            if word == byte ^ 0xFF:
+            if judged:
+                out.append((event, first, word, byte))
+            elif word == byte ^ 0xFF:
                 out.append((event, first, word))
             held = 0
     return (held, word, first, last), out
@@ -56,8 +61,7 @@ def sessions_of(port: DataFrame, quiet: float) -> DataFrame:
     return port.withColumn("session", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def frame_commands(port: DataFrame, timeout: float) -> DataFrame:
-    """port (device, ts, event_id, byte): the framed commands, batch form."""
+def _framed(port: DataFrame, timeout: float, judged: bool, schema: str) -> DataFrame:
     at = (micros(F.col("ts")) / 1e6).alias("at")
     pieces = sessions_of(port, timeout).groupBy("device", "session").agg(F.array_sort(F.collect_list(F.struct(at, "event_id", "byte"))).alias("rows"))
 
@@ -65,11 +69,16 @@ def frame_commands(port: DataFrame, timeout: float) -> DataFrame:
         for pdf in batches:
             out = []
             for device, rows in zip(pdf["device"], pdf["rows"], strict=True):
-                _, found = frame_bytes((0, 0, 0, float("-inf")), [(r["at"], r["event_id"], r["byte"]) for r in rows], timeout)
+                _, found = frame_bytes((0, 0, 0, float("-inf")), [(r["at"], r["event_id"], r["byte"]) for r in rows], timeout, judged)
                 out += [(device, *x) for x in found]
-            yield pd.DataFrame(out, columns=["device", "event_id", "word", "value"]).astype({"value": "Int32"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return pieces.select("device", "rows").mapInPandas(run, OUT)
+    return pieces.select("device", "rows").mapInPandas(run, schema)
+
+
+def frame_commands(port: DataFrame, timeout: float) -> DataFrame:
+    """port (device, ts, event_id, byte): the framed commands, batch form."""
+    return _framed(port, timeout, False, OUT)
 
 
 def frame_commands_stream(port: DataFrame, timeout: float, delay: float | None = None) -> DataFrame:
@@ -93,15 +102,10 @@ def classify(word: Column) -> Column:
     )
 
 
-def words(port: DataFrame) -> DataFrame:
-    """Each byte with the one before it as a word, by device."""
-    before = F.lag("byte").over(Window.partitionBy("device").orderBy("ts", "event_id"))
-    return port.withColumn("before", before).where("before is not null").select("device", "event_id", "before", "byte", (F.col("before") * 256 + F.col("byte")).alias("word"))
-
-
-def complement_check(pairs: DataFrame) -> DataFrame:
-    """Pairs in which the second byte is the complement of the first."""
-    return pairs.where(F.col("before") == F.col("byte").bitwiseXOR(F.lit(255))).select("device", "event_id", "before", "byte")
+def complement_check(port: DataFrame, timeout: float) -> DataFrame:
+    """Each four-byte command of the port: its third and fourth byte, and whether one is the complement of the other; those that fail are no commands."""
+    ends = _framed(port, timeout, True, "device long, event_id long, word int, third int, fourth int")
+    return ends.withColumn("ok", F.col("third") == F.col("fourth").bitwiseXOR(F.lit(255)))
 
 
 def reply_rules(commands: DataFrame, rules: DataFrame) -> DataFrame:
@@ -189,6 +193,20 @@ def live_compare(a: DataFrame, b: DataFrame, length: str) -> DataFrame:
     return joined.where("not (a <=> b)").select(F.coalesce("key", "key_b").alias("key"), "a", "b")
 
 
+def live_counts(a: DataFrame, b: DataFrame, length: str, delay: str) -> DataFrame:
+    """Streams (key, ts, frame_no, value): for each window the samples, those that differ (or that one side lacks) and the frames with any; a window comes when the watermark has passed it.
+
+    Three aggregations one after the other: samples of both sides meet by window, frame and key, then count by frame, then by window.
+    """
+    one = lambda df, own, other: df.select("key", "frame_no", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias(own), F.lit(None).cast(df.schema["value"].dataType).alias(other))
+    both = one(a, "a", "b").unionByName(one(b, "b", "a")).withWatermark("ts", delay)
+    again = lambda: F.window(F.window_time("w"), length).alias("w")
+    samples = both.groupBy(F.window("ts", length).alias("w"), "frame_no", "key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    frames = samples.groupBy(again(), "frame_no").agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("bad"))
+    whole = frames.groupBy(again()).agg(F.sum("n").alias("samples"), F.sum("bad").alias("bad_samples"), F.count_if(F.col("bad") > 0).alias("bad_frames"))
+    return whole.select(seconds(F.col("w.start")).alias("start"), "samples", "bad_samples", "bad_frames")
+
+
 def live_runs(rows: DataFrame, delay: float, idle: float, alerts: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
     """Stream (series, ts, idx, differs): each run of differing positions when it ends, and alerts inside runs as they grow.
 

@@ -311,3 +311,43 @@ def test_primary_by_name(spark):
     files = spark.createDataFrame([("a", 1, "main.rom", "xx"), ("a", 2, "u2.rom", "JU.."), ("b", 1, "u3", "JU"), ("c", 1, "MAIN.ROM", None)], "set_id string, file_no int, name string, head string")
     got = layout.pick_primary(files, "JU", named="Main.rom")
     assert rows(got.fillna(-1), "set_id", "file_no") == [("a", 1), ("b", -1), ("c", 1)]
+
+
+def test_timeline_of_nested_loops_and_ends(spark):
+    """Against a walk through the program: nested counts, loops that are never closed, ends inside loops, stray ends, zero waits."""
+    import random
+
+    def walk(steps, horizon):
+        out, stack, now, i = [], [], 0, 0
+        while i < len(steps):
+            seq, op, wait, n = steps[i]
+            now += wait
+            if now > horizon:
+                break
+            out.append((now, seq))
+            if op == 0:
+                break
+            if op == 14:
+                stack.append([i, n, now])
+            elif op == 15 and stack:
+                start, left, since = stack[-1]
+                if left == 1:
+                    stack.pop()
+                elif left == 0 and now == since:
+                    break
+                else:
+                    stack[-1][1:] = max(left - 1, 0), now
+                    i = start
+            i += 1
+        return out
+
+    rnd, ops = random.Random(3), []
+    for track in range(120):
+        for seq in range(rnd.randint(1, 14)):
+            op = rnd.choice([14, 14, 15, 15, 13, 1, 0 if rnd.random() < 0.3 else 13])
+            ops.append((track, seq, op, rnd.choice([0, 0, 1, 2, 7]), rnd.choice([0, 1, 2, 3]) if rnd.random() < 0.9 else 200))
+    df = spark.createDataFrame(ops, "track_no long, seq long, opcode int, wait int, repeat_n int")
+    want = sorted((t, at, seq) for t in range(120) for at, seq in walk([(s, o, w, n) for tr, s, o, w, n in ops if tr == t], 60))
+    assert rows(programs.timeline(df, 60), "track_no", "frame", "seq") == want and len(want) > 1500
+    plan = programs.timeline(df, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan

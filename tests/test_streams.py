@@ -114,3 +114,27 @@ def test_state_of_silent_keys_goes(spark, tmp_path):
     folder = got.inputFiles()[0].rsplit("/", 2)[0]
     left = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "state").load()
     assert {r.key.series for r in left.select("key").collect()} == {2}
+
+
+def test_live_counts(spark, tmp_path):
+    """Samples of both sides in shuffled micro-batches: each closed window counts what the batch report counts."""
+    rnd = random.Random(7)
+    rows = [(k, 1000 + 3 * k, k // 5, k * 7 % 50) for k in range(400)]
+    other = [(k, t, f, v + (k % 19 < 2)) for k, t, f, v in rows if k % 23]
+    for side, own in (("a", rows), ("b", other)):
+        order = sorted(own, key=lambda r: r[1] + rnd.uniform(0, 9))
+        for i in range(4):
+            part = order[i * 100 : (i + 1) * 100]
+            df = spark.createDataFrame(part, "key long, at long, frame_no long, value long").select("key", "frame_no", F.timestamp_seconds("at").alias("ts"), "value")
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / side))
+    read = lambda side: spark.readStream.schema("key long, frame_no long, ts timestamp, value long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / side))
+    got = {r.start: (r.samples, r.bad_samples, r.bad_frames) for r in J.run_available(J.live_counts(read("a"), read("b"), "60 seconds", "10 seconds")).collect()}
+    right, want = {r[0]: r[3] for r in other}, {}
+    for k, t, f, v in rows:
+        n = want.setdefault(t // 60 * 60, [0, 0, set()])
+        n[0] += 1
+        if right.get(k) != v:
+            n[1] += 1
+            n[2].add(f)
+    last = max(r[1] for r in rows) - 10
+    assert got == {t: (a, b, len(c)) for t, (a, b, c) in want.items() if t + 60 <= last} and len(got) > 15
