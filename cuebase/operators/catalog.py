@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuebase.functions.scalar import FRAME_SAMPLES, b, chip_of, hex_of, mmss, offset_of
@@ -293,6 +293,24 @@ def edges_union(instr: DataFrame, track: DataFrame, contents: DataFrame) -> Data
     return queue.unionByName(deferred).unionByName(indirect)
 
 
+def save_catalog(images: DataFrame, path: str) -> None:
+    """Persist the entries of write_catalog() and a zero terminator by set: the sets given are replaced as a whole, others stay, and doing it again changes nothing.
+
+    A set is a partition of its own, so a task that fails leaves the old one in place.
+    """
+    entries = write_catalog(images)
+    end = entries.select("set_id").distinct().select("set_id", F.lit(8).alias("slot"), *[F.lit(0).cast(t).alias(c) for c, t in entries.dtypes if c not in ("set_id", "slot")])
+    whole = entries.unionByName(end).repartition("set_id").sortWithinPartitions("set_id", "slot")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id").parquet(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of each saved set before the first of size zero, as a reader of the index takes them."""
+    kept = spark.read.option("basePath", path).schema("slot int, size_4k bigint, chip_code int, checksum bigint, set_id string").parquet(path)
+    ended = F.sum((F.col("size_4k") == 0).cast("int")).over(Window.partitionBy("set_id").orderBy("slot"))
+    return kept.withColumn("ended", ended).where("ended = 0").select("set_id", "slot", "size_4k", "chip_code", "checksum")
+
+
 def write_catalog(images: DataFrame, slots: int = 8) -> DataFrame:
     """images (set_id, slot, size, checksum): eight entries a set, empty ones zero."""
     sets = images.select("set_id").distinct().select("set_id", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))

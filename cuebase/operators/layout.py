@@ -114,6 +114,25 @@ def code_search(h: Column, rule: tuple[int, int, str], align: int) -> tuple[Colu
     return part.rlike(lead), value
 
 
+#: Version numbers of software that does not name its own, what each is called, and years of named ones.
+DEFAULT_NUMBER = {"1993a": 0x100, "1993b": 0x100, "1994": 0x101}
+SOFTWARE = {"1993a": "Software 1.0a (1993)", "1993b": "Software 1.0b (1993)", "1994": "Software 1.01 (1993)", "1995": "Software 1.02 (1995)"}
+YEARS = {0x103: "1995", 0x104: "1997", 0x105: "1997"}
+#: What the two kinds of hardware are called here.
+HARDWARE = {1993: "first audio board", 1995: "second audio board"}
+
+
+def version_info(versions: DataFrame, hardware: dict[int, str] = HARDWARE) -> DataFrame:
+    """versions (…, hardware, version, nominal): add number (the named one, else the version's own, else 0) and a readable text."""
+    look = lambda column, table, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), column), other)
+    major, minor = F.shiftright("nominal", 8), F.col("nominal").bitwiseAND(255)
+    named = F.concat(F.lit("Software "), major.cast("string"), F.lit("."), F.when(minor < 10, F.concat(F.lit("0"), minor.cast("string"))).otherwise(minor.cast("string")), F.lit(" ("), look(F.col("nominal").cast("int"), YEARS, F.lit("1995+")), F.lit(")"))
+    software = F.when(F.col("version").isNull(), "Not detected").when(F.col("nominal").isNotNull(), named).otherwise(look(F.col("version"), SOFTWARE, F.lit("Unknown")))
+    board = F.when(F.col("hardware").isNull(), "Hardware type not detected").otherwise(look(F.col("hardware"), hardware, F.lit("Unknown hardware type")))
+    number = F.coalesce("nominal", look(F.col("version"), DEFAULT_NUMBER, F.lit(0)).cast("bigint"))
+    return versions.withColumns({"number": number, "info": F.concat(board, F.lit(", "), software)})
+
+
 def infer_version(images: DataFrame, newest: int = 0x6000, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align: int = 4) -> DataFrame:
     """images (doc_id, h, catalog): hardware by the catalog's place, software by code patterns, and the version number that 1995 code names."""
     h, at = F.col("h"), F.col("catalog")

@@ -85,6 +85,15 @@ def _(v):
     return versions(v)
 
 
+@query("b12_version_info", f"""
+  WITH {VERSION} SELECT *, CASE WHEN nominal IS NOT NULL THEN nominal WHEN version IN ('1993a', '1993b') THEN 256 WHEN version = '1994' THEN 257 ELSE 0 END::BIGINT AS number,
+    CASE hardware WHEN 1993 THEN 'first audio board' WHEN 1995 THEN 'second audio board' ELSE 'Hardware type not detected' END || ', ' || CASE
+      WHEN version IS NULL THEN 'Not detected' WHEN nominal IS NOT NULL THEN 'Software ' || nominal // 256 || '.' || lpad((nominal % 256)::VARCHAR, greatest(2, length((nominal % 256)::VARCHAR))::INT, '0') || ' (' || CASE nominal WHEN 259 THEN '1995' WHEN 260 THEN '1997' WHEN 261 THEN '1997' ELSE '1995+' END || ')'
+      WHEN version = '1993a' THEN 'Software 1.0a (1993)' WHEN version = '1993b' THEN 'Software 1.0b (1993)' WHEN version = '1994' THEN 'Software 1.01 (1993)' ELSE 'Software 1.02 (1995)' END AS info FROM ver""")
+def _(v):
+    return L.version_info(versions(v))
+
+
 @query("d27_version_census", f"WITH {VERSION} SELECT version, count(*) AS n FROM ver GROUP BY version")
 def _(v):
     return L.version_census(versions(v))

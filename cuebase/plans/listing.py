@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuebase.functions import scalar as S
 from cuebase.operators import catalog
 from cuebase.registry import query
+from cuebase.sources.shared import shared_folder
 
 #: Rules over the test texts, in order of priority.
 TITLE_RULES = [(1, "German", "(^| )und( |$)"), (2, "French", "(^| )les( |$)"), (3, "Spanish", "(^| )que( |$)"), (4, "English", "(^| )the( |$)")]
@@ -379,3 +382,17 @@ def _(v):
 def _(v):
     images = v.part.select(F.col("p_brand").alias("set_id"), (F.col("p_partkey") % 6).cast("int").alias("slot"), (F.col("p_size") * 10000).alias("size"), (F.col("p_partkey") * 7 % 65536).alias("checksum"))
     return catalog.write_catalog(images)
+
+
+@query("a9_saved_catalog", """
+  WITH i AS (SELECT p_brand AS set_id, (p_partkey % 6)::INT AS slot, max(p_size * 10000) AS size, max(p_partkey * 7 % 65536) AS checksum FROM part WHERE p_partkey % 6 < 5 OR ends_with(p_brand, '1') GROUP BY 1, 2),
+  c AS (SELECT set_id, slot, (size // 4096)::BIGINT AS size_4k, (slot * 256)::INT AS chip_code, (checksum + CASE WHEN ends_with(set_id, '1') THEN 1 ELSE 0 END)::BIGINT AS checksum FROM i)
+  SELECT * FROM c WHERE slot < (SELECT coalesce(min(k), 8) FROM range(0, 8) x(k) WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.set_id = c.set_id AND d.slot = k AND d.size_4k > 0))""")
+def _(v):
+    """All sets are saved, some of them again with other images; then the index is read back."""
+    path = f"{shared_folder(v.spark)}/catalog-{uuid.uuid4().hex}"
+    again = F.col("p_brand").endswith("1")
+    images = lambda rows, more: rows.select(F.col("p_brand").alias("set_id"), (F.col("p_partkey") % 6).cast("int").alias("slot"), (F.col("p_size") * 10000).alias("size"), (F.col("p_partkey") * 7 % 65536 + more).alias("checksum"))
+    catalog.save_catalog(images(v.part.where("p_partkey % 6 < 5"), 0), path)
+    catalog.save_catalog(images(v.part.where(again), 1), path)
+    return catalog.read_catalog(v.spark, path)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import io
 import os
+import posixpath
 import struct
+import uuid
 import zipfile
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from cuebase.sources.shared import open_folder
 
 #: Operand bytes of each opcode, those of older versions that differ, and the extract header (magic, version, channels, rate).
 OPERANDS = {0: 0, 1: 5, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 2, 10: 4, 11: 4, 12: 4, 13: 0, 14: 1, 15: 0, 16: 2, 17: 4, 18: 4}
@@ -160,33 +166,68 @@ class ExtractSource(DataSource):
     def schema(self) -> str:
         return "name string, version int, payload binary"
 
-    def writer(self, schema, overwrite) -> DataSourceWriter:
-        return ExtractWriter(self.options["path"].removeprefix("file://"), self.options.get("form", "raw"))
+    def writer(self, schema, overwrite) -> DataSourceArrowWriter:
+        return ExtractWriter(self.options["path"], self.options.get("form", "raw"))
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    """A task's folder of whole files, and how many there are."""
+
+    folder: str
+    files: int
 
 
-class ExtractWriter(DataSourceWriter):
+class ExtractWriter(DataSourceArrowWriter):
+    """Tasks write to folders of their own attempt under a hidden one; the driver moves the folders of the attempts that Spark
+    took into place, one for each task, when all are done, and removes the rest.  So a failed task or job leaves no visible file."""
+
     def __init__(self, path: str, form: str):
-        self.path, self.form = path, form
+        self.path, self.form, self.job = path, form, uuid.uuid4().hex
 
     def header(self, version: int, size: int) -> bytes:
         if self.form == "wav":
             return struct.pack("<4sI8sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVEfmt ", 16, 1, 1, 31250, 62500, 2, 16, b"data", size)
         return struct.pack(">4sHHH22xI", MAGIC, version, CHANNELS, RATE, size)
 
-    def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        for r in rows:
-            # a retried task writes the same name with the same bytes
-            part = f"{self.path}/.{r.name}.{os.getpid()}"
-            with open(part, "wb") as f:
-                f.write(self.header(r.version, len(r.payload)) + bytes(r.payload))
-            os.replace(part, f"{self.path}/{r.name}")
-        return WriterCommitMessage()
+    def staging(self) -> str:
+        return posixpath.join(open_folder(self.path)[1], f"_staged-{self.job}")
+
+    def write(self, iterator) -> WriterCommitMessage:
+        store, _ = open_folder(self.path)
+        context = TaskContext.get()
+        own, n = posixpath.join(self.staging(), f"part-{context.partitionId():06d}-{context.taskAttemptId()}"), 0
+        for batch in iterator:
+            for name, version, payload in zip(*[batch.column(c).to_pylist() for c in ("name", "version", "payload")], strict=True):
+                if not name or "/" in name or payload is None:
+                    raise ValueError(f"an extract needs a plain file name and a payload: {name!r}")
+                if not n:
+                    store.create_dir(own, recursive=True)
+                with store.open_output_stream(posixpath.join(own, name)) as f:
+                    f.write(self.header(version, len(payload)) + payload)
+                n += 1
+        return Staged(own, n)
+
+    def commit(self, messages) -> None:
+        store, base = open_folder(self.path)
+        store.create_dir(base, recursive=True)
+        for m in messages:
+            if m is not None and m.files:
+                store.move(m.folder, posixpath.join(base, f"{posixpath.basename(m.folder)}-{self.job}"))
+        self._clear(store)
+
+    def abort(self, messages) -> None:
+        self._clear(open_folder(self.path)[0])
+
+    def _clear(self, store) -> None:
+        if store.get_file_info(self.staging()).type == FileType.Directory:
+            store.delete_dir(self.staging())
 
 
 def write_extracts(extracts: DataFrame, path: str, form: str = "raw") -> None:
-    """extracts (name, version, payload), to a folder that all executors share and have mounted."""
-    if "://" in path.removeprefix("file://"):
-        raise ValueError("extracts are written as files: give a mounted folder that all executors share")
+    """extracts (name, version, payload), to files in one folder for each task under path, which is on any file system that Arrow opens (file, hdfs, s3, gs).
+
+    Names are unique within a task's folder; equal ones there overwrite each other, so names should tell rows apart.
+    """
     extracts.sparkSession.dataSource.register(ExtractSource)
     extracts.select("name", F.col("version").cast("int").alias("version"), F.col("payload").cast("binary").alias("payload")).write.format("extracts").mode("append").option("path", path).option("form", form).save()

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from cuebase.functions.scalar import micros
+from cuebase.sources.shared import open_folder
 
 #: A record: device, microseconds since 1970, event id, byte; little-endian.
 RECORD = np.dtype([("device", "<i8"), ("at", "<i8"), ("event_id", "<i8"), ("byte", "<i4")])
@@ -27,11 +28,6 @@ SCHEMA = "device long, ts timestamp, event_id long, byte int"
 PARTITION_BYTES = 32 << 20
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path (a local one if it names none) and the path in it."""
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def write_log(port: DataFrame, folder: str, files: int) -> None:
     """port (device, ts, event_id, byte) as a log: about even files in the order of time."""
     rows = port.select("device", micros(F.col("ts")).alias("at"), "event_id", F.col("byte").cast("int").alias("byte")).where("device is not null and at is not null and byte is not null")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuebase import registry
@@ -157,13 +157,42 @@ def test_archives(spark, tmp_path):
 
 
 def test_write_extracts(spark, tmp_path):
-    df = spark.createDataFrame([("x.raw", 0x93, bytearray(b"abc")), ("y.raw", 0x94, bytearray(b""))], "name string, version int, payload binary")
+    df = spark.createDataFrame([("x.raw", 0x93, bytearray(b"abc")), ("y.raw", 0x94, bytearray(b""))], "name string, version int, payload binary").repartition(2, "name")
     archives.write_extracts(df, str(tmp_path / "out"))
-    raw = (tmp_path / "out" / "x.raw").read_bytes()
+    found = {f.name: f for f in (tmp_path / "out").rglob("*") if f.is_file()}
+    raw = found["x.raw"].read_bytes()
     assert raw[:4] == b"DCSa" and struct.unpack(">HHH", raw[4:10]) == (0x93, 1, 0x7A12) and raw[-3:] == b"abc" and len(raw) == 39
-    assert sorted(os.listdir(tmp_path / "out")) == ["x.raw", "y.raw"]
-    archives.write_extracts(df, str(tmp_path / "wav"), "wav")
-    assert (tmp_path / "wav" / "x.raw").read_bytes()[:4] == b"RIFF"
+    assert set(found) == {"x.raw", "y.raw"} and not any(p.name.startswith("_") for p in (tmp_path / "out").iterdir())
+    archives.write_extracts(df, f"file://{tmp_path}/wav", "wav")
+    assert next((tmp_path / "wav").rglob("x.raw")).read_bytes()[:4] == b"RIFF"
+
+
+def test_failed_extracts_leave_no_file(spark, tmp_path):
+    """One task fails after others have written: nothing is visible, and the folder that was there stays as it was."""
+    good = [(f"f{k}.raw", 0x94, bytearray(b"x" * k)) for k in range(40)]
+    schema = "name string, version int, payload binary"
+    archives.write_extracts(spark.createDataFrame(good[:3], schema), str(tmp_path / "out"))
+    before = sorted(p for p in (tmp_path / "out").rglob("*"))
+    bad = spark.createDataFrame([*good, ("broken.raw", 0x94, None)], schema).repartition(4, "name")
+    with pytest.raises(Exception, match="payload"):
+        archives.write_extracts(bad, str(tmp_path / "out"))
+    assert sorted(p for p in (tmp_path / "out").rglob("*")) == before
+
+
+def test_catalog_is_replaced_by_set(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    images = lambda *x: spark.createDataFrame(x, "set_id string, slot int, size long, checksum long")
+    catalog.save_catalog(images(("a", 0, 8192, 0), ("a", 1, 4096, 7), ("b", 0, 4096, 0), ("c", 1, 4096, 3)), path)
+    for _ in range(2):  # again changes nothing
+        catalog.save_catalog(images(("b", 0, 12288, 1), ("b", 1, 4096, 2), ("b", 3, 4096, 9)), path)
+        assert rows(catalog.read_catalog(spark, path), "set_id", "slot", "size_4k", "chip_code", "checksum") == [("a", 0, 2, 0, 0), ("a", 1, 1, 256, 7), ("b", 0, 3, 0, 1), ("b", 1, 1, 256, 2)]
+    assert spark.read.parquet(path).count() == 27
+
+
+def test_version_texts(spark):
+    df = spark.createDataFrame([(1, 1995, "1995", 0x104), (2, 1995, "1995", None), (3, 1993, "1993a", None), (4, 1993, "1994", None), (5, None, None, None), (6, 1995, "1995", 0x210)], "doc_id int, hardware int, version string, nominal long")
+    got = {r.doc_id: (r.number, r.info) for r in layout.version_info(df, {1993: "old", 1995: "new"}).collect()}
+    assert got == {1: (0x104, "new, Software 1.04 (1997)"), 2: (0, "new, Software 1.02 (1995)"), 3: (0x100, "old, Software 1.0a (1993)"), 4: (0x101, "old, Software 1.01 (1993)"), 5: (0, "Hardware type not detected, Not detected"), 6: (0x210, "new, Software 2.16 (1995+)")}
 
 
 def test_program_rows_in_sql(spark):
