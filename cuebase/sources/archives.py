@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-import io
 import os
 import posixpath
 import struct
 import uuid
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileType
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from cuebase.sources.shared import open_folder
+from cuebase.sources.shared import materialise, open_folder
 
 #: Operand bytes of each opcode, those of older versions that differ, and the extract header (magic, version, channels, rate).
 OPERANDS = {0: 0, 1: 5, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 2, 10: 4, 11: 4, 12: 4, 13: 0, 14: 1, 15: 0, 16: 2, 17: 4, 18: 4}
 OLDER = {"1993a": {4: 3, 6: 0}, "1993b": {6: 0}}
 MAGIC, CHANNELS, RATE = b"DCSa", 1, 0x7A12
+#: Packed bytes of an archive's members that one task reads.
+MEMBER_BYTES = 32 << 20
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,18 +34,63 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "length")
 
 
+def _directory(batches):
+    """(path) of archives to their members: number, name, size, where the member's data lies, its packed size and method; only the index at the archive's end is read."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, own = open_folder(path)
+            with store.open_input_file(own) as f, zipfile.ZipFile(f) as z:
+                files = [i for i in z.infolist() if not i.is_dir()]
+            odd = [i.filename for i in files if i.flag_bits & 1 or i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)]
+            if odd:
+                raise ValueError(f"{path}: members that are encrypted or packed by another method: {odd[:3]}")
+            columns = [[path] * len(files), list(range(len(files))), *([getattr(i, c) for i in files] for c in ("filename", "file_size", "header_offset", "compress_size", "compress_type", "CRC"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _DIRECTORY.types, strict=True)], schema=_DIRECTORY)
+
+
+_DIRECTORY = pa.schema([("set_id", pa.string()), ("file_no", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("packed", pa.int64()), ("method", pa.int32()), ("crc", pa.int64())])
+
+
+def _contents(batches):
+    """Members to their contents: each is read by its own range of the archive and inflated, one at a time."""
+    for batch in batches:
+        rows, held = batch.to_pylist(), None
+        try:
+            for r in rows:
+                if held is None or held[0] != r["set_id"]:
+                    if held is not None:
+                        held[1].close()
+                    store, own = open_folder(r["set_id"])
+                    held = r["set_id"], store.open_input_file(own)
+                name, extra = struct.unpack("<HH", held[1].read_at(4, r["at"] + 26))
+                raw = held[1].read_at(r["packed"], r["at"] + 30 + name + extra)
+                data = zlib.decompress(raw, -15) if r["method"] == zipfile.ZIP_DEFLATED else raw
+                if zlib.crc32(data) != r["crc"]:
+                    raise ValueError(f"{r['set_id']}: {r['name']} is damaged")
+                yield pa.RecordBatch.from_arrays([pa.array([r["set_id"]]), pa.array([r["file_no"]], pa.int32()), pa.array([r["name"]]), pa.array([r["size"]], pa.int64()), pa.array([data], pa.binary())], names=["set_id", "file_no", "name", "size", "content"])
+        finally:
+            if held is not None:
+                held[1].close()
+
+
+def list_members(spark: SparkSession, path: str) -> DataFrame:
+    """(set_id, file_no, name, size, at, packed, method, crc) of every member of the ZIP archives under a path; folders are skipped."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select("path").mapInArrow(_directory, "set_id string, file_no int, name string, size long, at long, packed long, method int, crc long")
+
+
 def load_images(spark: SparkSession, path: str) -> DataFrame:
-    """(set_id, file_no, name, size, content) of every member of the ZIP archives under a path; folders are skipped."""
-    def members(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    files = [i for i in z.infolist() if not i.is_dir()]
-                    rows = [(path, k, i.filename, i.file_size, z.read(i)) for k, i in enumerate(files)]
-                yield pd.DataFrame(rows, columns=["set_id", "file_no", "name", "size", "content"])
+    """(set_id, file_no, name, size, content) of every member of the ZIP archives under a path; folders are skipped.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(members, "set_id string, file_no int, name string, size long, content binary")
+    Archives are never held whole: their directories are read first, then the members, not the archives, are dealt out to
+    tasks, which read each by its own range.  So one large archive is the work of many tasks.
+    """
+    members = materialise(list_members(spark, path), "members")
+    total = members.agg(F.sum("packed")).first()[0] or 0
+    # about MEMBER_BYTES of members in a task, neighbours of one archive together; the number is given, as Spark knows only the sizes of these short rows
+    block = F.sum("packed").over(Window.partitionBy("set_id").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = members.withColumn("block", F.floor(F.coalesce(block, F.lit(0)) / MEMBER_BYTES)).repartition(1 + total // MEMBER_BYTES, "set_id", "block").sortWithinPartitions("set_id", "at")
+    return dealt.drop("block").mapInArrow(_contents, "set_id string, file_no int, name string, size long, content binary")
 
 
 def write_sets(rows: DataFrame, path: str, most_files: int = 500, most_bytes: int = 4_000_000) -> DataFrame:

@@ -118,6 +118,13 @@ def test_reachable_ends_on_cycles(spark):
     assert graph.reachable(e.limit(0), r).count() == 1
 
 
+def test_reachable_along_a_chain(spark, monkeypatch):
+    """A chain is followed to its end, over tables that are put together on the way."""
+    monkeypatch.setattr(graph, "PARTS_MOST", 3)
+    chain = spark.range(60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert rows(graph.reachable(chain, spark.range(1).withColumnRenamed("id", "node"), hops=8), "node") == [(k,) for k in range(61)]
+
+
 def test_pack_best_fit(spark):
     items = spark.createDataFrame([("a", k, s) for k, s in enumerate([60, 50, 40, 30, 200])], "build string, item long, size long")
     got = {r.item: (r.image, r.problem) for r in layout.pack_best_fit(items, 100).collect()}
@@ -225,6 +232,26 @@ def test_list_images_reads_every_document(spark, data):
     assert rows(got, "id", "size", "sha256") == rows(want, "id", "size", "sha256")
 
 
+def test_members_of_one_archive_are_many_tasks(spark, tmp_path, monkeypatch):
+    """Stored and deflated members, names beyond ASCII, an empty one and a folder; members of one archive are read by several tasks; a damaged one is an error."""
+    monkeypatch.setattr(archives, "MEMBER_BYTES", 3000)
+    want = {}
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        z.writestr("folder/", b"")
+        for k in range(30):
+            data = bytes([k, k + 1, 255 - k]) * (k * 37)
+            z.writestr(f"folder/é{k}.rom", data, zipfile.ZIP_STORED if k % 2 else zipfile.ZIP_DEFLATED)
+            want[k] = (f"folder/é{k}.rom", len(data), data)
+    images = archives.load_images(spark, f"file://{tmp_path}")
+    assert {r.file_no: (r.name, r.size, bytes(r.content)) for r in images.collect()} == want
+    assert images.rdd.getNumPartitions() > 1 and images.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    raw = bytearray((tmp_path / "big.zip").read_bytes())
+    raw[raw.find(want[29][2][:50]) + 10] ^= 1
+    (tmp_path / "big.zip").write_bytes(bytes(raw))
+    with pytest.raises(Exception, match="damaged"):
+        archives.load_images(spark, str(tmp_path)).collect()
+
+
 def test_write_sets_in_bounded_groups(spark, tmp_path):
     df = spark.createDataFrame([(k, "x" * 10) for k in range(7)] + [(None, None), (8, "y" * 100)], "id long, data string").coalesce(1)
     done = archives.write_sets(df, f"file://{tmp_path}/sets", most_files=3, most_bytes=50).collect()
