@@ -21,16 +21,20 @@ def parts_of(h: Column, digits: int) -> Column:
     return F.regexp_extract_all(h, F.lit(f"(.{{1,{digits}}})"), 1)
 
 
+def bytes_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, laid end to end, and where each value begins; nulls are empty."""
+    if data.null_count:
+        data = data.fill_null(b"")
+    _, offsets, raw = data.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]].astype(np.int64) if at[-1] > at[0] else np.empty(0, dtype=np.int64)
+    return raw, at - at[0]
+
+
 def _sums(batches):
     """(doc_id, even, odd) of (doc_id, data): one pass over a batch's bytes."""
     for batch in batches:
-        data = batch.column(1)
-        if data.null_count:
-            data = data.fill_null(b"")
-        _, offsets, raw = data.buffers()
-        at = np.frombuffer(offsets, dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]].astype(np.int64) if at[-1] > at[0] else np.empty(0, dtype=np.int64)
-        at -= at[0]
+        raw, at = bytes_of(batch.column(1))
         whole = np.r_[0, np.cumsum(raw)]
         raw[1::2] = 0
         even = np.r_[0, np.cumsum(raw)]
@@ -217,8 +221,22 @@ def scan_container_headers(blob: DataFrame, magic: str, versions: tuple[int, ...
 
 def read_track_index(blob: DataFrame, stride: int = 3) -> DataFrame:
     """Big-endian numbers of `stride` bytes; slots whose first byte is FF are empty."""
-    rows = blob.select("doc_id", F.posexplode(parts_of(F.col("h"), 2 * stride)).alias("slot", "part")).where(F.length("part") == 2 * stride)
-    return rows.where("not startswith(part, 'FF')").select("doc_id", "slot", F.conv("part", 16, 10).cast("bigint").alias("addr"))
+    kind = dict(blob.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            raw, at = bytes_of(batch.column(1))
+            count = np.diff(at) // stride
+            slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place = np.repeat(at[:-1], count) + slot * stride
+            value = np.zeros(len(place), dtype=np.int64)
+            for k in range(stride):
+                value = value << 8 | raw[place + k]
+            full = np.flatnonzero(raw[place] != 0xFF) if len(place) else place
+            owner = pa.array(np.repeat(np.arange(len(batch)), count)[full])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(slot[full].astype(np.int32)), pa.array(value[full])], names=["doc_id", "slot", "addr"])
+
+    return blob.select("doc_id", F.unhex("h").alias("data")).mapInArrow(run, f"doc_id {kind}, slot int, addr long")
 
 
 def collapse_fill(blob: DataFrame, word: str, least: int = 4) -> DataFrame:
