@@ -281,17 +281,20 @@ def shared_passages(docs: DataFrame, text_col: str = "text", least: int = 51) ->
     """(key) of the texts that share a passage of `least` words, case kept, with a different text; equal texts are one text."""
     texts = bounded_batches(docs).select(text_key(text_col), F.col(text_col).alias("text"))
     rows = materialise(texts.mapInArrow(_runs(least), "run long, reach long, key binary"), "runs")
-    whole = materialise(rows.join(_of_several(rows, "run", "reach"), ["run", "reach"]).select("key").distinct(), "settled")
+    # the names that several texts have are written first: sent to all tasks, or joined so that Spark can split what a frequent one has
+    alike, often = (materialise(_of_several(rows, *names), "several") for names in (("run", "reach"), ("run",)))
+    whole = materialise(rows.join(broadcast_if(alike, alike.count(), SENT_MOST // 2), ["run", "reach"]).select("key").distinct(), "settled")
     # a text that is not settled yet shares a passage only in windows whose anchor another text has
-    met = rows.join(_of_several(rows, "run"), "run").select("run", "key")
+    met = rows.join(broadcast_if(often, often.count(), SENT_MOST), "run").select("run", "key")
     asked = materialise(met.join(whole, "key", "left_anti").select("run").distinct(), "asked")
     keys = materialise(rows.select("run", "key").distinct().join(broadcast_if(asked, asked.count(), SENT_MOST), "run").groupBy("key").agg(F.collect_list("run").alias("runs")), "keys")
     size = keys.agg(F.sum(F.size("runs") + 2)).first()[0] or 0
     held = texts.join(broadcast_if(keys, size, SENT_MOST), "key").select("key", "text", "runs")
     windows = materialise(held.mapInArrow(_windows(least), "window long, key binary").distinct(), "windows")
-    found = windows.join(_of_several(windows, "window"), "window").select("key")
+    same = materialise(_of_several(windows, "window"), "several")
+    found = windows.join(broadcast_if(same, same.count(), SENT_MOST), "window").select("key")
     out = materialise(whole.unionByName(found).distinct(), "passages")
-    release(rows, whole, asked, keys, windows)
+    release(rows, alike, often, whole, asked, keys, windows, same)
     return out
 
 
