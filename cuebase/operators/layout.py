@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuebase.functions.scalar import byte_at
+from cuebase.operators.patterns import find_patterns, parse
 
 
 def parts_of(h: Column, digits: int) -> Column:
@@ -59,11 +60,13 @@ def balance_bytes(blob: DataFrame) -> DataFrame:
 
 
 def compile_pattern(pattern: str) -> tuple[str, list[str]]:
-    """Hex nibbles with * for any and small letters g-z for captures: a regex, and the captured names in order."""
+    """Hex nibbles with * for any, a space for a byte that is skipped and small letters g-z for captures: a regex, and the captured names in order."""
     names, out = [], []
-    for m in re.finditer(r"[0-9A-F*]|([g-z])\1*", pattern):
+    for m in re.finditer(r"[0-9A-F* ]|([g-z])\1*", pattern):
         t = m[0]
-        if t == "*":
+        if t == " ":
+            out.append("[0-9A-F]{2}")
+        elif t == "*":
             out.append("[0-9A-F]")
         elif t[0] in "0123456789ABCDEF":
             out.append(t)
@@ -89,33 +92,32 @@ def valid_signature(blob: DataFrame, head: str, end: str = "00") -> DataFrame:
     return blob.select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("signature"))
 
 
-def locate_catalog(images: DataFrame, candidates: list[int], unit: int = 4096) -> DataFrame:
-    """First candidate offset at which an image's own catalog entry stands: its size in units, chip 0 and checksum 0 (two bytes each)."""
+def locate_catalog(images: DataFrame, candidates: list[int], unit: int = 4096, also: tuple[str, ...] = ()) -> DataFrame:
+    """First candidate offset at which an image's own catalog entry stands: its size in units, chip 0 and checksum 0 (two bytes each).
+
+    Columns named in `also` are kept, so that later steps need no join.
+    """
     h, size = F.col("h"), F.length("h") / 2
     word = lambda c: byte_at(h, c) * 256 + byte_at(h, c + 1)
     own = lambda c: (size >= c + 6) & (word(c) * unit == size) & (byte_at(h, c + 2) == 0) & (word(c + 4) == 0)
-    return images.select("doc_id", F.coalesce(*[F.when(own(c), F.lit(c)) for c in candidates]).alias("catalog"))
+    return images.select("doc_id", *also, F.coalesce(*[F.when(own(c), F.lit(c)) for c in candidates]).alias("catalog"))
 
 
-def channel_count(captured: DataFrame) -> DataFrame:
-    """captured (doc_id, n, m): n channels if the mask m fits, else 0."""
-    fits = (F.col("n") < 31) & (F.col("m") == F.expr("shiftleft(1L, cast(least(n, 31L) as int)) - 1"))
-    return captured.select("doc_id", "n", "m", F.when(fits, F.col("n")).otherwise(0).cast("int").alias("channels"))
+def channels_of(n: str, m: str) -> Column:
+    ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col(n), F.lit(31)).cast("int")) - 1
+    return F.when((F.col(n) < 31) & (F.col(m) == ones), F.col(n)).otherwise(0).cast("int")
 
 
-#: Where code is searched (from, bytes), and the patterns that tell the versions apart.
-CODE_95 = (0x2C00, 0x600, "4vvvvE0F16F893300E18***F4wwwwE0F16080F16F893300E18***F")
-CODE_93, CODE_93A = (0x1400, 0x600, "3800263C10050C00C0"), (0x2800, 0x400, "47FFF247C946")
+def channel_count(captured: DataFrame) -> DataFrame:
+    """captured (doc_id, n, m): n channels if the mask m fits, else 0."""
+    return captured.select("doc_id", "n", "m", channels_of("n", "m").alias("channels"))
 
 
-def code_search(h: Column, rule: tuple[int, int, str], align: int) -> tuple[Column, Column]:
-    """(found, first captured number) of a pattern in a stretch of an image."""
-    start, size, pattern = rule
-    regex, names = compile_pattern(pattern)
-    lead = f"^(?:[0-9A-F]{{{2 * align}}})*?" + regex
-    part = F.substring(h, 2 * start + 1, 2 * size)
-    value = F.conv(F.regexp_extract(part, lead, 1), 16, 10).cast("bigint") if names else F.lit(None).cast("bigint")
-    return part.rlike(lead), value
+#: Where code is searched (from, bytes; a match ends before the last unit of its stretch), and the patterns
+#: that tell the versions apart and hold the number of channels.
+CODE_95 = (0x2C00, 0x5FC, "4vvvvE 0F16F8 93300E 18***F 4wwwwE 0F1608 0F16F8 93300E 18***F")
+CODE_93, CODE_93A = (0x1400, 0x5FC, "380026 3C1005 0C00C0"), (0x2800, 0x3FC, "47FFF2 47C946")
+CHANNELS = (0, 0x5FFC, "22200F 4000n4 26E20F 221800 9****A 8****A 400mm4 26E20F 18***1")
 
 
 #: Version numbers of software that does not name its own, what each is called, and years of named ones.
@@ -137,14 +139,25 @@ def version_info(versions: DataFrame, hardware: dict[int, str] = HARDWARE) -> Da
     return versions.withColumns({"number": number, "info": F.concat(board, F.lit(", "), software)})
 
 
-def infer_version(images: DataFrame, newest: int = 0x6000, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align: int = 4) -> DataFrame:
-    """images (doc_id, h, catalog): hardware by the catalog's place, software by code patterns, and the version number that 1995 code names."""
-    h, at = F.col("h"), F.col("catalog")
-    named, value = code_search(h, code_95, align)
-    old, early = code_search(h, code_93, align)[0], code_search(h, code_93a, align)[0]
+def infer_version(images: DataFrame, newest: int = 0x6000, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align: int = 4, channels=None) -> DataFrame:
+    """images (doc_id, h, catalog): hardware by the catalog's place, software by code patterns, and the version number that 1995 code names.
+
+    All patterns are found in one pass over the code of the images that have a catalog.  With a pattern for channels (captures n
+    and m), they are counted as well.
+    """
+    at = F.col("catalog")
+    rules = {"95": code_95, "93": code_93, "93a": code_93a} | ({"channels": channels} if channels else {})
+    found = images.select("doc_id", "catalog", find_patterns(F.when(at.isNotNull(), F.unhex("h")), rules, align).alias("found"))
+    has = lambda rule: F.coalesce(F.map_contains_key("found", F.lit(rule)), F.lit(False))
+    captured = lambda rule, letter: F.try_element_at(F.try_element_at("found", F.lit(rule))["captured"], F.lit(letter))
     new = at == newest
-    software = F.when(at.isNull(), None).when(new, "1995").when(~old, "1994").when(early, "1993a").otherwise("1993b")
-    return images.select("doc_id", F.when(at.isNull(), None).when(new, 1995).otherwise(1993).alias("hardware"), software.alias("version"), F.when(new & named, value).alias("nominal"))
+    software = F.when(at.isNull(), None).when(new, "1995").when(~has("93"), "1994").when(has("93a"), "1993a").otherwise("1993b")
+    out = found.select(
+        "doc_id", F.when(at.isNull(), None).when(new, 1995).otherwise(1993).alias("hardware"), software.alias("version"),
+        F.when(new, captured("95", parse(code_95[2]).captures[0][0])).alias("nominal"),
+        *([captured("channels", "n").alias("n"), captured("channels", "m").alias("m")] if channels else []),
+    )
+    return out.withColumn("channels", F.coalesce(channels_of("n", "m"), F.lit(0))).drop("n", "m") if channels else out
 
 
 def version_census(versions: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuebase.operators import catalog, graph
 from cuebase.operators import layout as L
+from cuebase.operators import patterns
 from cuebase.plans.listing import RANGE, contents
 from cuebase.registry import query
 
@@ -34,6 +35,29 @@ VERSION = f"""{IMAGE}, {FOUND}, ver AS (SELECT doc_id, CASE WHEN catalog IS NULL
   CASE WHEN catalog = 48 AND {within(CODE_95, '746865[0-9A-F]{2}')} THEN ('0x' || regexp_extract(substr(h, 1, 400), '^(?:[0-9A-F]{{4}})*?746865([0-9A-F]{{2}})', 1))::BIGINT END AS nominal FROM cat)"""
 
 
+#: The same with instructions in units of four bytes, of which the last is skipped, and a pattern for channels in the whole image.
+WIDE_95, WIDE_93, WIDE_93A, WIDE_CHANNELS = (0, 400, "7468gg 65"), (20, 600, "6E6420 74"), (12, 400, "6520** **6*** 2"), (0, None, "65206n 6m")
+WIDE_TABLE = {"the": (0, None, "7468gg 20"), "and": (8, None, "6E6420 **6h** 6h"), "any": (100, 4000, "*g*hk* i")}
+
+
+def placed(rule: tuple[int, int | None, str], pattern: str, groups: str) -> str:
+    """DuckDB text: the parts of a pattern's first match at whole units of a stretch, as a struct of texts; null without one."""
+    start, size, _ = rule
+    part = f"substr(h, {2 * start + 1}, {2 * size})" if size is not None else f"substr(h, {2 * start + 1})"
+    whole = f"'^((?:[0-9A-F]{{8}})*?){pattern}'"
+    return f"CASE WHEN regexp_matches({part}, {whole}) THEN regexp_extract({part}, {whole}, [{groups}]) END"
+
+
+X, ONE = "[0-9A-F]{2}", "([0-9A-F])"
+WIDE = f"""{IMAGE}, {FOUND}, wide AS (SELECT doc_id, catalog,
+  {placed(WIDE_95, f"7468({X}){X}65", "'at', 'v'")} AS r95, {placed(WIDE_93, f"6E6420{X}74", "'at'")} AS r93,
+  {placed(WIDE_93A, f"6520{X}{X}{X}6[0-9A-F]{X}{X}2", "'at'")} AS r93a, {placed(WIDE_CHANNELS, f"65206{ONE}{X}6{ONE}", "'at', 'n', 'm'")} AS rc FROM cat),
+  ver AS (SELECT doc_id, CASE WHEN catalog IS NULL THEN NULL WHEN catalog = 48 THEN 1995 ELSE 1993 END AS hardware,
+  CASE WHEN catalog IS NULL THEN NULL WHEN catalog = 48 THEN '1995' WHEN r93 IS NULL THEN '1994' WHEN r93a IS NOT NULL THEN '1993a' ELSE '1993b' END AS version,
+  CASE WHEN catalog = 48 THEN ('0x' || r95.v)::BIGINT END AS nominal,
+  CASE WHEN catalog IS NOT NULL AND rc IS NOT NULL AND ('0x' || rc.m)::BIGINT = (1 << ('0x' || rc.n)::BIGINT) - 1 THEN ('0x' || rc.n)::INT ELSE 0 END AS channels FROM wide)"""
+
+
 def image(v):
     """The IMAGE view."""
     h, at = F.col("h"), F.when(F.col("doc_id") % 4 == 0, 32).when(F.col("doc_id") % 4 == 1, 48).otherwise(96)
@@ -44,7 +68,7 @@ def image(v):
 
 
 def versions(v):
-    found = image(v).join(L.locate_catalog(image(v), list(PLACES), unit=1), "doc_id")
+    found = L.locate_catalog(image(v), list(PLACES), unit=1, also=("h",))
     return L.infer_version(found, newest=48, code_95=CODE_95, code_93=CODE_93, code_93a=CODE_93A, align=2)
 
 
@@ -94,6 +118,25 @@ def _(v):
     return L.version_info(versions(v))
 
 
+@query("b12_image_report", f"WITH {WIDE} SELECT * FROM ver")
+def _(v):
+    found = L.locate_catalog(image(v), list(PLACES), unit=1, also=("h",))
+    return L.infer_version(found, newest=48, code_95=WIDE_95, code_93=WIDE_93, code_93a=WIDE_93A, align=4, channels=WIDE_CHANNELS)
+
+
+@query("b13_pattern_table", f"""
+  WITH the AS (SELECT doc_id, {placed(WIDE_TABLE["the"], f"7468({X}){X}20", "'at', 'g'")} AS r FROM blob),
+  nd AS (SELECT doc_id, {placed(WIDE_TABLE["and"], f"6E6420{X}{X}6[0-9A-F]{X}{X}6{ONE}", "'at', 'h'")} AS r FROM blob),
+  other AS (SELECT doc_id, {placed(WIDE_TABLE["any"], f"[0-9A-F]{ONE}[0-9A-F]{ONE}{ONE}[0-9A-F]{X}{ONE}", "'at', 'g', 'h', 'k', 'i'")} AS r FROM blob)
+  SELECT doc_id, 'the' AS "rule", length(r.at) // 2 AS "offset", ('0x' || r.g)::BIGINT AS g, NULL::BIGINT AS h FROM the WHERE r IS NOT NULL
+  UNION ALL SELECT doc_id, 'and', 8 + length(r.at) // 2, NULL, ('0x' || r.h)::BIGINT FROM nd WHERE r IS NOT NULL
+  UNION ALL SELECT doc_id, 'any', 100 + length(r.at) // 2, ('0x' || r.g)::BIGINT, ('0x' || r.h)::BIGINT FROM other WHERE r IS NOT NULL""")
+def _(v):
+    rows = patterns.pattern_table(v.blob, WIDE_TABLE, align=4)
+    number = lambda letter: F.try_element_at("captured", F.lit(letter)).alias(letter)
+    return rows.select("doc_id", "rule", "offset", number("g"), number("h"))
+
+
 @query("d27_version_census", f"WITH {VERSION} SELECT version, count(*) AS n FROM ver GROUP BY version")
 def _(v):
     return L.version_census(versions(v))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 import zipfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuebase import registry
 from cuebase.functions import scalar as S
-from cuebase.operators import catalog, graph, layout, programs, signal, spectrum, validate
+from cuebase.operators import catalog, graph, layout, patterns, programs, signal, spectrum, validate
 from cuebase.plans.bindings import Views
 from cuebase.sources import archives
 from cuebase.streaming import commands as J
@@ -82,8 +83,8 @@ def test_images_are_told_apart(spark):
             raw[place : place + len(bytes.fromhex(text))] = bytes.fromhex(text)
         return raw.hex().upper()
 
-    files = [(1, image(0x8000, 0x3000, 8)), (2, image(0x8000, 0x4000, 8, code=[(0x1408, "3800263C10050C00C0")])), (3, image(0x8000, 0x6000, 8)), (4, image(0x8000, 0x3000, 7)), (5, image(0x8000, 0x3000, 8, check=1)), (6, "00")]
-    files.append((7, image(0x8000, 0x4000, 8, code=[(0x1408, "3800263C10050C00C0"), (0x2804, "47FFF247C946")])))
+    files = [(1, image(0x8000, 0x3000, 8)), (2, image(0x8000, 0x4000, 8, code=[(0x1408, "380026FF3C1005FF0C00C0FF")])), (3, image(0x8000, 0x6000, 8)), (4, image(0x8000, 0x3000, 7)), (5, image(0x8000, 0x3000, 8, check=1)), (6, "00")]
+    files.append((7, image(0x8000, 0x4000, 8, code=[(0x1408, "380026FF3C1005FF0C00C0FF"), (0x2804, "47FFF2FF47C946FF")])))
     df = spark.createDataFrame(files, "doc_id int, h string")
     found = df.join(layout.locate_catalog(df, [0x3000, 0x4000, 0x6000]), "doc_id")
     got = {r.doc_id: (r.hardware, r.version) for r in layout.infer_version(found).collect()}
@@ -92,6 +93,61 @@ def test_images_are_told_apart(spark):
     assert rows(index, "slot", "addr") == [(0, 0xC50000), (2, 16)]
 
 
+def test_code_patterns_by_units(spark):
+    """Instructions are three bytes in units of four; the last unit of a stretch is not matched; number and channels come from the same pass."""
+    old, early = "380026FF3C1005000C00C0AB", "47FFF2FF47C946FF"
+    named = "40104EFF0F16F8FF93300EFF18ABCFFF" + "40104EFF0F1608FF0F16F8FF93300EFF18ABCFFF"
+    loop = "22200FFF4000{}4FF26E20FFF221800FF9ABCDAFF8ABCDAFF400{}4FF26E20FFF18ABC1FF"
+
+    def image(at, *code):
+        raw = bytearray(b"\xff" * 0x8000)
+        raw[at : at + 6] = struct.pack(">HHH", 8, 0, 0)
+        for place, text in code:
+            raw[place : place + len(text) // 2] = bytes.fromhex(text)
+        return raw.hex().upper()
+
+    files = [
+        image(0x6000, (0x2C00 + 40, named), (0x100, loop.format("6", "3F"))),  # 1.04 and 6 channels
+        image(0x6000, (0x2C00 + 42, named), (0x100, loop.format("6", "3E"))),  # not at a unit; the mask does not fit
+        image(0x3000, (0x1400 + 0x600 - 16, old)),  # ends before the last unit
+        image(0x3000, (0x1400 + 0x600 - 12, old)),  # ends with it
+        image(0x3000, (0x1400, old), (0x2800 + 0x400 - 12, early)),
+        image(0x3000, (0x1400, old.replace("0C00C0", "0C00C1")), (0x1500, old)),  # a literal that is not confirmed comes first
+        image(0x3100, (0x1400, old)),  # no catalog
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(files, 1)), "doc_id int, h string")
+    found = df.join(layout.locate_catalog(df, [0x3000, 0x4000, 0x6000]), "doc_id")
+    got = layout.version_info(layout.infer_version(found, channels=layout.CHANNELS))
+    assert rows(got, "doc_id", "version", "nominal", "channels", "number") == [
+        (1, "1995", 0x104, 6, 0x104), (2, "1995", None, 0, 0), (3, "1993b", None, 0, 0x100), (4, "1994", None, 0, 0x101), (5, "1993a", None, 0, 0x100),
+        (6, "1993b", None, 0, 0x100), (7, None, None, 0, 0), (8, None, None, 0, 0), (9, None, None, 0, 0),
+    ]
+
+
+def test_pattern_table_equals_brute_force(spark):
+    """Random code of few byte values, so that literals overlap and fail late, against a search at every unit."""
+    rng = random.Random(5)
+    rules = {f"r{k}": (rng.randrange(0, 20), rng.choice([None, 3, 40, 90]), text) for k, text in enumerate(["AA", "AAAA AB", "A*BA", "gA hA gB", "** g*", "ABABAB ABAB", "ABg"])}
+    code = [bytes(rng.choice([0xAA, 0xAB, 0xBA, 0xAA]) for _ in range(rng.randrange(0, 150))).hex().upper() for _ in range(60)]
+
+    def plain(h, rule):
+        start, size, text = rule
+        nibbles = text.replace(" ", "**")
+        nibbles += "*" * (len(nibbles) % 2)
+        part = h[2 * start :] if size is None else h[2 * start : 2 * (start + size)]
+        for at in range(0, len(part) - len(nibbles) + 1, 4):
+            here = part[at : at + len(nibbles)]
+            if all(p in "*gh" or p == c for p, c in zip(nibbles, here, strict=True)):
+                return start + at // 2, {p: int(c, 16) for p, c in zip(nibbles, here, strict=True) if p in "gh"}
+
+    df = spark.createDataFrame([(k, h) for k, h in enumerate([*code, None])], "doc_id int, h string")
+    got = {(r.doc_id, r.rule): (r.offset, r.captured) for r in patterns.pattern_table(df, rules, align=2).collect()}
+    assert got == {(k, name): hit for k, h in enumerate(code) for name, rule in rules.items() if (hit := plain(h, rule))}
+    assert patterns.pattern_table(df.limit(0), rules).count() == 0
+
+
 def test_pcm_round_trip(spark):
     df = spark.range(-32768, 32768).select(F.col("id").cast("int").alias("x"))
     assert df.where(S.float_to_pcm(S.pcm_to_float(F.col("x"))) != F.col("x")).count() == 0
