@@ -86,9 +86,13 @@ def pattern_find(blob: DataFrame, pattern: str, align: int = 4) -> DataFrame:
     return rows.select("doc_id", (F.length(prefix) / 2).cast("bigint").alias("offset"), *groups)
 
 
-def valid_signature(blob: DataFrame, head: str, end: str = "00") -> DataFrame:
-    """The blob's first bytes up to the end byte as text, where they start with head and are printable ASCII of at most 119 characters, else empty."""
-    text = F.regexp_extract("h", f"^((?:{head})(?:[2-7][0-9A-E]|[2-6]F){{0,118}}){end}", 1)
+#: Fixed value: an image's first instruction is a jump (its unit of four bytes); the signature stands behind it.
+JUMP = "1[89AB][0-9A-F]{3}F[0-9A-F]{2}"
+
+
+def valid_signature(blob: DataFrame, opening: str = JUMP, end: str = "00", most: int = 120) -> DataFrame:
+    """The text behind the opening and before the end byte, where it is at most so many printable ASCII characters, else empty."""
+    text = F.regexp_extract("h", f"^(?:{opening})((?:[2-7][0-9A-E]|[2-6]F){{0,{most}}}){end}", 1)
     return blob.select("doc_id", F.decode(F.unhex(text), "UTF-8").alias("signature"))
 
 

@@ -101,7 +101,13 @@ def _(v):
 @query("b11_valid_signature", """
   SELECT doc_id, decode(unhex(coalesce(regexp_extract(h, '^((?:54|41|49)(?:[2-7][0-9A-E]|[2-6]F){0,118})0A', 1), ''))) AS signature FROM blob""")
 def _(v):
-    return L.valid_signature(v.blob, "54|41|49", end="0A")
+    return L.valid_signature(v.blob, "(?=54|41|49)", end="0A", most=119)
+
+
+@query("b11_signature_behind_jump", """
+  SELECT doc_id, decode(unhex(coalesce(regexp_extract(h, '^(?:[45][0-9A-F]{4}[1-9A-F][0-9A-F]{2})((?:[2-7][0-9A-E]|[2-6]F){0,120})(?:20|0A)(?:61|74)', 1), ''))) AS signature FROM blob""")
+def _(v):
+    return L.valid_signature(v.blob, "[45][0-9A-F]{4}[1-9A-F][0-9A-F]{2}", end="(?:20|0A)(?:61|74)")
 
 
 @query("b12_infer_version", f"WITH {VERSION} SELECT * FROM ver")

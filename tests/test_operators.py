@@ -126,6 +126,16 @@ def test_code_patterns_by_units(spark):
     ]
 
 
+def test_signature_stands_behind_a_jump(spark):
+    """Four bytes of a jump, then at most 120 printable characters and a zero; anything else has none."""
+    text = b"S2 1995 sounds 01/02/95"
+    code = [b"\x18\x12\x3f\xff" + text + b"\0rest", b"\x1b\0\x0f\0\0", b"\x1c\x12\x3f\xff" + text + b"\0", b"\x18\x12\x3e\xff" + text + b"\0", text + b"\0"]
+    code += [b"\x19\0\xff\0" + b"x" * n + b"\0" for n in (120, 121)] + [b"\x18\0\x0f\0a\x7f\0", b"\x18\0\x0f\0" + text, b""]
+    df = spark.createDataFrame([(k, c.hex().upper()) for k, c in enumerate(code)], "doc_id int, h string")
+    found = {r.doc_id: r.signature for r in layout.valid_signature(df).collect()}
+    assert found == {k: "" for k in range(10)} | {0: text.decode(), 5: "x" * 120}
+
+
 def test_pattern_table_equals_brute_force(spark):
     """Random code of few byte values, so that literals overlap and fail late, against a search at every unit."""
     rng = random.Random(5)
