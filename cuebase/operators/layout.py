@@ -348,11 +348,11 @@ def pack_best_fit(items: DataFrame, capacity: int, most: int = 8) -> DataFrame:
 
 
 def bridged_gaps(reached: DataFrame, most: int = 64) -> DataFrame:
-    """reached (series, pos, hit): unreached runs shorter than `most` between reached ones become reached, and are marked."""
+    """reached (series, pos, hit): unreached runs of at most `most` between reached ones become reached, and are marked."""
     w = Window.partitionBy("series").orderBy("pos")
     rows = reached.withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("series", "hit").orderBy("pos")))
     runs = rows.groupBy("series", "hit", "island").agg(F.count("*").alias("n"), F.min("pos").alias("start"))
     order = Window.partitionBy("series").orderBy("start")
     runs = runs.withColumn("inner", F.lag("hit").over(order).isNotNull() & F.lead("hit").over(order).isNotNull())
-    bridged = ~F.col("hit") & F.col("inner") & (F.col("n") < most)
+    bridged = ~F.col("hit") & F.col("inner") & (F.col("n") <= most)
     return rows.join(runs.select("series", "hit", "island", bridged.alias("bridged")), ["series", "hit", "island"]).select("series", "pos", (F.col("hit") | F.col("bridged")).alias("hit"), "bridged")

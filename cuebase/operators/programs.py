@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from cuebase.operators.catalog import END, LOOP, LOOP_END, PLAY
 
 #: Default channel level, longest wait of one step, limit of a level, the wait that never ends.
@@ -245,25 +245,82 @@ def channel_mix(instr: DataFrame) -> DataFrame:
 
 
 def volume_shift(instr: DataFrame, volume: int = 0x7FFE) -> DataFrame:
-    """Normalising shift 0..8 of each program from the summed multiplier times volume of its play steps."""
+    """Normalising shift 0..8 of each program: the free bits of the summed multiplier times volume of its play steps, less 3.
+
+    Sums are 32 bits wide, with a sign: from 2 ** 31 on, leading ones count as free bits.  Silence is shifted by 8.
+    """
     total = F.sum(F.col("level").cast("bigint") * 256 * volume)
-    rows = instr.where(F.col("opcode") == PLAY).groupBy("track_no").agg(F.shiftright(total, 2).cast("bigint").alias("total"))
-    width = F.when(F.col("total") == 0, 0).otherwise(F.length(F.bin("total")))
-    return rows.select("track_no", F.greatest(F.lit(0), F.least(F.lit(8), width - 28)).cast("int").alias("shift"))
+    rows = instr.where(F.col("opcode") == PLAY).groupBy("track_no").agg(F.pmod(F.shiftright(total, 2), F.lit(1 << 32)).alias("total"))
+    plain = F.when(F.col("total") >= 1 << 31, F.lit((1 << 32) - 1) - F.col("total")).otherwise(F.col("total"))
+    width = F.when(plain == 0, 0).otherwise(F.length(F.bin(plain)))
+    return rows.select("track_no", F.greatest(F.lit(0), F.least(F.lit(8), 28 - width)).cast("int").alias("shift"))
+
+
+def clamped(level: Column) -> Column:
+    return F.greatest(F.lit(-LEVEL_LIMIT), F.least(F.lit(LEVEL_LIMIT), level))
+
+
+def signed_byte(x: Column) -> Column:
+    return F.pmod(x.cast("bigint") + 128, F.lit(256)) - 128
 
 
 def fade_ramp(instr: DataFrame) -> DataFrame:
-    """Level at each frame of a fade from the default level; the last frame is the target."""
+    """Level at each frame of a fade from the default level; the last frame is the target.  The step is that of the target before it is limited."""
     rows = instr.where(F.col("opcode").between(10, 12) & (F.col("wait") > 0))
-    start = F.lit(DEFAULT_LEVEL * 64)
-    target = F.when(F.col("opcode") == 10, F.col("level") * 64).when(F.col("opcode") == 11, start + F.col("level") * 64).otherwise(start - F.col("level") * 64)
-    step = F.expr("cast((target - start) / wait as bigint)")
-    rows = rows.withColumn("start", start.cast("bigint")).withColumn("target", F.greatest(F.lit(-LEVEL_LIMIT), F.least(F.lit(LEVEL_LIMIT), target)).cast("bigint"))
-    rows = rows.withColumn("step", step).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("wait"))))
-    level = F.when(F.col("k") == F.col("wait"), F.col("target")).otherwise(F.greatest(F.lit(-LEVEL_LIMIT), F.least(F.lit(LEVEL_LIMIT), F.col("start") + F.col("k") * F.col("step"))))
+    start, change = F.lit(DEFAULT_LEVEL * 64).cast("bigint"), signed_byte(F.col("level")) * 64
+    target = F.when(F.col("opcode") == 10, change).when(F.col("opcode") == 11, start + change).otherwise(start - change)
+    rows = rows.withColumn("start", start).withColumn("target", target).withColumn("step", F.expr("(target - start) div wait"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("wait"))))
+    level = F.when(F.col("k") == F.col("wait"), clamped(F.col("target"))).otherwise(clamped(F.col("start") + F.col("k") * F.col("step")))
     return rows.select("track_no", "seq", F.col("k").cast("bigint").alias("frame"), level.cast("bigint").alias("level"))
 
 
+def level_after(start: int, step: int, steps: int, target: int, frames: int) -> int:
+    """The level so many frames after a command."""
+    return target if frames >= steps else max(-LEVEL_LIMIT, min(LEVEL_LIMIT, start + frames * step))
+
+
+def _ramps(batches):
+    """Commands by key and time: each with the level that it starts from, its step and its target.  Only the last command is held."""
+    last = None
+    for batch in batches:
+        out = []
+        for key, channel, frame, _, mode, param, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is None or last[0] != (key, channel):
+                start = 0
+            else:
+                start = level_after(*last[2:], frame - last[1])
+            wanted = (param << 6) if mode == 0 else start + (param << 6) * (1 if mode == 1 else -1)
+            step = int(abs(wanted - start) // steps) * (1 if wanted >= start else -1) if steps else 0
+            target = max(-LEVEL_LIMIT, min(LEVEL_LIMIT, wanted))
+            last = ((key, channel), frame, start, step, steps, target)
+            out.append(last[2:])
+        if out:
+            kept = [batch.column(i) for i in range(4)]
+            ramps = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(kept + ramps, [*batch.schema.names[:4], "start", "step", "steps", "target"])
+
+
+def mixing_levels(commands: DataFrame) -> DataFrame:
+    """commands (key, channel, frame, seq, mode, param, steps): the level from each frame on at which it changes.
+
+    Mode 0 sets, 1 raises, 2 lowers by param (a signed byte) times 64; with steps it is a fade.  A command starts from the level
+    that an unfinished fade has reached, and ends that fade.  Levels start at 0.  Commands without a key, frame, mode or param are
+    left out, null steps are none; commands of one frame go by seq.  Keys are spread over tasks and read in order, one command at a time.
+    """
+    kinds = dict(commands.dtypes)
+    known = commands.where("key is not null and channel is not null and frame is not null and mode between 0 and 2 and param is not null")
+    ordered = known.select("key", "channel", F.col("frame").cast("bigint").alias("frame"), "seq", F.col("mode").cast("int").alias("mode"), signed_byte(F.col("param")).alias("param"), F.greatest(F.coalesce("steps", F.lit(0)), F.lit(0)).cast("bigint").alias("steps"))
+    ordered = ordered.repartition("key", "channel").sortWithinPartitions("key", "channel", "frame", "seq")
+    ramps = ordered.mapInArrow(_ramps, f"key {kinds['key']}, channel {kinds['channel']}, frame long, seq {kinds['seq']}, start long, step long, steps long, target long")
+    following = F.lead("frame").over(Window.partitionBy("key", "channel").orderBy("frame", "seq"))
+    lasting = F.least(F.col("steps"), F.coalesce(following - F.col("frame"), F.col("steps")))
+    rows = ramps.withColumn("lasting", lasting).where("steps = 0 or lasting > 0")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.when(F.col("steps") == 0, 0).otherwise(1).cast("bigint"), F.col("lasting"))))
+    level = F.when(F.col("k") >= F.col("steps"), F.col("target")).otherwise(clamped(F.col("start") + F.col("k") * F.col("step")))
+    return rows.select("key", "channel", "seq", (F.col("frame") + F.col("k")).alias("frame"), level.alias("level"))
+
+
 def periodic_events(timers: DataFrame, horizon: int) -> DataFrame:
     """timers (device, start, event_id, every): fire each `every` frames until the device's next timer, or the horizon."""
     w = Window.partitionBy("device").orderBy("start", "event_id")

@@ -39,17 +39,19 @@ def stream_band_stats(frame: DataFrame) -> DataFrame:
 
 
 def band_rms(frame: DataFrame) -> DataFrame:
+    """Power of each band by its size, its root and the sum of the stream's roots; roots are added as millionths, so the order does not matter."""
     sizes = layout(frame).select("band", "size").distinct()
     rows = stream_band_stats(frame).join(F.broadcast(sizes), "band").withColumn("scaled", F.expr("power * 16 div size"))
-    total = F.sum("scaled").over(Window.partitionBy("stream"))
-    return rows.select("stream", "band", "scaled", F.round(F.sqrt(F.col("scaled").cast("double")), 6).alias("rms"), total.alias("total"))
+    root = F.sqrt(F.col("scaled").cast("double"))
+    rows = rows.withColumn("millionths", F.floor(root * 1e6)).withColumn("all", F.sum("millionths").over(Window.partitionBy("stream")))
+    return rows.select("stream", "band", "scaled", F.round(root, 6).alias("rms"), (F.col("all") / 1e6).alias("total"), "millionths", "all")
 
 
 def band_cutoff(frame: DataFrame, percent: int = 90) -> DataFrame:
-    """First band from below at which the share of power reaches the cutoff; 16 if none does."""
-    so_far = F.sum("scaled").over(Window.partitionBy("stream").orderBy("band"))
+    """First band from below at which the share of the summed roots reaches the cutoff; 16 if none does, or in silence."""
+    so_far = F.sum("millionths").over(Window.partitionBy("stream").orderBy("band"))
     rows = band_rms(frame).withColumn("so_far", so_far)
-    reached = F.min(F.when(F.col("so_far") * 100 >= F.col("total") * percent, F.col("band")))
+    reached = F.min(F.when((F.col("so_far") * 100 >= F.col("all") * percent) & (F.col("all") > 0), F.col("band")))
     return rows.groupBy("stream").agg(F.coalesce(reached, F.lit(16)).alias("keep"))
 
 

@@ -350,7 +350,7 @@ def _(v):
   s AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos) - row_number() OVER (PARTITION BY series, hit ORDER BY pos) AS island FROM r),
   g AS (SELECT series, hit, island, count(*) AS n, min(pos) AS start FROM s GROUP BY ALL),
   b AS (SELECT *, lag(hit) OVER (PARTITION BY series ORDER BY start) IS NOT NULL AND lead(hit) OVER (PARTITION BY series ORDER BY start) IS NOT NULL AS inside FROM g)
-  SELECT s.series, s.pos, s.hit OR (NOT s.hit AND inside AND n < 2) AS hit, NOT s.hit AND inside AND n < 2 AS bridged FROM s JOIN b ON b.series = s.series AND b.hit = s.hit AND b.island = s.island""")
+  SELECT s.series, s.pos, s.hit OR (NOT s.hit AND inside AND n <= 2) AS hit, NOT s.hit AND inside AND n <= 2 AS bridged FROM s JOIN b ON b.series = s.series AND b.hit = s.hit AND b.island = s.island""")
 def _(v):
     return L.bridged_gaps(v.instr.select(F.col("track_no").alias("series"), F.col("seq").alias("pos"), (F.col("opcode") % 3 != 0).alias("hit")), 2)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuebase.functions.scalar import seconds
@@ -155,21 +156,39 @@ def _(v):
 
 
 @query("d22_volume_shift", """
-  WITH t AS (SELECT track_no, sum(level::BIGINT * 256 * 32766)::BIGINT >> 2 AS total FROM instr WHERE opcode = 1 GROUP BY track_no)
-  SELECT track_no, greatest(0, least(8, CASE WHEN total = 0 THEN 0 ELSE length(ltrim(bin(total), '0')) END - 28))::INT AS shift FROM t""")
+  WITH t AS (SELECT track_no, (sum(level::BIGINT * 256 * 32766)::BIGINT >> 2) % 4294967296 AS total FROM instr WHERE opcode = 1 GROUP BY track_no)
+  SELECT track_no, greatest(0, least(8, 28 - length(ltrim(bin(CASE WHEN total >= 2147483648 THEN 4294967295 - total ELSE total END), '0'))))::INT AS shift FROM t""")
 def _(v):
     return programs.volume_shift(v.instr)
 
 
 @query("e27_fade_ramp", """
-  WITH f AS (SELECT track_no, seq, wait, 6400::BIGINT AS start, greatest(-8191, least(8191, CASE opcode WHEN 10 THEN level * 64 WHEN 11 THEN 6400 + level * 64 ELSE 6400 - level * 64 END))::BIGINT AS target
+  WITH f AS (SELECT track_no, seq, wait, 6400::BIGINT AS start, CASE opcode WHEN 10 THEN level * 64 WHEN 11 THEN 6400 + level * 64 ELSE 6400 - level * 64 END::BIGINT AS target
              FROM instr WHERE opcode BETWEEN 10 AND 12 AND wait > 0)
-  SELECT track_no, seq, k AS frame, CASE WHEN k = wait THEN target ELSE greatest(-8191, least(8191, start + k * trunc((target - start) / wait)::BIGINT)) END::BIGINT AS level
+  SELECT track_no, seq, k AS frame, greatest(-8191, least(8191, CASE WHEN k = wait THEN target ELSE start + k * trunc((target - start) / wait)::BIGINT END))::BIGINT AS level
   FROM f, unnest(range(1, wait + 1)) x(k)""")
 def _(v):
     return programs.fade_ramp(v.instr)
 
 
+@query("e27_fades_in_time", """
+  WITH RECURSIVE t AS (SELECT track_no, channel, seq, opcode, level * 5 - 128 AS param, CASE WHEN opcode >= 10 THEN var_id % 40 ELSE 0 END AS steps,
+      coalesce(sum(wait) OVER (PARTITION BY track_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame FROM instr),
+  c AS (SELECT *, (opcode - 7) % 3 AS mode, row_number() OVER (PARTITION BY track_no, channel ORDER BY frame, seq) AS n,
+      lead(frame) OVER (PARTITION BY track_no, channel ORDER BY frame, seq) AS after FROM t WHERE opcode BETWEEN 7 AND 12),
+  r AS (SELECT track_no, channel, seq, n, frame, after, steps, 0::BIGINT AS start, (CASE mode WHEN 2 THEN -param ELSE param END * 64)::BIGINT AS wanted FROM c WHERE n = 1
+    UNION ALL SELECT c.track_no, c.channel, c.seq, c.n, c.frame, c.after, c.steps, now, (CASE mode WHEN 0 THEN param * 64 WHEN 1 THEN now + param * 64 ELSE now - param * 64 END)::BIGINT
+    FROM (SELECT *, greatest(-8191, least(8191, CASE WHEN after - frame >= steps THEN wanted ELSE start + (after - frame) * trunc((wanted - start) / greatest(steps, 1))::BIGINT END))::BIGINT AS now FROM r) p
+    JOIN c ON c.track_no = p.track_no AND c.channel = p.channel AND c.n = p.n + 1)
+  SELECT track_no AS "key", channel, seq, (frame + k)::BIGINT AS frame, greatest(-8191, least(8191, CASE WHEN k >= steps THEN wanted ELSE start + k * trunc((wanted - start) / greatest(steps, 1))::BIGINT END))::BIGINT AS level
+  FROM r, unnest(range(CASE WHEN steps = 0 THEN 0 ELSE 1 END, least(steps, coalesce(after - frame, steps)) + 1)) x(k)""")
+def _(v):
+    before = F.sum("wait").over(Window.partitionBy("track_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    own = v.instr.withColumn("frame", F.coalesce(before, F.lit(0))).where("opcode between 7 and 12")
+    steps = F.when(F.col("opcode") >= 10, F.col("var_id") % 40).otherwise(0)
+    return programs.mixing_levels(own.select(F.col("track_no").alias("key"), "channel", "frame", "seq", ((F.col("opcode") - 7) % 3).alias("mode"), (F.col("level") * 5 - 128).alias("param"), steps.alias("steps")))
+
+
 @query("e28_periodic_events", """
   WITH t AS (SELECT user_id AS device, event_id, epoch_us(ts) // 3600000000 AS start, 24 * (1 + event_id % 5) AS every FROM events WHERE event_type = 'click'),
   h AS (SELECT max(epoch_us(ts) // 3600000000) AS horizon FROM events),

@@ -55,14 +55,18 @@ def _(v):
     return X.stream_band_stats(v.frame)
 
 
-@query("d11_band_rms", f"WITH {STATS} SELECT stream, band, scaled, round(sqrt(scaled::DOUBLE), 6) AS rms, total FROM rm")
+ROOTS = f"{STATS}, ro AS (SELECT stream, band, scaled, floor(sqrt(scaled::DOUBLE) * 1e6::DOUBLE)::BIGINT AS millionths FROM rm)"
+
+
+@query("d11_band_rms", f"""
+  WITH {ROOTS} SELECT stream, band, scaled, round(sqrt(scaled::DOUBLE), 6) AS rms, (sum(millionths) OVER (PARTITION BY stream))::BIGINT::DOUBLE / 1e6::DOUBLE AS total FROM ro""")
 def _(v):
-    return X.band_rms(v.frame)
+    return X.band_rms(v.frame).drop("millionths", "all")
 
 
 @query("e6_band_cutoff", f"""
-  WITH {STATS}, c AS (SELECT *, sum(scaled) OVER (PARTITION BY stream ORDER BY band) AS so_far FROM rm)
-  SELECT stream, coalesce(min(band) FILTER (WHERE so_far * 100 >= total * 90), 16) AS keep FROM c GROUP BY stream""")
+  WITH {ROOTS}, c AS (SELECT *, sum(millionths) OVER (PARTITION BY stream ORDER BY band) AS so_far, sum(millionths) OVER (PARTITION BY stream) AS total FROM ro)
+  SELECT stream, coalesce(min(band) FILTER (WHERE so_far * 100 >= total * 90 AND total > 0), 16) AS keep FROM c GROUP BY stream""")
 def _(v):
     return X.band_cutoff(v.frame)
 

@@ -126,6 +126,73 @@ def test_code_patterns_by_units(spark):
     ]
 
 
+def test_volume_shift_counts_free_bits(spark):
+    """Silence 8, small sums large shifts, full scale 0; from 2 ** 31 on leading ones are free."""
+    def plain(total):
+        sign, free = total >> 31 & 1, 0
+        while free < 31 and total >> (30 - free) & 1 == sign:
+            free += 1
+        return max(0, min(8, free - 3))
+
+    levels = [(k, 1, v) for k, v in enumerate([0, 1, 2, 7, 15, 31, 60, 100, 128, 255])] + [(10, 1, 255)] * 8 + [(11, 1, 255)] * 4 + [(11, 1, 4)]
+    df = spark.createDataFrame(levels, "track_no int, opcode int, level int")
+    sums = {}
+    for track, _, level in levels:
+        sums[track] = sums.get(track, 0) + level * 256 * 0x7FFE
+    assert rows(programs.volume_shift(df), "track_no", "shift") == sorted((k, plain((x >> 2) % 2**32)) for k, x in sums.items())
+
+
+def test_silent_streams_keep_all_bands(spark):
+    frames = [(1, 0, k, 0) for k in range(64)] + [(2, 0, k, 100 if k == 0 else 10) for k in range(64)]
+    df = spark.createDataFrame(frames, "stream int, frame_no long, bin int, q int")
+    # roots: 400 of band 0, then 40 each: 40 * 15 + 400 = 1000
+    assert rows(spectrum.band_cutoff(df), "stream", "keep") == [(1, 16), (2, 13)]
+    assert rows(spectrum.band_cutoff(df, 40), "stream", "keep") == [(1, 16), (2, 0)]
+    assert rows(spectrum.band_rms(df).where("band = 0"), "stream", "rms", "total") == [(1, 0.0, 0.0), (2, 400.0, 1000.0)]
+
+
+def test_gaps_of_the_limit_are_bridged(spark):
+    hits = [(1, k, h == "x") for k, h in enumerate("x..x...x.")]
+    df = spark.createDataFrame(hits, "series int, pos long, hit boolean")
+    assert rows(layout.bridged_gaps(df, 2).where("bridged"), "pos") == [(1,), (2,)]
+
+
+def test_fades_start_where_others_end(spark):
+    """Against a mixer that is advanced frame by frame: unfinished fades, limits, commands in one frame, negative parameters."""
+    rng = random.Random(7)
+    commands = [(k, c, rng.randrange(40), i, rng.randrange(3), rng.choice([127, -128, 200, *range(-9, 9)]), rng.choice([0, 0, 1, 3, 7, 30])) for k in range(12) for c in range(2) for i in range(9)]
+    seen = {}
+    for key in range(12):
+        for channel in range(2):
+            own = sorted((x[2], x[3], *x[4:]) for x in commands if x[:2] == (key, channel))
+            now = left = delta = target = 0
+            seq = None
+            for frame in range(80):
+                for at, i, mode, param, steps in own:
+                    if at == frame:
+                        change = (param - 256 if param > 127 else param) * 64
+                        wanted = change if mode == 0 else now + change if mode == 1 else now - change
+                        seq, left, target = i, steps, max(-8191, min(8191, wanted))
+                        if steps:
+                            delta = int((wanted - now) / steps)
+                        else:
+                            now = target
+                            seen[key, channel, i, frame] = now
+                if left:
+                    left -= 1
+                    now = target if left == 0 else max(-8191, min(8191, now + delta))
+                    seen[key, channel, seq, frame + 1] = now
+    df = spark.createDataFrame([*commands, (None, 1, 1, 1, 1, 1, 1), (1, 1, None, 1, 1, 1, 1)], "key int, channel int, frame int, seq int, mode int, param int, steps int")
+    got = {(r.key, r.channel, r.seq, r.frame): r.level for r in programs.mixing_levels(df).collect()}
+    assert got == seen
+    assert programs.mixing_levels(df.limit(0)).count() == 0
+
+
+def test_fade_steps_come_before_the_limit(spark):
+    df = spark.createDataFrame([(1, 0, 11, 100, 4)], "track_no int, seq int, opcode int, level int, wait int")
+    assert rows(programs.fade_ramp(df), "frame", "level") == [(1, 8000), (2, 8191), (3, 8191), (4, 8191)]
+
+
 def test_signature_stands_behind_a_jump(spark):
     """Four bytes of a jump, then at most 120 printable characters and a zero; anything else has none."""
     text = b"S2 1995 sounds 01/02/95"
