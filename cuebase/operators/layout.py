@@ -300,8 +300,8 @@ def typed_params(each: DataFrame) -> DataFrame:
     return joined.select("id", "name", "value", problem.alias("problem"))
 
 
-def allocate_ids(named: DataFrame, warn: int = 0x50, most: int = 255) -> DataFrame:
-    """named (owner, item, id or null): items without an id take the owner's lowest free ids in order."""
+def allocate_ids(named: DataFrame, warn: int = 0x50, most: int = 254) -> DataFrame:
+    """named (owner, item, id or null): items without an id take the owner's lowest free ids up to `most` in order."""
     taken = named.where("id is not null").select("owner", "id").distinct()
     asking = named.where("id is null").withColumn("n", F.row_number().over(Window.partitionBy("owner").orderBy("item")))
     free = named.select("owner").distinct().select("owner", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(most).cast("bigint"))).alias("id")).join(taken, ["owner", "id"], "left_anti")

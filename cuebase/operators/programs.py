@@ -103,11 +103,12 @@ def stream_remaining(instr: DataFrame, stream: DataFrame) -> DataFrame:
 
 
 def fold_waits(instr: DataFrame, idle: int = 13) -> DataFrame:
-    """Waits of steps without effect go to the next step that has one."""
-    acts = (F.col("opcode") != idle).cast("int")
-    rows = instr.withColumn("group", F.coalesce(F.sum(acts).over(before(steps())), F.lit(0)))
-    rows = rows.withColumn("folded", F.sum("wait").over(upto(steps("group"))).cast("bigint"))
-    return rows.where(F.col("opcode") != idle).select("track_no", "seq", "opcode", F.col("folded").alias("wait"))
+    """Waits of steps without effect go to the next step that has one; an endless wait stays where it is, and swallows what was before it."""
+    endless = F.col("wait") == ENDLESS_WAIT
+    acts = (F.col("opcode") != idle) | endless
+    rows = instr.withColumn("group", F.coalesce(F.sum(acts.cast("int")).over(before(steps())), F.lit(0)))
+    folded = F.when(endless, F.col("wait")).otherwise(F.sum("wait").over(upto(steps("group"))))
+    return rows.withColumn("folded", folded.cast("bigint")).where(acts).select("track_no", "seq", "opcode", F.col("folded").alias("wait"))
 
 
 def split_waits(waits: DataFrame) -> DataFrame:

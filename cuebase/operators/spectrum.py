@@ -75,12 +75,15 @@ def nearest_scale(targets: DataFrame, scales: DataFrame) -> DataFrame:
 
 
 def quant_error(frame: DataFrame, most: int = 600) -> DataFrame:
-    """Squared error of each candidate code for each band of each frame; ok if within most squared for each bin."""
+    """Squared error of each candidate code for each band of each frame; ok if within most squared for each bin.
+
+    A code keeps the low bits of a value, so values outside its width wrap around.
+    """
     codes = frame.sparkSession.createDataFrame(CODES, "code int, width int, scale int")
     rows = bins_to_bands(frame).join(F.broadcast(codes))
     scaled = half_away(F.col("q").cast("double") / F.col("scale").cast("double"))
     half = F.expr("shiftleft(1, width - 1)")
-    kept = F.greatest(-half, F.least(half - 1, scaled))
+    kept = F.pmod(scaled + half, half * 2) - half
     error = F.col("q") - kept * F.col("scale")
     sums = rows.groupBy("stream", "frame_no", "band", "code", "width").agg(F.sum(error * error).cast("bigint").alias("error"), F.count("*").alias("n"))
     return sums.withColumn("ok", F.col("error") <= F.col("n") * (most * most))
@@ -171,12 +174,20 @@ def ranked_peaks(peaks: DataFrame, k: int) -> DataFrame:
     return top.withColumn("below", F.max("db").over(in_frame()) - F.col("db"))
 
 
-def snr(spec: DataFrame, k: int = 10, gap: float = 10.0) -> DataFrame:
-    """Among the k highest peaks the first that lies more than `gap` below the strongest gives the figure; none: -1."""
-    peaks = local_peaks(spec).join(log_spectrum(spec), ["stream", "frame_no", "k"])
-    figure = ranked_peaks(peaks, k).where(F.col("below") > gap).groupBy("stream", "frame_no").agg(F.min_by("below", "rank").alias("figure"))
-    every = spec.select("stream", "frame_no").distinct()
-    return every.join(figure, ["stream", "frame_no"], "left").select("stream", "frame_no", F.round(F.coalesce("figure", b(-1.0)), 5).alias("snr"))
+def snr(spec: DataFrame, k: int = 10, gap: float = 10.0, expected: int = 1) -> DataFrame:
+    """How far below the frame's top the first of the k highest peaks is that lies more than `gap` below the strongest; the strongest's level if none does.
+
+    The mean in bin 0 counts as 0.  Fewer peaks than expected: -1.
+    """
+    levels = log_spectrum(spec)
+    peaks = local_peaks(spec.withColumn("x", F.when(F.col("k") > 0, F.col("x")).otherwise(0))).join(levels, ["stream", "frame_no", "k"])
+    low = F.col("below") > gap
+    found = ranked_peaks(peaks, k).groupBy("stream", "frame_no").agg(
+        F.count("*").alias("n"), F.min_by(F.when(low, F.abs("db")), F.when(low, F.col("rank"))).alias("figure"), F.max("db").alias("strongest")
+    )
+    every = spec.select("stream", "frame_no").distinct().join(found, ["stream", "frame_no"], "left")
+    figure = F.when(F.coalesce("n", F.lit(0)) < expected, b(-1.0)).otherwise(F.coalesce("figure", "strongest"))
+    return every.select("stream", "frame_no", F.round(figure, 5).alias("snr"))
 
 
 def snr_of_levels(levels: DataFrame, expected: DataFrame, k: int = 10, gap: float = 10.0) -> DataFrame:

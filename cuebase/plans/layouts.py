@@ -278,7 +278,7 @@ def _(v):
   WITH n AS (SELECT c_nationkey AS owner, c_custkey AS item, CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey % 100 END AS id FROM customer),
   t AS (SELECT DISTINCT owner, id FROM n WHERE id IS NOT NULL),
   a AS (SELECT owner, item, row_number() OVER (PARTITION BY owner ORDER BY item) AS k FROM n WHERE id IS NULL),
-  f AS (SELECT o.owner, x.id, row_number() OVER (PARTITION BY o.owner ORDER BY x.id) AS k FROM (SELECT DISTINCT owner FROM n) o, range(0, 256) x(id) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.owner = o.owner AND t.id = x.id)),
+  f AS (SELECT o.owner, x.id, row_number() OVER (PARTITION BY o.owner ORDER BY x.id) AS k FROM (SELECT DISTINCT owner FROM n) o, range(0, 255) x(id) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.owner = o.owner AND t.id = x.id)),
   r AS (SELECT owner, item, id FROM n WHERE id IS NOT NULL UNION ALL SELECT a.owner, a.item, f.id FROM a LEFT JOIN f ON f.owner = a.owner AND f.k = a.k)
   SELECT owner, item, id, CASE WHEN id IS NULL THEN 'error' WHEN id >= 80 THEN 'warning' END AS problem FROM r""")
 def _(v):

@@ -18,7 +18,7 @@ STATS = LAYOUT + """,
 ROUND = "(sign({0}) * floor(abs({0}) + 0.5::DOUBLE))::BIGINT"
 QUANT = STATS + f""",
   cd(code, width, scale) AS (VALUES {', '.join(map(str, X.CODES))}),
-  qk AS (SELECT stream, frame_no, band, code, width, scale, q, greatest(-(1 << (width - 1)), least((1 << (width - 1)) - 1, {ROUND.format('(q::DOUBLE / scale::DOUBLE)')})) AS kept FROM bb, cd),
+  qk AS (SELECT stream, frame_no, band, code, width, scale, q, (({ROUND.format('(q::DOUBLE / scale::DOUBLE)')} + (1 << (width - 1))) & ((1 << width) - 1)) - (1 << (width - 1)) AS kept FROM bb, cd),
   qe AS (SELECT stream, frame_no, band, code, width, sum((q - kept * scale) * (q - kept * scale))::BIGINT AS error, count(*) AS n FROM qk GROUP BY ALL),
   qo AS (SELECT *, error <= n * 360000 AS ok FROM qe),
   rk AS (SELECT *, row_number() OVER (PARTITION BY stream, frame_no, band ORDER BY ok DESC, CASE WHEN ok THEN width ELSE 0 END, error, code) AS k FROM qo),
@@ -144,9 +144,9 @@ def _(v):
 
 
 @query("e13_snr", f"""
-  WITH {SPEC}, p AS (SELECT *, row_number() OVER (PARTITION BY stream, frame_no ORDER BY db DESC, k) AS rank FROM lg WHERE was < x AND x >= next),
-  t AS (SELECT *, max(db) OVER (PARTITION BY stream, frame_no) - db AS below FROM p WHERE rank <= 10),
-  f AS (SELECT stream, frame_no, min_by(below, rank) AS figure FROM t WHERE below > 10 GROUP BY stream, frame_no)
+  WITH {SPEC}, p AS (SELECT *, row_number() OVER (PARTITION BY stream, frame_no ORDER BY db DESC, k) AS rank FROM lg WHERE k > 0 AND CASE WHEN k = 1 THEN 0 ELSE was END < x AND x >= next),
+  t AS (SELECT *, max(db) OVER (PARTITION BY stream, frame_no) AS strongest FROM p WHERE rank <= 10),
+  f AS (SELECT stream, frame_no, coalesce(min_by(abs(db), rank) FILTER (WHERE strongest - db > 10), max(strongest)) AS figure FROM t GROUP BY stream, frame_no)
   SELECT s.stream, s.frame_no, round(coalesce(figure, -1.0::DOUBLE), 5) AS snr FROM (SELECT DISTINCT stream, frame_no FROM sp) s LEFT JOIN f ON f.stream = s.stream AND f.frame_no = s.frame_no""")
 def _(v):
     return X.snr(X.spectra(v.take))

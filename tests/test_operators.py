@@ -151,6 +151,26 @@ def test_silent_streams_keep_all_bands(spark):
     assert rows(spectrum.band_rms(df).where("band = 0"), "stream", "rms", "total") == [(1, 0.0, 0.0), (2, 400.0, 1000.0)]
 
 
+def test_codes_wrap_around(spark):
+    """A width of 2 bits at 4096 holds -2 to 1: 3 * 4096 is stored as -1, and so is as wrong as 4 * 4096."""
+    df = spark.createDataFrame([(1, 0, 0, 3 * 4096)], "stream int, frame_no long, bin int, q int")
+    assert rows(spectrum.quant_error(df).where("code in (1, 4)"), "code", "error") == [(1, (4 * 4096) ** 2), (4, (256 * 64) ** 2)]
+
+
+def test_endless_waits_are_not_folded(spark):
+    ops = [(1, 0, 13, 5), (1, 1, 13, 7), (1, 2, 1, 1), (1, 3, 13, 4), (1, 4, 13, 65535), (1, 5, 13, 2), (1, 6, 2, 3), (1, 7, 13, 9)]
+    df = spark.createDataFrame(ops, "track_no int, seq int, opcode int, wait int")
+    assert rows(programs.fold_waits(df), "seq", "opcode", "wait") == [(2, 1, 13), (4, 13, 65535), (6, 2, 5)]
+
+
+def test_peaks_and_their_figure(spark):
+    """The mean does not hide a peak in bin 1; without a lower peak the strongest's own level counts; too few peaks: -1."""
+    spectra = {"low": [9000, 1000, 0, 10, 1, 0], "alone": [0, 0, 500, 0, 0, 0], "near": [0, 0, 900, 100, 800, 0], "edge": [0, 0, 100, 0, 0, 1000], "none": [0, 1, 2, 3, 4, 5]}
+    df = spark.createDataFrame([(s, 0, k, x) for s, xs in spectra.items() for k, x in enumerate(xs)], "stream string, frame_no long, k int, x int")
+    assert rows(spectrum.snr(df), "stream", "snr") == [("alone", 0.0), ("edge", -20.0), ("low", 40.0), ("near", 0.0), ("none", -1.0)]
+    assert rows(spectrum.snr(df, expected=2), "stream", "snr")[:2] == [("alone", -1.0), ("edge", -1.0)]
+
+
 def test_gaps_of_the_limit_are_bridged(spark):
     hits = [(1, k, h == "x") for k, h in enumerate("x..x...x.")]
     df = spark.createDataFrame(hits, "series int, pos long, hit boolean")
@@ -460,7 +480,7 @@ def test_spectra_of_streams_are_apart(spark):
     spec = spark.createDataFrame([("a", 0, k, x) for k, x in enumerate(a)] + [("b", 0, k, x) for k, x in enumerate(c)], "stream string, frame_no int, k int, x int")
     assert rows(spectrum.local_peaks(spec), "stream", "k") == [("a", 1), ("a", 3)]
     assert {(r.stream, r.k): r.db for r in spectrum.log_spectrum(spec).collect()}["a", 3] == 0.0
-    assert {r.stream: r.snr for r in spectrum.snr(spec).collect()} == {"a": -1.0, "b": -1.0}
+    assert rows(spectrum.snr(spec, expected=2), "stream", "snr") == [("a", 0.0), ("b", -1.0)]
     assert rows(signal.downmix(spec.withColumnsRenamed({"k": "bin", "x": "q"})), "stream", "idx", "x")[:2] == [("a", 0, 2.5), ("a", 1, 4.5)]
 
 
