@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuebase.functions.scalar import FRAME_SAMPLES, b, chip_of, hex_of, mmss, offset_of
+from cuebase.functions.scalar import FRAME_SAMPLES, b, chip_of, hex_of, hex_whole, mmss, offset_of
 
 #: Opcode numbers and the shape of their operands in the readable form.
 PLAY, STOP, QUEUE, WRITE, TRIGGER, STORE, LEVEL, LOOP, LOOP_END, END = 1, 2, 3, 4, 5, 6, 7, 14, 15, 0
@@ -67,7 +67,7 @@ def mnemonic(instr: DataFrame, track: DataFrame, *also: str) -> DataFrame:
         .when((op == WRITE) & timed, F.concat(F.lit("SetChannelTimer(byte $"), hex_of(low, 2), F.lit(", counter $"), hex_of(F.col("addr").bitwiseAND(65535), 4), F.lit(");")))
         .when(op == WRITE, F.concat(F.lit("WriteDataPort(byte $"), hex_of(low, 2), F.lit(");")))
         .when(op == TRIGGER, F.concat(F.lit("StartDeferred(channel "), ch.cast("string"), F.lit(");")))
-        .when(op == STORE, F.concat(F.lit("SetVariable(var $"), hex_of(F.col("var_id"), 2), F.lit(", value $"), hex_of(low, 2), F.lit(");")))
+        .when(op == STORE, F.concat(F.lit("SetVariable(var $"), hex_whole(F.col("var_id"), 2), F.lit(", value $"), hex_of(low, 2), F.lit(");")))
         .when(op.between(7, 9), F.concat(level(1), F.lit(");")))
         .when(op.between(10, 12), F.concat(level(1), F.lit(", steps "), F.col("wait").cast("string"), F.lit(");")))
         .when(op == 13, "NOP;")

@@ -560,3 +560,13 @@ def test_timeline_of_nested_loops_and_ends(spark):
     assert rows(programs.timeline(df, 60), "track_no", "frame", "seq") == want and len(want) > 1500
     plan = programs.timeline(df, 60)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+STORES = "track_no long, seq long, opcode int, channel int, addr long, wait int, level int, var_id long, repeat_n int"
+
+
+def test_variables_keep_all_their_digits(spark):
+    """b3: a variable above 255 is written with all its hex digits, one below 16 with two."""
+    df = spark.createDataFrame([(1, k, 6, 0, 0, 0, 7, var, 0) for k, var in enumerate([5, 255, 0x19C, 0x12345])], STORES)
+    track = spark.createDataFrame([(1, 0)], "track_no long, channel int")
+    assert [r.text for r in catalog.mnemonic(df, track).orderBy("seq").collect()] == [f"SetVariable(var ${x}, value $07);" for x in ("05", "FF", "19C", "12345")]
