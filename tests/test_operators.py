@@ -570,3 +570,10 @@ def test_variables_keep_all_their_digits(spark):
     df = spark.createDataFrame([(1, k, 6, 0, 0, 0, 7, var, 0) for k, var in enumerate([5, 255, 0x19C, 0x12345])], STORES)
     track = spark.createDataFrame([(1, 0)], "track_no long, channel int")
     assert [r.text for r in catalog.mnemonic(df, track).orderBy("seq").collect()] == [f"SetVariable(var ${x}, value $07);" for x in ("05", "FF", "19C", "12345")]
+
+
+def test_program_text_keeps_digits_of_variables(spark):
+    """d7: the text of a program holds variables as the mnemonics do."""
+    df = spark.createDataFrame([(1, 0, 6, 0, 0, 3, 7, 0x373, 0), (1, 1, 0, 0, 0, 0, 0, 1, 0)], STORES)
+    track = spark.createDataFrame([(1, 0)], "track_no long, channel int")
+    assert rows(catalog.program_text(df, track), "program") == [("Wait(3) SetVariable(var $373, value $07);\nEnd;",)]
