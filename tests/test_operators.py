@@ -577,3 +577,17 @@ def test_program_text_keeps_digits_of_variables(spark):
     df = spark.createDataFrame([(1, 0, 6, 0, 0, 3, 7, 0x373, 0), (1, 1, 0, 0, 0, 0, 0, 1, 0)], STORES)
     track = spark.createDataFrame([(1, 0)], "track_no long, channel int")
     assert rows(catalog.program_text(df, track), "program") == [("Wait(3) SetVariable(var $373, value $07);\nEnd;",)]
+
+
+def test_report_counts_changed_replies_only(spark, tmp_path):
+    """d17: a frame counts for an event whose number is a multiple of 37 and not of 1000003; one that is a multiple of the latter alone does not."""
+    events = [(k, k % 2, "view") for k in (37, 40, 1000003, 1000004, 1000003 * 37)] + [(74, None, "click")]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string")
+    df.select("event_id", F.timestamp_seconds("event_id").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = registry.queries()["d17_validation_report"](spark, str(tmp_path))
+    assert rows(got, "samples", "bad_reply_frames", "verdict") == [(6, 2, "fail")]
+    assert [tuple(r) for r in got.collect()] == c.sql(registry.oracles()["d17_validation_report"]).select(*got.columns).fetchall()
