@@ -138,3 +138,19 @@ def test_live_counts(spark, tmp_path):
             n[2].add(f)
     last = max(r[1] for r in rows) - 10
     assert got == {t: (a, b, len(c)) for t, (a, b, c) in want.items() if t + 60 <= last} and len(got) > 15
+
+
+def test_keys_share_state_by_bucket(spark, tmp_path):
+    """Many devices in few groups: the same commands as by device, in as many state rows as groups."""
+    rnd = random.Random(11)
+    rows = [(1000 + k // 20, rnd.randrange(90), k, rnd.choice([0x55, 0xAA, 0x01, 0x00, 0xFE])) for k in range(3000)]
+    for i in range(3):
+        df = spark.createDataFrame(rows[i * 1000 : (i + 1) * 1000], "at long, device long, event_id long, byte int").select("device", F.timestamp_seconds("at").alias("ts"), "event_id", "byte")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "device long, ts timestamp, event_id long, byte int"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    passed = spark.read.schema(schema).parquet(str(tmp_path / "in")).where(F.unix_micros("ts") <= (max(r[0] for r in rows) - 8) * 1_000_000)
+    got = J.run_available(J.frame_commands_stream(stream, 13.0, 8, buckets=5))
+    assert same(got, J.frame_commands(passed, 13.0)) > 200
+    folder = got.inputFiles()[0].rsplit("/", 1)[0].removesuffix("/out")
+    assert spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "state").load().count() == 5
