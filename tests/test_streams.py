@@ -154,3 +154,14 @@ def test_keys_share_state_by_bucket(spark, tmp_path):
     assert same(got, J.frame_commands(passed, 13.0)) > 200
     folder = got.inputFiles()[0].rsplit("/", 1)[0].removesuffix("/out")
     assert spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "state").load().count() == 5
+
+
+def test_ring_takes_the_last_hour(spark, tmp_path):
+    """j11: rows behind the watermark's last place count too, and a device that was silent for two months goes on."""
+    from cuebase import registry
+
+    at = [0, 86400 * 60, 86400 * 60 + 1800, 86400 * 60 + 1801]
+    events = spark.createDataFrame([(100 + k, 1_700_000_000 + t, 7) for k, t in enumerate(at)] + [(194, 1_700_000_000 + at[-1], 7)], "event_id long, at long, user_id long")
+    events.select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["j11_recent_ring"](spark, str(tmp_path))
+    assert sorted((r.diff_at, r["at"], r.back) for r in got.collect()) == [(100, 100, 1), (101, 101, 1), (194, 102, 3), (194, 103, 2), (194, 194, 1)]
