@@ -39,10 +39,11 @@ def running_level(instr: DataFrame, strict: bool = False) -> DataFrame:
     is_set = op.isin(7, 10).cast("int")
     down = op.isin(9) if strict else op.isin(9, 12)
     delta = F.when(op.isin(8, 11), F.col("level")).when(down, -F.col("level")).otherwise(0)
-    rows = instr.withColumns({"segment": F.sum(is_set).over(upto(steps("channel"))), "delta": delta, "start": F.when(is_set == 1, F.col("level"))})
-    w = steps("channel", "segment")
-    base = F.coalesce(F.first("start").over(upto(w)), F.lit(DEFAULT_LEVEL))
-    rows = rows.withColumn("now", (base + F.sum("delta").over(upto(w))).cast("bigint"))
+    # one ordered series for each channel: what the sums since the last set need is kept at it, so nothing is sorted again
+    w = upto(steps("channel"))
+    rows = instr.select("track_no", "seq", "channel", "opcode", "level", delta.alias("delta")).withColumn("total", F.sum("delta").over(w))
+    base = F.last(F.when(is_set == 1, F.struct((F.col("level") - F.col("total")).alias("v"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("base", base).withColumn("now", (F.col("total") + F.when(F.col("base").isNull(), DEFAULT_LEVEL).otherwise(F.col("base.v"))).cast("bigint"))
     return rows.where(op == PLAY).select("track_no", "seq", "channel", F.col("now").alias("level"))
 
 

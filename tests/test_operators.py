@@ -591,3 +591,25 @@ def test_report_counts_changed_replies_only(spark, tmp_path):
     got = registry.queries()["d17_validation_report"](spark, str(tmp_path))
     assert rows(got, "samples", "bad_reply_frames", "verdict") == [(6, 2, "fail")]
     assert [tuple(r) for r in got.collect()] == c.sql(registry.oracles()["d17_validation_report"]).select(*got.columns).fetchall()
+
+
+def sorts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_gaps_are_bridged_in_one_order(spark):
+    """e10: one sort serves all windows and no join follows; unknown rows part runs and are left out."""
+    hits = [True, False, False, True, False, False, False, True, None, False, True, False]
+    df = spark.createDataFrame([(1, k, h) for k, h in enumerate(hits)] + [(None, 0, True)], "series long, pos long, hit boolean")
+    got = layout.bridged_gaps(df, 2)
+    assert sorts(got) == 1
+    assert rows(got, "pos", "hit", "bridged") == [(k, h or k in (1, 2), k in (1, 2)) for k, h in enumerate(hits) if h is not None]
+
+
+def test_levels_in_one_order(spark):
+    """e2: one sort serves all windows; steps before the first set count from the default level."""
+    ops = [(8, 5), (1, 0), (7, 50), (9, 8), (1, 0), (10, 3), (1, 0)]
+    df = spark.createDataFrame([(1, k, 0, op, level) for k, (op, level) in enumerate(ops)], "track_no long, seq long, channel int, opcode int, level int")
+    got = programs.running_level(df)
+    assert sorts(got) == 1
+    assert rows(got, "seq", "level") == [(1, 105), (4, 42), (6, 3)]
