@@ -350,9 +350,12 @@ def pack_best_fit(items: DataFrame, capacity: int, most: int = 8) -> DataFrame:
 def bridged_gaps(reached: DataFrame, most: int = 64) -> DataFrame:
     """reached (series, pos, hit): unreached runs of at most `most` between reached ones become reached, and are marked."""
     w = Window.partitionBy("series").orderBy("pos")
-    rows = reached.withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("series", "hit").orderBy("pos")))
-    runs = rows.groupBy("series", "hit", "island").agg(F.count("*").alias("n"), F.min("pos").alias("start"))
-    order = Window.partitionBy("series").orderBy("start")
-    runs = runs.withColumn("inner", F.lag("hit").over(order).isNotNull() & F.lead("hit").over(order).isNotNull())
-    bridged = ~F.col("hit") & F.col("inner") & (F.col("n") <= most)
-    return rows.join(runs.select("series", "hit", "island", bridged.alias("bridged")), ["series", "hit", "island"]).select("series", "pos", (F.col("hit") | F.col("bridged")).alias("hit"), "bridged")
+    # a gap is bridged where the nearest other rows on both sides are reached ones and lie close enough: one order serves all, rows need not meet their runs again
+    rows = reached.where("series is not null").withColumn("at", F.row_number().over(w))
+    other = F.when(~F.col("hit").eqNullSafe(F.lit(False)), F.struct("at", "hit"))
+    before = F.last(other, ignorenulls=True).over(w.rowsBetween(-most - 1, -1))
+    after = F.first(other, ignorenulls=True).over(w.rowsBetween(1, most + 1))
+    rows = rows.withColumns({"before": before, "after": after}).where("hit is not null")
+    close = F.col("after.at") - F.col("before.at") - 1 <= most
+    bridged = F.coalesce(~F.col("hit") & F.col("before.hit") & F.col("after.hit") & close, F.lit(False))
+    return rows.select("series", "pos", (F.col("hit") | bridged).alias("hit"), bridged.alias("bridged"))
