@@ -22,31 +22,41 @@ def parts_of(h: Column, digits: int) -> Column:
     return F.regexp_extract_all(h, F.lit(f"(.{{1,{digits}}})"), 1)
 
 
+#: Bytes that a step in Python works on at a time, whatever a batch or a text holds.
+SLICE_BYTES = 1 << 20
+
+
 def bytes_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column, laid end to end, and where each value begins; nulls are empty."""
+    """The bytes of a binary column, laid end to end (a view, nothing is copied), and where each value begins; nulls are empty."""
     if data.null_count:
         data = data.fill_null(b"")
     _, offsets, raw = data.buffers()
     at = np.frombuffer(offsets, dtype=np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-    raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]].astype(np.int64) if at[-1] > at[0] else np.empty(0, dtype=np.int64)
+    raw = np.frombuffer(raw, dtype=np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, dtype=np.uint8)
     return raw, at - at[0]
 
 
 def _sums(batches):
-    """(doc_id, even, odd) of (doc_id, data): one pass over a batch's bytes."""
+    """(doc_id, even, odd) of (doc_id, data): one pass over each value's bytes."""
     for batch in batches:
         raw, at = bytes_of(batch.column(1))
-        whole = np.r_[0, np.cumsum(raw)]
-        raw[1::2] = 0
-        even = np.r_[0, np.cumsum(raw)]
-        all_, first = whole[at[1:]] - whole[at[:-1]], even[at[1:]] - even[at[:-1]]
-        first = np.where(at[:-1] % 2 == 0, first, all_ - first)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first), pa.array(all_ - first)], names=["doc_id", "even", "odd"])
+        spans = list(zip(at[:-1], at[1:], strict=True))
+        sums = [[int(raw[a + k : z : 2].sum(dtype=np.int64)) for a, z in spans] for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in sums]], names=["doc_id", "even", "odd"])
+
+
+def narrow(blob: DataFrame, rows: int = 250) -> DataFrame:
+    """blob, for a step in Python: batches of so many rows at most, set for the session as the text operators do."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(blob.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        blob.sparkSession.conf.set(name, str(rows))
+    return blob
 
 
 def byte_sums(blob: DataFrame) -> DataFrame:
     """(doc_id, even, odd): sums of the bytes at even and odd offsets."""
-    return blob.select("doc_id", F.unhex("h").alias("data")).mapInArrow(_sums, f"doc_id {dict(blob.dtypes)['doc_id']}, even long, odd long")
+    return narrow(blob).select("doc_id", F.unhex("h").alias("data")).mapInArrow(_sums, f"doc_id {dict(blob.dtypes)['doc_id']}, even long, odd long")
 
 
 def byte_checksum(blob: DataFrame) -> DataFrame:
@@ -240,20 +250,35 @@ def read_track_index(blob: DataFrame, stride: int = 3) -> DataFrame:
     """Big-endian numbers of `stride` bytes; slots whose first byte is FF are empty."""
     kind = dict(blob.dtypes)["doc_id"]
 
+    part = SLICE_BYTES // stride
+
     def run(batches):
         for batch in batches:
             raw, at = bytes_of(batch.column(1))
-            count = np.diff(at) // stride
-            slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            place = np.repeat(at[:-1], count) + slot * stride
-            value = np.zeros(len(place), dtype=np.int64)
-            for k in range(stride):
-                value = value << 8 | raw[place + k]
-            full = np.flatnonzero(raw[place] != 0xFF) if len(place) else place
-            owner = pa.array(np.repeat(np.arange(len(batch)), count)[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(slot[full].astype(np.int32)), pa.array(value[full])], names=["doc_id", "slot", "addr"])
-
-    return blob.select("doc_id", F.unhex("h").alias("data")).mapInArrow(run, f"doc_id {kind}, slot int, addr long")
+            held, size = [], 0
+
+            def flush():
+                owner, slot, value = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(slot.astype(np.int32)), pa.array(value)], names=["doc_id", "slot", "addr"])
+
+            for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                # a value is cut at whole slots, so that neither it nor its rows are ever spread out as a whole
+                whole = raw[a : a + (z - a) // stride * stride].reshape(-1, stride)
+                for first in range(0, len(whole), part):
+                    own = whole[first : first + part]
+                    full = np.flatnonzero(own[:, 0] != 0xFF)
+                    value = np.zeros(len(full), dtype=np.int64)
+                    for byte in range(stride):
+                        value = value << 8 | own[full, byte]
+                    held.append((np.full(len(full), k), full + first, value))
+                    size += len(full)
+                    if size >= part:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
+
+    return narrow(blob).select("doc_id", F.unhex("h").alias("data")).mapInArrow(run, f"doc_id {kind}, slot int, addr long")
 
 
 def collapse_fill(blob: DataFrame, word: str, least: int = 4) -> DataFrame:

@@ -613,3 +613,23 @@ def test_levels_in_one_order(spark):
     got = programs.running_level(df)
     assert sorts(got) == 1
     assert rows(got, "seq", "level") == [(1, 105), (4, 42), (6, 3)]
+
+
+def test_bytes_are_not_spread_out():
+    """d2, d3, a6: the bytes of a batch are a view of it, so that Python holds them once."""
+    import numpy as np
+    import pyarrow as pa
+
+    raw, at = layout.bytes_of(pa.array([b"abc", None, b"", b"de"], pa.binary()))
+    assert raw.dtype == np.uint8 and bytes(raw) == b"abcde" and at.tolist() == [0, 3, 3, 3, 5]
+
+
+def test_long_indexes_are_cut(spark):
+    """a6: an index longer than a slice, its empty slots and its unfinished last one."""
+    data = b"\x01\x02\x03\xff\x00\x00" * 200_000 + b"\x01\x02"
+    df = spark.createDataFrame([(1, data.hex().upper()), (2, None), (3, "0A0B0C0D")], "doc_id long, h string")
+    got = layout.read_track_index(df)
+    assert rows(got.where("doc_id = 3"), "doc_id", "slot", "addr") == [(3, 0, 0x0A0B0C)]
+    own = got.where("doc_id = 1").agg(F.count("*"), F.min("slot"), F.max("slot"), F.sum("slot"), F.min("addr"), F.max("addr")).first()
+    assert tuple(own) == (200_000, 0, 399_998, 199_999 * 200_000, 0x010203, 0x010203)
+    assert rows(layout.byte_checksum(df), "doc_id", "checksum") == [(1, (sum(data[::2]) % 256) * 256 + sum(data[1::2]) % 256), (2, 0), (3, (0x0A + 0x0C) * 256 + 0x0B + 0x0D)]
