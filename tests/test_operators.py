@@ -633,3 +633,14 @@ def test_long_indexes_are_cut(spark):
     own = got.where("doc_id = 1").agg(F.count("*"), F.min("slot"), F.max("slot"), F.sum("slot"), F.min("addr"), F.max("addr")).first()
     assert tuple(own) == (200_000, 0, 399_998, 199_999 * 200_000, 0x010203, 0x010203)
     assert rows(layout.byte_checksum(df), "doc_id", "checksum") == [(1, (sum(data[::2]) % 256) * 256 + sum(data[1::2]) % 256), (2, 0), (3, (0x0A + 0x0C) * 256 + 0x0B + 0x0D)]
+
+
+def test_program_bytes_by_translate(spark, tmp_path):
+    """k2, a5: every byte modulo 20, zeros kept, in one translation instead of a lambda for each byte."""
+    from cuebase.plans import ports
+
+    texts = ["".join(map(chr, range(256))), "\x00\x14(", "äß€𝄞", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = ports.programs(Views(spark, str(tmp_path)))
+    assert {r.id: bytes(r.data) for r in got.collect()} == {k: bytes(x % 20 for x in t.encode()) for k, t in enumerate(texts)}
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
