@@ -191,14 +191,15 @@ def playback_summary(track: DataFrame, instr: DataFrame) -> DataFrame:
 
 
 def program_text(instr: DataFrame, track: DataFrame) -> DataFrame:
-    """One text per track: its steps in order, indented by loop depth, waits in front."""
+    """One text per track: its steps in order, indented by loop depth, waits in front; null if no step can be written.  Steps of no track are in no program."""
     from cuebase.operators.programs import with_depth
 
-    lines = mnemonic(with_depth(instr), track, "depth")
+    lines = mnemonic(with_depth(instr.where(F.col("track_no").isNotNull())), track, "depth")
     indent = F.expr("repeat('  ', cast(depth as int))")
     line = F.concat(indent, F.when(F.col("wait") > 0, F.concat(F.lit("Wait("), F.col("wait").cast("string"), F.lit(") "))).otherwise(""), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
-    return lines.groupBy("track_no").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("program"))
+    whole = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    return lines.groupBy("track_no").agg(F.nullif(whole, F.lit("")).alias("program"))
 
 
 def dense_index(numbers: DataFrame, of: str) -> DataFrame:

@@ -644,3 +644,10 @@ def test_program_bytes_by_translate(spark, tmp_path):
     got = ports.programs(Views(spark, str(tmp_path)))
     assert {r.id: bytes(r.data) for r in got.collect()} == {k: bytes(x % 20 for x in t.encode()) for k, t in enumerate(texts)}
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_program_text_without_writable_steps(spark):
+    """d7, as its SQL: a program none of whose steps can be written is null, not empty; a step that cannot be is left out; steps of no track are in no program."""
+    df = spark.createDataFrame([(1, 0, 2, None, 0, 3, 7, 1, 0), (2, 0, 2, None, 0, 3, 7, 1, 0), (2, 1, 0, 0, 0, 0, 0, 1, 0), (None, 0, 0, 0, 0, 0, 0, 1, 0)], STORES)
+    track = spark.createDataFrame([(1, 0), (2, 0)], "track_no long, channel int")
+    assert [(r.track_no, r.program) for r in catalog.program_text(df, track).orderBy("track_no").collect()] == [(1, None), (2, "End;")]
