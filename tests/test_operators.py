@@ -651,3 +651,20 @@ def test_program_text_without_writable_steps(spark):
     df = spark.createDataFrame([(1, 0, 2, None, 0, 3, 7, 1, 0), (2, 0, 2, None, 0, 3, 7, 1, 0), (2, 1, 0, 0, 0, 0, 0, 1, 0), (None, 0, 0, 0, 0, 0, 0, 1, 0)], STORES)
     track = spark.createDataFrame([(1, 0), (2, 0)], "track_no long, channel int")
     assert [(r.track_no, r.program) for r in catalog.program_text(df, track).orderBy("track_no").collect()] == [(1, None), (2, "End;")]
+
+
+def test_extracts_are_read_by_folder(spark, tmp_path, data, monkeypatch):
+    """a7: as many tasks read the files as wrote them, however many files there are; all are read whole, staged ones are not."""
+    from cuebase import registry
+
+    monkeypatch.setattr(archives, "EXTRACT_FILES", 7)
+    df = spark.createDataFrame([(f"f{k}.raw", 0x94, bytearray(b"x" * k)) for k in range(40)], "name string, version int, payload binary").repartition(2, "name")
+    assert registry.queries()["a7_write_extracts"](spark, data).rdd.getNumPartitions() <= Views(spark, data).documents.rdd.getNumPartitions()
+    archives.write_extracts(df.limit(0), str(tmp_path))
+    assert archives.read_extracts(spark, str(tmp_path)).count() == 0
+    archives.write_extracts(df, str(tmp_path))
+    (tmp_path / "_staged-1").mkdir()
+    (tmp_path / "_staged-1" / "g.raw").write_bytes(b"part")
+    got = archives.read_extracts(spark, str(tmp_path))
+    assert sorted((r.name, r.size, len(r.content), bytes(r.content)[36:]) for r in got.collect()) == sorted((f"f{k}.raw", 36 + k, 36 + k, b"x" * k) for k in range(40))
+    assert got.rdd.getNumPartitions() == 2
