@@ -55,8 +55,9 @@ def narrow(blob: DataFrame, rows: int = 250) -> DataFrame:
 
 
 def byte_sums(blob: DataFrame) -> DataFrame:
-    """(doc_id, even, odd): sums of the bytes at even and odd offsets."""
-    return narrow(blob).select("doc_id", F.unhex("h").alias("data")).mapInArrow(_sums, f"doc_id {dict(blob.dtypes)['doc_id']}, even long, odd long")
+    """(doc_id, even, odd): sums of the bytes at even and odd offsets; rows of one key are summed together."""
+    rows = narrow(blob).select("doc_id", F.unhex("h").alias("data")).mapInArrow(_sums, f"doc_id {dict(blob.dtypes)['doc_id']}, even long, odd long")
+    return rows.groupBy("doc_id").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
 
 
 def byte_checksum(blob: DataFrame) -> DataFrame:
